@@ -43,21 +43,9 @@ def with_halo(df: DataFrame, size: int, halo: int) -> DataFrame:
         "core", (F.col("tr") == tile_of("r", size)) & (F.col("tc") == tile_of("c", size)))
 
 
-def diamond(radius: int) -> list[tuple[int, int]]:
-    """Offsets of an L1 ball: what ``radius`` passes of a cross element reach."""
-    return [(dr, dc) for dr in range(-radius, radius + 1)
-            for dc in range(-radius, radius + 1) if abs(dr) + abs(dc) <= radius]
-
-
-def square(radius: int) -> list[tuple[int, int]]:
-    return [(dr, dc) for dr in range(-radius, radius + 1)
-            for dc in range(-radius, radius + 1)]
-
-
 def disc(radius_cells: float) -> list[tuple[int, int]]:
-    k = int(math.floor(radius_cells))
-    return [(dr, dc) for dr, dc in square(k)
-            if dr * dr + dc * dc <= radius_cells * radius_cells]
+    k = range(-int(math.floor(radius_cells)), int(math.floor(radius_cells)) + 1)
+    return [(dr, dc) for dr in k for dc in k if dr * dr + dc * dc <= radius_cells * radius_cells]
 
 
 def offsets_column(offsets: list[tuple[int, int]]) -> Column:
@@ -80,6 +68,25 @@ def spread(df: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
               .drop("_o"))
 
 
+def spread_box(df: DataFrame, radius: int, diamond: bool = False) -> DataFrame:
+    """Send every row to the cells of a square, or of an L1 ball, around it."""
+    step = F.sequence(F.lit(-radius), F.lit(radius))
+    out = df.withColumn("dr", F.explode(step))
+    if diamond:
+        side = F.lit(radius) - F.abs("dr")
+        step = F.sequence(-side, side)
+    out = out.withColumn("dc", F.explode(step))
+    return (out.withColumn("r", F.col("r") + F.col("dr")).withColumn("c", F.col("c") + F.col("dc"))
+               .drop("dr", "dc"))
+
+
+def lattice(sizes: DataFrame) -> DataFrame:
+    """Every cell of every run, from one ``ny, nx`` row per run; rows spread before columns."""
+    rows = sizes.select("run_id", "nx", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("r"))
+    return rows.repartition("run_id", "r").select(
+        "run_id", "r", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("c"))
+
+
 def beside(value, window, step: int, axis: str) -> Column:
     """Value of the cell ``step`` places along ``axis``, NULL across a gap."""
     value = F.col(value) if isinstance(value, str) else value

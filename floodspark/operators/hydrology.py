@@ -404,7 +404,7 @@ def path_distance(trace: DataFrame, dx: float) -> DataFrame:
 def _window_cells(points: DataFrame, cells: DataFrame, radius: int) -> DataFrame:
     """Pairs of a point and the cells of its square window (offsets, then an equi-join)."""
     base = points.withColumn("pr", F.col("r")).withColumn("pc", F.col("c"))
-    return grid.spread(base, grid.square(radius)).drop("k", "dr", "dc").join(cells, grid.CELL)
+    return grid.spread_box(base, radius).join(cells, grid.CELL)
 
 
 def snap_to_stream(points: DataFrame, flow: DataFrame, dx: float, radius: int = 8,

@@ -10,13 +10,13 @@ from floodspark import fixed, grid
 
 def dilate(mask_cells: DataFrame, radius: int) -> DataFrame:
     """Cells within ``radius`` cross-shaped steps of a mask cell."""
-    return grid.spread(mask_cells.select(*grid.CELL), grid.diamond(radius)).select(*grid.CELL).distinct()
+    return grid.spread_box(mask_cells.select(*grid.CELL), radius, True).distinct()
 
 
 def erode(mask_cells: DataFrame, radius: int) -> DataFrame:
     """Mask cells whose whole diamond lies in the mask; the outside counts as empty."""
-    full = len(grid.diamond(radius))
-    return (grid.spread(mask_cells.select(*grid.CELL), grid.diamond(radius))
+    full = 2 * radius * (radius + 1) + 1
+    return (grid.spread_box(mask_cells.select(*grid.CELL), radius, True)
                 .groupBy(*grid.CELL).agg(F.count("*").alias("n")).where(F.col("n") == full)
                 .select(*grid.CELL))
 

@@ -150,7 +150,7 @@ def geographic_cover(extents: DataFrame, zone: Column, north: Column, pad_deg: f
     """Longitude-latitude box around a metric extent, sampled along its edges."""
     f = F.explode(F.sequence(F.lit(0), F.lit(steps)))
     side = F.explode(F.array(*[F.lit(i) for i in range(4)]))
-    e = extents.withColumn("f", f / steps).withColumn("side", side)
+    e = extents.withColumn("f", f).withColumn("f", F.col("f") / steps).withColumn("side", side)
     x = F.when(F.col("side").isin(0, 1), F.col("xmin") + (F.col("xmax") - F.col("xmin")) * F.col("f")).when(
         F.col("side") == 2, F.col("xmin")).otherwise(F.col("xmax"))
     y = F.when(F.col("side").isin(2, 3), F.col("ymin") + (F.col("ymax") - F.col("ymin")) * F.col("f")).when(

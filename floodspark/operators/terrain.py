@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodspark import fixed, grid
@@ -14,20 +14,24 @@ from floodspark.operators.hydrology import fill_depressions
 from floodspark.session import cut
 
 
-def nearest_seed(cells: DataFrame, seed: str) -> DataFrame:
+def nearest_seed(cells: DataFrame, seed: str, dense: bool = True) -> DataFrame:
     """Adds ``d2, seed_r, seed_c``: the nearest cell where ``seed`` holds (Euclidean).
 
     Separable and exact: along each column the nearest seed comes from two window
     passes; then each grid row is searched outwards over its columns.  Groups are
     one row or one column of a grid.  Ties go to the smaller row, then column.
+    A grid with missing cells (``dense`` false) is completed for the two passes.
     """
     run = cells.schema["run_id"].dataType.simpleString()
     w = grid.col_window()
-    inf = w.unboundedPreceding
+    inf, end = Window.unboundedPreceding, Window.unboundedFollowing
     at = F.when(F.col(seed), F.col("r"))
     up, dn = F.last(at, True).over(w.rowsBetween(inf, 0)), F.first(at, True).over(
-        w.rowsBetween(0, w.unboundedFollowing))
-    col = (cells.select(*grid.CELL, F.col(seed)).withColumn("_u", up).withColumn("_d", dn)
+        w.rowsBetween(0, end))
+    body = cells.select(*grid.CELL, F.col(seed))
+    if not dense:
+        body = grid.lattice(grid.grid_sizes(cells)).join(body, grid.CELL, "left")
+    col = (body.withColumn("_u", up).withColumn("_d", dn)
                 .withColumn("near", F.when(F.col("_d").isNull() | (
                     F.col("r") - F.col("_u") <= F.col("_d") - F.col("r")), F.col("_u"))
                     .otherwise(F.col("_d"))).select(*grid.CELL, "near"))
@@ -110,8 +114,8 @@ def fill_report(filled: DataFrame, dx: float) -> DataFrame:
 def gradient(value: str, dx: float, window, axis: str) -> Column:
     """Central difference, one-sided at an end, NULL if a needed neighbour is missing."""
     v = F.col(value)
-    first, last = F.min(axis).over(window.rowsBetween(window.unboundedPreceding, window.unboundedFollowing)), \
-        F.max(axis).over(window.rowsBetween(window.unboundedPreceding, window.unboundedFollowing))
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last = F.min(axis).over(whole), F.max(axis).over(whole)
     prev, nxt = grid.beside(value, window, -1, axis), grid.beside(value, window, 1, axis)
     return (F.when(F.col(axis) == first, (nxt - v) / dx).when(F.col(axis) == last, (v - prev) / dx)
              .otherwise((nxt - prev) / (2.0 * dx)))
@@ -227,7 +231,7 @@ def valley_width(cells: DataFrame, points: DataFrame, dx: float, relief: float =
     """
     p = points.select("run_id", "point_id", "r", F.col("c").alias("pc"))
     step = F.explode(F.sequence(F.lit(-half), F.lit(half)))
-    near = p.withColumn("c", F.col("pc") + step).join(cells.select(*grid.CELL, "z"), grid.CELL)
+    near = p.withColumn("_d", step).withColumn("c", F.col("pc") + F.col("_d")).join(cells.select(*grid.CELL, "z"), grid.CELL)
     line = near.groupBy("run_id", "point_id").agg(F.array_sort(F.collect_list(F.struct("c", "z"))).alias("t"))
     return contiguous_floor(line.select("run_id", "point_id", F.col("t.z").alias("zs")), relief, dx)
 
@@ -275,9 +279,8 @@ def suppressed_peaks(flow: DataFrame, column: str, pool_size: int = 400, apart:
 
     The greedy pass sees the top ``pool_size`` cells of a run and no more.
     """
-    from pyspark.sql import Window
     run = flow.schema["run_id"].dataType.simpleString()
-    w = Window.partitionBy("run_id").orderBy(F.col(column).desc(), "r", "c")
+    w = Window.partitionBy("run_id").orderBy(F.col("v").desc(), "r", "c")
     top = flow.select(*grid.CELL, F.col(column).alias("v")).withColumn("rank", F.row_number().over(w)).where(
         F.col("rank") <= pool_size)
 
