@@ -31,7 +31,7 @@ def two_figures_half_up(v: Column) -> Column:
 
 def kml_colour(web: Column, alpha: Column) -> Column:
     """``#rrggbb`` to ``aabbggrr``; anything else is an error."""
-    h = F.lower(F.ltrim(F.lit("#"), web))
+    h = F.lower(F.ltrim(web, F.lit("#")))
     aa = F.lpad(F.lower(F.hex(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), alpha)) * 255, 0)
                               .cast("long"))), 2, "0")
     swapped = F.concat(aa, F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))

@@ -374,11 +374,11 @@ def _(s, d):
 
 
 @query("src13_features_by_tag", "SRC13", """
-    SELECT c_custkey FROM customer WHERE c_custkey % 360 - 180 BETWEEN -20 AND 60 AND c_custkey % 180 - 90 BETWEEN 0 AND 45 AND c_mktsegment = 'BUILDING'""")
+    SELECT c_custkey FROM customer WHERE c_custkey % 360 - 180 BETWEEN -20 AND 60 AND c_custkey % 180 - 90 BETWEEN -90 AND 45 AND c_mktsegment = 'HOUSEHOLD'""")
 def _(s, d):
     c = table(s, d, "customer").select("c_custkey", (F.col("c_custkey") % 360 - 180).alias("lon"), (F.col("c_custkey") % 180 - 90).alias("lat"),
                                        F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("tags"))
-    return documents.features(c, -20, 0, 60, 45, "segment", "BUILDING").select("c_custkey")
+    return documents.features(c, -20, -90, 60, 45, "segment", "HOUSEHOLD").select("c_custkey")
 
 
 # --- streams ----------------------------------------------------------------------------------------------------
@@ -419,7 +419,9 @@ def _(s, d):
 
 
 @query("st4_status_machine", "ST4", """
-    SELECT run_id, arg_max(status, seq) AS status, max(seq) AS seq FROM status_events GROUP BY run_id""", ("status_events",))
+    SELECT run_id, CASE WHEN status <> 'done' AND last + INTERVAL 60 DAY < (SELECT max(updated_at) FROM status_events) THEN 'failed' ELSE status END AS status, seq
+    FROM (SELECT run_id, arg_max(status, struct_pack(a := updated_at, b := seq)) AS status, arg_max(seq, struct_pack(a := updated_at, b := seq)) AS seq,
+                 max(updated_at) AS last FROM status_events GROUP BY run_id)""", ("status_events",))
 def _(s, d):
-    ev = _stream(s, d, "orders", "status_events").select("run_id", "status", "seq")
-    return st.latest_emitted(st.drain(st.status_machine(ev, 3_600_000)), ["run_id"])
+    ev = _stream(s, d, "orders", "status_events").select("run_id", "status", "seq", "updated_at")
+    return st.latest_emitted(st.drain(st.status_machine(ev, 60 * 86_400)), ["run_id"])

@@ -8,7 +8,8 @@ from floodspark import fixed, grid
 from floodspark.functions import hydraulics as hy
 from floodspark.functions import text as ft
 from floodspark.operators import accumulate, mesh, observe, particles, sampling, series, terrain
-from floodspark.queries.base import cells, query, rounded
+from floodspark.queries.base import DERIVED, cells, query, rounded
+from floodspark.queries.terrain import _COMP
 from floodspark.sources.tables import DX, view
 
 
@@ -402,10 +403,18 @@ def _(s, d):
     return rounded(observe.observed_area(f, 900.0 * F.cos(F.radians(30 + F.col("r") * 0.01))), 9)
 
 
-@query("gr13_observed_flood_extent", "GR13 PRJ10 ST5")
+_DARK = f"""(SELECT a.run_id, a.r, a.c FROM ({_FOCAL.format(m=_MED.format(w=_PRE))}) a JOIN ({_FOCAL.format(m=_MED.format(w=_POST))}) b USING (run_id, r, c)
+    LEFT JOIN occurrence USING (run_id, r, c) WHERE b.v / a.v > 0.98 AND coalesce(occurrence // 2, 0) < 50 AND a.c % 7 <= 5)"""
+_BLOBS = _COMP.format(diag=",(1,1),(1,-1),(-1,1),(-1,-1)").replace("FROM low", "FROM dark").replace("JOIN low n", "JOIN dark n")
+DERIVED["dark"] = (("sar_px", "occurrence"), f"SELECT * FROM {_DARK}")
+
+
+@query("gr13_observed_flood_extent", "GR13 PRJ10 ST5 GR10", f"""
+    SELECT run_id, r, c FROM ({_BLOBS}) QUALIFY count(*) OVER (PARTITION BY run_id, lab) >= 8""", ("dark",))
 def _(s, d):
     pre, post = _composites(s, d)
-    return observe.flood_pixels(pre, post, view(s, d, "occurrence"), _slope(s, d), 1.0, threshold=0.98, min_blob=3, tile=64)
+    occ = view(s, d, "occurrence").withColumn("occurrence", F.floor(F.col("occurrence") / 2).cast("int"))
+    return observe.flood_pixels(pre, post, occ, _slope(s, d), 1.0, threshold=0.98, tile=64)
 
 
 @query("dt1_event_windows", "DT1 ST5", """

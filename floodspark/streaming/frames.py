@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from floodspark import grid
@@ -34,31 +35,33 @@ def periodic_log(history: DataFrame, every_s: float) -> DataFrame:
         F.max("t_s").alias("t_s"), F.max_by("volume", "t_s").alias("volume"))
 
 
-def status_machine(events: DataFrame, heartbeat_ms: int) -> DataFrame:
+def status_machine(events: DataFrame, heartbeat_s: int, delay: str = "0 seconds") -> DataFrame:
     """Best-known status per run; silence longer than the heartbeat turns a live run to failed.
 
-    State is one status and one time per run.
+    Time is the reports' own time: a run fails once the watermark has passed its last
+    report by the heartbeat.  State is one status, number and time per run.
     """
-    rank = {"queued": 0, "running": 1, "setup_only": 2, "failed": 2, "done": 2}
-
     def step(key, batches, state):
-        status, at = state.get if state.exists else ("queued", -1)
+        best = state.get if state.exists else (None, -1, -1)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"run_id": [key[0]], "status": ["failed"], "seq": [at]})
+            yield pd.DataFrame({"run_id": [key[0]], "status": ["failed"], "seq": [best[1]]})
             return
         for pdf in batches:
-            for s, q in zip(pdf["status"], pdf["seq"]):
-                if (int(q), rank.get(s, 0)) >= (at, rank.get(status, 0)):
-                    status, at = s, int(q)
-        state.update((status, at))
-        if rank.get(status, 0) < 2:
-            state.setTimeoutDuration(heartbeat_ms)
-        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "seq": [at]})
-
-    return events.groupBy("run_id").applyInPandasWithState(
-        step, "run_id string, status string, seq long", "status string, seq long", "update",
-        GroupStateTimeout.ProcessingTimeTimeout)
+            ms = pdf["updated_at"].to_numpy().astype("datetime64[ms]").astype("int64")
+            for s, q, at in zip(pdf["status"], pdf["seq"], ms):
+                if (int(at), int(q)) > (best[2], best[1]):
+                    best = (s, int(q), int(at))
+        state.update(best)
+        if best[0] in ("queued", "running"):
+            state.setTimeoutTimestamp(max(best[2] + heartbeat_s * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"run_id": [key[0]], "status": [best[0]], "seq": [best[1]]})
+
+    timed = events.select("run_id", "status", "seq", F.col("updated_at").cast("timestamp").alias("updated_at")).withWatermark(
+        "updated_at", delay)
+    return timed.groupBy("run_id").applyInPandasWithState(
+        step, "run_id string, status string, seq long", "status string, seq long, at long", "update",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "update") -> DataFrame:
@@ -75,8 +78,8 @@ def drain(stream: DataFrame, mode: str = "update") -> DataFrame:
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
                .trigger(availableNow=True).foreachBatch(put).start())
     q.awaitTermination()
-    return spark.read.option("basePath", out).schema(
-        stream.schema.add("batch_id", "int").add("batch", "int")).parquet(out).drop("batch")
+    fields = [*stream.schema.fields, T.StructField("batch_id", T.IntegerType()), T.StructField("batch", T.IntegerType())]
+    return spark.read.option("basePath", out).schema(T.StructType(fields)).parquet(out).drop("batch")
 
 
 def latest_emitted(emitted: DataFrame, keys: list[str]) -> DataFrame:
