@@ -9,28 +9,34 @@ from floodspark import fixed
 from floodspark.functions import arrival, damage, hazard
 
 
-def class_dimension(spark, names) -> DataFrame:
-    """``idx, label`` of a fixed class list."""
-    return spark.createDataFrame(list(enumerate(names)), "idx int, label string")
+def _complete(sums: DataFrame, value: str, zero, *dims: tuple[str, list[str]]) -> DataFrame:
+    """Every run with every class, missing combinations at ``zero``.
 
-
-def _per_run(cells: DataFrame, names) -> DataFrame:
-    """Every run with every class, so empty classes keep their row."""
-    dim = class_dimension(cells.sparkSession, names)
-    return cells.select("run_id").distinct().crossJoin(F.broadcast(dim))
+    The few sums of a run become one map, and the fixed classes are exploded against
+    it: the cells behind ``sums`` are read once, where a left join from a distinct
+    list of runs would read them twice.
+    """
+    names = [d for d, _ in dims]
+    key = F.concat_ws("/", *[F.col(n).cast("string") for n in names])
+    per_run = sums.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct(key, F.col(value)))).alias("_m"))
+    for name, labels in dims:
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(labels)])
+        per_run = per_run.withColumn("_x", F.explode(pairs)).withColumn(name, F.col("_x.i")).withColumn(
+            f"{name}_label", F.col("_x.t")).drop("_x")
+    return per_run.withColumn(value, F.coalesce(F.try_element_at("_m", key), F.lit(zero))).drop("_m")
 
 
 def area_by_class(cells: DataFrame, column: str, names, dx: float) -> DataFrame:
     n = cells.groupBy("run_id", F.col(column).alias("idx")).agg(F.count("*").alias("n"))
-    return _per_run(n, names).join(n, ["run_id", "idx"], "left").select(
-        "run_id", "idx", "label", (F.coalesce("n", F.lit(0)) * dx * dx / 1e6).alias("km2"))
+    return _complete(n, "n", 0, ("idx", names)).select(
+        "run_id", "idx", F.col("idx_label").alias("label"), (F.col("n") * dx * dx / 1e6).alias("km2"))
 
 
 def population_by_class(cells: DataFrame, column: str, names) -> DataFrame:
     """Sentinels are not in ``names``, so they are never summed."""
-    p = cells.groupBy("run_id", F.col(column).alias("idx")).agg(F.sum("pop").alias("p"))
-    return _per_run(p, names).join(p, ["run_id", "idx"], "left").select(
-        "run_id", "idx", "label", F.coalesce("p", F.lit(0.0)).alias("people"))
+    p = cells.groupBy("run_id", F.col(column).alias("idx")).agg(F.sum("pop").alias("people"))
+    return _complete(p, "people", 0.0, ("idx", names)).select(
+        "run_id", "idx", F.col("idx_label").alias("label"), "people")
 
 
 def exposed(cells: DataFrame) -> DataFrame:
@@ -45,15 +51,9 @@ def exposed(cells: DataFrame) -> DataFrame:
 
 def cross_tab(cells: DataFrame) -> DataFrame:
     """People by run, hazard class and arrival band, every combination present."""
-    spark = cells.sparkSession
-    hz = class_dimension(spark, fixed.HAZARD_NAMES).select(
-        F.col("idx").alias("h"), F.col("label").alias("hazard"))
-    bd = class_dimension(spark, arrival.band_labels()).select(
-        F.col("idx").alias("b"), F.col("label").alias("arrival_band"))
-    sums = exposed(cells).groupBy("run_id", "h", "b").agg(F.sum("people").alias("p"))
-    frame = (sums.select("run_id").distinct().crossJoin(F.broadcast(hz)).crossJoin(F.broadcast(bd)))
-    return frame.join(sums, ["run_id", "h", "b"], "left").select(
-        "run_id", "h", "b", "hazard", "arrival_band", F.coalesce("p", F.lit(0.0)).alias("people"))
+    sums = exposed(cells).groupBy("run_id", "h", "b").agg(F.sum("people").alias("people"))
+    return _complete(sums, "people", 0.0, ("h", fixed.HAZARD_NAMES), ("b", arrival.band_labels())).select(
+        "run_id", "h", "b", F.col("h_label").alias("hazard"), F.col("b_label").alias("arrival_band"), "people")
 
 
 def cross_tab_matrix(cells: DataFrame) -> DataFrame:
@@ -80,23 +80,20 @@ def exposure_cube(cells: DataFrame) -> DataFrame:
 def exposure_totals(cells: DataFrame) -> DataFrame:
     """Per run: exposed people, disagreeing cells, and proof that all margins agree.
 
-    A mismatch raises: it can only be a defect of the tabulation.
+    The total sums every cell, the margins only named classes.  A mismatch raises: it
+    can only be a defect of the tabulation.
     """
-    cube = exposure_cube(cells)
-    named = F.col("h").isNull() | (F.col("h") >= 0)
-    named &= F.col("b").isNull() | (F.col("b") >= 0)
-    # a cell outside the mask carries no people, so its sentinel rows add nothing
-    s = cube.where(named).groupBy("run_id").agg(*[
-        F.coalesce(F.sum(F.when(F.col("level") == k, F.col("people"))), F.lit(0.0)).alias(k)
-        for k in ("by_hazard", "by_band", "cross_tab")])
-    t = cube.where("level = 'total'").select("run_id", F.col("people").alias("total"))
+    pair = exposed(cells).groupBy("run_id", "h", "b").agg(
+        F.sum("people").alias("p"), F.count_if("disagree").alias("d"), F.count_if("exposed").alias("e"))
+    hz, bd = F.col("h") >= 0, F.col("b") >= 0
+    part = lambda m: F.coalesce(F.sum(F.when(m, F.col("p"))), F.lit(0.0))
+    t = pair.groupBy("run_id").agg(F.sum("p").alias("total"), part(hz).alias("by_hazard"), part(bd).alias("by_band"),
+                                   part(hz & bd).alias("cross_tab"), F.sum("d").alias("disagreeing_cells"),
+                                   F.sum("e").alias("exposed_cells"))
     tol = F.greatest(F.lit(1e-6), 1e-9 * F.greatest(F.col("total"), F.lit(1.0)))
     off = F.greatest(*[F.abs(F.col(k) - F.col("total")) for k in ("by_hazard", "by_band", "cross_tab")])
-    n = exposed(cells).groupBy("run_id").agg(F.count_if("disagree").alias("disagreeing_cells"),
-                                             F.count_if("exposed").alias("exposed_cells"))
     checked = F.when(off > tol, F.raise_error(F.lit("exposure tables disagree")).cast("double"))
-    return (t.join(s, "run_id", "left").na.fill(0.0).join(n, "run_id")
-             .withColumn("total", F.coalesce(checked, F.col("total"))))
+    return t.withColumn("total", F.coalesce(checked, F.col("total")))
 
 
 # --- damage ---------------------------------------------------------------------------------

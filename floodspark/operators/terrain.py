@@ -18,8 +18,8 @@ def nearest_seed(cells: DataFrame, seed: str, dense: bool = True) -> DataFrame:
     """Adds ``d2, seed_r, seed_c``: the nearest cell where ``seed`` holds (Euclidean).
 
     Separable and exact: along each column the nearest seed comes from two window
-    passes; then each grid row is searched outwards over its columns.  Groups are
-    one row or one column of a grid.  Ties go to the smaller row, then column.
+    passes; then blocks of grid rows are searched outwards over their columns.  Groups
+    are one column, or 64 rows, of one grid.  Ties go to the smaller row, then column.
     A grid with missing cells (``dense`` false) is completed for the two passes.
     """
     run = cells.schema["run_id"].dataType.simpleString()
@@ -37,35 +37,37 @@ def nearest_seed(cells: DataFrame, seed: str, dense: bool = True) -> DataFrame:
                     .otherwise(F.col("_d"))).select(*grid.CELL, "near"))
 
     def across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        r = int(key[1])
-        c0 = int(pdf["c"].min())
-        cc = pdf["c"].to_numpy() - c0
+        r0, c0 = int(pdf["r"].min()), int(pdf["c"].min())
+        rr, cc = pdf["r"].to_numpy() - r0, pdf["c"].to_numpy() - c0
         n = int(cc.max()) + 1
-        src = np.full(n, -1, dtype=np.int64)
+        src = np.full((int(rr.max()) + 1, n), -1, dtype=np.int64)
         has = pdf["near"].notna().to_numpy()
-        src[cc[has]] = pdf["near"].to_numpy()[has].astype(np.int64)
+        src[rr[has], cc[has]] = pdf["near"].to_numpy()[has].astype(np.int64)
         big = np.iinfo(np.int64).max // 4
-        g2 = np.where(src >= 0, (src - r) ** 2, big)
-        best, br, bc = g2.copy(), src.copy(), np.where(src >= 0, np.arange(n), -1)
+        g2 = np.where(src >= 0, (src - (r0 + np.arange(len(src)))[:, None]) ** 2, big)
+        best, br, bc = g2.copy(), src.copy(), np.where(src >= 0, np.arange(n)[None, :], -1)
         k = 1
         while k < n and (best > k * k - 1).any():
             for s in (-k, k):
                 lo, hi = max(0, -s), n - max(0, s)
-                d = g2[lo + s:hi + s] + k * k
-                rr, oc = src[lo + s:hi + s], np.arange(lo + s, hi + s)
-                b, p, q = best[lo:hi], br[lo:hi], bc[lo:hi]
-                win = (d < big) & ((d < b) | ((d == b) & ((rr < p) | ((rr == p) & (oc < q)))))
-                b[win], p[win], q[win] = d[win], rr[win], oc[win]
+                d = g2[:, lo + s:hi + s] + k * k
+                sr, oc = src[:, lo + s:hi + s], np.arange(lo + s, hi + s)[None, :]
+                b, p, q = best[:, lo:hi], br[:, lo:hi], bc[:, lo:hi]
+                win = (d < big) & ((d < b) | ((d == b) & ((sr < p) | ((sr == p) & (oc < q)))))
+                b[win], p[win], q[win] = d[win], sr[win], np.broadcast_to(oc, d.shape)[win]
             k += 1
-        ok = best[cc] < big
+        ok = best[rr, cc] < big
+
         def column(a):
-            out = pd.array(a, dtype="Int64")
+            out = pd.array(a[rr, cc], dtype="Int64")
             out[~ok] = pd.NA
             return out
+
         return pd.DataFrame({"run_id": pdf["run_id"], "r": pdf["r"], "c": pdf["c"],
-                             "d2": column(best[cc]), "seed_r": column(br[cc]), "seed_c": column(bc[cc] + c0)})
+                             "d2": column(best), "seed_r": column(br), "seed_c": column(bc + c0)})
 
-    got = col.groupBy("run_id", "r").applyInPandas(
+    block = F.floor(F.col("r") / 64).cast("int").alias("block")
+    got = col.groupBy("run_id", block).applyInPandas(
         across, f"run_id {run}, r int, c int, d2 long, seed_r int, seed_c int")
     return cells.join(got, grid.CELL)
 
