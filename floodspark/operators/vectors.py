@@ -2,70 +2,65 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodspark import grid
+from floodspark.operators.components import WIDE
+from floodspark.operators.graph import connected, forest_sums
+from floodspark.session import cut
 
 
 def boundary_edges(classed: DataFrame) -> DataFrame:
-    """Directed unit edges around each class, interior edges cancelled.
+    """Directed unit edges around each class of ``(run_id, r, c, cls)``, interior ones cancelled.
 
-    ``classed`` is ``(run_id, r, c, cls, piece...)``.  An edge is kept when the cell
-    on its other side has another class or is missing.
+    An edge is kept when the cell on its other side has another class or is missing;
+    its own cell lies to its left, so ``edge_id`` (start corner and side) is unique.
     """
     other = classed.select(*grid.CELL, F.col("cls").alias("oc"))
-    sides = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dr", "dc", "r0", "c0", "r1", "c1"), t)])
-                      for t in ((-1, 0, 0, 1, 0, 0), (0, -1, 0, 0, 1, 0), (1, 0, 1, 0, 1, 1), (0, 1, 1, 1, 0, 1))])
-    e = classed.withColumn("s", F.explode(sides)).withColumn("cr", F.col("r")).withColumn("cc", F.col("c"))
+    names = ("side", "dr", "dc", "r0", "c0", "r1", "c1")
+    sides = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, t)]) for t in (
+        (0, -1, 0, 0, 1, 0, 0), (1, 0, -1, 0, 0, 1, 0), (2, 1, 0, 1, 0, 1, 1), (3, 0, 1, 1, 1, 0, 1))])
+    e = classed.select(*grid.CELL, "cls", F.explode(sides).alias("s")).withColumn("cr", F.col("r")).withColumn("cc", F.col("c"))
     e = e.withColumn("r", F.col("cr") + F.col("s.dr")).withColumn("c", F.col("cc") + F.col("s.dc"))
     open_ = e.join(other, grid.CELL, "left").where(F.col("oc").isNull() | (F.col("oc") != F.col("cls")))
-    return open_.select("run_id", "cls", *[k for k in classed.columns if k not in (*grid.CELL, "cls")],
-                        (F.col("cr") + F.col("s.r0")).alias("r0"), (F.col("cc") + F.col("s.c0")).alias("c0"),
-                        (F.col("cr") + F.col("s.r1")).alias("r1"), (F.col("cc") + F.col("s.c1")).alias("c1"))
+    at = [(F.col(b) + F.col(f"s.{k}")).alias(k) for b, k in (("cr", "r0"), ("cc", "c0"), ("cr", "r1"), ("cc", "c1"))]
+    return open_.select("run_id", "cls", F.col("s.side").alias("side"), *at).withColumn(
+        "edge_id", (F.col("r0").cast("long") * WIDE + F.col("c0")) * 4 + F.col("side"))
 
 
-def rings(edges: DataFrame, transform: list[float]) -> DataFrame:
-    """Chain directed edges into closed rings per run, class and piece.
+def dissolved_rings(classed: DataFrame, transform: list[float]) -> DataFrame:
+    """Closed rings per run and class: ``ring, signed_cells, wkt`` (holes are negative).
 
-    A piece is one tile's part of a component, so a group holds at most the edges of
-    one tile; outer rings have positive ``signed_cells``, holes negative.
+    Every edge knows the one after it; rings are the components of that relation, and
+    an edge's place in its ring is a path sum.  Both are solved on the graph, so no
+    task ever holds a class's outline; only the corners of one ring meet, in its row.
     """
     a, b, x0, d, e, y0 = (float(v) for v in transform)
-    run = edges.schema["run_id"].dataType.simpleString()
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        start = {}
-        for r0, c0, r1, c1 in pdf[["r0", "c0", "r1", "c1"]].itertuples(index=False):
-            start.setdefault((r0, c0), []).append((r1, c1))
-        out = []
-        while start:
-            first = min(start)
-            here, ring, came = first, [first], None
-            while True:
-                nxt = start[here]
-                # at a corner shared by two cells turn towards the cell being followed
-                pick = 0 if len(nxt) == 1 or came is None else max(
-                    range(len(nxt)), key=lambda i: came[0] * (nxt[i][1] - here[1]) - came[1] * (nxt[i][0] - here[0]))
-                to = nxt.pop(pick)
-                if not nxt:
-                    del start[here]
-                came, here = (to[0] - here[0], to[1] - here[1]), to
-                ring.append(here)
-                if here == first:
-                    break
-            p = np.array(ring, dtype=float)
-            area = 0.5 * float(np.sum(p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]))
-            keep = [p[0]] + [p[i] for i in range(1, len(p) - 1)
-                             if not np.array_equal(p[i] - p[i - 1], p[i + 1] - p[i])] + [p[-1]]
-            wkt = ", ".join(f"{a * c + b * r + x0:g} {d * c + e * r + y0:g}" for r, c in keep)
-            out.append((key[0], int(key[1]), int(key[2]), len(out), area, f"({wkt})"))
-        return pd.DataFrame(out, columns=["run_id", "cls", "piece", "ring", "signed_cells", "wkt"])
-
-    return edges.groupBy("run_id", "cls", "piece").applyInPandas(
-        chain, f"run_id {run}, cls int, piece long, ring int, signed_cells double, wkt string")
+    edges = cut(boundary_edges(classed), "edges")
+    nxt = edges.select("run_id", "cls", F.col("r0").alias("r1"), F.col("c0").alias("c1"), F.col("edge_id").alias("next_id"),
+                       F.col("side").alias("next_side"), (F.col("r1") - F.col("r0")).alias("nr"), (F.col("c1") - F.col("c0")).alias("nc"))
+    # two edges leave a corner shared by two cells: keep to the cell being followed
+    turn = (F.col("r1") - F.col("r0")) * F.col("nc") - (F.col("c1") - F.col("c0")) * F.col("nr")
+    link = edges.join(nxt, ["run_id", "cls", "r1", "c1"]).groupBy("run_id", "edge_id").agg(
+        F.max_by(F.struct("next_id", "next_side", "side"), turn).alias("n"))
+    link = cut(link.select("run_id", "edge_id", "n.next_id", "n.next_side", "n.side"), "links")
+    ring = connected(link.select("run_id", F.col("edge_id").alias("a"), F.col("next_id").alias("b"))).select(
+        "run_id", F.col("node").alias("edge_id"), F.col("root").alias("ring"))
+    placed = cut(link.join(ring, ["run_id", "edge_id"]), "ringed")
+    place = forest_sums(placed.select(
+        "run_id", F.col("edge_id").alias("a"), F.when(F.col("next_id") != F.col("ring"), F.col("next_id")).alias("p"),
+        F.lit(1.0).alias("v"))).select("run_id", F.col("a").alias("edge_id"), F.col("v").alias("place"))
+    turns = placed.where("side <> next_side").select("run_id", F.col("next_id").alias("edge_id"), F.lit(True).alias("corner"))
+    x, y = a * F.col("c0") + b * F.col("r0") + x0, d * F.col("c0") + e * F.col("r0") + y0
+    full = (edges.join(placed.select("run_id", "edge_id", "ring"), ["run_id", "edge_id"])
+                 .join(place, ["run_id", "edge_id"]).join(turns, ["run_id", "edge_id"], "left"))
+    out = full.groupBy("run_id", "cls", "ring").agg(
+        (F.sum(F.col("r0") * F.col("c1") - F.col("r1") * F.col("c0")) / 2.0).alias("signed_cells"),
+        F.array_sort(F.collect_list(F.when(F.col("corner"), F.struct("place", F.format_string("%s %s", x, y).alias("xy"))))).alias("p"))
+    pts = F.transform("p", lambda v: v["xy"])
+    return out.select("run_id", "cls", "ring", "signed_cells", F.concat(
+        F.lit("("), F.array_join(F.concat(pts, F.slice(pts, 1, 1)), ", "), F.lit(")")).alias("wkt"))
 
 
 def points_to_cells(points: DataFrame, dx: float, x0: float, y0: float) -> DataFrame:

@@ -295,14 +295,9 @@ def _(s, d):
     return sampling.by_urgency(_risk(s, d))
 
 
-@query("top2_resorted_settlements", "TOP2", """
-    SELECT run_id, poi_id, depth_m, row_number() OVER (ORDER BY depth_m DESC, run_id, poi_id) AS place
-    FROM risk QUALIFY place <= 25""", ("risk",))
+@query("top2_resorted_settlements", "TOP2", "SELECT run_id, poi_id, name, depth_m FROM risk", ("risk",))
 def _(s, d):
-    from pyspark.sql import Window
-    top = sampling.resort(_risk(s, d), "depth", False).limit(25)
-    w = Window.orderBy(F.col("depth_m").desc(), "run_id", "poi_id")
-    return top.select("run_id", "poi_id", "depth_m", F.row_number().over(w).alias("place"))
+    return sampling.resort(_risk(s, d), "depth", False).select("run_id", "poi_id", "name", "depth_m")
 
 
 @query("prj13_time_slices", "PRJ13 ST6", """
@@ -460,12 +455,8 @@ def _(s, d):
 
 
 def _rings(s, d):
-    e = cut(enriched(s, d).where("band >= 0").select(*grid.CELL, F.col("band").alias("cls")), "bands")
-    key = grid.with_tile(e, 32).withColumn("piece", F.col("tr").cast("long") * 1000003 + F.col("tc")).select(
-        *grid.CELL, "cls", "piece")
-    edges = vectors.boundary_edges(key.select(*grid.CELL, F.struct("cls", "piece").alias("cls"))).select(
-        "run_id", F.col("cls.cls").alias("cls"), F.col("cls.piece").alias("piece"), "r0", "c0", "r1", "c1")
-    return vectors.rings(edges, TRANSFORM)
+    e = enriched(s, d).where("band >= 0").select(*grid.CELL, F.col("band").alias("cls"))
+    return vectors.dissolved_rings(cut(e, "bands"), TRANSFORM)
 
 
 @query("geo4_isochrone_area", "GEO4", """

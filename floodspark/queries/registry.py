@@ -161,25 +161,24 @@ def _(s, d):
 
 def _split(s, d):
     lt = _latest(s, d)
-    k = F.col("run_id").cast("long")
-    return lt.where(k % 3 != 0), lt.where(k % 2 == 0)
+    return lt.where("peak IS NOT NULL"), lt.where("headline IS NOT NULL")
 
 
 @query("jn13_local_and_remote_runs", "JN13 SET2", f"""
-    SELECT run_id, status, CASE WHEN CAST(run_id AS BIGINT) % 3 <> 0 THEN 'local' ELSE 'remote' END AS source FROM ({_LATEST})
-    WHERE CAST(run_id AS BIGINT) % 3 <> 0 OR CAST(run_id AS BIGINT) % 2 = 0""", ("status_events",))
+    SELECT run_id, status, CASE WHEN peak IS NOT NULL THEN 'local' ELSE 'remote' END AS source FROM ({_LATEST})
+    WHERE peak IS NOT NULL OR headline IS NOT NULL""", ("status_events",))
 def _(s, d):
     return reg.merge_remote(*_split(s, d)).select("run_id", "status", "source")
 
 
 @query("jn19_delete_runs", "JN19", f"""
-    SELECT run_id, status FROM ({_LATEST}) WHERE NOT (CAST(run_id AS BIGINT) % 5 = 0 AND status NOT IN ('queued', 'running'))""", ("status_events",))
+    SELECT run_id, status FROM ({_LATEST}) WHERE NOT (peak > 200000 AND status NOT IN ('queued', 'running')) OR peak IS NULL""", ("status_events",))
 def _(s, d):
     lt = _latest(s, d)
-    return reg.delete(lt, lt.where(F.col("run_id").cast("long") % 5 == 0)).select("run_id", "status")
+    return reg.delete(lt, lt.where("peak > 200000")).select("run_id", "status")
 
 
-@query("jn19_run_lookup", "JN19 JN13", f"SELECT run_id, status FROM ({_LATEST}) WHERE run_id = '12'", ("status_events",))
+@query("jn19_run_lookup", "JN19 JN13", f"SELECT run_id, status FROM ({_LATEST}) WHERE run_id = '12' AND (peak IS NOT NULL OR headline IS NOT NULL)", ("status_events",))
 def _(s, d):
     return reg.merge_remote(*_split(s, d)).where("run_id = '12'").select("run_id", "status")
 
@@ -194,19 +193,19 @@ def _meta(s, d):
                  F.struct((F.col("seq") * 1.0).alias("peak_depth_m"), F.struct((F.col("seq") % 2).alias("reported_population"),
                                                                               F.lit(7).alias("total_population")).alias("exposure")).alias("results")).alias("scenario"),
         F.struct((F.col("seq") % 2 == 0).alias("presentable_as_fact")).alias("honesty")))
-    return lt.where("seq % 4 > 0").select("run_id", doc.alias("meta"))
+    return lt.where("status <> 'queued'").select("run_id", doc.alias("meta"))
 
 
 @query("js1_status_from_metadata", "JS1 SRC10", f"""
     SELECT run_id, 'doc ' || run_id AS headline, seq % 2 = 0 AS presentable, CAST(seq AS DOUBLE) AS peak_depth_m,
-           CASE WHEN seq % 2 <> 0 THEN 1.0 ELSE 7.0 END AS exposed_people FROM ({_LATEST}) WHERE seq % 4 > 0""", ("status_events",))
+           CASE WHEN seq % 2 <> 0 THEN 1.0 ELSE 7.0 END AS exposed_people FROM ({_LATEST}) WHERE status <> 'queued'""", ("status_events",))
 def _(s, d):
     return documents.status_from_metadata(_meta(s, d)).select("run_id", "headline", "presentable", "peak_depth_m", "exposed_people")
 
 
 @query("jn17_metadata_backfill", "JN17", f"""
-    SELECT run_id, status, CASE WHEN status = 'done' AND seq % 4 > 0 THEN coalesce(headline, 'doc ' || run_id) ELSE headline END AS headline,
-           CASE WHEN status = 'done' AND seq % 4 > 0 THEN coalesce(peak, seq) ELSE peak END AS peak_depth_m, seq % 4 > 0 AS has_bundle FROM ({_LATEST})""", ("status_events",))
+    SELECT run_id, status, CASE WHEN status = 'done' THEN coalesce(headline, 'doc ' || run_id) ELSE headline END AS headline,
+           CASE WHEN status = 'done' THEN coalesce(peak, seq) ELSE peak END AS peak_depth_m, status <> 'queued' AS has_bundle FROM ({_LATEST})""", ("status_events",))
 def _(s, d):
     lt = _latest(s, d).withColumnRenamed("peak", "peak_depth_m")
     return reg.backfill(lt, documents.status_from_metadata(_meta(s, d)), ["headline", "peak_depth_m"]).select(
@@ -230,15 +229,11 @@ def _(s, d):
 
 
 @query("top3_runs_newest_first", "TOP3", f"""
-    SELECT run_id, t, row_number() OVER (ORDER BY t DESC, run_id) AS place FROM (SELECT run_id, CAST(coalesce(CASE WHEN seq % 2 = 0 THEN updated_at END, updated_at - INTERVAL 1 DAY) AS DATE) AS t FROM ({_LATEST}))
-    QUALIFY place <= 50""", ("status_events",))
+    SELECT run_id, CAST(coalesce(CASE WHEN status = 'done' THEN updated_at END, updated_at - INTERVAL 1 DAY) AS DATE) AS t FROM ({_LATEST})""", ("status_events",))
 def _(s, d):
-    from pyspark.sql import Window
-    lt = _latest(s, d).select("run_id", F.when(F.col("seq") % 2 == 0, F.col("updated_at")).cast("date").alias("finished_utc"),
+    lt = _latest(s, d).select("run_id", F.when(F.col("status") == "done", F.col("updated_at")).cast("date").alias("finished_utc"),
                               F.date_sub("updated_at", 1).alias("started_utc"), F.date_sub("updated_at", 2).alias("submitted_utc"))
-    top = reg.newest_first(lt).limit(50)
-    t = F.coalesce("finished_utc", "started_utc")
-    return top.select("run_id", t.alias("t")).withColumn("place", F.row_number().over(Window.orderBy(F.col("t").desc(), "run_id")))
+    return reg.newest_first(lt).select("run_id", F.coalesce("finished_utc", "started_utc").alias("t"))
 
 
 @query("top6_last_log_lines", "TOP6", """

@@ -10,7 +10,7 @@ from floodspark.operators import components as comp
 from floodspark.operators import hydrology as hyd
 from floodspark.operators import masks, resample, terrain
 from floodspark.operators.sampling import window_join
-from floodspark.queries.base import query, rounded
+from floodspark.queries.base import DERIVED, query, rounded
 from floodspark.session import cut
 from floodspark.sources import rasters
 from floodspark.sources.tables import DX, view
@@ -144,11 +144,6 @@ def _(s, d):
     return rounded(terrain.fill_report(terrain.capped_fill(_dem(s, d), None, TILE), DX), 3)
 
 
-@query("gr12_capped_fill", "GR12")
-def _(s, d):
-    return terrain.capped_fill(_dem(s, d), 1.0, TILE).select(*grid.CELL, "filled", "depth")
-
-
 @query("gr1_gr4_full_flow_analysis", "GR1 GR2 GR3 GR4 GR5")
 def _(s, d):
     return _routed(s, d).select(*grid.CELL, "filled", "zr", "d8", "acc", "stream", "hand")
@@ -162,15 +157,15 @@ def _(s, d):
 
 
 def _starts(s, d):
-    return view(s, d, "poi").select((F.col("poi_id") % 1).alias("run_id"), F.col("poi_id").alias("start_id"),
+    return view(s, d, "poi").select(F.floor(F.col("poi_id") / 100.0).cast("int").alias("run_id"), F.col("poi_id").alias("start_id"),
                                     (F.col("poi_id") * 7 % 30).alias("r"), (F.col("poi_id") * 11 % 50).alias("c"))
 
 
 _TRACE = """
     SELECT * FROM (
       WITH RECURSIVE walk AS (
-        SELECT 0 AS run_id, p.poi_id AS start_id, f.r, f.c, 0 AS k, f.down_r, f.down_c, f.z FROM poi p
-        JOIN flow f ON f.run_id = 0 AND f.r = p.poi_id * 7 % 30 AND f.c = p.poi_id * 11 % 50
+        SELECT f.run_id, p.poi_id AS start_id, f.r, f.c, 0 AS k, f.down_r, f.down_c, f.z FROM poi p
+        JOIN flow f ON f.run_id = CAST(floor(p.poi_id / 100.0) AS INT) AND f.r = p.poi_id * 7 % 30 AND f.c = p.poi_id * 11 % 50
         UNION ALL
         SELECT w.run_id, w.start_id, f.r, f.c, w.k + 1, f.down_r, f.down_c, f.z
         FROM walk w JOIN flow f ON f.run_id = w.run_id AND f.r = w.down_r AND f.c = w.down_c WHERE w.k < 199)
@@ -197,10 +192,10 @@ def _(s, d):
 
 
 @query("jn10_points_on_trace", "JN10", f"""
-    SELECT p.poi_id, min(t.k) AS k FROM (SELECT poi_id, poi_id * 3 % 30 AS r, 20 + poi_id % 11 AS c FROM poi) p
-    LEFT JOIN ({_TRACE}) t ON t.r = p.r AND t.c = p.c GROUP BY p.poi_id""", ("poi", "flow"))
+    SELECT p.poi_id, min(t.k) AS k FROM (SELECT poi_id, CAST(floor(poi_id / 100.0) AS INT) AS run_id, poi_id * 3 % 30 AS r, 20 + poi_id % 11 AS c FROM poi) p
+    LEFT JOIN ({_TRACE}) t ON t.run_id = p.run_id AND t.r = p.r AND t.c = p.c GROUP BY p.poi_id""", ("poi", "flow"))
 def _(s, d):
-    p = view(s, d, "poi").select("poi_id", F.lit(0).alias("run_id"), (F.col("poi_id") * 3 % 30).alias("r"),
+    p = view(s, d, "poi").select("poi_id", F.floor(F.col("poi_id") / 100.0).cast("int").alias("run_id"), (F.col("poi_id") * 3 % 30).alias("r"),
                                  (20 + F.col("poi_id") % 11).alias("c"))
     return p.join(_trace(s, d), grid.CELL, "left").groupBy("poi_id").agg(F.min("k").alias("k"))
 
@@ -222,7 +217,7 @@ def _points(s, d):
 
 
 _SNAPW = """SELECT p.poi_id AS point_id, f.r, f.c, f.area_km2,
-    (f.r - p.poi_id * 7 % 30) ** 2 + (f.c - p.poi_id * 11 % 50) ** 2 AS d2 FROM poi p JOIN drain f ON f.run_id = 0
+    (f.r - p.poi_id * 7 % 30) ** 2 + (f.c - p.poi_id * 11 % 50) ** 2 AS d2 FROM poi p JOIN drain f ON f.run_id = CAST(floor(p.poi_id / 100.0) AS INT)
     AND abs(f.r - p.poi_id * 7 % 30) <= {r} AND abs(f.c - p.poi_id * 11 % 50) <= {r}"""
 
 
@@ -242,8 +237,8 @@ def _(s, d):
 @query("gr8_injection_cell", "GR8", f"""
     SELECT point_id, min(struct_pack(d2 := d2, r := r, c := c)).r AS inj_r, min(struct_pack(d2 := d2, r := r, c := c)).c AS inj_c
     FROM (SELECT x.*, max(x.area_km2) OVER (PARTITION BY point_id) AS best FROM ({_SNAPW.format(r=4)}) x
-          JOIN drain q ON q.run_id = 0 AND q.r = x.r AND q.c = x.c
-          JOIN drain k ON k.run_id = 0 AND k.r = x.point_id * 7 % 30 AND k.c = x.point_id * 11 % 50
+          JOIN drain q ON q.run_id = CAST(floor(x.point_id / 100.0) AS INT) AND q.r = x.r AND q.c = x.c
+          JOIN drain k ON k.run_id = CAST(floor(x.point_id / 100.0) AS INT) AND k.r = x.point_id * 7 % 30 AND k.c = x.point_id * 11 % 50
           WHERE q.z <= k.z AND NOT (x.r < 3))
     WHERE area_km2 >= 0.5 * best GROUP BY point_id""", ("poi", "drain"))
 def _(s, d):
@@ -270,6 +265,18 @@ _COMP = """
         JOIN recurring.grow k ON k.run_id = n.run_id AND k.r = n.r AND k.c = n.c
         GROUP BY n.run_id, n.r, n.c HAVING min(g.lab) < any_value(k.lab))
       SELECT * FROM grow)"""
+DERIVED["lakes"] = (("dem",), f"SELECT run_id, r, c, z, filled AS w FROM ({_FILL}) JOIN dem USING (run_id, r, c)")
+DERIVED["lakebed"] = (("lakes",), "SELECT run_id, r, c FROM lakes WHERE w > z")
+
+
+@query("gr12_capped_fill", "GR12 GR10", f"""
+    SELECT l.run_id, l.r, l.c, CASE WHEN deep THEN l.z ELSE l.w END AS filled, CASE WHEN deep THEN 0.0 ELSE l.w - l.z END AS depth FROM lakes l
+    LEFT JOIN (SELECT *, bool_or(w - z > 1.0) OVER (PARTITION BY run_id, lab) AS deep FROM ({_COMP.format(diag="").replace("FROM low", "FROM lakebed").replace("JOIN low n", "JOIN lakebed n")})
+               JOIN lakes USING (run_id, r, c)) q USING (run_id, r, c)""", ("lakes", "lakebed"))
+def _(s, d):
+    return terrain.capped_fill(_dem(s, d), 1.0, TILE).select(*grid.CELL, "filled", "depth")
+
+
 _LOW = "(SELECT run_id, r, c FROM dem WHERE (r * 13 + c * 7 + CAST(z AS INT)) % 5 < 3)"
 
 
@@ -380,7 +387,14 @@ def _(s, d):
     return rounded(exact_quantiles(_dem(s, d), ["run_id"], "z", [0.25, 0.5, 0.9]))
 
 
-@query("win5_valley_width", "WIN5")
+@query("win5_valley_width", "WIN5", """
+    SELECT run_id, point_id, CASE WHEN n >= 5 AND k > 1 AND k < n THEN (coalesce(rt, n + 1) - coalesce(lf, 0) - 1) * 90.0 END AS width_m FROM (
+      SELECT run_id, point_id, any_value(n) AS n, any_value(k) AS k, max(i) FILTER (WHERE hi AND i < k) AS lf, min(i) FILTER (WHERE hi AND i > k) AS rt
+      FROM (SELECT run_id, point_id, n, k, i, zs[i] >= lo + 25 AS hi FROM (
+              SELECT *, len(zs) AS n, list_min(zs) AS lo, list_position(zs, list_min(zs)) AS k, unnest(range(1, len(zs) + 1)) AS i FROM (
+                SELECT f.run_id, p.poi_id AS point_id, list(f.z ORDER BY f.c) AS zs FROM poi p JOIN dem f ON f.run_id = CAST(floor(p.poi_id / 100.0) AS INT)
+                  AND f.r = p.poi_id * 7 % 30 AND abs(f.c - p.poi_id * 11 % 50) <= 40 GROUP BY ALL)))
+      GROUP BY ALL)""", ("poi", "dem"))
 def _(s, d):
     return terrain.valley_width(_dem(s, d), _points(s, d), DX, 25.0, 40)
 
@@ -399,7 +413,7 @@ def _(s, d):
 
 
 @query("jn6_window_of_cells", "JN6 PRJ18", """
-    SELECT p.poi_id AS point_id, count(*) AS n, min(z) AS z_min, max(z) AS z_max FROM poi p JOIN dem f ON f.run_id = 0
+    SELECT p.poi_id AS point_id, count(*) AS n, min(z) AS z_min, max(z) AS z_max FROM poi p JOIN dem f ON f.run_id = CAST(floor(p.poi_id / 100.0) AS INT)
     AND abs(f.r - p.poi_id * 7 % 30) <= 2 AND abs(f.c - p.poi_id * 11 % 50) <= 2 GROUP BY p.poi_id""", ("poi", "dem"))
 def _(s, d):
     return window_join(_points(s, d), _dem(s, d), 2).groupBy("point_id").agg(

@@ -66,8 +66,8 @@ def test_exact_quantiles_match_numpy(spark):
 
 def test_rings_keep_holes_and_area(spark):
     m = [(r, c) for r in range(5) for c in range(5) if (r, c) != (2, 2)] + [(5, 5)]
-    df = spark.createDataFrame([(0, r, c, 1, 0) for r, c in m], "run_id int, r int, c int, cls int, piece long")
-    rings = vectors.rings(vectors.boundary_edges(df), [1.0, 0.0, 0.0, 0.0, -1.0, 6.0]).toPandas()
+    df = spark.createDataFrame([(0, r, c, 1) for r, c in m], "run_id int, r int, c int, cls int")
+    rings = vectors.dissolved_rings(df, [1.0, 0.0, 0.0, 0.0, -1.0, 6.0]).toPandas()
     assert sorted(rings["signed_cells"]) == [-1.0, 1.0, 25.0] and rings["signed_cells"].sum() == len(m)
     assert rings.loc[rings["signed_cells"] == 25.0, "wkt"].iloc[0].count(",") == 4
 
