@@ -331,7 +331,22 @@ def _(s, d):
 
 # --- report and summary -------------------------------------------------------------------
 
-@query("snk6_arrival_rows", "SNK6 STR3 FN7 AGG5")
+_FIG = "CASE WHEN p <= 0 THEN 0 ELSE CAST(round_even(p / pow(10, greatest(0, floor(log10(greatest(p, 1))) - 1)), 0) * pow(10, greatest(0, floor(log10(greatest(p, 1))) - 1)) AS BIGINT) END"
+_PEOPLE = """SELECT q.run_id, d.idx, d.label, coalesce(sum(x.pop), 0) AS p FROM (SELECT DISTINCT run_id FROM cells_h WHERE new_flood AND newly_flooded) q
+    CROSS JOIN {dim} d LEFT JOIN cells_h x ON x.run_id = q.run_id AND x.{col} = d.idx AND x.new_flood AND x.newly_flooded GROUP BY ALL"""
+
+
+def _cases(texts, rest=None):
+    return "CASE idx " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(texts)) + (f" ELSE '{rest}'" if rest else "") + " END"
+
+
+@query("snk6_arrival_rows", "SNK6 STR3 FN7 AGG5", f"""
+    SELECT run_id, idx, label AS band, format('{{:,.2f}}', area) AS area, format('{{:,}}', {_FIG}) AS people,
+           {_cases(fixed.EVACUATION_ACTIONS, fixed.EVACUATION_LATER)} AS action
+    FROM ({_PEOPLE.format(dim='bd', col='band')}) JOIN (SELECT runs.run_id, bd.idx, count(x.run_id) * 0.0081 AS area FROM runs CROSS JOIN bd
+      LEFT JOIN cells_h x ON x.run_id = runs.run_id AND x.band = bd.idx GROUP BY ALL) USING (run_id, idx)
+    UNION ALL SELECT run_id, 99, 'Total', '—', format('{{:,}}', {_FIG}), '—' FROM (SELECT run_id, sum(p) AS p FROM ({_PEOPLE.format(dim='bd', col='band')}) GROUP BY run_id)""",
+       ("cells_h", "runs", "bd"))
 def _(s, d):
     e = enriched(s, d)
     people = exposure.population_by_class(e.where("new_flood AND newly_flooded"), "band", fa.band_labels())
@@ -339,7 +354,9 @@ def _(s, d):
     return ps.with_total(rows, people)
 
 
-@query("snk6_hazard_rows", "SNK6")
+@query("snk6_hazard_rows", "SNK6", f"""
+    SELECT run_id, idx, label AS hazard, format('{{:,}}', {_FIG}) AS people, {_cases(fixed.HAZARD_MEANING)} AS meaning
+    FROM ({_PEOPLE.format(dim='hz', col='defra_class')})""", ("cells_h", "hz"))
 def _(s, d):
     e = enriched(s, d).where("new_flood AND newly_flooded")
     return ps.hazard_rows(exposure.population_by_class(e, "defra_class", fixed.HAZARD_NAMES))

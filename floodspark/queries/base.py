@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -121,7 +122,14 @@ def oracle(final: str, needs: tuple[str, ...]) -> str:
     for n in needs:
         add(n)
     head = ", ".join(f"{n} AS ({t})" for n, t in done.items())
-    return f"WITH {head} {final}" if head else final
+    return _doubles(f"WITH {head} {final}" if head else final)
+
+
+def _doubles(sql: str) -> str:
+    """Write decimal literals as doubles, outside quoted text: results then hold no DECIMAL."""
+    parts = sql.split("'")
+    parts[::2] = [re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", p) for p in parts[::2]]
+    return "'".join(parts)
 
 
 def query(name: str, ids: str, sql: str | None = None, needs: tuple[str, ...] = ()):

@@ -300,15 +300,21 @@ def _(s, d):
         "run_id", "lab").agg(F.count("*").alias("size"))
 
 
-@query("agg43_component_ledger", "AGG43")
+@query("agg43_component_ledger", "AGG43", f"""
+    SELECT run_id, lab, cells, round(volume, 3) AS volume, round(volume / sum(volume) OVER (PARTITION BY run_id), 6) AS share,
+           row_number() OVER (PARTITION BY run_id ORDER BY volume DESC, lab) AS rank
+    FROM (SELECT run_id, lab, count(*) AS cells, sum(greatest(1100.0 - z, 0)) * 8100.0 AS volume FROM ({_COMP.format(diag="").replace("FROM low", f"FROM {_LOW}").replace("JOIN low n", f"JOIN {_LOW} n")})
+          JOIN dem USING (run_id, r, c) GROUP BY ALL) QUALIFY rank <= 12""", ("dem",))
 def _(s, d):
     from pyspark.sql import Window
     lab = comp.components(_low(s, d), "low", False, TILE).join(_dem(s, d).select(*grid.CELL, "z"), grid.CELL)
     per = comp.per_component(lab, cells=F.count("*"), volume=F.sum(F.greatest(F.lit(1100.0) - F.col("z"), F.lit(0.0))) * DX * DX)
     tot = per.groupBy("run_id").agg(F.sum("volume").alias("all_"))
     w = Window.partitionBy("run_id").orderBy(F.col("volume").desc(), "component")
-    return rounded(per.join(tot, "run_id").withColumn("share", F.col("volume") / F.col("all_")).withColumn(
-        "rank", F.row_number().over(w)).where("rank <= 12").drop("all_"))
+    top = per.join(tot, "run_id").withColumn("share", F.col("volume") / F.col("all_")).withColumn("rank", F.row_number().over(w))
+    lab = F.floor(F.col("component") / comp.WIDE) * 100000 + F.col("component") % comp.WIDE
+    return top.where("rank <= 12").select("run_id", lab.alias("lab"), "cells", F.round("volume", 3).alias("volume"),
+                                          F.round("share", 6).alias("share"), "rank")
 
 
 def _sizes(s, d):
