@@ -27,8 +27,8 @@ def overlap(targets: DataFrame, to_source, k: int = 4) -> DataFrame:
              .withColumn("sc", F.floor("_s.c").cast("int")).drop("_s", "fr", "fc"))
 
 
-def resample_population(source: DataFrame, targets: DataFrame, to_source, to_target, target_dx: float,
-                        cell_area: Column, sizes: DataFrame, k: int = 4) -> DataFrame:
+def resample_population(source: DataFrame, targets: DataFrame, to_source, target_dx: float,
+                        cell_area: Column, k: int = 4) -> DataFrame:
     """People per target cell: counts to density, area average, back to counts.
 
     ``source`` is ``(run_id, sr, sc, cnt)``; negative and missing counts are nobody.
@@ -60,7 +60,7 @@ def conservation(source: DataFrame, result: DataFrame, to_target, sizes: DataFra
         "conserved", F.abs("residual") <= tolerance).withColumn("subpoints", F.lit(k))
 
 
-def landcover_dimension(spark, channel_n: float | None = None, fallback: float = fixed.FALLBACK_N) -> DataFrame:
+def landcover_dimension(spark, channel_n: float | None = None) -> DataFrame:
     """``cls, name, n, n_low, n_high`` over the fixed legend (11 rows)."""
     rows = [(code, name, n, lo, hi) if code != 80 or channel_n is None
             else (code, name, channel_n, min(lo, channel_n), max(hi, channel_n))
@@ -70,7 +70,7 @@ def landcover_dimension(spark, channel_n: float | None = None, fallback: float =
 
 def with_roughness(pixels: DataFrame, channel_n: float | None = None, fallback: float = fixed.FALLBACK_N) -> DataFrame:
     """Look up every pixel's class; unknown classes take the fallback."""
-    dim = F.broadcast(landcover_dimension(pixels.sparkSession, channel_n, fallback))
+    dim = F.broadcast(landcover_dimension(pixels.sparkSession, channel_n))
     j = pixels.join(dim, "cls", "left")
     for c in ("n", "n_low", "n_high"):
         j = j.withColumn(c, F.coalesce(c, F.lit(fallback)))

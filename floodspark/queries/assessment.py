@@ -12,7 +12,7 @@ from floodspark.functions import text as ft
 from floodspark.operators import accumulate, exposure, masks, sampling, terrain
 from floodspark.operators import vectors
 from floodspark.plans import summary as ps
-from floodspark.queries.base import cells, enriched, query, rounded
+from floodspark.queries.base import DERIVED, cells, enriched, query, rounded
 from floodspark.sinks import bands
 from floodspark.session import cut, scratch_path
 from floodspark.sources.tables import DX, NX, NY, TRANSFORM, view
@@ -133,8 +133,6 @@ FIGURES_SQL = """
              OR EXISTS (SELECT 1 FROM seeds z WHERE z.run_id = x.run_id AND abs(z.r - x.r) + abs(z.c - x.c) <= 3)) AS rep,
              v.valid AS dv
           FROM cells_h x LEFT JOIN (SELECT r, c, bool_and(valid) AS valid FROM dem GROUP BY r, c) v USING (r, c)) GROUP BY run_id"""
-from floodspark.queries.base import DERIVED  # noqa: E402
-
 DERIVED["seeds"] = (("poi_c",), "SELECT DISTINCT run_id, r, c FROM poi_c WHERE NOT outside")
 
 

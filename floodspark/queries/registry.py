@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from floodspark import fixed, grid
 from floodspark.functions import text as ft
-from floodspark.operators import vectors
 from floodspark.plans import registry as reg
 from floodspark.queries.base import query, rounded
 from floodspark.session import scratch_path
 from floodspark.sinks import bands
 from floodspark.sources import catalog, documents, tiles
-from floodspark.sources.tables import DX, NX, NY, table, view
+from floodspark.sources.tables import DX, table, view
 from floodspark.streaming import frames as st
 
 # --- tables the registry queries share -------------------------------------------------------

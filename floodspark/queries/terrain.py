@@ -532,7 +532,7 @@ _POP = """SELECT d.run_id, d.r, d.c, CASE WHEN count(s.cnt) > 0 THEN avg(greates
 
 
 def _people(s, d):
-    return resample.resample_population(view(s, d, "counts"), _dem(s, d), _to_source, _to_target, DX, F.lit(129600.0), _sizes(s, d))
+    return resample.resample_population(view(s, d, "counts"), _dem(s, d), _to_source, DX, F.lit(129600.0))
 
 
 @query("agg10_population_resample", "AGG10 JN16 SRC7", f"SELECT run_id, r, c, round(pop, 10) AS pop FROM ({_POP})", ("dem", "counts"))

@@ -109,7 +109,7 @@ def test_aligned_resampling_conserves_people_exactly(spark):
     down = lambda r, c: F.struct((r / 2.0).alias("r"), (c / 2.0).alias("c"))
     up = lambda r, c: F.struct((r * 2.0).alias("r"), (c * 2.0).alias("c"))
     sizes = grid.grid_sizes(tgt)
-    pop = resample.resample_population(src, tgt, down, up, 50.0, F.lit(10_000.0), sizes)
+    pop = resample.resample_population(src, tgt, down, 50.0, F.lit(10_000.0))
     rep = resample.conservation(src, pop, up, sizes).first()
     assert abs(rep.residual) < 1e-12 and rep.conserved
 
