@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodspark.llm import packing, quality, sharding, simhash
+from floodspark.llm import packing, quality, secrets, sharding, simhash, spans
 from floodspark.llm.common import documents
 from floodspark.llm.sql import SQL
 
@@ -22,6 +22,15 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by shape and by entropy."""
+    found = secrets.scan(documents(spark, sf_dir))
+    counts = [secrets.counted(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, secrets.base_digest().alias("base_sha256"),
+                        spans.written(F.col("spans"), secrets.KINDS).alias("spans"))
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality measurements, failure bits and the verdict of the current policy for every document."""

@@ -24,7 +24,7 @@ m AS (
          coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
          length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters,
          length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
-         len(list_filter(range(1, len(w)), i -> w[i] = w[i + 1])) AS n_stutters
+         len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_stutters
   FROM d LEFT JOIN rep USING (rid) LEFT JOIN lines USING (rid)),
 b AS (
   SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT
@@ -37,3 +37,44 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        failed_bits % 4 > 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
 FROM b"""
+
+SQL["op1_secret_scans"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+kinds(k, kind, p) AS (VALUES
+  (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+'),
+  (3, 'entropy_hex', '[0-9A-Fa-f]{20,}'), (4, 'entropy_base64', '[A-Za-z0-9+/_=-]{20,}')),
+raw AS (
+  SELECT rid, k, kind, p, unnest(m) AS x, unnest(list_slice(g, 1, len(m))) AS gap, unnest(range(len(m))) AS i
+  FROM (SELECT rid, k, kind, p, regexp_extract_all(t, p) AS m, string_split_regex(t, p) AS g FROM d, kinds)),
+spot AS (
+  SELECT rid, k, kind, p, x, i, (sum(length(gap) + length(x)) OVER (PARTITION BY rid, k ORDER BY i))::BIGINT AS e
+  FROM raw),
+span AS (SELECT rid, k, kind, p, x, e - length(x) AS s, e FROM spot),
+base AS (
+  SELECT rid, k, kind, s, e FROM span
+  WHERE (k = 0 AND length(regexp_extract(x, p, 2)) >= 6) OR (k = 1 AND length(x) >= 20) OR (k = 2 AND length(x) >= 24)),
+runs AS (
+  SELECT r.* FROM span r
+  WHERE k > 2 AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')
+    AND NOT regexp_matches(x, '(?i)example|sample|dummy|placeholder|changeme|xxxx|1234567|abcdefg')
+    AND NOT regexp_matches(x, '^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$')
+    AND NOT regexp_matches(x, '^[a-z0-9]+([-_/][a-z0-9]+)+$')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.s <= r.s AND r.e <= b.e)),
+wins AS (SELECT rid, k, kind, s, x, unnest(range(length(x) - 19)) AS w0 FROM runs),
+chars AS (SELECT rid, k, kind, s, w0, substr(x, w0 + o + 1, 1) AS c FROM wins, range(20) AS r(o)),
+ent AS (
+  SELECT rid, k, kind, s, w0, log2(20) - sum(n * log2(n)) / 20 AS h
+  FROM (SELECT rid, k, kind, s, w0, c, count(*) AS n FROM chars GROUP BY ALL) GROUP BY ALL),
+added AS (
+  SELECT rid, k, kind, s + min(w0) AS s, s + max(w0) + 20 AS e FROM ent
+  WHERE h >= CASE k WHEN 3 THEN 3.0 ELSE 3.7 END - 1e-9 GROUP BY rid, k, kind, ent.s),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM added),
+per AS (
+  SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (k < 3), '') AS b,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans
+  FROM every GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (rid)"""
