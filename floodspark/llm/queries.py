@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodspark.llm import packing, quality, secrets, sharding, simhash, spans
+from floodspark.llm import packing, pii, quality, secrets, sharding, simhash, spans
 from floodspark.llm.common import documents
 from floodspark.llm.sql import SQL
 
@@ -54,6 +54,15 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base shapes, and what the trained classifier adds."""
+    found = pii.find(documents(spark, sf_dir))
+    counts = [pii.counted(k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, pii.base_digest().alias("base_sha256"),
+                        spans.written(F.col("spans"), pii.KINDS, by_start=False).alias("spans"))
+
+
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 8 shards of a ring with bounded loads: counts differ by one at most."""
