@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodspark.llm import packing, pii, quality, secrets, sharding, simhash, spans
+from floodspark.llm import decontam, packing, pii, quality, secrets, sharding, simhash, spans
 from floodspark.llm.common import documents
 from floodspark.llm.sql import SQL
 
@@ -54,6 +54,13 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, similar by 0.8 or more."""
+    found = decontam.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 9).alias("similarity"))
+
+
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base shapes, and what the trained classifier adds."""

@@ -78,3 +78,35 @@ per AS (
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
        coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per USING (rid)"""
+
+SQL["op6_benchmark_decontamination"] = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (
+  SELECT rid, doc_id, len(w) AS n,
+         CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: list_slice(w, i, i + 4)) END AS h
+  FROM dw),
+bw AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+b AS (
+  SELECT item_id, len(w) AS size, list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: list_slice(w, i, i + 4)) AS h
+  FROM bw WHERE len(w) > 0),
+ds AS (SELECT rid, n, unnest(h) AS s, unnest(range(len(h))) AS p FROM d),
+bs AS (SELECT DISTINCT size, unnest(h) AS s, unnest(range(len(h))) AS o FROM b),
+win AS (SELECT DISTINCT rid, greatest(least(p - o, n - size), 0) AS start, size FROM ds JOIN bs USING (s)),
+wh AS (SELECT win.rid, d.doc_id, start, size, list_slice(h, start + 1, start + greatest(size - 4, 1)) AS h FROM win JOIN d USING (rid)),
+ws AS (SELECT rid, start, size, s, count(*) AS c FROM (SELECT rid, start, size, unnest(h) AS s FROM wh) GROUP BY ALL),
+it AS (SELECT item_id, size, s, count(*) AS c FROM (SELECT item_id, size, unnest(h) AS s FROM b) GROUP BY ALL),
+sh AS (
+  SELECT rid, start, ws.size, item_id, sum(least(ws.c, it.c)) AS shared
+  FROM ws JOIN it ON ws.s = it.s AND ws.size = it.size GROUP BY ALL),
+sim AS (
+  SELECT wh.doc_id, sh.rid, item_id, sh.start, sh.size, shared / (len(wh.h) + len(b.h) - shared) AS similarity
+  FROM sh JOIN wh USING (rid, start, size) JOIN b USING (item_id))
+SELECT doc_id, item_id, start::BIGINT AS start, size::BIGINT AS n_words, round(similarity, 9) AS similarity
+FROM sim WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY rid, item_id ORDER BY similarity DESC, start) = 1"""
