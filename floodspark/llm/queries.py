@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodspark.llm import decontam, packing, pii, quality, secrets, sharding, simhash, spans
+from floodspark.llm import decontam, extraction, packing, pii, quality, secrets, sharding, simhash, spans
 from floodspark.llm.common import documents
 from floodspark.llm.sql import SQL
 
@@ -40,6 +40,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (~base_failed & quality.passes()).alias("kept"), "failed_bits")
 
 
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extraction.extract(documents(spark, sf_dir, "pages"))
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as sequences of 1024 tokens."""
