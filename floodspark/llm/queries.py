@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodspark.llm import decontam, extraction, packing, pii, quality, secrets, sharding, simhash, spans
+from floodspark.llm import decontam, extraction, packing, pii, quality, secrets, sharding, simhash, spans, substrings
 from floodspark.llm.common import documents
 from floodspark.llm.sql import SQL
 
@@ -82,3 +82,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(documents(spark, sf_dir), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"),
                       F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows of 35 words that also start elsewhere."""
+    return substrings.remove_repeats(documents(spark, sf_dir), digest=True)
