@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodspark.llm import decontam, extraction, packing, pii, quality, secrets, sharding, simhash, spans, substrings
+from floodspark.llm import decontam, extraction, lm, packing, pii, quality, secrets, sharding, simhash, spans, substrings
 from floodspark.llm.common import documents
 from floodspark.llm.sql import SQL
 
@@ -76,6 +76,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         spans.written(F.col("spans"), pii.KINDS, by_start=False).alias("spans"))
 
 
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under the smoothed word counts and under the recurrent model."""
+    return lm.score(documents(spark, sf_dir))
+
+
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 8 shards of a ring with bounded loads: counts differ by one at most."""
