@@ -113,3 +113,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR
            .groupBy("doc_id", "body", "item_id").agg(best, F.first("size").alias("size")))
     return out.select("doc_id", "body", "item_id", (-F.col("best.at")).cast("long").alias("start"),
                       F.col("size").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id",
+               text: str = "text") -> DataFrame:
+    """The rows of ``docs``, columns as they are, that hold no item of ``benchmark``."""
+    found = cut(contaminated(docs, benchmark, similar, doc_id, text).select(
+        F.col("doc_id").alias("_d"), F.col("body").alias("_b")).distinct(), "contaminated")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_i"), F.xxhash64(whole(text)).alias("_t"))
+    return rows.join(bounded(found, found.count()), F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_b")),
+                     "left_anti").select("_row.*")

@@ -7,6 +7,7 @@ ledger and never the text again.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -98,9 +99,11 @@ def _measured(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure_text(t) for t in texts], columns=list(MEASURES), dtype="int64")
 
 
-def _bits() -> Column:
+def _bits(source: str = "") -> Column:
+    """Failure bits from the measurements, which are fields of ``source`` or columns."""
     bits = F.lit(0).cast("long")
     for i, (_, condition) in enumerate(RULES):
+        condition = re.sub("|".join(MEASURES), lambda m: source + m[0], condition)
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
     return bits
 
@@ -122,6 +125,13 @@ def passes(policy: str = CURRENT) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy].mask)) == 0
 
 
+def keep(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that fail no rule of the policy."""
+    measured = F.pandas_udf(_measured, ", ".join(f"{m} long" for m in MEASURES))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), measured(whole(text)).alias("_m"))
+    return rows.where(_bits("_m.").bitwiseAND(F.lit(POLICIES[policy].mask)) == 0).select("_row.*")
+
+
 def failed_names() -> Column:
     """Names of the failed rules in a ledger row."""
     return F.array_compact(F.array(*[

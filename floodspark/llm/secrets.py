@@ -7,6 +7,7 @@ window's character counts changes by the one count that falls and the one that r
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -58,17 +59,17 @@ def entropy_range(chars: str, window: int, bits: float) -> str:
       acc -> named_struct('lo', acc.lo, 'hi', acc.hi))"""
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``doc_id, spans (list of start, kind, end)`` per row; ``kind`` numbers ``KINDS``.
+def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``keep`` and ``spans (list of start, kind, end)`` per row; ``kind`` numbers ``KINDS``.
 
     The first three kinds are the fixed shapes, whole; entropy adds the part of a run from its first to
     its last suspect window unless a fixed shape has the run already or the allow-list names it.  A
     null text is empty, a row without a secret has an empty list, repeated rows keep a row each.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("t"))
+    rows = docs.select(F.struct(*keep).alias("_row"), whole(text).alias("t"))
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX} | {c.name: c.pattern for c in CLASSES}
-    rows = rows.select("doc_id", "t", *[matches("t", p).alias(f"m_{k}") for k, p in patterns.items()])
-    rows = rows.select("doc_id", "t", *[located("t", f"m_{k}", p).alias(k) for k, p in patterns.items()])
+    rows = rows.select("_row", "t", *[matches("t", p).alias(f"m_{k}") for k, p in patterns.items()])
+    rows = rows.select("_row", "t", *[located("t", f"m_{k}", p).alias(k) for k, p in patterns.items()])
     value = lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2))
     rows = rows.withColumn("assign", F.filter("assign", lambda s: value(s) >= VALUE_CHARS))
     base = F.concat(*[tagged(k, n) for n, k in enumerate(KINDS[:3])])
@@ -87,7 +88,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text:
             (r["at"] + r["range"]["lo"]).alias("start"), F.lit(n).alias("kind"),
             (r["at"] + r["range"]["hi"]).alias("end"))))
     spans = F.array_sort(F.concat("base", *added))
-    return rows.select("doc_id", *["t"] * keep_text, spans.alias("spans"))
+    if keep_text:
+        return rows.select("_row", "t", spans.alias("spans"))
+    return rows.select("_row.*", spans.alias("spans"))
 
 
 def mask(text: str, spans: str, by: str = "[SECRET]") -> Column:
@@ -100,6 +103,19 @@ def mask(text: str, spans: str, by: str = "[SECRET]") -> Column:
         acc -> concat(acc.out, substring({text}, acc.at + 1))))""")
 
 
+def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", by: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced and, where there is such a column, its length renewed.
+
+    Null texts stay null; all rows and columns stay.
+    """
+    found = scan(docs, docs.columns, text, keep_text=True).withColumn("_text", mask("t", "spans", by))
+    new = F.when(F.col(f"_row.{text}").isNotNull(), F.col("_text"))
+    length = F.when(F.size("spans") > 0, F.length("_text").cast("long")).otherwise(
+        F.col(f"_row.{n_chars}")) if n_chars in docs.columns else None
+    return found.select(*[new.alias(c) if c == text else length.cast(docs.schema[c].dataType).alias(c) if c == n_chars
+                          else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+
+
 def counted(kind: int) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 

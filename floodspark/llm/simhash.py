@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodspark.llm.common import whole
+from floodspark.llm.common import bounded, whole
 from floodspark.llm.components import connected
 from floodspark.session import cut
 
@@ -53,12 +53,13 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp`` per row of ``docs``; a null text counts as empty."""
+    """``doc_id, body (hash of the text), fp`` per row of ``docs``; a null text counts as empty."""
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), simhash(whole(text)).alias("fp"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole(text)).alias("body"),
+                       simhash(whole(text)).alias("fp"))
 
 
 def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -180,7 +181,9 @@ def hamming_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFram
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` per row: the smallest ``doc_id`` reachable over near fingerprints.
+    """``doc_id, body, fp, component_id, root`` per row: the smallest ``doc_id`` reachable over near fingerprints.
+
+    ``root`` names the component also where no row of it has an id.
 
     Texts without words (null, empty, blank) have fingerprint zero and link like any other.  Repeated
     rows each get a row; rows without a ``doc_id`` take part, and a component in which no row has one
@@ -192,7 +195,28 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id:
     roots = connected(hamming_links(fps, radius))
     of_fp = fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     found = F.when(F.col("root") < NAMELESS, F.col("root"))
-    return marked.join(of_fp, "fp").select("doc_id", "fp", found.alias("component_id"))
+    return marked.join(of_fp, "fp").select("doc_id", "body", "fp", found.alias("component_id"), "root")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, the one of the smallest ``doc_id``; columns as in ``docs``.
+
+    Of repeated rows one stays.  Texts aren't moved: the ids that go are few or are joined.
+    """
+    of_rows = near_duplicates(docs, radius, shingle, doc_id, text)
+    alike = cut(of_rows.groupBy("root", "doc_id", "body").agg(F.count("*").alias("n")), "groups")
+    first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "body")).alias("first"))
+    marked = alike.join(first, "root").select(
+        F.col("doc_id").alias("_d"), F.col("body").alias("_b"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body"))).alias("_stays"),
+        (F.col("n") > 1).alias("_again"))
+    changed = cut(marked.where("NOT _stays OR _again"), "changed")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).cast("long").alias("_i"),
+                       F.xxhash64(whole(text)).alias("_t"))
+    met = rows.join(bounded(changed, changed.count()), F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_b")), "left")
+    single = met.where("_stays IS NULL").select("_row.*")
+    repeated = met.where("_stays").dropDuplicates(["_i", "_t"]).select("_row.*")
+    return single.unionByName(repeated)
 
 
 def fingerprint_hex(fp: str = "fp"):
