@@ -12,7 +12,7 @@ class Bits:
     """A bit vector with rank: 64-bit words and a count before each."""
 
     def __init__(self, bits: np.ndarray) -> None:
-        padded = np.zeros(-(-len(bits) // 64 + 1) * 64 + 64, np.uint8)
+        padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[:len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view(np.uint64)
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)]).astype(np.int32)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN = 16
-CLASSES = 64
+CLASSES = 32
 STEPS = 32
 RATE = 0.1
 
@@ -37,6 +37,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(1, keepdims=True)
+    return logits
+
+
 def lanes(lengths: np.ndarray, width: int) -> list[np.ndarray]:
     """Texts for each lane, longest first onto the shortest lane."""
     import heapq
@@ -171,7 +178,7 @@ class Model:
         own, target = flat[real], target[real]
         scale = np.float32(1 / max(1, len(real)))
         grad = {}
-        error = np.exp(self._classes(own))
+        error = _softmax(own @ w["wc"] + w["bc"])
         error[np.arange(len(real)), self.of[target]] -= 1
         error *= scale
         grad["wc"], grad["bc"] = own.T @ error, error.sum(0)
@@ -179,7 +186,7 @@ class Model:
         grad["ww"], grad["bw"] = np.zeros_like(w["ww"]), np.zeros_like(w["bw"])
         for c, rows in self._groups(target):
             a, b = self.starts[c], self.starts[c + 1]
-            error = np.exp(self._within(c, own[rows]))
+            error = _softmax(own[rows] @ w["ww"][a:b].T + w["bw"][a:b])
             error[np.arange(len(rows)), target[rows] - a] -= 1
             error *= scale
             grad["ww"][a:b], grad["bw"][a:b] = error.T @ own[rows], error.sum(0)

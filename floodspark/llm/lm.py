@@ -23,8 +23,8 @@ from floodspark.llm.common import whole
 from floodspark.session import cut
 
 #: Words the model tells apart, and words whose counts every task holds.
-MODEL_WORDS = 4096
-DICTIONARY = 400_000
+MODEL_WORDS = 1024
+DICTIONARY = 300_000
 #: Sixteenths of the training documents that each round ends at.
 ROUNDS = (1, 6, 16)
 END = b""
@@ -43,10 +43,7 @@ class Vocabulary:
     tokens: int
     distinct: int
     rest: float  # smoothed mass of the words the model doesn't tell apart
-
-    @property
-    def known(self) -> int:
-        return min(MODEL_WORDS, len(self.words))
+    known: int  # words the model tells apart
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,12 +85,20 @@ def word_counts(rows: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """What of the counts (a written table) every task holds: ``DICTIONARY`` words at most."""
     total = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
-    n = np.array([r["n"] for r in top], np.int64)
+    step = F.floor(8 * F.log2("n"))  # a few hundred steps: the first whose words fit says from which count on
+    by_step = sorted(((r["s"], r["k"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    held, least = 0, None
+    for at, k in by_step:
+        if held + k > DICTIONARY:
+            break
+        held, least = held + k, at
+    top = counts.where(step >= least if least is not None else F.lit(False)).toPandas()
+    top = top.sort_values(["n", "word"], ascending=[False, True])
+    n = top["n"].to_numpy(np.int64)
     n_all, v_all = total[0] or 0, total[1]
     known = min(MODEL_WORDS, len(n))
     rest = (n_all - int(n[:known].sum())) + SMOOTH * (v_all - known) + SMOOTH
-    return Vocabulary([r["word"].encode() for r in top], n, n_all, v_all, rest)
+    return Vocabulary([w.encode() for w in top["word"]], n, n_all, v_all, rest, known)
 
 
 class _Numbered(dict):
@@ -112,12 +117,12 @@ def _model_ids(ids: np.ndarray, known: int) -> np.ndarray:
 
 
 def _learn(shared, hidden: int):
-    """One task's share of a round: its weights and squares after its documents, times its tokens."""
+    """One task's share of a round: its weights after its documents, times its tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, starts, weights, squares = shared.value
+        vocab, starts, weights = shared.value
         table = _Numbered((w, i) for i, w in enumerate(vocab.words[:vocab.known]))
         weights = {k: v.copy() for k, v in weights.items()}
-        squares = {k: v.copy() for k, v in squares.items()}
+        squares = {k: np.full_like(v, 1e-3) for k, v in weights.items()}
         model, first, n, held, texts = gru.Model(weights, starts), table[END], 0, 0, []
         first = first if first >= 0 else vocab.known
         for batch in batches:
@@ -132,14 +137,10 @@ def _learn(shared, hidden: int):
             model.fit(texts, first, width=max(8, min(WIDTH, WIDTH * held // CHUNK)), squares=squares)
             n += held
         if n:
-            for kind, values in (("w", weights), ("s", squares)):
-                for k, v in values.items():
-                    flat = v.ravel().astype(np.float64) * n
-                    for at in range(0, len(flat), 4096):
-                        part = flat[at:at + 4096]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([f"{kind}:{k}"]), pa.array([at], pa.int32()), pa.array([part]), pa.array([n], pa.int64())],
-                            names=["name", "at", "part", "n"])
+            for name, w in weights.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * w.size), pa.array(np.arange(w.size, dtype=np.int32)),
+                     pa.array(w.ravel().astype(np.float64) * n), pa.array(np.full(w.size, n))], names=["name", "at", "x", "n"])
     return run
 
 
@@ -153,22 +154,17 @@ def train(rows: DataFrame, vocab: Vocabulary, hidden: int = gru.HIDDEN, rounds:
     mass = np.concatenate([vocab.counts[:vocab.known] + SMOOTH, [vocab.rest]])  # begin at the words' frequencies
     weights["bw"][:] = np.log(mass[:-1])
     weights["bc"][:] = np.log(np.add.reduceat(mass, starts))
-    squares = {k: np.full_like(v, 1e-3) for k, v in weights.items()}
     part = F.pmod(F.xxhash64("doc_id"), F.lit(rounds[-1]))
     low = 0
     for high in rounds:
-        shared = spark.sparkContext.broadcast((vocab, starts, weights, squares))
+        shared = spark.sparkContext.broadcast((vocab, starts, weights))
         texts = rows.where(~F.col("held_out") & (part >= low) & (part < high)).select("t")
-        learnt = texts.mapInArrow(_learn(shared, hidden), "name string, at int, part array<double>, n long")
-        each = learnt.select("name", "n", "at", F.posexplode("part").alias("k", "x"))
-        sums = each.groupBy("name", (F.col("at") + F.col("k")).alias("at")).agg(
-            F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()
+        learnt = texts.mapInArrow(_learn(shared, hidden), "name string, at int, x double, n long")
+        sums = learnt.groupBy("name", "at").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         for name, own in sums.groupby("name"):
-            kind, k = name.split(":")
-            target = weights if kind == "w" else squares
-            flat = target[k].ravel().copy()
-            flat[own["at"].to_numpy()] = (own["x"] / own["n"]).to_numpy()
-            target[k] = flat.reshape(target[k].shape).astype(np.float32)
+            flat = weights[name].ravel().copy()
+            flat[own["at"].to_numpy()] = own["x"].to_numpy()
+            weights[name] = flat.reshape(weights[name].shape).astype(np.float32)
         low = high
     return starts, weights
 

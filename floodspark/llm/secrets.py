@@ -74,19 +74,17 @@ def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text",
     rows = rows.withColumn("assign", F.filter("assign", lambda s: value(s) >= VALUE_CHARS))
     base = F.concat(*[tagged(k, n) for n, k in enumerate(KINDS[:3])])
     rows = rows.withColumn("base", base)
-    added = []
-    for n, c in enumerate(CLASSES, 3):
-        inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-        allowed = lambda s: F.array_contains(F.array(*[s["match"].rlike(p) for p in ALLOWED]), True)
+    inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    allowed = lambda s: F.array_contains(F.array(*[s["match"].rlike(p) for p in ALLOWED]), True)
+    for c in CLASSES:
         rows = rows.withColumn(c.name, F.transform(
             F.filter(c.name, lambda s: ~allowed(s) & ~inside(s)),
             lambda s: F.struct(s["start"].alias("start"), F.regexp_extract_all(s["match"], F.lit("(?s)."), F.lit(0)).alias("chars"))))
         ranges = F.expr(f"transform({c.name}, r -> named_struct('at', r.start, 'range', "
                         f"{entropy_range('r.chars', c.window, c.bits)}))")
         rows = rows.withColumn(c.name, ranges)
-        added.append(F.transform(F.filter(c.name, lambda r: r["range"]["lo"] >= 0), lambda r, n=n: F.struct(
-            (r["at"] + r["range"]["lo"]).alias("start"), F.lit(n).alias("kind"),
-            (r["at"] + r["range"]["hi"]).alias("end"))))
+    added = [F.expr(f"transform(filter({c.name}, r -> r.range.lo >= 0), r -> named_struct("
+                    f"'start', r.at + r.range.lo, 'kind', {k}, 'end', r.at + r.range.hi))") for k, c in enumerate(CLASSES, 3)]
     spans = F.array_sort(F.concat("base", *added))
     if keep_text:
         return rows.select("_row", "t", spans.alias("spans"))

@@ -26,8 +26,6 @@ SEED = 42
 TILE = 1024
 #: Groups up to this many rows are compared together, shift by shift; larger ones as matrices.
 SMALL = 48
-#: Nodes above this stand for fingerprints whose documents all lack an id.
-NAMELESS = 1 << 62
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -190,12 +188,12 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id:
     has a null ``component_id``.  An empty table gives an empty result.
     """
     marked = cut(fingerprints(docs, shingle, doc_id, text), "simhash")
-    named = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.shiftrightunsigned("fp", 3))
-    fps = cut(marked.groupBy("fp").agg(named.alias("node")), "fps")
-    roots = connected(hamming_links(fps, radius))
-    of_fp = fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    found = F.when(F.col("root") < NAMELESS, F.col("root"))
-    return marked.join(of_fp, "fp").select("doc_id", "body", "fp", found.alias("component_id"), "root")
+    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    roots = connected(hamming_links(fps.select(F.col("fp").alias("node"), "fp"), radius))
+    of_fp = cut(fps.join(roots, fps["fp"] == roots["node"], "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
+    least = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(of_fp.drop("least").join(least, "root"), "fp").select("doc_id", "body", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

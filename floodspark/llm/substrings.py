@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +30,11 @@ HOT = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    words = raw.split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LETTER = np.random.default_rng(35).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of text and rows that are worked on at a time.
+CHUNK = 1 << 21
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -48,64 +48,104 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def segments(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """``(least hash, content hash, first window, windows)`` of the segments of one document."""
+class Powers:
+    """Powers of ``ODD`` and of its inverse, as many as were needed so far."""
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = _powers(ODD, n), _powers(INVERSE, n)
+        return cls.up, cls.down
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts that lie one after the other, and where each text's begin (and the end).
+
+    A word's hash is the sum of its letters' numbers times powers of the place, shifted to its own start.
+    """
+    solid = ~SPACE[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[inner] = solid[inner]  # a text's first letter begins a word, whatever the text before ended in
+    ends = solid.copy()
+    ends[:-1] &= ~solid[1:]
+    ends[inner - 1] = solid[inner - 1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    up, down = Powers.of(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(LETTER[data] * up[:len(data)], out=sums[1:])
+    hashes = _mixed(((sums[last] - sums[first]) * down[first]) ^ ((last - first).astype(np.uint64) * MIX))
+    return hashes, np.searchsorted(first, offsets)
+
+
+def segments(words: np.ndarray, edges: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """``(text, least hash, content hash, first window, windows, first word here)`` of the segments of texts.
+
+    ``words`` are the hashes of all texts' words and ``edges`` where each text's begin (and the end).
+    """
     gram = min(GRAM, window)
-    n = len(words) - window + 1
-    if n < 1:
-        none = np.zeros(0, np.uint64)
-        return none, none, none.astype(np.int64), none.astype(np.int64)
+    counts = np.maximum(np.diff(edges) - window + 1, 0)
+    none = np.zeros(0, np.int64)
+    if not counts.sum():
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none, none
     grams = np.zeros(len(words) - gram + 1, np.uint64)
     for k in range(gram):
         grams = grams * ODD + words[k:k + len(grams)]
     grams = _mixed(grams)
-    best, size, width = np.arange(len(grams)), 1, window - gram + 1
+    best, least, size, width = np.arange(len(grams)), grams, 1, window - gram + 1
     while size < width:  # where the least gram of ever longer stretches lies, the leftmost of equals
         step = min(size, width - size)
-        left, right = best[:-step], best[step:]
-        best = np.where(grams[right] < grams[left], right, left)
+        later = least[step:] < least[:-step]
+        best = np.where(later, best[step:], best[:-step])
+        least = np.where(later, least[step:], least[:-step])
         size += step
-    first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    count = np.diff(np.append(first, n))
-    powers = _powers(ODD, len(words))
-    sums = np.concatenate([[0], np.cumsum((words | np.uint64(1)) * powers)]).astype(np.uint64)
-    content = (sums[first + count + window - 1] - sums[first]) * _powers(INVERSE, len(words))[first]
-    content = _mixed(content ^ (count.astype(np.uint64) * MIX))
-    return grams[best[first]], content, first, count
+    text = np.repeat(np.arange(len(counts)), counts)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = edges[:-1][text] + nth  # windows that lie in one text
+    place = best[at]
+    fresh = np.flatnonzero((nth == 0) | np.concatenate([[True], place[1:] != place[:-1]]))
+    many = np.diff(np.append(fresh, len(at)))
+    start = at[fresh]
+    up, down = Powers.of(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[:len(words)], out=sums[1:])
+    content = (sums[start + many + window - 1] - sums[start]) * down[start]
+    content = _mixed(content ^ (many.astype(np.uint64) * MIX))
+    return text[fresh], least[start], content, nth[fresh], many, start
 
 
 def _cut_up(window: int, with_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, rows, words, sizes = [], [], [], []
-            for i, text in enumerate(batch.column(2)):
-                hashes = word_hashes(text.as_py().encode())
-                found = segments(hashes, window)
-                if not len(found[0]):
-                    continue
-                parts.append(found)
-                rows.append(np.full(len(found[0]), i))
+        for whole_batch in batches:
+            sizes = np.cumsum(pc.binary_length(whole_batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < whole_batch.num_rows:
+                before = sizes[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(sizes, before + CHUNK, side="right")))
+                batch = whole_batch.slice(at, to - at)
+                offsets = np.concatenate([[0], sizes[at:to] - before])
+                at = to
+                texts = pa.concat_arrays([batch.column(2)]).cast(pa.large_binary())
+                data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+                data = data[np.frombuffer(texts.buffers()[1], np.int64)[texts.offset]:][:offsets[-1]]
+                words, edges = word_hashes(data, offsets)
+                text, least, content, first, count, start = segments(words, edges, window)
+                row = pa.array(text)
+                arrays = [batch.column(0).take(row), batch.column(1).take(row), pa.array(least.view(np.int64)),
+                          pa.array(content.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))]
+                names = ["doc_id", "body", "least", "content", "first", "windows"]
                 if with_words:
-                    small = hashes.astype(np.uint32).view(np.int32)
-                    lengths = found[3] + window - 1
+                    lengths = count + window - 1
                     inner = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                    words.append(small[np.repeat(found[2], lengths) + inner])
-                    sizes.append(lengths)
-            if not parts:
-                continue
-            least, content, first, count = (np.concatenate(x) for x in zip(*parts))
-            row = pa.array(np.concatenate(rows))
-            arrays = [batch.column(0).take(row), batch.column(1).take(row), pa.array(least.view(np.int64)),
-                      pa.array(content.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))]
-            names = ["doc_id", "body", "least", "content", "first", "windows"]
-            if with_words:
-                ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(words))))
-                names.append("words")
-            out = pa.RecordBatch.from_arrays(arrays, names=names)
-            step = 10_000 if with_words else 100_000
-            for at in range(0, out.num_rows, step):
-                yield out.slice(at, step)
+                    flat = words.astype(np.uint32).view(np.int32)[np.repeat(start, lengths) + inner]
+                    arrays.append(pa.ListArray.from_arrays(
+                        pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat)))
+                    names.append("words")
+                out = pa.RecordBatch.from_arrays(arrays, names=names)
+                for part in range(0, out.num_rows, 10_000):
+                    yield out.slice(part, 10_000)
     return run
 
 
@@ -153,36 +193,41 @@ def _indexed(window: int):
 def repeated(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, body, low, high``: stretches of words (ends excluded) whose every window also starts elsewhere."""
     kept = cut(document_segments(rows, window), "segments")
-    by_least = kept.groupBy("least").agg(F.count("*").alias("n")).where("n > 1")
-    live = cut(by_least, "least")
-    crowded = live.where(F.col("n") > HOT).select("least")
-    hot = cut(kept.join(bounded(crowded, crowded.count()), "least", "left_semi").groupBy("least", "content").agg(F.lit(1))
-              .groupBy("least").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("least"), "hot")
+    live = cut(kept.groupBy("least").agg(F.count("*").alias("n")).where("n > 1"), "least")
+    wanted = bounded(live.select("least"), live.count())
+    # one occurrence stands for all segments that are equal
+    alike = cut(kept.join(wanted, "least", "left_semi").groupBy("least", "content").agg(
+        F.count("*").alias("times"), F.min(F.struct("body", "first")).alias("at")), "alike")
+    hot = cut(alike.groupBy("least").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("least"), "hot")
     n_hot = hot.count()
-    cold = live.join(bounded(hot, n_hot), "least", "left_anti").select("least")
-    cold_rows = cut(cold, "cold")
-    wanted = bounded(cold_rows, cold_rows.count())
-    full = document_segments(rows, window, with_words=True)
-    indexed = (full.join(wanted, "least", "left_semi").groupBy("least", "content")
-               .agg(F.count("*").alias("times"), F.first("words").alias("words")))
-    spots = kept.join(wanted, "least", "left_semi").select("doc_id", "body", "least", "content", "first")
+    crowded = bounded(hot.withColumn("hot", F.lit(True)), n_hot)
+    picked = alike.join(crowded, "least", "left").select(
+        "least", "content", "times", F.col("at.body").alias("body"), F.col("at.first").alias("first"), "hot")
+    full = document_segments(rows, window, with_words=True).select("body", "first", "windows", "words")
+    shown = cut(full.join(bounded(picked, alike.count()), ["body", "first"]).dropDuplicates(["least", "content"]), "shown")
+    indexed = shown.where("hot IS NULL").select("least", "content", "times", "words")
     if n_hot:
-        # one place with very many surroundings: its windows by their own content, counted before they move
-        crowd = cut(full.join(bounded(hot, n_hot), "least", "left_semi"), "crowd")
-        each = F.posexplode_outer(F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.slice("words", i, window)))
-        single = crowd.select("doc_id", "body", "first", each.alias("at", "words"))
-        single = single.select("doc_id", "body", F.xxhash64("words").alias("content"),
-                               (F.col("first") + F.col("at")).alias("first"), "words").withColumn("least", F.col("content"))
-        indexed = indexed.unionByName(single.groupBy("least", "content").agg(
-            F.count("*").alias("times"), F.first("words").alias("words")).where("times > 1"))
-        spots = spots.unionByName(single.select("doc_id", "body", "least", "content", "first"))
+        # One place with very many surroundings: its windows by their own content, counted before they move.
+        each = F.explode_outer(F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.struct(
+            (i - 1).alias("nth"), F.slice("words", i, window).alias("words"))))
+        single = shown.where("hot").select("least", "content", "times", each.alias("w")).select(
+            F.col("least").alias("whole_least"), F.col("content").alias("whole"), "times", "w.nth", "w.words",
+            F.xxhash64("w.words").alias("content"))
+        one = (single.groupBy("content").agg(F.sum("times").alias("times"), F.first("words").alias("words"))
+               .where("times > 1").select(F.col("content").alias("least"), "content", "times", "words"))
+        indexed = indexed.unionByName(one)
     indexed = cut(indexed, "indexed")
     total = indexed.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
     shards = int(-(-total // SHARD_WORDS)) or 1
     dealt = (indexed.select(F.pmod(F.xxhash64("least"), F.lit(shards)).alias("shard"), "least", "content", "times", "words")
              .repartition("shard").sortWithinPartitions("shard"))
     spans = cut(dealt.mapInArrow(_indexed(window), "least long, content long, low int, high int"), "spans")
-    return (spots.join(spans, ["least", "content"])
+    if n_hot:  # back from windows to the segments they are of
+        own = single.join(spans.select("content"), "content").select(
+            F.col("whole_least").alias("least"), F.col("whole").alias("content"), F.col("nth").alias("low"),
+            (F.col("nth") + window).alias("high"))
+        spans = spans.unionByName(own)
+    return (kept.join(wanted, "least", "left_semi").join(spans, ["least", "content"])
             .select("doc_id", "body", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
             .distinct())
 
