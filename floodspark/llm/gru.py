@@ -14,6 +14,7 @@ HIDDEN = 16
 CLASSES = 32
 STEPS = 32
 RATE = 0.1
+BOUND = 60.0
 
 
 def classes(counts: np.ndarray, n: int = CLASSES) -> np.ndarray:
@@ -38,12 +39,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
+    """Probabilities by row, in place; logits count up to a bound that no exponential overflows at."""
+    np.clip(logits, -BOUND, BOUND, out=logits)
     np.exp(logits, out=logits)
     logits /= logits.sum(1, keepdims=True)
     return logits
 
 
+def _log_softmax(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The log probability of one column in each row."""
+    np.clip(logits, -BOUND, BOUND, out=logits)
+    own = logits[np.arange(len(logits)), column]
+    return own - np.log(np.exp(logits, out=logits).sum(1))
+
+
 def lanes(lengths: np.ndarray, width: int) -> list[np.ndarray]:
     """Texts for each lane, longest first onto the shortest lane."""
     import heapq
@@ -64,31 +73,40 @@ class Model:
         self.of[self.words] = len(starts) - 1  # the rarer words
         self.projected: np.ndarray | None = None
 
-    def _run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+    def _run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False
+             ) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
         """States for ``x`` (steps x lanes of inputs); ``fresh`` marks texts' first inputs."""
         size = h.shape[1]
         wh = self.w["wh"]
         table = self.w["embed"] @ self.w["wx"] + self.w["b"] if self.projected is None else self.projected
         xs = table[x]
-        states = np.empty((*x.shape, size), np.float32)
-        kept = []
+        shape = (*x.shape, size)
+        states, kept = np.empty(shape, h.dtype), ()
+        if keep:
+            kept = before, gates, news, products = (np.empty(shape, h.dtype), np.empty((*x.shape, 2 * size), h.dtype),
+                                                    np.empty(shape, h.dtype), np.empty(shape, h.dtype))
+        begins = fresh.any(1).tolist()
+        half = h.dtype.type(0.5)
         for t in range(len(x)):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
+            if begins[t]:
+                h = np.where(fresh[t][:, None], half * 0, h)
             hw = h @ wh
-            gates = _sigmoid(xs[t, :, :2 * size] + hw[:, :2 * size])
-            r, z = gates[:, :size], gates[:, size:]
-            n = np.tanh(xs[t, :, 2 * size:] + r * hw[:, 2 * size:])
-            new = n + z * (h - n)
-            kept.append((h, r, z, n, hw[:, 2 * size:]))
-            states[t] = h = new
+            g = xs[t, :, :2 * size] + hw[:, :2 * size]
+            g *= half
+            np.tanh(g, out=g)
+            g += 1
+            g *= half
+            n = g[:, :size] * hw[:, 2 * size:]
+            n += xs[t, :, 2 * size:]
+            np.tanh(n, out=n)
+            if keep:
+                before[t], gates[t], news[t], products[t] = h, g, n, hw[:, 2 * size:]
+            h = h - n
+            h *= g[:, size:]
+            h += n
+            states[t] = h
         return states, kept, h
 
-    def _classes(self, hs: np.ndarray) -> np.ndarray:
-        logits = hs @ self.w["wc"] + self.w["bc"]
-        logits -= logits.max(1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(1, keepdims=True))
-
     def _groups(self, target: np.ndarray):
         """Rows by class of their target, the rarer words left out."""
         of = self.of[target]
@@ -98,17 +116,12 @@ class Model:
             if edges[c + 1] > edges[c]:
                 yield c, order[edges[c]:edges[c + 1]]
 
-    def _within(self, c: int, hs: np.ndarray) -> np.ndarray:
-        a, b = self.starts[c], self.starts[c + 1]
-        logits = hs @ self.w["ww"][a:b].T + self.w["bw"][a:b]
-        logits -= logits.max(1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(1, keepdims=True))
-
     def log_probs(self, hs: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target (of the class alone for rarer words)."""
-        out = self._classes(hs)[np.arange(len(hs)), self.of[target]].astype(np.float64)
+        out = _log_softmax(hs @ self.w["wc"] + self.w["bc"], self.of[target]).astype(np.float64)
         for c, rows in self._groups(target):
-            out[rows] += self._within(c, hs[rows])[np.arange(len(rows)), target[rows] - self.starts[c]]
+            a, b = self.starts[c], self.starts[c + 1]
+            out[rows] += _log_softmax(hs[rows] @ self.w["ww"][a:b].T + self.w["bw"][a:b], target[rows] - a)
         return out
 
     def score(self, texts: list[np.ndarray], first: int, width: int = 512) -> np.ndarray:
@@ -172,11 +185,11 @@ class Model:
 
     def _learn(self, x, y, fresh, h, rate, squares) -> np.ndarray:
         w, size = self.w, h.shape[1]
-        hs, kept, last = self._run(x, fresh, h)
+        hs, kept, last = self._run(x, fresh, h, keep=True)
         flat, target = hs.reshape(-1, size), y.ravel()
         real = np.flatnonzero(target >= 0)
-        own, target = flat[real], target[real]
-        scale = np.float32(1 / max(1, len(real)))
+        own, target = (flat, target) if len(real) == len(target) else (flat[real], target[real])
+        scale = h.dtype.type(1 / max(1, len(real)))
         grad = {}
         error = _softmax(own @ w["wc"] + w["bc"])
         error[np.arange(len(real)), self.of[target]] -= 1
@@ -186,41 +199,43 @@ class Model:
         grad["ww"], grad["bw"] = np.zeros_like(w["ww"]), np.zeros_like(w["bw"])
         for c, rows in self._groups(target):
             a, b = self.starts[c], self.starts[c + 1]
-            error = _softmax(own[rows] @ w["ww"][a:b].T + w["bw"][a:b])
+            states = own[rows]
+            error = _softmax(states @ w["ww"][a:b].T + w["bw"][a:b])
             error[np.arange(len(rows)), target[rows] - a] -= 1
             error *= scale
-            grad["ww"][a:b], grad["bw"][a:b] = error.T @ own[rows], error.sum(0)
+            grad["ww"][a:b], grad["bw"][a:b] = error.T @ states, error.sum(0)
             back[rows] += error @ w["ww"][a:b]
-        out = np.zeros_like(flat)
-        out[real] = back
-        out = out.reshape(hs.shape)
-        da = np.empty((*x.shape, 3 * size), np.float32)
-        down, wh_t = np.zeros_like(h), w["wh"].T.copy()
-        grad["wh"] = np.zeros_like(w["wh"])
+        if len(real) < flat.shape[0]:
+            out = np.zeros_like(flat)
+            out[real] = back
+            back = out
+        back = back.reshape(hs.shape)
+        # what doesn't depend on the error that comes from later steps is taken for the whole window
+        before, gates, n, hn = kept
+        r, z = gates[:, :, :size], gates[:, :, size:]
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * (z * (1 - z))
+        to_r = hn * (r * (1 - r))
+        dg = np.empty((*x.shape, 3 * size), h.dtype)
+        dn = np.empty_like(hs)
+        down, wh_t, begins = np.zeros_like(h), w["wh"].T.copy(), fresh.any(1).tolist()
         for t in range(len(x) - 1, -1, -1):
-            before, r, z, n, hn = kept[t]
-            dh = out[t] + down
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * hn * r * (1 - r)
-            da[t, :, :size], da[t, :, size:2 * size], da[t, :, 2 * size:] = dr, dz, dn
-            dg = da[t].copy()
-            dg[:, 2 * size:] *= r
-            grad["wh"] += before.T @ dg
-            down = dh * z + dg @ wh_t
-            if fresh[t].any():
+            down += back[t]
+            np.multiply(down, to_n[t], out=dn[t])
+            np.multiply(dn[t], to_r[t], out=dg[t, :, :size])
+            np.multiply(down, to_z[t], out=dg[t, :, size:2 * size])
+            np.multiply(dn[t], r[t], out=dg[t, :, 2 * size:])
+            down *= z[t]
+            down += dg[t] @ wh_t
+            if begins[t]:
                 down[fresh[t]] = 0
-        dx = da.reshape(-1, 3 * size)
-        seen, at = np.unique(x.ravel(), return_inverse=True)
-        e = w["embed"][seen]
-        sums = np.zeros((len(seen), 3 * size), np.float32)
-        order = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at[order], np.arange(len(seen)))
-        sums[:] = np.add.reduceat(dx[order], edges, axis=0)
-        grad["wx"], grad["b"] = e.T @ sums, sums.sum(0)
-        rows = sums @ w["wx"].T
-        squares["embed"][seen] += rows * rows
-        w["embed"][seen] -= rate * rows / np.sqrt(squares["embed"][seen])
+        grad["wh"] = before.reshape(-1, size).T @ dg.reshape(-1, 3 * size)
+        dg[:, :, 2 * size:] = dn
+        dx = dg.reshape(-1, 3 * size)
+        ids = x.ravel()
+        grad["wx"], grad["b"] = w["embed"][ids].T @ dx, dx.sum(0)
+        rows = dx @ w["wx"].T
+        grad["embed"] = np.stack([np.bincount(ids, weights=c, minlength=len(w["embed"])) for c in rows.T], 1).astype(h.dtype)
         for k, g in grad.items():
             squares[k] += g * g
             w[k] -= rate * g / np.sqrt(squares[k])

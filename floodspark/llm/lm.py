@@ -12,6 +12,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -101,15 +102,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([w.encode() for w in top["word"]], n, n_all, v_all, rest, known)
 
 
-class _Numbered(dict):
-    """Numbers of words; -1 for the others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def numbers(table: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(table.__getitem__, words), np.int32, len(words))
+    """Numbers of words; -1 for the others."""
+    return np.fromiter(map(table.get, words, repeat(-1)), np.int32, len(words))
 
 
 def _model_ids(ids: np.ndarray, known: int) -> np.ndarray:
@@ -120,10 +115,10 @@ def _learn(shared, hidden: int):
     """One task's share of a round: its weights after its documents, times its tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, starts, weights = shared.value
-        table = _Numbered((w, i) for i, w in enumerate(vocab.words[:vocab.known]))
+        table = {w: i for i, w in enumerate(vocab.words[:vocab.known])}
         weights = {k: v.copy() for k, v in weights.items()}
         squares = {k: np.full_like(v, 1e-3) for k, v in weights.items()}
-        model, first, n, held, texts = gru.Model(weights, starts), table[END], 0, 0, []
+        model, first, n, held, texts = gru.Model(weights, starts), table.get(END, -1), 0, 0, []
         first = first if first >= 0 else vocab.known
         for batch in batches:
             for text in batch.column(0):
@@ -172,10 +167,10 @@ def train(rows: DataFrame, vocab: Vocabulary, hidden: int = gru.HIDDEN, rounds:
 def _score(shared, base: float, rest: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, starts, weights = shared.value
-        table = _Numbered((w, i) for i, w in enumerate(vocab.words))
+        table = {w: i for i, w in enumerate(vocab.words)}
         logs = np.append(np.log10(vocab.counts + SMOOTH), 0.0)
         model = gru.Model(weights, starts)
-        first = table[END]
+        first = table.get(END, -1)
         first = first if 0 <= first < vocab.known else vocab.known
         ids, out = [], []
 
