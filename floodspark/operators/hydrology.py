@@ -345,11 +345,10 @@ def height_above_drainage(flow: DataFrame, tile: int = grid.DEFAULT_TILE) -> Dat
     return flow.join(ref, grid.CELL).withColumn("hand", F.col("z") - F.col("ref")).drop("ref")
 
 
-def trace_downstream(flow: DataFrame, starts: DataFrame, max_len: int,
-                     tile: int = grid.DEFAULT_TILE) -> DataFrame:
+def trace_downstream(flow: DataFrame, starts: DataFrame, tile: int = grid.DEFAULT_TILE) -> DataFrame:
     """Cells visited from each start ``(run_id, start_id, r, c)``: adds step ``k``.
 
-    A round follows every open path to the edge of its tile, so the rounds are the
+    Paths are followed to their end, however long: flow only goes down, so none returns.  A round follows every open path to the edge of its tile, so the rounds are the
     tiles a path crosses.
     """
     run = _run_type(flow)
@@ -365,7 +364,7 @@ def trace_downstream(flow: DataFrame, starts: DataFrame, max_len: int,
                 for i, a, b in zip(ids, pdf["down_r"].to_numpy(float), pdf["down_c"].to_numpy(float))}
         for s, r, c, k in zip(heads["start_id"], heads["r"], heads["c"], heads["k"]):
             r, c, k = int(r), int(c), int(k)
-            while r * WIDE + c in down and k < max_len:
+            while r * WIDE + c in down:
                 rows.append((key[0], s, r, c, k, True))
                 k += 1
                 nxt = down[r * WIDE + c]
@@ -373,7 +372,7 @@ def trace_downstream(flow: DataFrame, starts: DataFrame, max_len: int,
                     break
                 r, c = nxt
             else:
-                if k < max_len and len(pdf):
+                if len(pdf):
                     rows.append((key[0], s, r, c, k, False))
         return pd.DataFrame(rows, columns=["run_id", "start_id", "r", "c", "k", "visited"])
 
@@ -393,7 +392,7 @@ def trace_downstream(flow: DataFrame, starts: DataFrame, max_len: int,
 
 
 def path_distance(trace: DataFrame, dx: float) -> DataFrame:
-    """Adds ``dist_m`` along each trace (a path is at most ``max_len`` rows)."""
+    """Adds ``dist_m`` along each trace (a window per path)."""
     w = Window.partitionBy("run_id", "start_id").orderBy("k")
     dr, dc = F.col("r") - F.lag("r").over(w), F.col("c") - F.lag("c").over(w)
     step = F.coalesce(F.sqrt((dr * dr + dc * dc).cast("double")) * dx, F.lit(0.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -276,23 +278,19 @@ def hypsometry(cells: DataFrame, levels: list[float], dx: float) -> DataFrame:
         F.count_if(F.col("z") < F.col("level")).alias("wet_cells"))
 
 
-def suppressed_peaks(flow: DataFrame, column: str, pool_size: int = 400, apart: int = 15, keep: int = 8) -> DataFrame:
-    """Largest cells per run, skipping those within ``apart`` cells of one already kept.
+def suppressed_peaks(flow: DataFrame, column: str, apart: int = 15, keep: int = 8) -> DataFrame:
+    """Largest cells per run, each at least ``apart`` cells from those before it.
 
-    The greedy pass sees the top ``pool_size`` cells of a run and no more.
+    Every peak is a maximum over all cells still clear: ``keep`` partial aggregates, no list of candidates.
     """
-    run = flow.schema["run_id"].dataType.simpleString()
-    w = Window.partitionBy("run_id").orderBy(F.col("v").desc(), "r", "c")
-    top = flow.select(*grid.CELL, F.col(column).alias("v")).withColumn("rank", F.row_number().over(w)).where(
-        F.col("rank") <= pool_size)
-
-    def greedy(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for row in pdf.sort_values("rank").itertuples():
-            if all(abs(row.r - k.r) >= apart or abs(row.c - k.c) >= apart for k in kept):
-                kept.append(row)
-                if len(kept) == keep:
-                    break
-        return pd.DataFrame([(key[0], k.r, k.c, k.v) for k in kept], columns=["run_id", "r", "c", "v"])
-
-    return top.groupBy("run_id").applyInPandas(greedy, f"run_id {run}, r int, c int, v double")
+    clear = cut(flow.select(*grid.CELL, F.col(column).alias("v")), "peaks")
+    found = []
+    for _ in range(keep):
+        best = clear.groupBy("run_id").agg(F.min(F.struct((-F.col("v")).alias("v"), "r", "c")).alias("b")).select(
+            "run_id", F.col("b.r").alias("r"), F.col("b.c").alias("c"), (-F.col("b.v")).alias("v"))
+        best = cut(best, "peaks")  # a row per run
+        found.append(best)
+        near = best.select("run_id", F.col("r").alias("_r"), F.col("c").alias("_c"))
+        clear = clear.join(near, "run_id").where(
+            (F.abs(F.col("r") - F.col("_r")) >= apart) | (F.abs(F.col("c") - F.col("_c")) >= apart)).drop("_r", "_c")
+    return reduce(DataFrame.unionByName, found)

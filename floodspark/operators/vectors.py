@@ -119,11 +119,12 @@ def polygons_to_cells(polygons: DataFrame, dx: float, x0: float, y0: float) -> D
 
 
 def features_in_flood(touched: DataFrame, flood: DataFrame) -> DataFrame:
-    """Features of each run with any touched cell flooded, counted once each."""
-    hit = touched.join(flood.select(*grid.CELL), grid.CELL, "left_semi")
-    return hit.groupBy("run_id").agg(F.count_distinct("feature_id").alias("features"))
+    """Features of each run with any touched cell flooded, counted once each; a run without one has 0."""
+    hit = touched.join(flood.select(*grid.CELL, F.lit(True).alias("wet")).distinct(), grid.CELL, "left")
+    return hit.groupBy("run_id").agg(F.count_distinct(F.when(F.col("wet"), F.col("feature_id"))).alias("features"))
 
 
 def flooded_length(visited: DataFrame, flood: DataFrame) -> DataFrame:
-    hit = visited.join(flood.select(*grid.CELL), grid.CELL, "left_semi")
-    return hit.groupBy("run_id").agg((F.sum("length_m") / 1000.0).alias("km"))
+    """Kilometres of each run inside flooded cells; a run without any has 0."""
+    hit = visited.join(flood.select(*grid.CELL, F.lit(True).alias("wet")).distinct(), grid.CELL, "left")
+    return hit.groupBy("run_id").agg((F.sum(F.when(F.col("wet"), F.col("length_m")).otherwise(0.0)) / 1000.0).alias("km"))

@@ -330,7 +330,7 @@ def _(s, d):
 # --- report and summary -------------------------------------------------------------------
 
 _FIG = "CASE WHEN p <= 0 THEN 0 ELSE CAST(round_even(p / pow(10, greatest(0, floor(log10(greatest(p, 1))) - 1)), 0) * pow(10, greatest(0, floor(log10(greatest(p, 1))) - 1)) AS BIGINT) END"
-_PEOPLE = """SELECT q.run_id, d.idx, d.label, coalesce(sum(x.pop), 0) AS p FROM (SELECT DISTINCT run_id FROM cells_h WHERE new_flood AND newly_flooded) q
+_PEOPLE = """SELECT q.run_id, d.idx, d.label, coalesce(sum(x.pop), 0) AS p FROM (SELECT DISTINCT run_id FROM cells_h) q
     CROSS JOIN {dim} d LEFT JOIN cells_h x ON x.run_id = q.run_id AND x.{col} = d.idx AND x.new_flood AND x.newly_flooded GROUP BY ALL"""
 
 
@@ -338,6 +338,11 @@ def _cases(texts, rest=None):
     return "CASE idx " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(texts)) + (f" ELSE '{rest}'" if rest else "") + " END"
 
 
+def _only_exposed(e):
+    """All cells, so that a run without exposed people keeps its rows; people only where they are exposed."""
+    return e.withColumn("pop", F.when(F.col("new_flood") & F.col("newly_flooded"), F.col("pop")).otherwise(0.0))
+
+
 @query("snk6_arrival_rows", "SNK6 STR3 FN7 AGG5", f"""
     SELECT run_id, idx, label AS band, format('{{:,.2f}}', area) AS area, format('{{:,}}', {_FIG}) AS people,
            {_cases(fixed.EVACUATION_ACTIONS, fixed.EVACUATION_LATER)} AS action
@@ -347,7 +352,7 @@ def _cases(texts, rest=None):
        ("cells_h", "runs", "bd"))
 def _(s, d):
     e = enriched(s, d)
-    people = exposure.population_by_class(e.where("new_flood AND newly_flooded"), "band", fa.band_labels())
+    people = exposure.population_by_class(_only_exposed(e), "band", fa.band_labels())
     rows = ps.arrival_rows(exposure.area_by_class(e, "band", fa.band_labels(), DX), people)
     return ps.with_total(rows, people)
 
@@ -356,8 +361,7 @@ def _(s, d):
     SELECT run_id, idx, label AS hazard, format('{{:,}}', {_FIG}) AS people, {_cases(fixed.HAZARD_MEANING)} AS meaning
     FROM ({_PEOPLE.format(dim='hz', col='defra_class')})""", ("cells_h", "hz"))
 def _(s, d):
-    e = enriched(s, d).where("new_flood AND newly_flooded")
-    return ps.hazard_rows(exposure.population_by_class(e, "defra_class", fixed.HAZARD_NAMES))
+    return ps.hazard_rows(exposure.population_by_class(_only_exposed(enriched(s, d)), "defra_class", fixed.HAZARD_NAMES))
 
 
 @query("snk6_damage_rows", "SNK6")
@@ -488,18 +492,18 @@ def _(s, d):
 
 
 @query("jn8_buildings_in_flood", "JN8 GEO3", """
-    SELECT run_id, count(DISTINCT building_id) AS features FROM buildings JOIN cells_h USING (run_id, r, c)
-    WHERE new_flood GROUP BY run_id""", ("buildings", "cells_h"))
+    SELECT run_id, count(DISTINCT CASE WHEN new_flood THEN building_id END) AS features FROM buildings LEFT JOIN cells_h USING (run_id, r, c)
+    GROUP BY run_id""", ("buildings", "cells_h"))
 def _(s, d):
     b = view(s, d, "buildings").select("run_id", F.col("building_id").alias("feature_id"), "r", "c")
     return vectors.features_in_flood(b, enriched(s, d).where("new_flood"))
 
 
 @query("jn9_flooded_road_km", "JN9 GEO3 AGG14", """
-    SELECT run_id, round(sum(greatest(0, least(xhi, (c + 1) * 90.0) - greatest(xlo, c * 90.0))) / 1000.0, 6) AS km
+    SELECT q.run_id, round(coalesce(sum(greatest(0, least(xhi, (c + 1) * 90.0) - greatest(xlo, c * 90.0))), 0.0) / 1000.0, 6) AS km
     FROM (SELECT run_id, least(xa, xb) AS xlo, greatest(xa, xb) AS xhi, CAST(floor((5760 - ya) / 90.0) AS INT) AS rr FROM roads) q
-    JOIN cells_h x USING (run_id) WHERE x.new_flood AND x.r = q.rr AND x.c * 90.0 < xhi AND (x.c + 1) * 90.0 > xlo
-    GROUP BY run_id""", ("roads", "cells_h"))
+    LEFT JOIN cells_h x ON x.run_id = q.run_id AND x.new_flood AND x.r = q.rr AND x.c * 90.0 < xhi AND (x.c + 1) * 90.0 > xlo
+    GROUP BY q.run_id""", ("roads", "cells_h"))
 def _(s, d):
     v = vectors.segments_to_cells(view(s, d, "roads"), DX, 0.0, NY * DX)
     return rounded(vectors.flooded_length(v, enriched(s, d).where("new_flood")))
@@ -524,14 +528,18 @@ def _(s, d):
 
 # --- near field and confinement ---------------------------------------------------------------
 
+def _with_seeds(s, d, own):
+    """Cells and sources together: a source counts also where no frame was ever written."""
+    return own.withColumn("own", F.lit(True)).join(_seeds(s, d).withColumn("seed", F.lit(True)), grid.CELL, "full").withColumn(
+        "own", F.coalesce("own", F.lit(False))).withColumn("seed", F.coalesce("seed", F.lit(False)))
+
+
 @query("geo5_distance_to_source", "GEO5", """
     SELECT x.run_id, x.r, x.c, CAST(min((x.r - z.r) * (x.r - z.r) + (x.c - z.c) * (x.c - z.c)) AS BIGINT) AS d2
-    FROM cells x JOIN seeds z USING (run_id) WHERE EXISTS (SELECT 1 FROM cells y WHERE y.run_id = z.run_id AND y.r = z.r AND y.c = z.c)
-    GROUP BY ALL""", ("cells", "seeds"))
+    FROM cells x JOIN seeds z USING (run_id) GROUP BY ALL""", ("cells", "seeds"))
 def _(s, d):
-    c = cells(s, d).select(*grid.CELL).join(_seeds(s, d).withColumn("seed", F.lit(True)), grid.CELL, "left").withColumn(
-        "seed", F.coalesce("seed", F.lit(False)))
-    return terrain.nearest_seed(c, "seed", False).where("d2 IS NOT NULL").select(*grid.CELL, "d2")
+    c = _with_seeds(s, d, cells(s, d).select(*grid.CELL))
+    return terrain.nearest_seed(c, "seed", False).where("own AND d2 IS NOT NULL").select(*grid.CELL, "d2")
 
 
 @query("agg27_near_field_profile", "AGG27", """
@@ -540,12 +548,10 @@ def _(s, d):
     FROM (SELECT x.run_id, x.r, x.c, any_value(x.max_depth) AS max_depth,
                  min((x.r - z.r) * (x.r - z.r) + (x.c - z.c) * (x.c - z.c)) AS d2
           FROM cells_h x JOIN seeds z USING (run_id)
-          WHERE x.flood AND EXISTS (SELECT 1 FROM cells y WHERE y.run_id = z.run_id AND y.r = z.r AND y.c = z.c)
-          GROUP BY ALL) CROSS JOIN (VALUES (0), (6), (10), (20), (30), (40)) AS t(radius) GROUP BY ALL""", ("cells_h", "seeds"))
+          WHERE x.flood GROUP BY ALL) CROSS JOIN (VALUES (0), (6), (10), (20), (30), (40)) AS t(radius) GROUP BY ALL""", ("cells_h", "seeds"))
 def _(s, d):
-    e = enriched(s, d)
-    c = e.join(_seeds(s, d).withColumn("seed", F.lit(True)), grid.CELL, "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
-    near = terrain.nearest_seed(c.select(*grid.CELL, "seed", "max_depth", "flood"), "seed", False).where("flood AND d2 IS NOT NULL")
+    c = _with_seeds(s, d, enriched(s, d).select(*grid.CELL, "max_depth", "flood"))
+    near = terrain.nearest_seed(c, "seed", False).where("own AND flood AND d2 IS NOT NULL")
     r = F.explode(F.array(*[F.lit(v) for v in (0, 6, 10, 20, 30, 40)]))
     far = F.col("d2") > F.col("radius") * F.col("radius")
     return near.withColumn("radius", r).groupBy("run_id", "radius").agg(
@@ -576,7 +582,7 @@ def _(s, d):
 
 
 @query("win1_front_speed", "WIN1 JN14", """
-    SELECT run_id, r, c, round(CASE WHEN g > 0 THEN 1.0 / g END, 6) AS front_speed FROM (
+    SELECT run_id, r, c, round(CASE WHEN t IS NOT NULL AND g > 0 THEN 1.0 / g END, 6) AS front_speed FROM (
       SELECT *, sqrt(gx * gx + gy * gy) AS g FROM (
         SELECT run_id, r, c, t,
           CASE WHEN c = min(c) OVER rw THEN (e - t) / 90.0 WHEN c = max(c) OVER rw THEN (t - w) / 90.0 ELSE (e - w) / 180.0 END AS gx,
@@ -586,7 +592,7 @@ def _(s, d):
               LEFT JOIN cells w ON w.run_id = a.run_id AND w.r = a.r AND w.c = a.c - 1
               LEFT JOIN cells s ON s.run_id = a.run_id AND s.r = a.r + 1 AND s.c = a.c
               LEFT JOIN cells n ON n.run_id = a.run_id AND n.r = a.r - 1 AND n.c = a.c)
-        WINDOW rw AS (PARTITION BY run_id, r), cw AS (PARTITION BY run_id, c))) WHERE t IS NOT NULL AND g > 0""", ("cells",))
+        WINDOW rw AS (PARTITION BY run_id, r), cw AS (PARTITION BY run_id, c)))""", ("cells",))
 def _(s, d):
-    return rounded(terrain.front_speed(cells(s, d).select(*grid.CELL, "arrival_s"), DX).where(
-        "front_speed IS NOT NULL").select(*grid.CELL, "front_speed"))
+    return rounded(terrain.front_speed(cells(s, d).select(*grid.CELL, "arrival_s"), DX).select(
+        *grid.CELL, "front_speed"))

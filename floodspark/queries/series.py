@@ -288,11 +288,10 @@ def _(s, d):
 
 @query("agg30_gauges_by_label", "AGG30", """
     SELECT o.name, o.kind, arrival_s, max_depth, round(max_speed, 6) AS max_speed FROM observations o
-    JOIN cells k ON k.run_id = o.run_id AND k.c = CAST(round_even(o.x / 20.0, 0) AS INT) AND k.r = CAST(round_even(o.y / 20.0, 0) AS INT)
-    WHERE arrival_s IS NOT NULL""", ("observations", "cells"))
+    LEFT JOIN cells k ON k.run_id = o.run_id AND k.c = CAST(round_even(o.x / 20.0, 0) AS INT) AND k.r = CAST(round_even(o.y / 20.0, 0) AS INT)""", ("observations", "cells"))
 def _(s, d):
     o = view(s, d, "observations").withColumn("c", F.bround(F.col("x") / 20, 0).cast("int")).withColumn("r", F.bround(F.col("y") / 20, 0).cast("int"))
-    return rounded(sampling.at_cells(o, cells(s, d), "arrival_s", "max_depth", "max_speed").where("arrival_s IS NOT NULL").select(
+    return rounded(sampling.at_cells(o, cells(s, d), "arrival_s", "max_depth", "max_speed").select(
         "name", "kind", "arrival_s", "max_depth", "max_speed"))
 
 

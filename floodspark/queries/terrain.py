@@ -168,12 +168,12 @@ _TRACE = """
         JOIN flow f ON f.run_id = CAST(floor(p.poi_id / 100.0) AS INT) AND f.r = p.poi_id * 7 % 30 AND f.c = p.poi_id * 11 % 50
         UNION ALL
         SELECT w.run_id, w.start_id, f.r, f.c, w.k + 1, f.down_r, f.down_c, f.z
-        FROM walk w JOIN flow f ON f.run_id = w.run_id AND f.r = w.down_r AND f.c = w.down_c WHERE w.k < 199)
+        FROM walk w JOIN flow f ON f.run_id = w.run_id AND f.r = w.down_r AND f.c = w.down_c)
       SELECT * FROM walk)"""
 
 
 def _trace(s, d):
-    return hyd.trace_downstream(_flow(s, d), _starts(s, d), 200, TILE)
+    return hyd.trace_downstream(_flow(s, d), _starts(s, d), TILE)
 
 
 @query("gr6_trace_distance", "GR6 WIN3", f"""
@@ -235,15 +235,16 @@ def _(s, d):
 
 
 @query("gr8_injection_cell", "GR8", f"""
-    SELECT point_id, min(struct_pack(d2 := d2, r := r, c := c)).r AS inj_r, min(struct_pack(d2 := d2, r := r, c := c)).c AS inj_c
+    SELECT p.poi_id AS point_id, inj_r, inj_c, CASE WHEN inj_r IS NULL THEN 'no cell below the dam outside the pool' END AS problem
+    FROM poi p LEFT JOIN (SELECT point_id, min(struct_pack(d2 := d2, r := r, c := c)).r AS inj_r, min(struct_pack(d2 := d2, r := r, c := c)).c AS inj_c
     FROM (SELECT x.*, max(x.area_km2) OVER (PARTITION BY point_id) AS best FROM ({_SNAPW.format(r=4)}) x
           JOIN drain q ON q.run_id = CAST(floor(x.point_id / 100.0) AS INT) AND q.r = x.r AND q.c = x.c
           JOIN drain k ON k.run_id = CAST(floor(x.point_id / 100.0) AS INT) AND k.r = x.point_id * 7 % 30 AND k.c = x.point_id * 11 % 50
           WHERE q.z <= k.z AND NOT (x.r < 3))
-    WHERE area_km2 >= 0.5 * best GROUP BY point_id""", ("poi", "drain"))
+    WHERE area_km2 >= 0.5 * best GROUP BY point_id) b ON b.point_id = p.poi_id""", ("poi", "drain"))
 def _(s, d):
     c = cut(_drain(s, d), "drain").withColumn("pool", F.col("r") < 3)
-    return hyd.injection_cell(_points(s, d), c, DX, 4).where("inj_r IS NOT NULL").select("point_id", "inj_r", "inj_c")
+    return hyd.injection_cell(_points(s, d), c, DX, 4).select("point_id", "inj_r", "inj_c", "problem")
 
 
 @query("gr9_injection_footprint", "GR9", f"""
@@ -345,7 +346,19 @@ def _(s, d):
     return terrain.flat_cells(_terraced(s, d)).where("flat").select(*grid.CELL)
 
 
-@query("top5_suppressed_peaks", "TOP5")
+def _peaks(keep: int, apart: int) -> str:
+    """The greedy choice written out: each peak is the largest cell clear of those before it."""
+    steps = []
+    for k in range(keep):
+        clear = "".join(f" AND NOT EXISTS (SELECT 1 FROM p{j} WHERE p{j}.run_id = d.run_id AND abs(p{j}.r - d.r) < {apart}"
+                        f" AND abs(p{j}.c - d.c) < {apart})" for j in range(k))
+        steps.append(f"p{k} AS (SELECT run_id, b.r AS r, b.c AS c, -b.v AS v FROM (SELECT d.run_id, "
+                     f"min(struct_pack(v := -d.area_km2, r := d.r, c := d.c)) AS b FROM drain d WHERE true{clear} GROUP BY d.run_id))")
+    return (f"SELECT run_id, r, c, round(v, 6) AS v FROM (WITH {', '.join(steps)} "
+            + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(keep)) + ")")
+
+
+@query("top5_suppressed_peaks", "TOP5", _peaks(8, 15), ("drain",))
 def _(s, d):
     return rounded(terrain.suppressed_peaks(_drain(s, d), "area_km2"))
 
@@ -561,16 +574,16 @@ def _(s, d):
 
 
 @query("geo8_bilinear_reprojection", "GEO8", """
-    SELECT t.run_id, t.r, t.c, round(sum(w * z) / sum(w) FILTER (WHERE z IS NOT NULL), 6) AS z FROM (
+    SELECT t.run_id, t.r, t.c, round(sum(w * z) / nullif(sum(w) FILTER (WHERE z IS NOT NULL), 0), 6) AS z FROM (
       SELECT p.run_id, p.r, p.c, CASE i WHEN 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END
              * CASE j WHEN 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END AS w, s.z
       FROM (SELECT *, (r + 0.5) * 1.3 + 2 - 0.5 AS fr, (c + 0.5) * 1.1 + 1 - 0.5 AS fc FROM dem) p, (VALUES (0), (1)) AS a(i), (VALUES (0), (1)) AS b(j)
       LEFT JOIN (SELECT * FROM dem WHERE valid) s ON s.run_id = p.run_id AND s.r = CAST(floor(p.fr) AS INT) + i AND s.c = CAST(floor(p.fc) AS INT) + j) t
-    GROUP BY ALL HAVING sum(w) FILTER (WHERE z IS NOT NULL) > 0""".replace("GROUP BY ALL", "GROUP BY t.run_id, t.r, t.c"), ("dem",))
+    GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY t.run_id, t.r, t.c"), ("dem",))
 def _(s, d):
     src = _dem(s, d).withColumn("z", F.when(F.col("valid"), F.col("z")))
     out = resample.bilinear(src, _dem(s, d), lambda r, c: F.struct((r * 1.3 + 2).alias("r"), (c * 1.1 + 1).alias("c")))
-    return rounded(out.where("z IS NOT NULL"))
+    return rounded(out)
 
 
 @query("src5_elevation_mosaic", "SRC5", """

@@ -36,7 +36,7 @@ def scratch_dir(spark: SparkSession) -> str:
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     base = tempfile.mkdtemp(prefix="floodspark-")
     sc.setCheckpointDir(base)

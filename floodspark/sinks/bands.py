@@ -81,7 +81,7 @@ def export_all(sinks: dict, spark, log_path: str) -> DataFrame:
             write()
             rows.append((name, True, None))
         except Exception as err:  # noqa: BLE001 - the record of the failure is the result
-            rows.append((name, False, f"{type(err).__name__}: {err}"[:500]))
+            rows.append((name, False, f"{type(err).__name__}: {err}"))
     log = spark.createDataFrame(rows, "stage string, ok boolean, error string")
     log.coalesce(1).write.mode("append").parquet(f"{log_path}/{uuid.uuid4().hex}")
     return log

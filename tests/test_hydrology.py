@@ -80,7 +80,7 @@ def test_trace_follows_the_valley_across_tiles(spark):
     z = 1000.0 - 2.0 * rr + 5.0 * np.abs(cc - 10)
     flow = hyd.flow_direction(table(spark, z), "z", 1.0)
     starts = spark.createDataFrame([(0, 7, 5, 3)], "run_id int, start_id int, r int, c int")
-    got = hyd.path_distance(hyd.trace_downstream(flow, starts, 200, 4), 10.0).orderBy("k").toPandas()
+    got = hyd.path_distance(hyd.trace_downstream(flow, starts, 4), 10.0).orderBy("k").toPandas()
     down, at, path = brute.d8(z), (5, 3), []
     while at is not None:
         path.append(at)
