@@ -500,7 +500,7 @@ def _(s, d):
 
 
 @query("jn9_flooded_road_km", "JN9 GEO3 AGG14", """
-    SELECT q.run_id, round(coalesce(sum(greatest(0, least(xhi, (c + 1) * 90.0) - greatest(xlo, c * 90.0))), 0.0) / 1000.0, 6) AS km
+    SELECT q.run_id, round(coalesce(sum(greatest(0, least(xhi, (c + 1) * 90.0) - greatest(xlo, c * 90.0))) FILTER (WHERE x.c IS NOT NULL), 0.0) / 1000.0, 6) AS km
     FROM (SELECT run_id, least(xa, xb) AS xlo, greatest(xa, xb) AS xhi, CAST(floor((5760 - ya) / 90.0) AS INT) AS rr FROM roads) q
     LEFT JOIN cells_h x ON x.run_id = q.run_id AND x.new_flood AND x.r = q.rr AND x.c * 90.0 < xhi AND (x.c + 1) * 90.0 > xlo
     GROUP BY q.run_id""", ("roads", "cells_h"))
