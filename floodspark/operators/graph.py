@@ -1,134 +1,27 @@
 """Forests and label graphs as DataFrames: pointer jumping, contraction, spill levels.
 
-A run whose graph stays below ``LOCAL_ROWS`` edges is solved in one task, all such
-runs in one job.  Larger runs take the loops: each works on a table that shrinks or
-whose unfinished part shrinks, stops on an emptiness test, and cuts its lineage
-through the shared folder each round.  Both ways give the same answer.
+One way for graphs of every size: each loop works on a table that shrinks or whose unfinished part
+shrinks, stops on an emptiness test, and cuts its lineage through the shared folder each round.
 """
 
 from __future__ import annotations
 
-import heapq
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodspark.session import cut
 
 OCEAN = -1
-LOCAL_ROWS = 1_000_000
-
-
-def _run(df: DataFrame) -> str:
-    return df.schema["run_id"].dataType.simpleString()
-
-
-def _by_size(rows: DataFrame, solve_small, schema: str, solve_large) -> DataFrame:
-    """Solve small runs in one task each and the others with the distributed loop."""
-    rows = cut(rows, "graph")
-    small = rows.groupBy("run_id").count().where(F.col("count") <= LOCAL_ROWS).select("run_id")
-    near = rows.join(small, "run_id", "left_semi").groupBy("run_id").applyInPandas(solve_small, schema)
-    far = rows.join(small, "run_id", "left_anti")
-    return near if far.isEmpty() else near.unionByName(solve_large(far))
-
-
-def _follow(parent: np.ndarray) -> np.ndarray:
-    while True:
-        nxt = parent[parent]
-        if (nxt == parent).all():
-            return parent
-        parent = nxt
 
 
 def resolve_roots(parents: DataFrame) -> DataFrame:
-    """``(run_id, a, p)`` to ``(run_id, a, root)``.
-
-    A root points at itself; a pointer that has no row of its own counts as a root.
-    """
-    def small(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(np.concatenate([pdf["a"], pdf["p"]]), return_inverse=True)
-        n = len(pdf)
-        parent = np.arange(len(ids))
-        parent[at[:n]] = at[n:]
-        return pd.DataFrame({"run_id": pdf["run_id"], "a": pdf["a"], "root": ids[_follow(parent)[at[:n]]]})
-
-    return _by_size(parents.select("run_id", "a", "p"), small,
-                    f"run_id {_run(parents)}, a long, root long", _jump_roots)
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """Components of an undirected graph ``(run_id, a, b)`` as ``(run_id, node, root)``."""
-    def small(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-        a, b = at[:len(pdf)], at[len(pdf):]
-        parent = np.arange(len(ids))
-        while (parent[a] != parent[b]).any():
-            pa, pb = parent[a], parent[b]
-            np.minimum.at(parent, np.maximum(pa, pb), np.minimum(pa, pb))
-            parent = _follow(parent)
-        return pd.DataFrame({"run_id": key[0], "node": ids, "root": ids[parent]})
-
-    return _by_size(edges.select("run_id", "a", "b"), small,
-                    f"run_id {_run(edges)}, node long, root long", _contract)
+    """``(run_id, a, p)`` to ``(run_id, a, root)`` by pointer jumping.
 
-
-def spill_levels(edges: DataFrame) -> DataFrame:
-    """Lowest level at which each basin drains to the ocean: ``(run_id, node, level)``.
-
-    ``edges`` is ``(run_id, a, b, w)``, ``w`` the height of the pass between two
-    basins, ``OCEAN`` the outside.
+    A root points at itself; a pointer that has no row of its own counts as a root.  Settled rows
+    leave, so a popular root is joined once only.
     """
-    def small(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-        a, b, w = at[:len(pdf)], at[len(pdf):], pdf["w"].to_numpy()
-        src, dst, ww = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
-        order = np.argsort(src, kind="stable")
-        src, dst, ww = src[order], dst[order], ww[order]
-        lo = np.searchsorted(src, np.arange(len(ids) + 1))
-        level = np.full(len(ids), np.inf)
-        heap = [(-np.inf, int(np.flatnonzero(ids == OCEAN)[0]))]
-        level[heap[0][1]] = -np.inf
-        while heap:
-            x, i = heapq.heappop(heap)
-            if x > level[i]:
-                continue
-            for k in range(lo[i], lo[i + 1]):
-                up, j = max(x, ww[k]), dst[k]
-                if up < level[j]:
-                    level[j] = up
-                    heapq.heappush(heap, (up, int(j)))
-        land = ids != OCEAN
-        return pd.DataFrame({"run_id": key[0], "node": ids[land], "level": level[land]})
-
-    return _by_size(edges.select("run_id", "a", "b", "w"), small,
-                    f"run_id {_run(edges)}, node long, level double", _contract_spills)
-
-
-def forest_sums(nodes: DataFrame) -> DataFrame:
-    """Subtree sums of a forest ``(run_id, a, p, v)`` (``p`` NULL at a root)."""
-    def small(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["a"].to_numpy()
-        n = len(ids)
-        order = np.argsort(ids)
-        p = pdf["p"].fillna(-1).to_numpy().astype(np.int64)
-        at = order[np.minimum(np.searchsorted(ids, p, sorter=order), n - 1)]
-        jump = np.append(np.where(ids[at] == p, at, n), n)
-        acc = np.append(pdf["v"].to_numpy(float), 0.0)
-        while (jump[:n] < n).any():
-            live = jump < n
-            acc = acc + np.bincount(jump[live], weights=acc[live], minlength=n + 1)
-            jump = jump[jump]
-        return pd.DataFrame({"run_id": key[0], "a": ids, "v": acc[:n]})
-
-    return _by_size(nodes.select("run_id", "a", "p", "v"), small,
-                    f"run_id {_run(nodes)}, a long, v double", _double_sums)
-
-
-def _jump_roots(parents: DataFrame) -> DataFrame:
-    """Pointer jumping; settled rows leave, so a popular root is joined once only."""
     settled = []
     live = cut(parents.select("run_id", "a", "p"), "roots")
     while True:
@@ -150,8 +43,10 @@ def _jump_roots(parents: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionByName, settled)
 
 
-def _contract(edges: DataFrame) -> DataFrame:
-    """Components by contraction: every node hooks to its smallest neighbour, hooks are followed to
+def connected(edges: DataFrame) -> DataFrame:
+    """Components of an undirected graph ``(run_id, a, b)`` as ``(run_id, node, root)``.
+
+    By contraction: every node hooks to its smallest neighbour, hooks are followed to
     their roots, and the edges are relabelled; edges inside a component vanish, so a
     giant component costs less every round instead of becoming a hot key.
     """
@@ -160,7 +55,7 @@ def _contract(edges: DataFrame) -> DataFrame:
     rounds = []
     while not e.isEmpty():
         hook = e.groupBy("run_id", "a").agg(F.least(F.first("a"), F.min("b")).alias("p"))
-        roots = cut(_jump_roots(hook), "graph")
+        roots = cut(resolve_roots(hook), "graph")
         rounds.append(roots)
         to = roots.select("run_id", "a", F.col("root").alias("ra"))
         e = (e.join(to, ["run_id", "a"])
@@ -179,8 +74,11 @@ def _contract(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _contract_spills(edges: DataFrame) -> DataFrame:
-    """Spill levels by contraction.  Each round every basin picks its lowest pass
+def spill_levels(edges: DataFrame) -> DataFrame:
+    """Lowest level at which each basin drains to the ocean: ``(run_id, node, level)``.
+
+    ``edges`` is ``(run_id, a, b, w)``, ``w`` the height of the pass between two basins, ``OCEAN`` the
+    outside.  By contraction: each round every basin picks its lowest pass
     under one total order of passes; the picks form trees that end in the ocean or
     in a pair of basins choosing each other.  Along a tree the passes never rise,
     so the whole tree contracts to one basin whose own lowest pass comes next, and
@@ -204,7 +102,7 @@ def _contract_spills(edges: DataFrame) -> DataFrame:
             "run_id", "a",
             F.when((F.col("pp") == F.col("a")) & (F.col("a") < F.col("p")), F.col("a"))
              .otherwise(F.col("p")).alias("p"))
-        roots = cut(_jump_roots(hook), "spill")
+        roots = cut(resolve_roots(hook), "spill")
         rounds.append(cut(pick.join(roots, ["run_id", "a"]).select("run_id", "a", "root", "w"), "spill"))
         to = roots.select("run_id", "a", F.col("root").alias("ra"))
         e = (e.join(to, ["run_id", "a"], "left")
@@ -227,8 +125,10 @@ def _contract_spills(edges: DataFrame) -> DataFrame:
     return level.select("run_id", F.col("a").alias("node"), "level")
 
 
-def _double_sums(nodes: DataFrame) -> DataFrame:
-    """Path doubling: after k rounds a node holds the sum over descendants closer
+def forest_sums(nodes: DataFrame) -> DataFrame:
+    """Subtree sums of a forest ``(run_id, a, p, v)`` (``p`` NULL at a root).
+
+    By path doubling: after k rounds a node holds the sum over descendants closer
     than 2^k, so the rounds are the logarithm of the depth.
     """
     cur = cut(nodes.select("run_id", "a", "p", "v"), "forest")
