@@ -364,7 +364,14 @@ def _(s, d):
     return ps.hazard_rows(exposure.population_by_class(_only_exposed(enriched(s, d)), "defra_class", fixed.HAZARD_NAMES))
 
 
-@query("snk6_damage_rows", "SNK6")
+_MONEY = "format('₹{{:,.1f}} cr', {0} / 10000000.0) AS {0}"
+_DAMAGE_ROWS = f"SELECT * FROM ({_BUILD}) UNION ALL SELECT * FROM ({_LAND})".replace(", 2) AS", ", 8) AS")
+
+
+@query("snk6_damage_rows", "SNK6", f"""
+    SELECT run_id, category, {', '.join(_MONEY.format(c) for c in ('low', 'central', 'high'))} FROM (
+      SELECT run_id, category, low, central, high FROM ({_DAMAGE_ROWS})
+      UNION ALL SELECT run_id, 'TOTAL', sum(low), sum(central), sum(high) FROM ({_DAMAGE_ROWS}) GROUP BY run_id)""", ("cells_h", "buildings"))
 def _(s, d):
     c = _categories(s, d)
     return ps.damage_rows(c, exposure.total_damage(c))
@@ -455,7 +462,10 @@ def _(s, d):
     return rounded(back.groupBy("run_id", "band").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 3)
 
 
-@query("snk4_settlement_features", "SNK4")
+@query("snk4_settlement_features", "SNK4", """
+    SELECT CAST(json_object('type', 'Feature', 'properties', json_object('name', name, 'flooded', flooded, 'arr_min', arr_min,
+                  'depth_m', depth_m, 'band', r.band), 'geometry', json_object('type', 'Point', 'coordinates', json_array(x, y))) AS VARCHAR) AS value
+    FROM risk r JOIN (SELECT run_id, poi_id, x, y FROM poi) USING (run_id, poi_id)""", ("risk", "poi"))
 def _(s, d):
     r = _risk(s, d).join(view(s, d, "poi").select("run_id", "poi_id", "x", "y"), ["run_id", "poi_id"])
     return bands.feature_rows(r, bands.point_geometry(F.col("x"), F.col("y")), "name", "flooded", "arr_min", "depth_m", "band")

@@ -211,9 +211,12 @@ def _(s, d):
         "run_id", "status", "headline", "peak_depth_m", "has_bundle")
 
 
-@query("js2_band_names", "JS2", f"""SELECT run_id, '0-15 min|15-30 min|>30 min' AS labels FROM ({_LATEST})""", ("status_events",))
+@query("js2_band_names", "JS2", f"""
+    SELECT run_id, '0-' || (seq + 1) || ' min|' || (seq + 1) || '-' || (2 * seq + 2) || ' min|>' || (2 * seq + 2) || ' min' AS labels
+    FROM ({_LATEST})""", ("status_events",))
 def _(s, d):
-    j = F.concat(F.lit('{"area_by_arrival_band_km2": {"0-15 min": 1.5, "15-30 min": '), F.col("seq").cast("string"), F.lit(', ">30 min": 0}}'))
+    a, b = (F.col("seq") + 1).cast("int"), (F.col("seq") * 2 + 2).cast("int")
+    j = F.format_string('{"run": %d, "area_by_arrival_band_km2": {"0-%d min": 1.5, "%d-%d min": 0.25, ">%d min": 0}}', F.col("run_id").cast("int"), a, a, b, b)
     return _latest(s, d).select("run_id", F.array_join(documents.band_names(j), "|").alias("labels"))
 
 

@@ -223,18 +223,33 @@ def _(s, d):
                                    hy.ritter_front(t, h0, x0).alias("front"), hy.ritter_discharge(h0).alias("q0")))
 
 
-@query("fn19_stoker_middle_state", "FN19", """
-    SELECT id, true AS balanced FROM breaches""", ("breaches",))
-def _(s, d):
-    hl, hr = F.col("b") + 2, (F.col("a") + 1) / 100.0
-    x = _b(s, d).withColumn("m", hy.stoker_state(hl, hr)).withColumn("hr", hr).withColumn("hl", hl)
-    hm, g = F.col("m.hm"), fixed.GRAVITY
-    shock = (hm - F.col("hr")) * F.sqrt(0.5 * g * (1 / hm + 1 / F.col("hr")))
-    rare = 2 * (F.sqrt(g * F.col("hl")) - F.sqrt(g * hm))
-    return x.select("id", ((F.abs(shock - rare) < 1e-6) & (hm > F.col("hr")) & (hm < F.col("hl"))).alias("balanced"))
-
-
-@query("fn19_stoker_profile", "FN19")
+# the wave speed at which both branches meet, halved sixty times between the two states
+_STOKER = """
+    SELECT *, cm * cm / 9.81 AS hm, 2.0 * (cl - cm) AS u2, cm * cm / 9.81 * 2.0 * (cl - cm) / (cm * cm / 9.81 - hr) AS shock FROM (
+      SELECT *, (pin.lo + pin.hi) / 2.0 AS cm FROM (
+        SELECT *, list_reduce(
+          list_prepend(struct_pack(lo := sqrt(9.81 * hr), hi := cl), list_transform(range(60), lambda i: struct_pack(lo := cl, hi := cl))),
+          lambda acc, i: CASE WHEN 2.0 * (cl - (acc.lo + acc.hi) / 2.0) > (pow((acc.lo + acc.hi) / 2.0, 2) / 9.81 - hr)
+                                * sqrt(0.5 * 9.81 * (9.81 / pow((acc.lo + acc.hi) / 2.0, 2) + 1.0 / hr))
+            THEN struct_pack(lo := (acc.lo + acc.hi) / 2.0, hi := acc.hi) ELSE struct_pack(lo := acc.lo, hi := (acc.lo + acc.hi) / 2.0) END) AS pin
+        FROM (SELECT *, sqrt(9.81 * hl) AS cl FROM ({source}))))"""
+
+
+@query("fn19_stoker_middle_state", "FN19", f"""
+    SELECT id, CASE WHEN hl > hr THEN round(hm, 6) END AS hm, CASE WHEN hl > hr THEN round(u2, 6) END AS u2,
+           CASE WHEN hl > hr THEN round(shock, 6) END AS shock
+    FROM ({_STOKER.format(source='SELECT id, b + 2.0 AS hl, (a + 1) / 100.0 AS hr FROM breaches')})""", ("breaches",))
+def _(s, d):
+    x = _b(s, d).withColumn("m", hy.stoker_state(F.col("b") + 2, (F.col("a") + 1) / 100.0))
+    return rounded(x.select("id", "m.hm", "m.u2", "m.shock"))
+
+
+@query("fn19_stoker_profile", "FN19", f"""
+    SELECT id, round(CASE WHEN xi <= -cl THEN hl WHEN xi <= u2 - cm THEN (2.0 * cl - xi) * (2.0 * cl - xi) / (9.0 * 9.81)
+                          WHEN xi < shock THEN hm ELSE hr END, 6) AS h,
+           round(CASE WHEN xi <= -cl THEN 0.0 WHEN xi <= u2 - cm THEN 2.0 / 3.0 * (xi + cl) WHEN xi < shock THEN u2 ELSE 0.0 END, 6) AS u
+    FROM (SELECT *, (a * 2.0 - 80.0) / 5.0 AS xi FROM ({_STOKER.format(source='SELECT id, a, b + 2.0 AS hl, 0.5 AS hr FROM breaches')}))""",
+       ("breaches",))
 def _(s, d):
     hl, hr = F.col("b") + 2, F.lit(0.5)
     x = _b(s, d).withColumn("m", hy.stoker_state(hl, hr)).withColumn("x", F.col("a") * 2 - 80)
