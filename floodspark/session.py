@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,19 @@ def build_session(app: str = "floodspark", master: str | None = None,
     }
     for key, value in {**defaults, **(conf or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose kernels import it."""
+    root = Path(__file__).parent
+    target = f"{tempfile.mkdtemp(prefix='floodspark-')}/floodspark.zip"  # served to them by the driver
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(target)
 
 
 def scratch_dir(spark: SparkSession) -> str:
