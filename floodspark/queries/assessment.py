@@ -239,15 +239,35 @@ def _(s, d):
     return rounded(exposure.land_damage(enriched(s, d), DX), 2)
 
 
+_KM = """
+    SELECT q.run_id, coalesce(sum(greatest(0, least(xhi, (c + 1) * 90.0) - greatest(xlo, c * 90.0))) FILTER (WHERE x.c IS NOT NULL), 0.0) / 1000.0 AS km
+    FROM (SELECT run_id, least(xa, xb) AS xlo, greatest(xa, xb) AS xhi, CAST(floor((5760 - ya) / 90.0) AS INT) AS rr FROM roads) q
+    LEFT JOIN cells_h x ON x.run_id = q.run_id AND x.new_flood AND x.r = q.rr AND x.c * 90.0 < xhi AND (x.c + 1) * 90.0 > xlo
+    GROUP BY q.run_id"""
+_ROADS = f"""SELECT run_id, 'roads' AS category, round(km * 8750000.0, 2) AS central, round(km * 8750000.0 * 0.5, 2) AS low,
+        round(km * 8750000.0 * 2, 2) AS high, 'INR' AS unit FROM ({_KM})"""
+_DAMAGE = f"SELECT * FROM ({_BUILD}) UNION ALL SELECT * FROM ({_LAND}) UNION ALL SELECT * FROM ({_ROADS})".replace(", 2) AS", ", 8) AS")
+
+
+def _flooded_km(s, d, e):
+    return vectors.flooded_length(vectors.segments_to_cells(view(s, d, "roads"), DX, 0.0, NY * DX), e.where("new_flood"))
+
+
+@query("agg14_road_damage", "AGG14", _ROADS, ("roads", "cells_h"))
+def _(s, d):
+    return rounded(exposure.road_damage(_flooded_km(s, d, enriched(s, d))), 2)
+
+
 def _categories(s, d):
-    e = enriched(s, d)
+    e = cut(enriched(s, d).select(*grid.CELL, "max_depth", "new_flood"), "enriched")
     at = sampling.at_cells(view(s, d, "buildings"), e, "max_depth")
-    return exposure.building_damage(at).unionByName(exposure.land_damage(e, DX))
+    return exposure.building_damage(at).unionByName(exposure.land_damage(e, DX)).unionByName(
+        exposure.road_damage(_flooded_km(s, d, e)))
 
 
 @query("agg14_total_damage", "AGG14", f"""
     SELECT run_id, round(sum(central), 1) AS central, round(sum(low), 1) AS low, round(sum(high), 1) AS high, max(unit) AS unit
-    FROM (SELECT * FROM ({_BUILD}) UNION ALL SELECT * FROM ({_LAND})) GROUP BY run_id""".replace(", 2) AS", ", 8) AS"), ("cells_h", "buildings"))
+    FROM ({_DAMAGE}) GROUP BY run_id""", ("cells_h", "buildings", "roads"))
 def _(s, d):
     return rounded(exposure.total_damage(_categories(s, d)), 1)
 
@@ -365,42 +385,71 @@ def _(s, d):
 
 
 _MONEY = "format('₹{{:,.1f}} cr', {0} / 10000000.0) AS {0}"
-_DAMAGE_ROWS = f"SELECT * FROM ({_BUILD}) UNION ALL SELECT * FROM ({_LAND})".replace(", 2) AS", ", 8) AS")
 
 
 @query("snk6_damage_rows", "SNK6", f"""
     SELECT run_id, category, {', '.join(_MONEY.format(c) for c in ('low', 'central', 'high'))} FROM (
-      SELECT run_id, category, low, central, high FROM ({_DAMAGE_ROWS})
-      UNION ALL SELECT run_id, 'TOTAL', sum(low), sum(central), sum(high) FROM ({_DAMAGE_ROWS}) GROUP BY run_id)""", ("cells_h", "buildings"))
+      SELECT run_id, category, low, central, high FROM ({_DAMAGE})
+      UNION ALL SELECT run_id, 'TOTAL', sum(low), sum(central), sum(high) FROM ({_DAMAGE}) GROUP BY run_id)""", ("cells_h", "buildings", "roads"))
 def _(s, d):
     c = _categories(s, d)
     return ps.damage_rows(c, exposure.total_damage(c))
 
 
-def _gate(figures):
-    f = figures.withColumn("volume_error", (F.col("run_id") % 3 - 1) * 0.001).withColumn(
-        "open_edges", F.col("run_id") % 2 == 0)
-    return ps.release_gate(f.withColumn("unverified_n", F.col("run_id") % 4).withColumn("has_damage", F.col("run_id") % 5 == 0)
-                            .withColumn("conserved", F.col("run_id") % 7 != 0))
+def _gate(s, d):
+    """The release gate on what was measured: volumes, flooded edges, damage, and the sources of the run's area."""
+    e = enriched(s, d)
+    rim = F.col("r").isin(0, NY - 1) | F.col("c").isin(0, NX - 1)
+    runs = e.groupBy("run_id").agg(F.bool_or(F.col("flood") & rim).alias("open_edges"))
+    volumes = accumulate.frame_volumes(view(s, d, "frames"), DX)
+    error = accumulate.volume_error(volumes, runs.select("run_id", F.lit(500.0).alias("injected")), False)
+    unverified = view(s, d, "sources").where(~F.col("verified")).groupBy(F.split("key", "[.]")[0].alias("area")).agg(
+        F.count("*").alias("n"))
+    loss = exposure.total_damage(_categories(s, d)).select("run_id", (F.col("central") > 0).alias("has_damage"))
+    runs = runs.join(error.select("run_id", F.col("error").alias("volume_error")), "run_id").join(loss, "run_id", "left")
+    runs = runs.withColumn("area", F.concat(F.lit("area"), (F.col("run_id") % 7).cast("string"))).join(unverified, "area", "left")
+    return ps.release_gate(runs.withColumn("unverified_n", F.coalesce("n", F.lit(0)))
+                               .withColumn("has_damage", F.coalesce("has_damage", F.lit(False))).withColumn("conserved", F.lit(True)))
+
+
+_GATE = f"""
+    SELECT run_id, list_filter([
+             CASE WHEN n > 0 THEN n || ' unverified citation(s)' END,
+             CASE WHEN loss > 0 THEN 'damage is order-of-magnitude only' END,
+             CASE WHEN error > 0.000001 THEN 'mass conservation: spurious gain'
+                  WHEN error < -0.000001 AND NOT open_edges THEN 'mass conservation: loss on a walled domain' END], lambda x: x IS NOT NULL) AS reasons
+    FROM (SELECT run_id, bool_or(flood AND (r IN (0, 63) OR c IN (0, 63))) AS open_edges FROM cells_h GROUP BY run_id)
+    JOIN (SELECT run_id, (arg_max(v, t_s) - arg_min(v, t_s) - 500.0) / (arg_min(v, t_s) + 500.0) AS error FROM (
+            SELECT run_id, t_s, sum(h) * 8100.0 AS v FROM frames GROUP BY ALL) GROUP BY run_id) USING (run_id)
+    LEFT JOIN (SELECT run_id, sum(central) AS loss FROM ({_DAMAGE}) GROUP BY run_id) USING (run_id)
+    LEFT JOIN (SELECT split_part(key, '.', 1) AS area, count(*) AS n FROM sources WHERE NOT verified GROUP BY 1) ON area = 'area' || (run_id % 7)"""
+_GATE_NEEDS = ("cells_h", "frames", "buildings", "roads", "sources")
+
+
+@query("agg35_release_gate", "AGG35", f"SELECT run_id, array_to_string(reasons, '; ') AS reasons FROM ({_GATE})", _GATE_NEEDS)
+def _(s, d):
+    g = _gate(s, d)
+    return g.select("run_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("agg35_release_gate", "AGG35", """
-    SELECT run_id, array_to_string(list_filter([
-             CASE WHEN run_id % 4 > 0 THEN (run_id % 4) || ' unverified citation(s)' END,
-             CASE WHEN run_id % 5 = 0 THEN 'damage is order-of-magnitude only' END,
-             CASE WHEN run_id % 3 = 2 THEN 'mass conservation: spurious gain'
-                  WHEN run_id % 3 = 0 AND run_id % 2 <> 0 THEN 'mass conservation: loss on a walled domain' END,
-             CASE WHEN run_id % 7 = 0 THEN 'population resampling did not conserve totals' END], lambda x: x IS NOT NULL), '; ') AS reasons
-    FROM runs""", ("runs",))
-def _(s, d):
-    g = _gate(cells(s, d).select("run_id").distinct())
-    return g.select("run_id", F.array_join("reasons", "; ").alias("reasons"))
+_CAVEATS = f"""
+    SELECT run_id, list_filter([
+      'Hazard is an average over 90 m cells (0.81 ha), not over single buildings.', 'Water shallower than 0.10 m is reported as dry.',
+      'Arrival is the first moment depth reaches 0.10 m in a 90 m cell.', 'Arrival time is not warning time.',
+      'Arrival is reported in bands; its uncertainty exceeds single minutes.',
+      CASE WHEN never_cells > 0 THEN never_cells || ' cells had not flooded by the end of the run; near the outlet that may mean not yet.' END,
+      'Population is a modelled surface of 2020, 6 years old, not a count.', 'Populations are reported to two significant figures.',
+      'Population is where people sleep, not where they work or travel.', 'Damage is an order-of-magnitude range, not an assessment.',
+      'Depth-damage curves ignore velocity; structural failure is counted separately.',
+      CASE WHEN interpolated_cells > 0 THEN interpolated_cells || ' flooded cells (' || format('{{:.1f}}', interpolated_pct)
+        || '%) lie on terrain interpolated across voids.' END], lambda x: x IS NOT NULL) AS limitations
+    FROM ({FIGURES_SQL})"""
 
 
-@query("agg34_caveats", "AGG34 AGG41 AGG42 SET6 DT2")
+@query("agg34_caveats", "AGG34 AGG41 AGG42 SET6 DT2", f"SELECT run_id, CAST(to_json(limitations) AS VARCHAR) AS limitations FROM ({_CAVEATS})",
+       ("cells_h", "dem", "seeds"))
 def _(s, d):
-    c = ps.stage_caveats(exposure.run_figures(_masked(s, d), DX), DX)
-    return ps.ordered_distinct(c.unionByName(c)).select("run_id", F.to_json("limitations").alias("limitations"))
+    return ps.ordered_distinct(ps.stage_caveats(exposure.run_figures(_masked(s, d), DX), DX)).select("run_id", F.to_json("limitations").alias("limitations"))
 
 
 def _summary(s, d):
@@ -409,7 +458,7 @@ def _summary(s, d):
     return ps.scenario_summary(f, exposure.exposure_totals(e),
                                exposure.area_by_class(e, "defra_class", fixed.HAZARD_NAMES, DX),
                                exposure.area_by_class(e, "band", fa.band_labels(), DX),
-                               ps.stage_caveats(f, DX), _gate(f.select("run_id")))
+                               ps.stage_caveats(f, DX), _gate(s, d))
 
 
 @query("agg36_scenario_summary", "AGG36 STR4")
@@ -509,14 +558,9 @@ def _(s, d):
     return vectors.features_in_flood(b, enriched(s, d).where("new_flood"))
 
 
-@query("jn9_flooded_road_km", "JN9 GEO3 AGG14", """
-    SELECT q.run_id, round(coalesce(sum(greatest(0, least(xhi, (c + 1) * 90.0) - greatest(xlo, c * 90.0))) FILTER (WHERE x.c IS NOT NULL), 0.0) / 1000.0, 6) AS km
-    FROM (SELECT run_id, least(xa, xb) AS xlo, greatest(xa, xb) AS xhi, CAST(floor((5760 - ya) / 90.0) AS INT) AS rr FROM roads) q
-    LEFT JOIN cells_h x ON x.run_id = q.run_id AND x.new_flood AND x.r = q.rr AND x.c * 90.0 < xhi AND (x.c + 1) * 90.0 > xlo
-    GROUP BY q.run_id""", ("roads", "cells_h"))
+@query("jn9_flooded_road_km", "JN9 GEO3 AGG14", f"SELECT run_id, round(km, 6) AS km FROM ({_KM})", ("roads", "cells_h"))
 def _(s, d):
-    v = vectors.segments_to_cells(view(s, d, "roads"), DX, 0.0, NY * DX)
-    return rounded(vectors.flooded_length(v, enriched(s, d).where("new_flood")))
+    return rounded(_flooded_km(s, d, enriched(s, d)))
 
 
 @query("geo3_polygon_cells", "GEO3", """
