@@ -278,7 +278,15 @@ def _(s, d):
     return rounded(cells(s, d).select(*grid.CELL, fd.damage_fraction(F.col("max_depth"), "infrastructure").alias("fraction")))
 
 
-@query("fn6_crore_text", "FN6")
+_TWO = "CASE WHEN {0} = 0 THEN 0.0 ELSE round_even({0} / pow(10, floor(log10(abs({0}))) - 1), 0) * pow(10, floor(log10(abs({0}))) - 1) END"
+_SHOWN = "CASE WHEN {0} = floor({0}) THEN format('{{:,.0f}}', {0}) ELSE regexp_replace(format('{{:,.4f}}', {0}), '0+$', '') END"
+
+
+@query("fn6_crore_text", "FN6", f"""
+    SELECT run_id, CASE WHEN high < 10000000.0 THEN 'under Rs 1 crore (order-of-magnitude estimate)'
+      ELSE 'Rs ' || {_SHOWN.format('lo')} || '-' || {_SHOWN.format('hi')} || ' crore (order-of-magnitude estimate)' END AS text
+    FROM (SELECT *, {_TWO.format('(low / 10000000.0)')} AS lo, {_TWO.format('(high / 10000000.0)')} AS hi FROM (
+      SELECT run_id, sum(low) AS low, sum(high) AS high FROM ({_DAMAGE}) GROUP BY run_id))""", ("cells_h", "buildings", "roads"))
 def _(s, d):
     t = exposure.total_damage(_categories(s, d))
     return t.select("run_id", fd.format_crore(F.col("low"), F.col("high")).alias("text"))
@@ -461,20 +469,58 @@ def _summary(s, d):
                                ps.stage_caveats(f, DX), _gate(s, d))
 
 
-@query("agg36_scenario_summary", "AGG36 STR4")
+def _by_label(col: str, dim: str) -> str:
+    return f"""SELECT run_id, string_agg(label || '=' || format('{{:,.4f}}', km2), '|' ORDER BY idx) AS areas FROM ({_area(col, dim)}) GROUP BY run_id"""
+
+
+_SCENARIO = f"""
+    SELECT f.*, t.total, t.people, array_to_string(g.reasons, '; ') AS reasons, len(g.reasons) = 0 AS presentable,
+           CAST(to_json(c.limitations) AS VARCHAR) AS limitations, h.areas AS by_hazard, b.areas AS by_band,
+           'dam break at run ' || f.run_id || '; floods '
+             || CASE WHEN new_km2 >= 10 THEN format('{{:,}}', CAST(round_even(new_km2, 0) AS BIGINT)) ELSE format('{{:.1f}}', new_km2) END || ' km2'
+             || coalesce('; first arrival ' || format('{{:.0f}}', first_arrival_min) || ' min after failure', '')
+             || CASE WHEN people > 0 THEN '; about ' || format('{{:,}}', people) || ' people exposed' ELSE '' END || '.' AS headline
+    FROM ({FIGURES_SQL}) f
+    JOIN (SELECT run_id, p AS total, {_FIG} AS people FROM (
+            SELECT run_id, sum(CASE WHEN new_flood AND newly_flooded THEN pop ELSE 0.0 END) AS p FROM cells_h GROUP BY run_id)) t USING (run_id)
+    JOIN ({_GATE}) g USING (run_id) JOIN ({_CAVEATS}) c USING (run_id)
+    JOIN ({_by_label('defra_class', 'hz')}) h USING (run_id) JOIN ({_by_label('band', 'bd')}) b USING (run_id)"""
+_SCENARIO_NEEDS = (*_GATE_NEEDS, "dem", "seeds", "runs", "hz", "bd")
+
+
+@query("agg36_scenario_summary", "AGG36 STR4", f"""
+    SELECT run_id, headline, new_km2 AS flooded_area_km2, wetted_km2 AS total_wetted_area_km2, peak_depth_m, peak_speed_ms, near_depth_m,
+           near_speed_ms, first_arrival_min, last_arrival_min, interpolated_cells, round(total, 4) AS total_population,
+           CAST(people AS BIGINT) AS reported_population, presentable AS presentable_as_fact, reasons AS blocking_reasons, limitations,
+           by_hazard, by_band FROM ({_SCENARIO})""", _SCENARIO_NEEDS)
 def _(s, d):
-    x = _summary(s, d)
-    return x.select("run_id", "headline", F.to_json("results").alias("results"), F.to_json("honesty").alias("honesty"))
+    def listed(m):
+        return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), F.format_number(e["value"], 4))), "|")
+    x = _summary(s, d).select("run_id", "headline", "results.*", "honesty.*")
+    return rounded(x.select(
+        "run_id", "headline", "flooded_area_km2", "total_wetted_area_km2", "peak_depth_m", "peak_speed_ms", "near_depth_m", "near_speed_ms",
+        "first_arrival_min", "last_arrival_min", "interpolated_cells", F.round("total_population", 4).alias("total_population"),
+        F.col("reported_population").cast("long").alias("reported_population"), "presentable_as_fact",
+        F.array_join("blocking_reasons", "; ").alias("blocking_reasons"), F.to_json("limitations").alias("limitations"),
+        listed("area_by_hazard_km2").alias("by_hazard"), listed("area_by_band_km2").alias("by_band")))
 
 
-@query("agg37_run_scalars", "AGG37")
+@query("agg37_run_scalars", "AGG37", f"""
+    SELECT run_id, headline, presentable, peak_depth_m, new_km2 AS flooded_area_km2, first_arrival_min,
+           round(CASE WHEN people <> 0 THEN people ELSE total END, 6) AS exposed_people FROM ({_SCENARIO})""", _SCENARIO_NEEDS)
 def _(s, d):
     return rounded(ps.run_scalars(_summary(s, d)))
 
 
-@query("snk2_metadata_document", "SNK2 PRJ14")
+@query("snk2_metadata_document", "SNK2 PRJ14", f"""
+    SELECT run_id, 1 AS schema_version, headline, presentable, limitations, round(total, 4) AS total_population FROM ({_SCENARIO})""", _SCENARIO_NEEDS)
 def _(s, d):
-    return bands.metadata_document(_summary(s, d))
+    def read(path):
+        return F.get_json_object("value", path)
+    return bands.metadata_document(_summary(s, d)).select(
+        "run_id", read("$.schema_version").cast("int").alias("schema_version"), read("$.scenario.headline").alias("headline"),
+        read("$.honesty.presentable_as_fact").cast("boolean").alias("presentable"), read("$.scenario.honesty.limitations").alias("limitations"),
+        F.round(read("$.scenario.results.total_population").cast("double"), 4).alias("total_population"))
 
 
 @query("fn7_two_figures", "FN7", """

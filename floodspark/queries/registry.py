@@ -356,11 +356,17 @@ def _(s, d):
     return bands.hashed(p)
 
 
-@query("snk3_manifest_of_files", "SNK3")
+@query("snk3_manifest_of_files", "SNK3", """
+    SELECT path, strlen(body) AS bytes, sha256(body) AS sha256, count(*) OVER () AS files, CAST(sum(strlen(body)) OVER () AS BIGINT) AS total_bytes
+    FROM (SELECT 'part=' || page_id % 4 AS path, string_agg(html || chr(10), '' ORDER BY page_id) AS body FROM pages GROUP BY 1)""")
 def _(s, d):
     root = scratch_path(s, "files")
-    table(s, d, "pages").select("html").repartition(4).write.option("lineSep", "\n").text(root)
-    return bands.manifest(s, root).where(~F.col("path").rlike(r"(^|/)[._]")).select("bytes", "sha256")
+    p = table(s, d, "pages").select((F.col("page_id") % 4).alias("part"), "page_id", F.col("html").alias("value"))
+    (p.repartition(4, "part").sortWithinPartitions("part", "page_id").drop("page_id")
+      .write.partitionBy("part").option("lineSep", "\n").text(root))
+    found = bands.manifest(s, root).where(~F.col("path").rlike(r"(^|/)[._]"))
+    total = found.agg(F.count("*").alias("files"), F.sum("bytes").alias("total_bytes"))  # one row
+    return found.select(F.substring_index("path", "/", 1).alias("path"), "bytes", "sha256").join(F.broadcast(total))
 
 
 @query("snk7_isolated_exports", "SNK7", "SELECT * FROM (VALUES ('bad', false), ('good', true)) AS t(stage, ok)")
