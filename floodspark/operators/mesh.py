@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def nodes(sizes: DataFrame, dx: float, x0: float, y_top: float) -> DataFrame:
-    n = (sizes.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ny"))))
+    n = (sizes.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ny")))).repartition("run_id", "j")
               .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nx")))))
     return n.select("run_id", (F.col("j").cast("long") * (F.col("nx") + 1) + F.col("i")).alias("node_id"),
                     (x0 + F.col("i") * dx).alias("x"), (y_top - F.col("j") * dx).alias("y"))

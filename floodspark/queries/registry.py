@@ -326,7 +326,7 @@ def _(s, d):
     line = F.concat_ws(" , ", "s_name", (F.col("s_suppkey") * 1.5).cast("string"), (F.col("s_suppkey") * 2.5).cast("string"), F.lit("left"), F.col("s_acctbal").cast("string"))
     body = table(s, d, "supplier").select(F.concat(F.lit("# surveyed points\npoint,x_m,y_m,bank,ws_obs_m\n"), line).alias("value"))
     body.write.option("lineSep", "\n").text(path)
-    rows = documents.read_csv(s, path, "point STRING, x_m STRING, y_m STRING, bank STRING, ws_obs_m STRING").where("point <> 'point'")
+    rows = documents.read_csv(s, path, "bank STRING, ws_obs_m STRING, y_m STRING, x_m STRING, point STRING").where("point <> 'point'")
     return rows.select("point", *[F.col(c).cast("double").alias(c) for c in ("x_m", "y_m")], "bank", F.col("ws_obs_m").cast("double").alias("ws_obs_m"))
 
 
@@ -341,12 +341,12 @@ def _(s, d):
     return u.groupBy("kind").agg(F.count("*").alias("n"), F.count("ws_obs_m").alias("ws"), F.count("at_obs_s").alias("at_"))
 
 
-@query("src11_artifact_listing", "SRC11 STR8", "SELECT 'text' AS kind, count(*) AS files, true AS sized FROM (SELECT DISTINCT lang FROM documents)")
+@query("src11_artifact_listing", "SRC11 STR8", "SELECT 'text' AS kind, count(*) AS folders, true AS sized FROM (SELECT DISTINCT lang FROM documents)")
 def _(s, d):
     root = scratch_path(s, "artifacts")
-    table(s, d, "documents").select("lang", "text").repartition(1, "lang").write.partitionBy("lang").text(root)
+    table(s, d, "documents").select("lang", "text").write.partitionBy("lang").text(root)
     a = documents.artifacts(s, root).where(~F.col("name").rlike(r"(^|/)[._]"))
-    return a.groupBy("kind").agg(F.count("*").alias("files"), F.bool_and(F.col("size_bytes") > 0).alias("sized"))
+    return a.groupBy("kind").agg(F.count_distinct(F.substring_index("name", "/", 1)).alias("folders"), F.bool_and(F.col("size_bytes") > 0).alias("sized"))
 
 
 @query("snk3_manifest", "SNK3", """SELECT 'p' || page_id || '.html' AS path, strlen(html) AS bytes, sha256(html) AS sha256 FROM pages""")

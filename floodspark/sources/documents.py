@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from floodspark.functions import text
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with ``#`` comment lines above a header; names and values are trimmed."""
-    return (spark.read.schema(schema).option("header", True).option("comment", "#").option("enforceSchema", True)
-                 .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path))
+    """CSV with ``#`` comment lines above a header; names and values are trimmed.
+
+    Columns are found by their names in the header, in any order; a missing one is an error.
+    """
+    raw = (spark.read.option("header", True).option("comment", "#")
+                .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path))
+    raw = raw.toDF(*[c.strip() for c in raw.columns])
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
 
 
 def unite_observations(police: DataFrame, transformers: DataFrame, gauges: DataFrame) -> DataFrame:
