@@ -20,8 +20,8 @@ def nearest_seed(cells: DataFrame, seed: str, dense: bool = True) -> DataFrame:
     """Adds ``d2, seed_r, seed_c``: the nearest cell where ``seed`` holds (Euclidean).
 
     Separable and exact: along each column the nearest seed comes from two window
-    passes; then blocks of grid rows are searched outwards over their columns.  Groups
-    are one column, or 64 rows, of one grid.  Ties go to the smaller row, then column.
+    passes; along each row the lowest of the columns' parabolas is then nearest, in time
+    linear in the width.  Groups are one column, or 64 rows, of one grid.  Ties go to the smaller row, then column.
     A grid with missing cells (``dense`` false) is completed for the two passes.
     """
     run = cells.schema["run_id"].dataType.simpleString()
@@ -45,20 +45,14 @@ def nearest_seed(cells: DataFrame, seed: str, dense: bool = True) -> DataFrame:
         src = np.full((int(rr.max()) + 1, n), -1, dtype=np.int64)
         has = pdf["near"].notna().to_numpy()
         src[rr[has], cc[has]] = pdf["near"].to_numpy()[has].astype(np.int64)
-        big = np.iinfo(np.int64).max // 4
-        g2 = np.where(src >= 0, (src - (r0 + np.arange(len(src)))[:, None]) ** 2, big)
-        best, br, bc = g2.copy(), src.copy(), np.where(src >= 0, np.arange(n)[None, :], -1)
-        k = 1
-        while k < n and (best > k * k - 1).any():
-            for s in (-k, k):
-                lo, hi = max(0, -s), n - max(0, s)
-                d = g2[:, lo + s:hi + s] + k * k
-                sr, oc = src[:, lo + s:hi + s], np.arange(lo + s, hi + s)[None, :]
-                b, p, q = best[:, lo:hi], br[:, lo:hi], bc[:, lo:hi]
-                win = (d < big) & ((d < b) | ((d == b) & ((sr < p) | ((sr == p) & (oc < q)))))
-                b[win], p[win], q[win] = d[win], sr[win], np.broadcast_to(oc, d.shape)[win]
-            k += 1
-        ok = best[rr, cc] < big
+        best, br, bc = (np.full(src.shape, -1, dtype=np.int64) for _ in range(3))
+        for i in range(len(src)):
+            at = np.flatnonzero(src[i] >= 0)
+            if len(at):
+                q = at[_lowest((src[i, at] - (r0 + i)) ** 2, at, src[i, at], n)]
+                br[i], bc[i] = src[i, q], q
+                best[i] = (src[i, q] - (r0 + i)) ** 2 + (q - np.arange(n)) ** 2
+        ok = best[rr, cc] >= 0
 
         def column(a):
             out = pd.array(a[rr, cc], dtype="Int64")
@@ -74,6 +68,41 @@ def nearest_seed(cells: DataFrame, seed: str, dense: bool = True) -> DataFrame:
     return cells.join(got, grid.CELL)
 
 
+def _lowest(height: np.ndarray, at: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """For columns 0 to ``n`` (excluded) the index of the lowest parabola ``height[k] + (c - at[k]) ** 2``.
+
+    Ties go to the smaller ``row[k]``, then ``k``: parabolas that touch the lower envelope in one point stay on it.
+    """
+    h, x = height.tolist(), at.tolist()
+    kept: list[int] = []
+    left: list[float] = []
+    for k in range(len(x)):
+        cross = float("-inf")
+        while kept:
+            j = kept[-1]
+            cross = (h[k] + x[k] * x[k] - h[j] - x[j] * x[j]) / (2 * (x[k] - x[j]))
+            if cross < left[-1]:
+                kept.pop()
+                left.pop()
+            else:
+                break
+        kept.append(k)
+        left.append(cross if len(kept) > 1 else float("-inf"))
+    out, k = np.empty(n, dtype=np.int64), 0
+    for c in range(n):
+        while k + 1 < len(kept) and left[k + 1] < c:
+            k += 1
+        j = kept[k]
+        m = k
+        while m + 1 < len(kept) and left[m + 1] <= c:  # those that meet just here
+            m += 1
+            i = kept[m]
+            if (h[i] + (c - x[i]) ** 2, row[i], i) < (h[j] + (c - x[j]) ** 2, row[j], j):
+                j = i
+        out[c] = j
+    return out
+
+
 def fill_voids(cells: DataFrame) -> DataFrame:
     """Voids (``valid`` false) take the elevation of the nearest valid cell."""
     near = nearest_seed(cells.select(*grid.CELL, "valid"), "valid").where(~F.col("valid")).select(

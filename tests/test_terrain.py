@@ -127,3 +127,14 @@ def test_front_speed_of_a_plane_wave(spark):
     df = table(spark, np.zeros((6, 9)), arrival_s=cc * 30.0)
     got = terrain.front_speed(df, 90.0).toPandas()
     assert np.allclose(got["front_speed"], 3.0)
+
+
+def test_lowest_parabola_with_ties():
+    rng = np.random.default_rng(0)
+    for _ in range(1000):
+        n = int(rng.integers(1, 25))
+        at = np.sort(rng.choice(n, int(rng.integers(1, n + 1)), replace=False))
+        off = rng.integers(-5, 6, len(at))
+        got = terrain._lowest(off * off, at, 100 + off, n)
+        want = [min(range(len(at)), key=lambda k: (off[k] ** 2 + (c - at[k]) ** 2, 100 + off[k], k)) for c in range(n)]
+        assert got.tolist() == want
