@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN = 16
-CLASSES = 32
-STEPS = 32
+HIDDEN = 12
+CLASSES = 24
+STEPS = 16
 RATE = 0.1
 BOUND = 60.0
 
@@ -124,7 +124,7 @@ class Model:
             out[rows] += _log_softmax(hs[rows] @ self.w["ww"][a:b].T + self.w["bw"][a:b], target[rows] - a)
         return out
 
-    def score(self, texts: list[np.ndarray], first: int, width: int = 512) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], first: int, width: int = 1024) -> np.ndarray:
         """Natural log probability of every whole text; ``first`` is the word before each text."""
         lengths = np.array([len(t) for t in texts], np.int64)
         total = np.zeros(len(texts))
