@@ -35,7 +35,6 @@ AIDR_LIMITS = (
      "Unsafe for people and vehicles; buildings vulnerable to structural damage; "
      "some less robust buildings fail"),
 )
-AIDR_LAST = ("H6", "Unsafe for people and vehicles; all buildings vulnerable to failure")
 AIDR_NAMES = ("H1", "H2", "H3", "H4", "H5", "H6")
 AIDR_COLOURS = ("#ffffb2", "#fed976", "#feb24c", "#fd8d3c", "#e31a1c", "#800026")
 STRUCTURAL_AIDR_CLASS = 4          # H5 and above
@@ -121,7 +120,6 @@ SAR_RATIO = 1.25
 SAR_MAX_OCCURRENCE = 50
 SAR_MAX_SLOPE_DEG = 5.0
 SAR_MIN_BLOB_PX = 8
-SAR_SMOOTH_RADIUS_M = 50.0
 SAR_PRE_DAYS, SAR_POST_DAYS = 24, 16
 
 # --- registry ------------------------------------------------------------------------------------

@@ -102,8 +102,3 @@ def affine_cell(transform: Column, x: Column, y: Column) -> Column:
     u, v = x - x0, y - y0
     return F.struct(F.floor((a * v - d * u) / det).cast("int").alias("r"),
                     F.floor((e * u - b * v) / det).cast("int").alias("c"))
-
-
-def nearest_index(x: Column, origin: float, dx: float, n: Column) -> Column:
-    """Nearest cell along one axis of cell centres, clipped to the grid (half to even)."""
-    return F.least(F.greatest(F.bround((x - origin) / dx, 0).cast("int"), F.lit(0)), n - 1)

@@ -13,22 +13,12 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).otherwise(x)
 
 
-def finite_map(m: Column) -> Column:
-    return F.transform_values(m, lambda _, v: finite(v))
-
-
 def two_figures(v: Column) -> Column:
     """Population to two significant figures, half to even; nothing below zero."""
     mag = F.pow(F.lit(10.0), F.greatest(F.lit(0.0), F.floor(F.log10(v)) - 1.0))
     return F.when(v <= 0, 0).otherwise(F.bround(v / mag, 0) * mag).cast("long")
 
 
-def two_figures_half_up(v: Column) -> Column:
-    """The display variant: half away from zero, any magnitude and sign."""
-    mag = F.pow(F.lit(10.0), 2.0 - F.ceil(F.log10(F.abs(v))))
-    return F.when(v == 0, 0.0).otherwise(F.floor(v * mag + 0.5) / mag)
-
-
 def kml_colour(web: Column, alpha: Column) -> Column:
     """``#rrggbb`` to ``aabbggrr``; anything else is an error."""
     h = F.lower(F.ltrim(web, F.lit("#")))

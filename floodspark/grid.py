@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from floodspark import fixed
 
 CELL = ["run_id", "r", "c"]
-CROSS4 = [(0, 1), (1, 0), (0, -1), (-1, 0)]
 RING8 = list(zip(fixed.D8_DR, fixed.D8_DC))
 DEFAULT_TILE = 256
 

@@ -174,17 +174,6 @@ def run_figures(cells: DataFrame, dx: float) -> DataFrame:
         F.count_if(F.col("arrival_s").isNull()).alias("never_cells"))
 
 
-def assess(frames: DataFrame, setup: DataFrame, population: DataFrame | None = None,
-           landcover="urban") -> DataFrame:
-    """Frames to one enriched cell table: maxima, hazard, arrival, masks, people.
-
-    ``setup`` holds ``run_id, r, c, initially_wet``; ``population`` ``run_id, r, c, pop``.
-    """
-    from floodspark.operators.accumulate import field_accumulator
-    cells = field_accumulator(frames).join(setup, ["run_id", "r", "c"], "left")
-    return enrich(cells, population, landcover)
-
-
 def enrich(cells: DataFrame, population: DataFrame | None = None, landcover="urban") -> DataFrame:
     out = hazard.flood_masks(arrival.add_arrival(hazard.classify(cells, landcover)))
     if population is not None:

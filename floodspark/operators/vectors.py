@@ -63,12 +63,6 @@ def dissolved_rings(classed: DataFrame, transform: list[float]) -> DataFrame:
         F.lit("("), F.array_join(F.concat(pts, F.slice(pts, 1, 1)), ", "), F.lit(")")).alias("wkt"))
 
 
-def points_to_cells(points: DataFrame, dx: float, x0: float, y0: float) -> DataFrame:
-    """``feature_id`` with the cell its point lies in (row 0 in the north)."""
-    return points.select("run_id", "feature_id", F.floor((y0 - F.col("y")) / dx).cast("int").alias("r"),
-                         F.floor((F.col("x") - x0) / dx).cast("int").alias("c"))
-
-
 def _crossings(a: Column, b: Column) -> Column:
     """Parameters in (0, 1) at which a segment passes integer grid lines along one axis."""
     lo, hi = F.floor(F.least(a, b)).cast("int") + 1, F.ceil(F.greatest(a, b)).cast("int") - 1

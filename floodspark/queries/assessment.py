@@ -534,10 +534,15 @@ def _(s, d):
 @query("str5_display_formats", "STR5", """
     SELECT run_id, r, c, CASE WHEN arrival_min IS NULL THEN 'not reached' WHEN arrival_min <= 0 THEN '< 1 min'
              ELSE CAST(CAST(floor(arrival_min + 0.5) AS BIGINT) AS VARCHAR) || ' min' END AS arrival,
-           printf('%.1f m', max_depth + 0.03) AS depth FROM cells_h""", ("cells_h",))
+           printf('%.1f m', max_depth + 0.03) AS depth, printf('%.1f m/s', max_speed + 0.003) AS speed,
+           CASE WHEN (r + 1) * 0.37 >= 10 THEN format('{:,}', CAST(floor((r + 1) * 0.37 + 0.5) AS BIGINT)) ELSE printf('%.1f', (r + 1) * 0.37 + 0.003) END || ' km²' AS area,
+           'about ' || format('{:,}', CAST(floor(pop) AS BIGINT)) || ' people' AS people FROM cells_h""", ("cells_h",))
 def _(s, d):
     return enriched(s, d).select(*grid.CELL, ft.show_arrival(F.col("arrival_min")).alias("arrival"),
-                                 ft.show_depth(F.col("max_depth") + 0.03).alias("depth"))
+                                 ft.show_depth(F.col("max_depth") + 0.03).alias("depth"),
+                                 ft.show_speed(F.col("max_speed") + 0.003).alias("speed"),
+                                 ft.show_area((F.col("r") + 1) * 0.37 + F.when((F.col("r") + 1) * 0.37 < 10, 0.003).otherwise(0.0)).alias("area"),
+                                 ft.show_population(F.floor("pop")).alias("people"))
 
 
 @query("snk1_scenario_bands", "SNK1", """

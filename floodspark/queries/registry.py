@@ -255,6 +255,15 @@ def _(s, d):
     return documents.grep(table(s, d, "documents"), "licen[cs]e|street|[0-9]{3}", 2)
 
 
+@query("src14_page_numbers", "SRC14", """
+    SELECT doc_id, CAST(i AS INT) AS page, length(pages[i]) AS n_chars
+    FROM (SELECT doc_id, pages, unnest(range(1, len(pages) + 1)) AS i FROM (
+      SELECT doc_id, string_split(replace(text, chr(10), chr(12)), chr(12)) AS pages FROM documents))""")
+def _(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.translate("text", "\n", "\f").alias("text"))
+    return documents.page_number(docs).select("doc_id", "page", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("str1_kml_colours", "STR1", """
     SELECT id, lpad(lower(hex(CAST(round_even(least(1, a / 50) * 255, 0) AS BIGINT))), 2, '0') || bb || gg || rr AS kml
     FROM (SELECT *, h[1:2] AS rr, h[3:4] AS gg, h[5:6] AS bb FROM (SELECT id, a, lower(lpad(hex(CAST(id * 7919 % 16777216 AS BIGINT)), 6, '0')) AS h FROM breaches))""", ("breaches",))

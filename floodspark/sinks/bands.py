@@ -51,10 +51,6 @@ def point_geometry(x, y):
     return F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates"))
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    df.select("value").write.mode("overwrite").text(path)
-
-
 def metadata_document(summary: DataFrame, schema_version: int = 1) -> DataFrame:
     """Strict JSON per run with the honesty block at the top level."""
     return summary.select("run_id", F.to_json(F.struct(

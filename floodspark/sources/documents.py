@@ -48,13 +48,6 @@ def page_number(docs: DataFrame, key: str = "doc_id", body: str = "text") -> Dat
         "page", F.col("page") + 1)
 
 
-def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Whole-file JSON; a corrupt file gives NULL instead of failing the read."""
-    raw = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("path"), "value")
-    return parse_json(raw, "value", schema)
-
-
 def parse_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     doc = F.from_json(F.col(column), f"{schema}, _corrupt STRING",
                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
