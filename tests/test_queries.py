@@ -53,3 +53,12 @@ def test_cells_never_meet_in_a_nested_loop(spark):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    from floodspark import session
+    kept, session._written[:] = list(session._written), []
+    cut = session.cut(spark.range(5), "gone")
+    assert cut.count() == 5 and session.clear_scratch(spark) == 1
+    assert not __import__("os").path.exists(cut.inputFiles()[0].removeprefix("file://"))
+    session._written[:] = kept
