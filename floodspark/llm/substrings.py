@@ -197,14 +197,18 @@ def repeated(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     wanted = bounded(live.select("least"), live.count())
     # one occurrence stands for all segments that are equal
     alike = cut(kept.join(wanted, "least", "left_semi").groupBy("least", "content").agg(
-        F.count("*").alias("times"), F.min(F.struct("body", "first")).alias("at")), "alike")
+        F.count("*").alias("times"), F.min(F.struct("body", "doc_id", "first")).alias("at")), "alike")
     hot = cut(alike.groupBy("least").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("least"), "hot")
     n_hot = hot.count()
     crowded = bounded(hot.withColumn("hot", F.lit(True)), n_hot)
     picked = alike.join(crowded, "least", "left").select(
-        "least", "content", "times", F.col("at.body").alias("body"), F.col("at.first").alias("first"), "hot")
-    full = document_segments(rows, window, with_words=True).select("body", "first", "windows", "words")
-    shown = cut(full.join(bounded(picked, alike.count()), ["body", "first"]).dropDuplicates(["least", "content"]), "shown")
+        "least", "content", "times", "hot", F.col("at.body").alias("_b"), F.col("at.doc_id").alias("_d"), F.col("at.first").alias("_f"))
+    full = document_segments(rows, window, with_words=True).select("doc_id", "body", "first", "windows", "words")
+    here = (F.col("body") == F.col("_b")) & (F.col("first") == F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    shown = full.join(bounded(picked, alike.count()), here).select("least", "content", "times", "hot", "windows", "words")
+    if not kept.where("first = 0").groupBy("doc_id", "body").count().where("count > 1").isEmpty():
+        shown = shown.dropDuplicates(["least", "content"])  # the row that stands for a segment is itself repeated
+    shown = cut(shown, "shown")
     indexed = shown.where("hot IS NULL").select("least", "content", "times", "words")
     if n_hot:
         # One place with very many surroundings: its windows by their own content, counted before they move.
@@ -216,7 +220,7 @@ def repeated(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         one = (single.groupBy("content").agg(F.sum("times").alias("times"), F.first("words").alias("words"))
                .where("times > 1").select(F.col("content").alias("least"), "content", "times", "words"))
         indexed = indexed.unionByName(one)
-    indexed = cut(indexed, "indexed")
+    indexed = cut(indexed, "indexed") if n_hot else indexed
     total = indexed.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
     shards = int(-(-total // SHARD_WORDS)) or 1
     dealt = (indexed.select(F.pmod(F.xxhash64("least"), F.lit(shards)).alias("shard"), "least", "content", "times", "words")
