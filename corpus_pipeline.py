@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floodspark.llm import decontam, packing, quality, secrets, simhash
+from floodspark.llm import decontam, overlap, packing, quality, secrets
 from floodspark.llm.common import documents
 from floodspark.llm.queries import RANKS, VOCABULARY
 from floodspark.session import cut
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.keep_one(docs, radius=3, shingle=3)
+    """One document of each group stays: fingerprints within 3 bits, or five-word shingles that overlap by 0.8."""
+    return overlap.keep_one(docs, similar=0.8, radius=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodspark.llm.common import bounded, whole
@@ -50,14 +50,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, body (hash of the text), fp`` per row of ``docs``; a null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
+    """``doc_id, body (hash of the text), fp`` and ``more`` per row of ``docs``; a null text counts as empty."""
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole(text)).alias("body"),
-                       simhash(whole(text)).alias("fp"))
+                       simhash(whole(text)).alias("fp"), *more)
 
 
 def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -197,11 +197,15 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id:
 
 
 def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near duplicates, the one of the smallest ``doc_id``; columns as in ``docs``.
+    """One row of each group of near duplicates, the one of the smallest ``doc_id``; columns as in ``docs``."""
+    return keep_first(docs, near_duplicates(docs, radius, shingle, doc_id, text), doc_id, text)
+
+
+def keep_first(docs: DataFrame, of_rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of the smallest ``doc_id`` of each ``root``; ``of_rows`` has ``doc_id, body, root`` of the rows of ``docs``.
 
     Of repeated rows one stays.  Texts aren't moved: the ids that go are few or are joined.
     """
-    of_rows = near_duplicates(docs, radius, shingle, doc_id, text)
     alike = cut(of_rows.groupBy("root", "doc_id", "body").agg(F.count("*").alias("n")), "groups")
     first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "body")).alias("first"))
     marked = alike.join(first, "root").select(
