@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN = 12
-CLASSES = 24
-STEPS = 16
+HIDDEN = 16
+CLASSES = 32
+STEPS = 32
 RATE = 0.1
 BOUND = 60.0
 

@@ -24,7 +24,7 @@ from floodspark.llm.common import whole
 from floodspark.session import cut
 
 #: Words the model tells apart, and words whose counts every task holds.
-MODEL_WORDS = 512
+MODEL_WORDS = 1024
 DICTIONARY = 300_000
 #: Sixteenths of the training documents that each round ends at.
 ROUNDS = (1, 6, 16)
@@ -32,7 +32,7 @@ END = b""
 #: Tokens scored or learnt from side by side, and words counted before they are handed on.
 CHUNK = 1_000_000
 FLUSH = 300_000
-WIDTH = 512
+WIDTH = 256
 SMOOTH = 0.1
 
 

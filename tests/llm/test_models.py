@@ -129,3 +129,9 @@ def test_scores(spark, monkeypatch):
     assert sum(r["score"] for r in chains) > 0.8 * sum(r["base_score"] for r in chains)
     assert all(r["score"] < 0 for r in out)
     assert lm.score(table(spark, [])).count() == 0
+
+
+def test_held_out_gain_on_given_documents(spark):
+    held = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    gain = sum(r["score"] for r in held) - sum(r["base_score"] for r in held)
+    assert gain > 3000  # 512 words, 24 classes, 12 units and windows of 16 gave 2,912
