@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodspark.llm import decontam, extraction, lm, packing, pii, quality, secrets, sharding, simhash, spans, substrings
-from floodspark.llm.common import documents
+from floodspark.llm import (decontam, exact, extraction, fim, lm, packing, pii, quality, runs, secrets, sharding, simhash, spans,
+                            substrings)
+from floodspark.llm.common import documents, whole
 from floodspark.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +96,54 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of windows of 35 words that also start elsewhere."""
     return substrings.remove_repeats(documents(spark, sf_dir), digest=True)
+
+
+def looped(text: str | None, g: int) -> str:
+    """The words of ``text`` from place ``g % n`` on replaced by the repetition of the first few of them."""
+    words = (text or "").encode().split()
+    n = len(words)
+    if n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words[a:] = (words[a:a + p] * -(-(n - a) // p))[:n - a]
+    return b" ".join(words).decode()
+
+
+def _looped(texts: pd.Series, keys: pd.Series) -> pd.Series:
+    return pd.Series([None if g is None or g != g else looped(t, int(g)) for t, g in zip(texts, keys)], dtype=object)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, the longest of them, and the text without the repetitions.
+
+    A tenth of the documents, by the hash of the id, first get a repeating tail.
+    """
+    docs = documents(spark, sf_dir)
+    h = F.crc32(F.col("doc_id").cast("string"))
+    picked = h % 10 == 0
+    tail = F.pandas_udf(_looped, "string")(F.when(picked, whole()), F.when(picked, F.floor(h / 10).cast("long")))
+    found = runs.find_runs(docs.select("doc_id", F.coalesce(tail, "text").alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"),
+                       F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(F.lit(1000) * F.col("length") / F.col("period")).cast("long")
+    return out.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+                      (-F.col("best.period")).alias("period"), "runs_sha256", "collapsed_sha256").select(
+        "doc_id", "n_runs", "start", "length", "period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in its middle, and what is rebuilt from the result."""
+    out = fim.fill_in_middle(documents(spark, sf_dir), texts=False)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of identical documents; the one with the largest id stays."""
+    return exact.exact_groups(documents(spark, sf_dir), keep="largest")
