@@ -28,14 +28,20 @@ def change_ratio(pre: Column, post: Column, ratio: str = "post_over_pre") -> Col
     return post / pre if ratio == "post_over_pre" else pre / post
 
 
+def changed_cells(pre: DataFrame, post: DataFrame, smooth_cells: float, threshold: float, ratio: str = "post_over_pre",
+                  tile: int = grid.DEFAULT_TILE) -> DataFrame:
+    """Cells whose smoothed composites differ by more than the threshold."""
+    a = terrain.focal_median(pre, "db", smooth_cells, tile).select(*grid.CELL, F.col("focal").alias("pre"))
+    b = terrain.focal_median(post, "db", smooth_cells, tile).select(*grid.CELL, F.col("focal").alias("post"))
+    return a.join(b, grid.CELL).where(change_ratio(F.col("pre"), F.col("post"), ratio) > threshold)
+
+
 def flood_pixels(pre: DataFrame, post: DataFrame, occurrence: DataFrame, slope: DataFrame,
                  smooth_cells: float, threshold: float = fixed.SAR_RATIO,
                  max_occurrence: float = fixed.SAR_MAX_OCCURRENCE, max_slope: float = fixed.SAR_MAX_SLOPE_DEG,
                  min_blob: int = fixed.SAR_MIN_BLOB_PX, ratio: str = "post_over_pre",
                  tile: int = grid.DEFAULT_TILE) -> DataFrame:
-    a = terrain.focal_median(pre, "db", smooth_cells, tile).select(*grid.CELL, F.col("focal").alias("pre"))
-    b = terrain.focal_median(post, "db", smooth_cells, tile).select(*grid.CELL, F.col("focal").alias("post"))
-    changed = a.join(b, grid.CELL).where(change_ratio(F.col("pre"), F.col("post"), ratio) > threshold)
+    changed = changed_cells(pre, post, smooth_cells, threshold, ratio, tile)
     refined = refine(changed, occurrence, slope, max_occurrence, max_slope)
     lab = comp.components(refined.withColumn("hit", F.lit(True)), "hit", True, tile)
     return comp.drop_small(lab, min_blob).select(*grid.CELL)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodspark import fixed, grid
@@ -61,6 +61,17 @@ def time_slices(settlements: DataFrame, minutes: int, step: int) -> DataFrame:
         (F.col("arr_min") != -1) & (F.col("minute") >= F.col("arr_min")))
 
 
+def wetted_by(cells: DataFrame, minutes: int, step: int) -> DataFrame:
+    """Cells of each run reached at each minute mark: ``run_id, minute, wetted`` (running sums over the marks)."""
+    arrival = F.col("arrival_s") / 60.0
+    first = (F.ceil(F.greatest(arrival, F.lit(0.0)) / step) * step).cast("int")
+    fresh = cells.where(arrival <= minutes).groupBy("run_id", first.alias("minute")).agg(F.count("*").alias("n"))
+    marks = cells.select("run_id").distinct().withColumn("minute", F.explode(F.sequence(F.lit(0), F.lit(minutes), F.lit(step))))
+    w = Window.partitionBy("run_id").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
+    return marks.join(fresh, ["run_id", "minute"], "left").select(
+        "run_id", "minute", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("wetted"))
+
+
 def disc_join(points: DataFrame, cells: DataFrame, x0: float, y0: float, dx: float,
               max_radius: float) -> DataFrame:
     """Cells whose centre lies within each point's ``radius_m`` (at most ``max_radius``).

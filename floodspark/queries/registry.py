@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from floodspark import fixed, grid
 from floodspark.functions import text as ft
+from floodspark.operators import sampling
 from floodspark.plans import registry as reg
 from floodspark.queries.base import query, rounded
 from floodspark.session import scratch_path
 from floodspark.sinks import bands
 from floodspark.sources import catalog, documents, tiles
-from floodspark.sources.tables import DX, table, view
+from floodspark.sources.tables import DX, stream_view, table, view
 from floodspark.streaming import frames as st
 
 # --- tables the registry queries share -------------------------------------------------------
@@ -395,38 +396,43 @@ def _(s, d):
 
 # --- streams ----------------------------------------------------------------------------------------------------
 
-def _stream(s, d, name, view_name):
-    """A table read as a stream of files, through the same view as the batch side."""
-    from floodspark.sources.tables import VIEWS
-    src = s.readStream.schema(s.read.parquet(f"{d}/{name}.parquet").schema).parquet(f"{d}/{name}*.parquet")
-    tmp = f"stream_{name}"
-    src.createOrReplaceTempView(tmp)
-    return s.sql(VIEWS[view_name].format_map({name: tmp}))
+def _at():
+    """Event time of a frame: runs start an hour after each other."""
+    return F.timestamp_seconds(F.col("run_id") * 3600 + F.col("t_s"))
+
+
+def _streamed_maxima(s, d):
+    frames = stream_view(s, d, "lineitem", "frames").withColumn("at", _at())
+    return st.merged_maxima(st.drain(st.running_maxima(frames, "at")))
 
 
 @query("st1_streaming_maxima", "ST1", """
     SELECT run_id, r, c, max_depth, round(max_speed, 6) AS max_speed, round(max_dv, 6) AS max_dv, arrival_s FROM cells""", ("cells",))
 def _(s, d):
-    out = st.drain(st.running_maxima(_stream(s, d, "lineitem", "frames")))
-    return rounded(st.latest_emitted(out, list(grid.CELL)))
+    return rounded(_streamed_maxima(s, d))
+
+
+@query("st6_wetted_on_stream", "ST6 PRJ13", """
+    SELECT run_id, m AS minute, count(*) FILTER (WHERE arrival_s / 60.0 <= m) AS wetted
+    FROM cells, (SELECT unnest(range(0, 121, 15)) AS m) GROUP BY run_id, m""", ("cells",))
+def _(s, d):
+    return sampling.wetted_by(_streamed_maxima(s, d), 120, 15)
 
 
 @query("st2_periodic_log", "ST2", """
-    SELECT run_id, CAST(floor(t_s / 600) AS BIGINT) AS bucket, max(t_s) AS t_s, max(h) AS volume FROM (
-      SELECT *, max(t_s) OVER (PARTITION BY run_id, floor(t_s / 600)) AS last FROM frames) WHERE t_s = last GROUP BY 1, 2""", ("frames",))
+    SELECT run_id, bucket, m.t_s AS t_s, m.volume AS volume, m.dt AS dt, m.q AS q FROM (
+      SELECT run_id, CAST(floor(t_s / 600) AS BIGINT) AS bucket, max(struct_pack(t_s := t_s, volume := h, dt := hv, q := hu)) AS m FROM frames GROUP BY 1, 2)
+    WHERE run_id * 3600 + bucket * 600 + 600 <= (SELECT max(run_id * 3600 + floor(t_s / 600) * 600) FROM frames)""", ("frames",))
 def _(s, d):
-    f = _stream(s, d, "lineitem", "frames").select("run_id", "t_s", F.col("h").alias("volume"))
-    hist = f.withColumn("t_s", F.col("t_s"))
-    b = F.floor(F.col("t_s") / 600.0).cast("long")
-    agg = hist.groupBy("run_id", b.alias("bucket")).agg(F.max(F.struct("t_s", "volume")).alias("m"))
-    out = st.latest_emitted(st.drain(agg), ["run_id", "bucket"])
-    return out.select("run_id", "bucket", F.col("m.t_s").alias("t_s"), F.col("m.volume").alias("volume"))
+    f = stream_view(s, d, "lineitem", "frames").select("run_id", "t_s", F.col("h").alias("volume"), F.col("hv").alias("dt"), F.col("hu").alias("q"))
+    log = st.drain(st.periodic_log(f.withColumn("at", _at()), 600), "append")
+    return log.select("run_id", "bucket", "t_s", "volume", "dt", "q")
 
 
 @query("st3_streaming_gauge", "ST3", """
     SELECT run_id, t_s, round(coalesce(sum(m / rho * u) FILTER (WHERE fluid AND abs(x - 3.0) < 0.5), 0) / 1.0, 9) AS q FROM particles GROUP BY ALL""", ("particles",))
 def _(s, d):
-    out = st.drain(st.gauge_samples(_stream(s, d, "lineitem", "particles"), 3.0, 0.5))
+    out = st.drain(st.gauge_samples(stream_view(s, d, "lineitem", "particles"), 3.0, 0.5))
     return rounded(st.latest_emitted(out, ["run_id", "t_s"]), 9)
 
 
@@ -435,5 +441,5 @@ def _(s, d):
     FROM (SELECT run_id, arg_max(status, struct_pack(a := updated_at, b := seq)) AS status, arg_max(seq, struct_pack(a := updated_at, b := seq)) AS seq,
                  max(updated_at) AS last FROM status_events GROUP BY run_id)""", ("status_events",))
 def _(s, d):
-    ev = _stream(s, d, "orders", "status_events").select("run_id", "status", "seq", "updated_at")
+    ev = stream_view(s, d, "orders", "status_events").select("run_id", "status", "seq", "updated_at")
     return st.latest_emitted(st.drain(st.status_machine(ev, 60 * 86_400)), ["run_id"])

@@ -10,7 +10,8 @@ from floodspark.functions import text as ft
 from floodspark.operators import accumulate, mesh, observe, particles, sampling, series, terrain
 from floodspark.queries.base import DERIVED, cells, query, rounded
 from floodspark.queries.terrain import _COMP
-from floodspark.sources.tables import DX, view
+from floodspark.sources.tables import DX, stream_view, view
+from floodspark.streaming import frames as streams
 
 
 def _hyd(s, d):
@@ -392,10 +393,7 @@ _CHANGED = f"""SELECT a.run_id, a.r, a.c FROM ({_FOCAL.format(m=_MED.format(w=_P
 
 
 def _changed(s, d):
-    pre, post = _composites(s, d)
-    a = terrain.focal_median(pre, "db", 1.0, 64).select(*grid.CELL, F.col("focal").alias("pre"))
-    b = terrain.focal_median(post, "db", 1.0, 64).select(*grid.CELL, F.col("focal").alias("post"))
-    return a.join(b, grid.CELL).where(observe.change_ratio(F.col("pre"), F.col("post")) > 1.02)
+    return observe.changed_cells(*_composites(s, d), 1.0, 1.02, tile=64)
 
 
 def _slope(s, d):
@@ -417,13 +415,24 @@ def _(s, d):
     return rounded(observe.observed_area(f, 900.0 * F.cos(F.radians(30 + F.col("r") * 0.01))), 9)
 
 
+@query("st5_event_bands_on_stream", "ST5 PRJ10", f"""
+    SELECT x.run_id, x.r, x.c FROM ({_CHANGED}) x LEFT JOIN occurrence USING (run_id, r, c) WHERE coalesce(occurrence, 0) < 50 AND x.c % 7 <= 5""", ("sar_px", "occurrence"))
+def _(s, d):
+    px = stream_view(s, d, "events", "sar_px").withColumn("acquired", F.col("acq_date").cast("timestamp"))
+    events = s.range(1).select(F.lit(0).alias("run_id"), F.lit(EVENT).cast("date").alias("event_date"))
+    found = streams.drain(streams.event_scenes(px, events, view(s, d, "occurrence"), _slope(s, d), "10 days", ["event_id"]), "append")
+    usable = found.groupBy(*grid.CELL).agg(F.bool_and("usable").alias("usable")).where("usable").select(*grid.CELL)
+    pre, post = (observe.median_composite(found.where(F.col("band") == b)) for b in ("pre", "post"))
+    return observe.changed_cells(pre, post, 1.0, 1.02, tile=64).join(usable, grid.CELL, "left_semi").select(*grid.CELL)
+
+
 _DARK = f"""(SELECT a.run_id, a.r, a.c FROM ({_FOCAL.format(m=_MED.format(w=_PRE))}) a JOIN ({_FOCAL.format(m=_MED.format(w=_POST))}) b USING (run_id, r, c)
     LEFT JOIN occurrence USING (run_id, r, c) WHERE b.v / a.v > 0.98 AND coalesce(occurrence // 2, 0) < 50 AND a.c % 7 <= 5)"""
 _BLOBS = _COMP.format(diag=",(1,1),(1,-1),(-1,1),(-1,-1)").replace("FROM low", "FROM dark").replace("JOIN low n", "JOIN dark n")
 DERIVED["dark"] = (("sar_px", "occurrence"), f"SELECT * FROM {_DARK}")
 
 
-@query("gr13_observed_flood_extent", "GR13 PRJ10 ST5 GR10", f"""
+@query("gr13_observed_flood_extent", "GR13 PRJ10 GR10", f"""
     SELECT run_id, r, c FROM ({_BLOBS}) QUALIFY count(*) OVER (PARTITION BY run_id, lab) >= 8""", ("dark",))
 def _(s, d):
     pre, post = _composites(s, d)

@@ -74,7 +74,7 @@ VIEWS = {
                sum(value) AS q
         FROM {events} GROUP BY 1, 2, 3""",
     "sar_px": """
-        SELECT CAST(0 AS INT) AS run_id, CAST(floor(user_id / 15.0) AS INT) AS r, CAST(user_id % 15 AS INT) AS c,
+        SELECT event_id, CAST(0 AS INT) AS run_id, CAST(floor(user_id / 15.0) AS INT) AS r, CAST(user_id % 15 AS INT) AS c,
                CAST(ts AS DATE) AS acq_date, event_type AS orbit,
                CASE WHEN event_id % 10 = 0 THEN 'EW' ELSE 'IW' END AS mode,
                CASE WHEN event_id % 7 = 0 THEN 'HH' ELSE 'VV,VH' END AS pols,
@@ -146,7 +146,10 @@ class _Paths(dict):
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.sql(VIEWS[name].format_map(_Paths(sf_dir)))
+    return _typed(spark.sql(VIEWS[name].format_map(_Paths(sf_dir))), name)
+
+
+def _typed(df: DataFrame, name: str) -> DataFrame:
     if name == "pop":
         df = df.select("r", F.col("c_").cast("int").alias("c"), "pop")
     if name == "sar_px":
@@ -154,6 +157,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str, view_name: str) -> DataFrame:
+    """A table read as a stream of files, through the same view as the batch side."""
+    src = spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}*.parquet")
+    src.createOrReplaceTempView(f"stream_{name}")
+    return _typed(spark.sql(VIEWS[view_name].format_map({name: f"stream_{name}"})), view_name)
+
+
 def setup_columns(cells: DataFrame) -> DataFrame:
     """Adds ``initially_wet``: the lake fills the first rows of every run."""
     return cells.withColumn("initially_wet", F.col("r") < INITIAL_ROWS)
