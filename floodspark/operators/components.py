@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodspark import grid
-from floodspark.operators.graph import connected
+from floodspark.operators.rims import WIDE, least_connected, united_labels
 from floodspark.session import cut
 
-# cell id: row * WIDE + column, so ids order cells row by row
-WIDE = 1 << 31
-
 
 def cell_id(r="r", c="c") -> Column:
     return F.col(r).cast("long") * WIDE + F.col(c).cast("long")
@@ -32,18 +29,7 @@ def _label_block(mask: np.ndarray, diagonal: bool) -> np.ndarray:
         both = (up > 0) & (down > 0)
         pairs.append(np.column_stack([up[both], down[both]]))
     pairs = np.unique(np.vstack(pairs), axis=0) if pairs else np.empty((0, 2), int)
-    parent = np.arange(int(run.max(initial=0)) + 1)
-    a, b = pairs[:, 0], pairs[:, 1]
-    while len(a):
-        pa, pb = parent[a], parent[b]
-        if (pa == pb).all():
-            break
-        np.minimum.at(parent, np.maximum(pa, pb), np.minimum(pa, pb))
-        while True:
-            nxt = parent[parent]
-            if (nxt == parent).all():
-                break
-            parent = nxt
+    parent = least_connected(int(run.max(initial=0)) + 1, pairs)
     first = np.flatnonzero(start.ravel())           # run k starts at first[k-1]
     root = parent[run]
     return np.where(mask, first[np.maximum(root, 1) - 1] if len(first) else 0, -1)
@@ -72,13 +58,9 @@ def components(cells: DataFrame, mask: str, diagonal: bool = False,
     pieces = cut(kept.groupBy("run_id", "tr", "tc").applyInPandas(
         label, f"run_id {run_type}, r int, c int, piece long"), "pieces")
 
-    rim = pieces.where((F.col("r") % tile).isin(0, tile - 1) | (F.col("c") % tile).isin(0, tile - 1))
-    there = rim.select(*grid.CELL, F.col("piece").alias("b"))
-    half = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    edges = (grid.spread(rim, half).select(*grid.CELL, F.col("piece").alias("a"))
-                 .join(there, grid.CELL).where("a <> b").select("run_id", "a", "b").distinct())
-    roots = connected(edges).select("run_id", F.col("node").alias("piece"), "root")
-    return pieces.join(roots, ["run_id", "piece"], "left").select(
+    rim = grid.with_tile(pieces.where((F.col("r") % tile).isin(0, tile - 1) | (F.col("c") % tile).isin(0, tile - 1)), tile)
+    roots = united_labels(rim.select("run_id", "tr", "tc", cell_id().alias("a"), F.col("piece").alias("label")), tile, run_type, diagonal)
+    return pieces.join(roots.withColumnRenamed("label", "piece"), ["run_id", "piece"], "left").select(
         *grid.CELL, "piece", F.coalesce("root", "piece").alias("component"))
 
 

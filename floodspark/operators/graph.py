@@ -1,4 +1,4 @@
-"""Forests and label graphs as DataFrames: pointer jumping, contraction, spill levels.
+"""Forests and label graphs as DataFrames: pointer jumping and contraction.
 
 One way for graphs of every size: each loop works on a table that shrinks or whose unfinished part
 shrinks, stops on an emptiness test, and cuts its lineage through the shared folder each round.
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from floodspark.session import cut
 
-OCEAN = -1
-
 
 def resolve_roots(parents: DataFrame) -> DataFrame:
     """``(run_id, a, p)`` to ``(run_id, a, root)`` by pointer jumping.
@@ -74,57 +72,6 @@ def connected(edges: DataFrame) -> DataFrame:
     return out
 
 
-def spill_levels(edges: DataFrame) -> DataFrame:
-    """Lowest level at which each basin drains to the ocean: ``(run_id, node, level)``.
-
-    ``edges`` is ``(run_id, a, b, w)``, ``w`` the height of the pass between two basins, ``OCEAN`` the
-    outside.  By contraction: each round every basin picks its lowest pass
-    under one total order of passes; the picks form trees that end in the ocean or
-    in a pair of basins choosing each other.  Along a tree the passes never rise,
-    so the whole tree contracts to one basin whose own lowest pass comes next, and
-    a basin's level is the largest pass picked for it over the rounds.  The basins
-    at least halve each round.
-    """
-    e = edges.where("a <> b").select("run_id", "a", "b", "w")
-    e = e.union(e.select("run_id", "b", "a", "w"))
-    e = cut(e.groupBy("run_id", "a", "b").agg(F.min("w").alias("w")), "spill")
-    rounds = []
-    while True:
-        pick = (e.where(F.col("a") != OCEAN).groupBy("run_id", "a")
-                 .agg(F.min(F.struct("w", F.least("a", "b").alias("lo"),
-                                     F.greatest("a", "b").alias("hi"), "b")).alias("m"))
-                 .select("run_id", "a", F.col("m.b").alias("p"), F.col("m.w").alias("w")))
-        pick = cut(pick, "spill")
-        if pick.isEmpty():
-            break
-        back = pick.select("run_id", F.col("a").alias("p"), F.col("p").alias("pp"))
-        hook = pick.join(back, ["run_id", "p"], "left").select(
-            "run_id", "a",
-            F.when((F.col("pp") == F.col("a")) & (F.col("a") < F.col("p")), F.col("a"))
-             .otherwise(F.col("p")).alias("p"))
-        roots = cut(resolve_roots(hook), "spill")
-        rounds.append(cut(pick.join(roots, ["run_id", "a"]).select("run_id", "a", "root", "w"), "spill"))
-        to = roots.select("run_id", "a", F.col("root").alias("ra"))
-        e = (e.join(to, ["run_id", "a"], "left")
-              .join(to.select("run_id", F.col("a").alias("b"), F.col("ra").alias("rb")),
-                    ["run_id", "b"], "left")
-              .select("run_id", F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "w")
-              .where("a <> b").groupBy("run_id", "a", "b").agg(F.min("w").alias("w")))
-        e = cut(e, "spill")
-    if not rounds:
-        return edges.select("run_id", F.col("a").alias("node"), F.col("w").alias("level")).limit(0)
-    level = None
-    for r in reversed(rounds):
-        own = r.select("run_id", "a", "root", "w")
-        if level is None:
-            level = own.select("run_id", "a", F.col("w").alias("level"))
-        else:
-            above = level.select("run_id", F.col("a").alias("root"), F.col("level").alias("up"))
-            level = own.join(above, ["run_id", "root"], "left").select(
-                "run_id", "a", F.greatest("w", "up").alias("level"))
-    return level.select("run_id", F.col("a").alias("node"), "level")
-
-
 def forest_sums(nodes: DataFrame) -> DataFrame:
     """Subtree sums of a forest ``(run_id, a, p, v)`` (``p`` NULL at a root).
 

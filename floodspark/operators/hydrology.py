@@ -1,8 +1,8 @@
 """Depression filling, flow direction, accumulation, HAND, traces and snapping.
 
 The grid is cut into tiles.  A small per-tile kernel reduces each tile to what its
-rim needs to know; the rims form a graph a fraction of the grid's size, which is
-solved with joins and groupings; a second kernel pass writes the cells.
+rim needs to know; tiles are united level by level (``rims``); a second kernel pass
+writes the cells.
 """
 
 from __future__ import annotations
@@ -11,15 +11,18 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodspark import fixed, grid
-from floodspark.operators.components import WIDE, cell_id
-from floodspark.operators.graph import OCEAN, forest_sums, resolve_roots, spill_levels
+from floodspark.operators.components import cell_id
+from floodspark.operators.rims import (ENTRY, EXIT, OCEAN, WIDE, down_depth, down_sums, far_values, inflows, joined_passes,
+                                       last_of, spill_levels)
 from floodspark.session import cut
 
 RING = grid.RING8
+TILE_KEY = ["run_id", "tr", "tc"]
 
 
 def _run_type(df: DataFrame) -> str:
@@ -83,15 +86,15 @@ def fill_depressions(cells: DataFrame, tile: int = grid.DEFAULT_TILE) -> DataFra
     is exact and does not depend on the tile size.
     """
     run = _run_type(cells)
-    if not cells.where(F.col("z").isNull()).isEmpty():
-        raise ValueError("fill_depressions needs a grid without voids; fill them first")
+    solid = F.coalesce("z", F.raise_error(F.lit("fill_depressions needs a grid without voids; fill them first")).cast("double"))
+    cells = cells.withColumn("z", solid)
     haloed = grid.with_halo(cells.select(*grid.CELL, "z"), tile, 1)
 
     def passes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0, core, got = _block(pdf, ["z"])
         z = got["z"]
         if not core.any():
-            return pd.DataFrame({"run_id": [], "a": [], "b": [], "w": []})
+            return pd.DataFrame({"run_id": [], "tr": [], "tc": [], "a": [], "b": [], "w": []})
         rim, open_ = _seeds(z, core)
         level, label = _flood(np.where(rim, z, np.nan), z, core)
         nx = z.shape[1]
@@ -99,58 +102,86 @@ def fill_depressions(cells: DataFrame, tile: int = grid.DEFAULT_TILE) -> DataFra
         def ident(flat):
             return (flat // nx + r0) * WIDE + flat % nx + c0
 
-        parts = []
+        beyond, inner = [], []
         here = np.arange(z.size, dtype=np.int64).reshape(z.shape)
         for di, dj in RING:
             other = np.roll(z, (-di, -dj), (0, 1))
             across = rim & ~np.roll(core, (-di, -dj), (0, 1)) & ~np.isnan(other)
-            parts.append((here[across], (here + di * nx + dj)[across],
-                          np.maximum(z, other)[across]))
+            beyond.append((ident(here[across]), ident((here + di * nx + dj)[across]), np.maximum(z, other)[across]))
             lab, lev = np.roll(label, (-di, -dj), (0, 1)), np.roll(level, (-di, -dj), (0, 1))
-            meet = core & np.roll(core, (-di, -dj), (0, 1)) & (lab != label)
-            parts.append((label[meet], lab[meet], np.maximum(level, lev)[meet]))
-        a, b, w = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        a, b = ident(a), ident(b)
-        a = np.concatenate([a, ident(here[open_])])
-        b = np.concatenate([b, np.full(int(open_.sum()), OCEAN)])
-        w = np.concatenate([w, z[open_]])
-        best = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "w": w})
-        best = best.groupby(["a", "b"], as_index=False)["w"].min()
-        best.insert(0, "run_id", key[0])
-        return best
-
-    edges = haloed.groupBy("run_id", "tr", "tc").applyInPandas(
-        passes, f"run_id {run}, a long, b long, w double")
-    levels = spill_levels(edges)
-    levels = levels.select("run_id", F.floor(F.col("node") / WIDE).cast("int").alias("r"),
-                           (F.col("node") % WIDE).cast("int").alias("c"), "level")
-    seeded = grid.with_tile(cells.select(*grid.CELL, "z"), tile).join(levels, grid.CELL, "left")
-
-    def raise_tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(core=True)
-        r0, c0, core, got = _block(pdf, ["z", "level"])
-        key_ = np.where(np.isnan(got["level"]), np.nan, np.maximum(got["level"], got["z"]))
-        level, _ = _flood(key_, got["z"], core)
+            meet = core & np.roll(core, (-di, -dj), (0, 1)) & (lab > label)
+            inner.append((ident(label[meet]), ident(lab[meet]), np.maximum(level, lev)[meet]))
+        inner.append((ident(here[open_]), np.full(int(open_.sum()), OCEAN), z[open_]))
+        a, b, w = (np.concatenate([p[k] for p in inner]) for k in range(3))
+        tree = joined_passes(a, b, w, np.concatenate([a, b]))
+        tree = pd.DataFrame([(y, x, h) if x == OCEAN else (x, y, h) for x, y, h in tree], columns=["a", "b", "w"])
+        a, b, w = (np.concatenate([p[k] for p in beyond] + [tree[n].to_numpy()]) for k, n in enumerate("abw"))
+        return pd.DataFrame({"run_id": key[0], "tr": key[1], "tc": key[2], "a": a.astype(np.int64), "b": b.astype(np.int64), "w": w})
+
+    edges = haloed.groupBy(TILE_KEY).applyInPandas(
+        passes, f"run_id {run}, tr int, tc int, a long, b long, w double")
+    levels = spill_levels(edges, tile, run)
+
+    def raise_tile(cells_: pa.Table, known: pa.Table) -> pa.Table:
+        pdf = cells_.select(["r", "c", "z"]).to_pandas().assign(core=True)
+        if not len(pdf):
+            return cells_.select([0, 1, 2, 3]).append_column("filled", pa.array([], pa.float64()))
+        r0, c0, core, got = _block(pdf, ["z"])
+        at = known.column("node").to_numpy()
+        key = np.full(core.shape, np.nan)
+        key[at // WIDE - r0, at % WIDE - c0] = known.column("level").to_numpy()
+        level, _ = _flood(np.maximum(key, got["z"]), got["z"], core)
         rr, cc = pdf["r"].to_numpy() - r0, pdf["c"].to_numpy() - c0
-        return pd.DataFrame({"run_id": pdf["run_id"], "r": pdf["r"], "c": pdf["c"],
-                             "z": pdf["z"], "filled": level[rr, cc]})
+        return cells_.drop_columns(["tr", "tc"]).append_column("filled", pa.array(level[rr, cc]))
+
+    kept = cells.select(*grid.CELL, "z", *[c for c in cells.columns if c not in (*grid.CELL, "z")])
+    return grid.with_tile(kept, tile).groupBy(TILE_KEY).cogroup(levels.groupBy(TILE_KEY)).applyInArrow(
+        raise_tile, _with_column(kept, "filled double"))
 
-    out = seeded.groupBy("run_id", "tr", "tc").applyInPandas(
-        raise_tile, f"run_id {run}, r int, c int, z double, filled double")
-    extra = [c for c in cells.columns if c not in (*grid.CELL, "z")]
-    return out.join(cells.select(*grid.CELL, *extra), grid.CELL) if extra else out
+
+def _with_column(df: DataFrame, extra: str) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", {extra}"
 
 
 def _any_null(nb: str) -> Column:
     return F.exists(F.col(nb), lambda v: v.isNull())
 
 
+def _steps(w: np.ndarray, d: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Fewest steps to each ``core`` cell over equal ``w`` from the cells with a ``d``, which count from it.
+
+    A frontier of one distance moves at a time, so a cell is visited once.
+    """
+    nx = w.shape[1]
+    around = np.array([di * nx + dj for di, dj in RING])
+    w, core = w.ravel(), core.ravel()
+    dist = np.where(np.isnan(d), np.inf, d).ravel()
+    seeds = np.flatnonzero(np.isfinite(dist))
+    seeds = seeds[np.argsort(dist[seeds], kind="stable")]
+    starts = dist[seeds]
+    at, front, x = 0, np.zeros(0, np.int64), 0.0
+    while len(front) or at < len(seeds):
+        if not len(front):
+            x = starts[at]
+        to = int(np.searchsorted(starts, x, side="right"))
+        fresh = seeds[at:to]
+        at = to
+        front = np.unique(np.concatenate([front, fresh[dist[fresh] == x]]))
+        near = (front[:, None] + around).ravel()
+        ok = core[near] & (w[near] == np.repeat(w[front], len(around))) & (dist[near] > x + 1)
+        front = np.unique(near[ok])
+        x += 1
+        dist[front] = x
+    return np.where(np.isfinite(dist), dist, np.nan).reshape(d.shape)
+
+
 def routing_surface(filled: DataFrame, eps: float = fixed.FILL_EPS,
                     tile: int = grid.DEFAULT_TILE) -> DataFrame:
     """Adds ``zr``: the filled level plus ``eps`` per step away from a flat's outlet.
 
-    Only cells of flats take part; a flat that crosses tiles is settled by exchanging
-    tile rims until nothing changes, so the rounds follow the widest lake, not the grid.
+    Only cells of flats take part.  Every tile is settled by itself first; then only tiles that a neighbour's rim has
+    brought something nearer are settled again, and tell their neighbours what moved on their own rims.  The cells of
+    tiles that were reached are written once, at the end.
     """
     run = _run_type(filled)
     nb = grid.neighbours8(filled, "filled")
@@ -161,41 +192,58 @@ def routing_surface(filled: DataFrame, eps: float = fixed.FILL_EPS,
                  .select(*grid.CELL, "w").distinct()
                  .join(level.where(~F.col("flat")), [*grid.CELL, "w"], "left_semi")
                  .select(*grid.CELL, "w", F.lit(0.0).alias("d")))
-    work = cut(level.where("flat").select(*grid.CELL, "w", F.lit(None).cast("double").alias("d"))
-                    .unionByName(shore), "flats")
-
-    def relax(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0, core, got = _block(pdf, ["w", "d"])
-        w, d = got["w"], got["d"]
-        before = d.copy()
-        dist = np.where(np.isnan(d), np.inf, d)
-        heap = [(dist[i, j], int(i), int(j)) for i, j in zip(*np.nonzero(np.isfinite(dist)))]
-        heapq.heapify(heap)
-        while heap:
-            x, i, j = heapq.heappop(heap)
-            if x > dist[i, j]:
-                continue
-            for di, dj in RING:
-                a, b = i + di, j + dj
-                if core[a, b] and w[a, b] == w[i, j] and x + 1 < dist[a, b]:
-                    dist[a, b] = x + 1
-                    heapq.heappush(heap, (x + 1, a, b))
-        own = pdf[pdf["core"]]
-        rr, cc = own["r"].to_numpy() - r0, own["c"].to_numpy() - c0
-        new, old = dist[rr, cc], np.where(np.isnan(before[rr, cc]), np.inf, before[rr, cc])
-        return pd.DataFrame({"run_id": own["run_id"], "r": own["r"], "c": own["c"], "w": own["w"],
-                             "d": np.where(np.isfinite(new), new, np.nan), "moved": new < old})
-
-    schema = f"run_id {run}, r int, c int, w double, d double, moved boolean"
+    work = level.where("flat").select(*grid.CELL, "w", F.lit(None).cast("double").alias("d")).unionByName(shore)
+    # what a tile always knows: its own cells, and the shore around them
+    known = cut(grid.with_halo(work, tile, 1).where("core OR d IS NOT NULL"), "flats")
+    if known.isEmpty():
+        return marked.withColumn("zr", F.col("filled")).drop("flat")
+
+    def settle(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        """The tile's own cells, and their distances from all that is known."""
+        best = pdf.sort_values("d", na_position="last").drop_duplicates(["r", "c"])
+        own = best["core"].to_numpy()
+        if not own.any():
+            return best[own], np.zeros(0)
+        r0, c0, core, got = _block(best, ["w", "d"])
+        own = best[own]
+        return own, _steps(got["w"], got["d"], core)[own["r"].to_numpy() - r0, own["c"].to_numpy() - c0]
+
+    schema = f"run_id {run}, r int, c int, w double, d double"
+
+    def all_cells(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, d = settle(pdf)
+        return own[["run_id", "r", "c", "w"]].assign(d=d)
+
+    def moved_rim(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        before = pdf[pdf["before"]]
+        own, d = settle(pdf[~pdf["before"]])
+        rim = own["r"].mod(tile).isin((0, tile - 1)) | own["c"].mod(tile).isin((0, tile - 1))
+        out = own.loc[rim, ["run_id", "r", "c", "w"]].assign(d=d[rim.to_numpy()])
+        old = before.groupby(["r", "c"])["d"].min()
+        was = old.reindex(pd.MultiIndex.from_frame(out[["r", "c"]])).to_numpy() if len(old) else np.full(len(out), np.nan)
+        return out[(out["d"].to_numpy() < was) | (np.isnan(was) & out["d"].notna().to_numpy())]
+
+    first = cut(known.groupBy(TILE_KEY).applyInPandas(all_cells, schema), "flats")
+    on_rim = (F.col("r") % tile).isin(0, tile - 1) | (F.col("c") % tile).isin(0, tile - 1)
+    moved = first.where(on_rim & F.col("d").isNotNull())
+    rims, told, tiles = moved, None, None
     while True:
-        step = (grid.with_halo(work, tile, 1).groupBy("run_id", "tr", "tc")
-                    .applyInPandas(relax, schema))
-        step = cut(step.withColumn("d", F.nanvl("d", F.lit(None).cast("double"))), "flats")
-        rim = (F.col("r") % tile).isin(0, tile - 1) | (F.col("c") % tile).isin(0, tile - 1)
-        work = step.drop("moved")
-        if step.where(F.col("moved") & rim).isEmpty():
+        news = cut(grid.with_halo(moved, tile, 1).where(~F.col("core")), "flats")
+        if news.isEmpty():
             break
-    return (marked.join(work.select(*grid.CELL, "d"), grid.CELL, "left")
+        told = news if told is None else told.unionByName(news)
+        tiles_now = news.select(*TILE_KEY).distinct()
+        tiles = tiles_now if tiles is None else tiles.union(tiles_now)
+        heard = known.unionByName(told).withColumn("before", F.lit(False)).unionByName(
+            grid.with_tile(rims, tile).withColumn("core", F.lit(True)).withColumn("before", F.lit(True)))
+        moved = cut(heard.join(tiles_now, TILE_KEY, "left_semi").groupBy(TILE_KEY).applyInPandas(moved_rim, schema), "flats")
+        rims = rims.unionByName(moved)
+    done = first
+    if tiles is not None:
+        tiles = tiles.distinct()
+        again = known.unionByName(told).join(tiles, TILE_KEY, "left_semi").groupBy(TILE_KEY).applyInPandas(all_cells, schema)
+        done = again.unionByName(grid.with_tile(first, tile).join(tiles, TILE_KEY, "left_anti").select(*first.columns))
+    return (marked.join(done.select(*grid.CELL, "d"), grid.CELL, "left")
                   .withColumn("zr", F.col("filled") + eps * F.coalesce("d", F.lit(0.0)))
                   .drop("flat", "d"))
 
@@ -237,36 +285,28 @@ def _tile_paths(pdf: pd.DataFrame):
     return own, ids, to, np.where(inside, at, n), ends
 
 
-def _entries(pdf: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
-    """Positions of core cells that a neighbouring tile drains into."""
+def _entries(pdf: pd.DataFrame, ids: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of core cells that neighbouring tiles drain into, and one draining cell of each such tile."""
     halo = pdf[~pdf["core"] & pdf["down_r"].notna()]
     to = halo["down_r"].to_numpy().astype(np.int64) * WIDE + halo["down_c"].to_numpy().astype(np.int64)
-    return np.flatnonzero(np.isin(ids, to))
+    order = np.argsort(ids)
+    at = order[np.minimum(np.searchsorted(ids, to, sorter=order), len(ids) - 1)]
+    src = pd.DataFrame({"at": at, "src": halo["r"].to_numpy(np.int64) * WIDE + halo["c"].to_numpy(np.int64),
+                        "tr": halo["r"].to_numpy() // tile, "tc": halo["c"].to_numpy() // tile})[ids[at] == to]
+    src = src.drop_duplicates(["at", "tr", "tc"])
+    return src["at"].to_numpy(), src["src"].to_numpy()
 
 
-def _last(nxt: np.ndarray) -> np.ndarray:
-    """Where each in-tile path ends."""
-    n = len(nxt)
-    last, jump = np.arange(n + 1), np.append(nxt, n)
-    while (jump[:n] < n).any():
-        last = np.where(jump < n, last[jump], last)
-        jump = jump[jump]
-    return last[:n]
+def _flow_halo(flow: DataFrame, tile: int, *extra: str) -> DataFrame:
+    return grid.with_halo(flow.select(*grid.CELL, "down_r", "down_c", *extra), tile, 1)
 
 
-def _down_sums(nxt: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sum of ``start`` over each cell and everything upstream of it in the tile."""
-    n = len(nxt)
-    acc, jump = np.append(start.astype(float), 0.0), np.append(nxt, n)
-    while (jump[:n] < n).any():
-        live = jump < n
-        acc = acc + np.bincount(jump[live], weights=acc[live], minlength=n + 1)
-        jump = jump[jump]
-    return acc[:n]
+_LINK = "tr int, tc int, kind int, a long, p long, v double, src long"
 
 
-def _flow_halo(flow: DataFrame, tile: int, *extra: str) -> DataFrame:
-    return grid.with_halo(flow.select(*grid.CELL, "down_r", "down_c", *extra), tile, 1)
+def _links(key: tuple, kind, a, p, v, src) -> pd.DataFrame:
+    out = pd.DataFrame({"run_id": key[0], "tr": key[1], "tc": key[2], "kind": kind, "a": a, "p": p, "v": v, "src": src})
+    return out.astype({"tr": "int32", "tc": "int32", "kind": "int32", "a": "int64", "p": "int64", "v": "float64", "src": "int64"})
 
 
 def flow_accumulation(flow: DataFrame, tile: int = grid.DEFAULT_TILE) -> DataFrame:
@@ -274,38 +314,33 @@ def flow_accumulation(flow: DataFrame, tile: int = grid.DEFAULT_TILE) -> DataFra
     run = _run_type(flow)
 
     def links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"run_id": [], "a": [], "p": [], "v": []})
         if not pdf["core"].any():
-            return empty
+            return _links(key, [], [], [], [], [])
         own, ids, to, nxt, ends = _tile_paths(pdf)
-        acc, last = _down_sums(nxt, np.ones(len(own))), _last(nxt)
+        acc, last = down_sums(nxt, np.ones(len(own))), last_of(nxt)
         leaves = np.flatnonzero((nxt == len(own)) & ~ends)
-        inn = _entries(pdf, ids)
-        out_of = to[last[inn]]
-        a = np.concatenate([to[leaves], ids[inn]])
-        p = pd.array(np.concatenate([np.full(len(leaves), -1), out_of]), dtype="Int64")
-        p[p == -1] = pd.NA
-        v = np.concatenate([acc[leaves], np.zeros(len(inn))])
-        return pd.DataFrame({"run_id": key[0], "a": a, "p": p, "v": v})
-
-    raw = _flow_halo(flow, tile).groupBy("run_id", "tr", "tc").applyInPandas(
-        links, f"run_id {run}, a long, p long, v double")
-    nodes = raw.groupBy("run_id", "a").agg(F.max("p").alias("p"), F.sum("v").alias("v"))
-    inflow = forest_sums(nodes).select(
-        "run_id", F.floor(F.col("a") / WIDE).cast("int").alias("r"),
-        (F.col("a") % WIDE).cast("int").alias("c"), F.col("v").alias("inflow"))
-    seeded = grid.with_tile(flow.select(*grid.CELL, "down_r", "down_c"), tile).join(
-        inflow, grid.CELL, "left").withColumn("core", F.lit(True))
-
-    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own, _, _, nxt, _ = _tile_paths(pdf)
-        start = 1.0 + own["inflow"].fillna(0.0).to_numpy()
-        return pd.DataFrame({"run_id": own["run_id"], "r": own["r"], "c": own["c"],
-                             "acc": _down_sums(nxt, start)})
-
-    acc = seeded.groupBy("run_id", "tr", "tc").applyInPandas(
-        sums, f"run_id {run}, r int, c int, acc double")
-    return flow.join(acc, grid.CELL)
+        inn, src = _entries(pdf, ids, tile)
+        out = pd.DataFrame({"a": to[leaves], "v": acc[leaves]}).groupby("a", as_index=False)["v"].sum()
+        none = np.full(len(out), -1)
+        return _links(key, [EXIT] * len(out) + [ENTRY] * len(inn), np.concatenate([out["a"], ids[inn]]),
+                      np.concatenate([none, to[last[inn]]]), np.concatenate([out["v"], np.zeros(len(inn))]),
+                      np.concatenate([none, src]))
+
+    raw = _flow_halo(flow, tile).groupBy(TILE_KEY).applyInPandas(links, f"run_id {run}, {_LINK}")
+    came = inflows(raw, tile, run)
+
+    def sums(cells_: pa.Table, came_: pa.Table) -> pa.Table:
+        body = cells_.drop_columns(["tr", "tc"])
+        if not len(body):
+            return body.append_column("acc", pa.array([], pa.float64()))
+        own, ids, _, nxt, _ = _tile_paths(cells_.select(["r", "c", "down_r", "down_c"]).to_pandas().assign(core=True))
+        start = np.ones(len(own))
+        order = np.argsort(ids)
+        start[order[np.searchsorted(ids, came_.column("a").to_numpy(), sorter=order)]] += came_.column("v").to_numpy()
+        return body.append_column("acc", pa.array(down_sums(nxt, start)))
+
+    return grid.with_tile(flow, tile).groupBy(TILE_KEY).cogroup(came.groupBy(TILE_KEY)).applyInArrow(
+        sums, _with_column(flow, "acc double"))
 
 
 def with_stream(flow: DataFrame, dx: float, threshold_km2: float = 1.0) -> DataFrame:
@@ -318,77 +353,106 @@ def height_above_drainage(flow: DataFrame, tile: int = grid.DEFAULT_TILE) -> Dat
     """Adds ``hand``: real bed minus the bed of the first stream or outlet cell downstream."""
     run = _run_type(flow)
 
-    def refs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["run_id", "r", "c", "entry", "ref", "next_id"]
-        if not pdf["core"].any():
-            return pd.DataFrame({k: [] for k in cols})
+    def paths(pdf: pd.DataFrame):
+        """Per core cell whether its path ends in the tile, the bed where it does, and the cell it leaves to."""
         own, ids, to, nxt, ends = _tile_paths(pdf)
         halt = own["stream"].to_numpy(dtype=bool) | ends
-        last = _last(np.where(halt, len(own), nxt))
+        last = last_of(np.where(halt, len(own), nxt))
         found = halt[last]
-        ref = np.where(found, own["z"].to_numpy(dtype=float)[last], np.nan)
-        nid = pd.array(np.where(found, 0, to[last]), dtype="Int64")
-        nid[found] = pd.NA
-        entry = np.zeros(len(own), dtype=bool)
-        entry[_entries(pdf, ids)] = True
-        return pd.DataFrame({"run_id": own["run_id"], "r": own["r"], "c": own["c"],
-                             "entry": entry, "ref": ref, "next_id": nid})[cols]
-
-    part = cut(_flow_halo(flow, tile, "z", "stream").groupBy("run_id", "tr", "tc").applyInPandas(
-        refs, f"run_id {run}, r int, c int, entry boolean, ref double, next_id long"), "hand")
-    gates = part.where("entry").withColumn("a", cell_id())
-    ends = gates.where("next_id IS NULL").select("run_id", F.col("a").alias("root"), F.col("ref").alias("far"))
-    roots = resolve_roots(gates.select("run_id", "a", F.coalesce("next_id", "a").alias("p")))
-    far = roots.join(ends, ["run_id", "root"]).select("run_id", F.col("a").alias("next_id"), "far")
-    ref = part.join(far, ["run_id", "next_id"], "left").select(
-        *grid.CELL, F.when(F.col("next_id").isNull(), F.col("ref")).otherwise(F.col("far")).alias("ref"))
-    return flow.join(ref, grid.CELL).withColumn("hand", F.col("z") - F.col("ref")).drop("ref")
+        return own, ids, found, np.where(found, own["z"].to_numpy(dtype=float)[last], np.nan), np.where(found, -1, to[last])
+
+    def links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not pdf["core"].any():
+            return _links(key, [], [], [], [], [])
+        _, ids, found, ref, goal = paths(pdf)
+        inn, src = _entries(pdf, ids, tile)
+        goals = np.unique(goal[~found])
+        none = np.full(len(goals), -1)
+        return _links(key, [EXIT] * len(goals) + [ENTRY] * len(inn), np.concatenate([goals, ids[inn]]),
+                      np.concatenate([none, goal[inn]]), np.concatenate([none, ref[inn]]), np.concatenate([none, src]))
+
+    raw = _flow_halo(flow, tile, "z", "stream").groupBy(TILE_KEY).applyInPandas(links, f"run_id {run}, {_LINK}")
+    far = far_values(raw, tile, run)
+
+    def heights(cells_: pa.Table, far_: pa.Table) -> pa.Table:
+        body = cells_.drop_columns(["tr", "tc"])
+        if not len(body):
+            return body.append_column("hand", pa.array([], pa.float64()))
+        own, _, found, ref, goal = paths(cells_.select(["r", "c", "down_r", "down_c", "z", "stream"]).to_pandas().assign(core=True))
+        known = far_.to_pandas().drop_duplicates("a").sort_values("a")
+        if len(known):
+            at = np.minimum(np.searchsorted(known["a"].to_numpy(), goal), len(known) - 1)
+            ref = np.where(found, ref, known["v"].to_numpy()[at])
+        return body.append_column("hand", pa.array(own["z"].to_numpy(dtype=float) - ref))
+
+    return grid.with_tile(flow, tile).groupBy(TILE_KEY).cogroup(far.groupBy(TILE_KEY)).applyInArrow(
+        heights, _with_column(flow, "hand double"))
 
 
 def trace_downstream(flow: DataFrame, starts: DataFrame, tile: int = grid.DEFAULT_TILE) -> DataFrame:
     """Cells visited from each start ``(run_id, start_id, r, c)``: adds step ``k``.
 
-    Paths are followed to their end, however long: flow only goes down, so none returns.  A round follows every open path to the edge of its tile, so the rounds are the
-    tiles a path crosses.
+    Paths are followed to their end, however long: flow only goes down, so none returns.  Where a path enters a tile
+    it jumps to where it enters the next; jumps are doubled until none is left, and every start's entries are listed
+    from the longest jump down.  So the rounds are the logarithm of the tiles crossed, on tables of rim cells; then
+    each tile writes the cells of the paths through it.
     """
     run = _run_type(flow)
     sid = starts.schema["start_id"].dataType.simpleString()
-    cells = cut(grid.with_tile(flow.select(*grid.CELL, "down_r", "down_c"), tile), "trace")
-    live = grid.with_tile(starts.select("run_id", "start_id", "r", "c"), tile).withColumn("k", F.lit(0))
-    schema = (f"run_id {run}, start_id {sid}, r int, c int, k int, visited boolean")
-
-    def walk(key: tuple, heads: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+    heads = starts.select("run_id", "start_id", "r", "c", cell_id().alias("a"))
+    begins = grid.with_tile(heads.select(*grid.CELL).distinct(), tile)
+
+    def hops(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"run_id": [], "a": [], "b": [], "steps": []})
+        cells_ = pdf[~pdf["begin"]]
+        if not cells_["core"].any():
+            return none
+        _, ids, to, nxt, ends = _tile_paths(cells_)
+        at = pdf.loc[pdf["begin"], "r"].to_numpy(np.int64) * WIDE + pdf.loc[pdf["begin"], "c"].to_numpy(np.int64)
+        inn = np.unique(np.concatenate([_entries(cells_, ids, tile)[0], np.flatnonzero(np.isin(ids, at))])).astype(np.int64)
+        last = last_of(nxt)[inn]
+        depth = down_depth(nxt)
+        go = ~ends[last]
+        return pd.DataFrame({"run_id": key[0], "a": ids[inn][go], "b": to[last][go], "steps": depth[inn][go]})
+
+    halo = _flow_halo(flow, tile).withColumn("begin", F.lit(False))
+    marks = begins.withColumn("begin", F.lit(True)).withColumn("core", F.lit(False))
+    jump = cut(halo.unionByName(marks, allowMissingColumns=True).groupBy(TILE_KEY).applyInPandas(
+        hops, f"run_id {run}, a long, b long, steps long"), "trace")
+    jumps = []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        then = jump.select("run_id", F.col("a").alias("b"), F.col("b").alias("to"), F.col("steps").alias("more"))
+        jump = cut(jump.join(then, ["run_id", "b"]).select(
+            "run_id", "a", F.col("to").alias("b"), (F.col("steps") + F.col("more")).alias("steps")), "trace")
+    at = heads.select("run_id", "start_id", "a", F.lit(0).cast("long").alias("k"))
+    for jump in reversed(jumps):
+        on = at.join(jump, ["run_id", "a"]).select("run_id", "start_id", F.col("b").alias("a"), (F.col("k") + F.col("steps")).alias("k"))
+        at = cut(at.unionByName(on), "trace")
+    at = grid.with_tile(at.select("*", F.floor(F.col("a") / WIDE).cast("int").alias("r"),
+                                  (F.col("a") % WIDE).cast("int").alias("c")).drop("a"), tile)
+
+    def walk(key: tuple, heads_: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        ids = pdf["r"].to_numpy(np.int64) * WIDE + pdf["c"].to_numpy(np.int64)
-        down = {int(i): (None if np.isnan(a) else (int(a), int(b)))
-                for i, a, b in zip(ids, pdf["down_r"].to_numpy(float), pdf["down_c"].to_numpy(float))}
-        for s, r, c, k in zip(heads["start_id"], heads["r"], heads["c"], heads["k"]):
-            r, c, k = int(r), int(c), int(k)
-            while r * WIDE + c in down:
-                rows.append((key[0], s, r, c, k, True))
-                k += 1
-                nxt = down[r * WIDE + c]
-                if nxt is None:
-                    break
-                r, c = nxt
-            else:
-                if len(pdf):
-                    rows.append((key[0], s, r, c, k, False))
-        return pd.DataFrame(rows, columns=["run_id", "start_id", "r", "c", "k", "visited"])
-
-    done = []
-    while True:
-        got = cut(live.groupBy("run_id", "tr", "tc").cogroup(
-            cells.join(live.select("run_id", "tr", "tc").distinct(), ["run_id", "tr", "tc"], "left_semi")
-                 .groupBy("run_id", "tr", "tc")).applyInPandas(walk, schema), "trace")
-        done.append(got.where("visited").drop("visited"))
-        live = grid.with_tile(got.where(~F.col("visited")).drop("visited"), tile)
-        if live.isEmpty():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        if len(heads_) and len(pdf):
+            own, ids, _, nxt, _ = _tile_paths(pdf.assign(core=True))
+            order = np.argsort(ids)
+            here = heads_["r"].to_numpy(np.int64) * WIDE + heads_["c"].to_numpy(np.int64)
+            cur = order[np.minimum(np.searchsorted(ids, here, sorter=order), len(ids) - 1)]
+            on = ids[cur] == here
+            who, k, cur = heads_["start_id"].to_numpy()[on], heads_["k"].to_numpy()[on], cur[on]
+            rr, cc = own["r"].to_numpy(), own["c"].to_numpy()
+            while len(cur):
+                rows.append(pd.DataFrame({"run_id": key[0], "start_id": who, "r": rr[cur], "c": cc[cur], "k": k}))
+                cur = nxt[cur]
+                go = cur < len(ids)
+                who, k, cur = who[go], k[go] + 1, cur[go]
+        return pd.concat(rows) if rows else pd.DataFrame({"run_id": [], "start_id": [], "r": [], "c": [], "k": []})
+
+    cells_ = grid.with_tile(flow.select(*grid.CELL, "down_r", "down_c"), tile).join(
+        at.select(*TILE_KEY).distinct(), TILE_KEY, "left_semi")
+    return at.groupBy(TILE_KEY).cogroup(cells_.groupBy(TILE_KEY)).applyInPandas(
+        walk, f"run_id {run}, start_id {sid}, r int, c int, k int")
 
 
 def path_distance(trace: DataFrame, dx: float) -> DataFrame:
@@ -400,6 +464,33 @@ def path_distance(trace: DataFrame, dx: float) -> DataFrame:
         "dist_m", F.sum("step_m").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("step_m")
 
 
+def trace_profile(trace: DataFrame, cells: DataFrame, dx: float, *values: str) -> DataFrame:
+    """The cells of each trace with their distance along it and what ``cells`` say about them."""
+    return path_distance(trace, dx).join(cells.select(*grid.CELL, *values), grid.CELL, "left")
+
+
+def bed_drop(profile: DataFrame) -> DataFrame:
+    """Per trace its cells, its length, and how far the bed ``z`` drops along it, in all and per kilometre."""
+    drop = F.min_by("z", "k") - F.max_by("z", "k")
+    return profile.groupBy("run_id", "start_id").agg(
+        F.count("*").alias("steps"), F.max("dist_m").alias("length_m"), drop.alias("drop_m"),
+        (1000.0 * drop / F.greatest(F.max("dist_m"), F.lit(1.0))).alias("drop_per_km"))
+
+
+def confluences(trace: DataFrame, area: DataFrame, samples: int = 20, ratio: float = 1.6) -> DataFrame:
+    """Sampled cells of each trace where ``area_km2`` is over ``ratio`` times that of the sample before.
+
+    A trace is sampled at every cell whose step is a multiple of a ``samples``-th of its cells.
+    """
+    path = Window.partitionBy("run_id", "start_id")
+    stride = F.greatest(F.lit(1), F.floor(F.count("*").over(path) / samples))
+    sampled = trace.withColumn("stride", stride).where(F.col("k") % F.col("stride") == 0)
+    prev = F.lag("area_km2").over(path.orderBy("k"))
+    found = sampled.join(area.select(*grid.CELL, "area_km2"), grid.CELL).withColumn("prev", prev)
+    return found.where(F.col("area_km2") > ratio * F.col("prev")).select(
+        "run_id", "start_id", "k", F.col("area_km2").alias("area"), "prev")
+
+
 def _window_cells(points: DataFrame, cells: DataFrame, radius: int) -> DataFrame:
     """Pairs of a point and the cells of its square window (offsets, then an equi-join)."""
     base = points.withColumn("pr", F.col("r")).withColumn("pc", F.col("c"))

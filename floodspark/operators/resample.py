@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,61 @@ def overlap(targets: DataFrame, to_source, k: int = 4) -> DataFrame:
              .withColumn("sc", F.floor("_s.c").cast("int")).drop("_s", "fr", "fc"))
 
 
+@dataclass(frozen=True)
+class GeographicRaster:
+    """Pixels of ``res`` degrees whose first has its north-west corner at ``lon0, lat0``."""
+    lon0: float
+    lat0: float
+    res: float
+
+    def pixel(self, lat: Column, lon: Column) -> Column:
+        """Fractional row and column of a point."""
+        return F.struct(((self.lat0 - lat) / self.res).alias("r"), ((lon - self.lon0) / self.res).alias("c"))
+
+    def point(self, r: Column, c: Column) -> tuple[Column, Column]:
+        """Latitude and longitude of a fractional row and column."""
+        return self.lat0 - r * self.res, self.lon0 + c * self.res
+
+    def area(self, row: Column) -> Column:
+        """Ground area of the pixels of a row, m^2."""
+        return geodesy.spherical_cell_area(self.lat0 - (row + 0.5) * self.res, self.res, self.res)
+
+
+@dataclass(frozen=True)
+class UtmGrid:
+    """Cells of ``dx`` metres in a zone; the first has its north-west corner at ``x0, y0``."""
+    x0: float
+    y0: float
+    dx: float
+    zone: int
+    north: bool = True
+
+    def cell(self, p: Column) -> Column:
+        return F.struct(((self.y0 - p["y"]) / self.dx).alias("r"), ((p["x"] - self.x0) / self.dx).alias("c"))
+
+    def to_pixels(self, raster: GeographicRaster):
+        """From fractional rows and columns of this grid to those of the raster."""
+        def convert(r: Column, c: Column) -> Column:
+            g = geodesy.utm_inverse(self.x0 + c * self.dx, self.y0 - r * self.dx, F.lit(self.zone), F.lit(self.north))
+            return raster.pixel(g["lat"], g["lon"])
+        return convert
+
+    def from_pixels(self, raster: GeographicRaster):
+        """From fractional rows and columns of the raster to those of this grid."""
+        def convert(r: Column, c: Column) -> Column:
+            return self.cell(geodesy.utm_forward(*raster.point(r, c), F.lit(self.zone)))
+        return convert
+
+
+def people_across(source: DataFrame, raster: GeographicRaster, targets: DataFrame, target: UtmGrid, k: int = 4) -> DataFrame:
+    """People per cell of a UTM grid from counts on a longitude-latitude raster.
+
+    Counts become densities by each row's own ground area; a cell takes the mean density under its ``k * k``
+    sub-points, found by the inverse projection.
+    """
+    return resample_population(source, targets, target.to_pixels(raster), target.dx, raster.area(F.col("sr")), k)
+
+
 def resample_population(source: DataFrame, targets: DataFrame, to_source, target_dx: float,
                         cell_area: Column, k: int = 4) -> DataFrame:
     """People per target cell: counts to density, area average, back to counts.

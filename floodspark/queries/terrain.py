@@ -144,9 +144,41 @@ def _(s, d):
     return rounded(terrain.fill_report(terrain.capped_fill(_dem(s, d), None, TILE), DX), 3)
 
 
-@query("gr1_gr4_full_flow_analysis", "GR1 GR2 GR3 GR4 GR5")
+# the whole chain: voids filled, depressions filled, steps across flats, flow, areas, heights above drainage
+_AROUND = "(VALUES (0,1),(1,1),(1,0),(1,-1),(0,-1),(-1,-1),(-1,0),(-1,1)) AS o(dr, dc)"
+DERIVED["solid"] = (("dem",), """
+    SELECT d.run_id, d.r, d.c, CASE WHEN d.valid THEN d.z ELSE n.z END AS z FROM dem d LEFT JOIN (
+      SELECT v.run_id, v.r, v.c, arg_min(x.z, struct_pack(a := (v.r - x.r) * (v.r - x.r) + (v.c - x.c) * (v.c - x.c), b := x.r, c := x.c)) AS z
+      FROM dem v JOIN dem x ON x.run_id = v.run_id WHERE NOT v.valid AND x.valid GROUP BY ALL) n USING (run_id, r, c)""")
+DERIVED["lake"] = (("solid",), f"SELECT run_id, r, c, z, filled FROM ({_FILL.replace('dem', 'solid')}) JOIN solid USING (run_id, r, c)")
+DERIVED["flats"] = (("lake",), f"""
+    SELECT l.run_id, l.r, l.c, any_value(l.z) AS z, any_value(l.filled) AS filled,
+           count(n.filled) = 8 AND count(*) FILTER (WHERE n.filled < l.filled) = 0 AS flat
+    FROM lake l CROSS JOIN {_AROUND} LEFT JOIN lake n ON n.run_id = l.run_id AND n.r = l.r + o.dr AND n.c = l.c + o.dc GROUP BY l.run_id, l.r, l.c""")
+DERIVED["surface"] = (("flats",), f"""
+    SELECT run_id, r, c, z, filled, filled + 0.000001 * coalesce(d, 0) AS zr FROM flats LEFT JOIN (
+      WITH RECURSIVE away(run_id, r, c, w, d) USING KEY (run_id, r, c) AS (
+        SELECT run_id, r, c, filled AS w, 0.0 AS d FROM flats WHERE NOT flat
+        UNION
+        SELECT n.run_id, n.r, n.c, any_value(n.filled) AS w, min(a.d) + 1.0 AS d FROM away a CROSS JOIN {_AROUND}
+        JOIN flats n ON n.run_id = a.run_id AND n.r = a.r + o.dr AND n.c = a.c + o.dc AND n.flat AND n.filled = a.w
+        LEFT JOIN recurring.away k ON k.run_id = n.run_id AND k.r = n.r AND k.c = n.c
+        GROUP BY n.run_id, n.r, n.c HAVING any_value(k.d) IS NULL OR min(a.d) + 1.0 < any_value(k.d))
+      SELECT run_id, r, c, d FROM away) USING (run_id, r, c)""")
+DERIVED["routed"] = (("surface",), DERIVED["flow"][1].replace("FROM dem d", "FROM surface d").replace("LEFT JOIN dem n", "LEFT JOIN surface n")
+                     .replace("d.z - n.z", "d.zr - n.zr").replace("count(n.z)", "count(n.zr)")
+                     .replace("any_value(d.z) AS z", "any_value(d.z) AS z, any_value(d.filled) AS filled, any_value(d.zr) AS zr"))
+DERIVED["river_acc"] = (("routed",), DERIVED["acc"][1].replace("flow", "routed"))
+DERIVED["river"] = (("routed", "river_acc"), DERIVED["drain"][1].replace("FROM flow f JOIN acc a", "FROM routed f JOIN river_acc a"))
+FINE = 16
+
+
+@query("gr1_gr4_full_flow_analysis", "GR1 GR2 GR3 GR4 GR5", f"""
+    SELECT run_id, r, c, filled, round(zr, 9) AS zr, coalesce([1, 2, 4, 8, 16, 32, 64, 128][dir + 1], 0) AS d8, acc, stream, hand
+    FROM river JOIN ({_HAND.replace("drain", "river")}) USING (run_id, r, c)""", ("river",))
 def _(s, d):
-    return _routed(s, d).select(*grid.CELL, "filled", "zr", "d8", "acc", "stream", "hand")
+    out = hyd.analyse_flow(cut(_solid(s, d), "solid"), DX, 0.08, FINE)
+    return out.select(*grid.CELL, "filled", F.round("zr", 9).alias("zr"), "d8", "acc", "stream", "hand")
 
 
 @query("agg24_routing_checks", "AGG24", """
@@ -165,35 +197,51 @@ _TRACE = """
     SELECT * FROM (
       WITH RECURSIVE walk AS (
         SELECT f.run_id, p.poi_id AS start_id, f.r, f.c, 0 AS k, f.down_r, f.down_c, f.z FROM poi p
-        JOIN flow f ON f.run_id = CAST(floor(p.poi_id / 100.0) AS INT) AND f.r = p.poi_id * 7 % 30 AND f.c = p.poi_id * 11 % 50
+        JOIN routed f ON f.run_id = CAST(floor(p.poi_id / 100.0) AS INT) AND f.r = p.poi_id * 7 % 30 AND f.c = p.poi_id * 11 % 50
         UNION ALL
         SELECT w.run_id, w.start_id, f.r, f.c, w.k + 1, f.down_r, f.down_c, f.z
-        FROM walk w JOIN flow f ON f.run_id = w.run_id AND f.r = w.down_r AND f.c = w.down_c)
+        FROM walk w JOIN routed f ON f.run_id = w.run_id AND f.r = w.down_r AND f.c = w.down_c)
       SELECT * FROM walk)"""
+_PROFILE = f"""
+    SELECT run_id, start_id, r, c, k, z, sum(step) OVER (PARTITION BY start_id ORDER BY k) AS dist_m FROM (
+      SELECT *, coalesce(90.0 * sqrt((r - lag(r) OVER w) * (r - lag(r) OVER w) + (c - lag(c) OVER w) * (c - lag(c) OVER w)), 0) AS step
+      FROM ({_TRACE}) WINDOW w AS (PARTITION BY start_id ORDER BY k))"""
 
 
-def _trace(s, d):
-    return hyd.trace_downstream(_flow(s, d), _starts(s, d), TILE)
+def _river(s, d, acc=False):
+    """Flow over the filled surface, across its flats too."""
+    filled = cut(hyd.fill_depressions(_solid(s, d).select(*grid.CELL, "z"), TILE), "filled")
+    flow = cut(hyd.flow_direction(hyd.routing_surface(filled, tile=TILE), "zr", DX), "flow")
+    return cut(hyd.with_stream(hyd.flow_accumulation(flow, TILE), DX, 0.08), "river") if acc else flow
 
 
-@query("gr6_trace_distance", "GR6 WIN3", f"""
-    SELECT run_id, start_id, r, c, k, round(sum(step) OVER (PARTITION BY start_id ORDER BY k), 6) AS dist_m FROM (
-      SELECT *, coalesce(90.0 * sqrt((r - lag(r) OVER w) * (r - lag(r) OVER w) + (c - lag(c) OVER w) * (c - lag(c) OVER w)), 0) AS step
-      FROM ({_TRACE}) WINDOW w AS (PARTITION BY start_id ORDER BY k))""", ("poi", "flow"))
+def _trace(s, d, flow=None):
+    return hyd.trace_downstream(_river(s, d) if flow is None else flow, _starts(s, d), FINE)
+
+
+@query("gr6_trace_distance", "GR6 WIN3", f"SELECT run_id, start_id, r, c, k, round(dist_m, 6) AS dist_m FROM ({_PROFILE})", ("poi", "routed"))
 def _(s, d):
     return rounded(hyd.path_distance(_trace(s, d), DX))
 
 
-@query("win10_trace_profile", "WIN10", f"""
-    SELECT start_id, count(*) AS steps, arg_min(z, k) - arg_max(z, k) AS drop_m FROM ({_TRACE}) GROUP BY start_id""", ("poi", "flow"))
+@query("win10_trace_profile", "WIN10", f"SELECT run_id, start_id, k, z, round(dist_m, 6) AS dist_m FROM ({_PROFILE})", ("poi", "routed"))
 def _(s, d):
-    t = _trace(s, d).join(_dem(s, d).select(*grid.CELL, "z"), grid.CELL)
-    return t.groupBy("start_id").agg(F.count("*").alias("steps"), (F.min_by("z", "k") - F.max_by("z", "k")).alias("drop_m"))
+    flow = _river(s, d)
+    return rounded(hyd.trace_profile(_trace(s, d, flow), flow, DX, "z").select("run_id", "start_id", "k", "z", "dist_m"))
+
+
+@query("win10_bed_drop", "WIN10", f"""
+    SELECT run_id, start_id, count(*) AS steps, round(max(dist_m), 6) AS length_m, arg_min(z, k) - arg_max(z, k) AS drop_m,
+           round(1000.0 * (arg_min(z, k) - arg_max(z, k)) / greatest(max(dist_m), 1.0), 6) AS drop_per_km
+    FROM ({_PROFILE}) GROUP BY run_id, start_id""", ("poi", "routed"))
+def _(s, d):
+    flow = _river(s, d)
+    return rounded(hyd.bed_drop(hyd.trace_profile(_trace(s, d, flow), flow, DX, "z")))
 
 
 @query("jn10_points_on_trace", "JN10", f"""
     SELECT p.poi_id, min(t.k) AS k FROM (SELECT poi_id, CAST(floor(poi_id / 100.0) AS INT) AS run_id, poi_id * 3 % 30 AS r, 20 + poi_id % 11 AS c FROM poi) p
-    LEFT JOIN ({_TRACE}) t ON t.run_id = p.run_id AND t.r = p.r AND t.c = p.c GROUP BY p.poi_id""", ("poi", "flow"))
+    LEFT JOIN ({_TRACE}) t ON t.run_id = p.run_id AND t.r = p.r AND t.c = p.c GROUP BY p.poi_id""", ("poi", "routed"))
 def _(s, d):
     p = view(s, d, "poi").select("poi_id", F.floor(F.col("poi_id") / 100.0).cast("int").alias("run_id"), (F.col("poi_id") * 3 % 30).alias("r"),
                                  (20 + F.col("poi_id") % 11).alias("c"))
@@ -201,15 +249,13 @@ def _(s, d):
 
 
 @query("win4_confluences", "WIN4", f"""
-    SELECT start_id, k, round(area, 6) AS area, round(prev, 6) AS prev FROM (
-      SELECT start_id, k, a.area_km2 AS area, lag(a.area_km2) OVER (PARTITION BY start_id ORDER BY k) AS prev
-      FROM ({_TRACE}) t JOIN drain a USING (run_id, r, c) WHERE k % 2 = 0) WHERE area > 1.6 * prev""", ("poi", "drain"))
+    SELECT run_id, start_id, k, round(area, 6) AS area, round(prev, 6) AS prev FROM (
+      SELECT t.run_id, start_id, k, a.area_km2 AS area, lag(a.area_km2) OVER (PARTITION BY start_id ORDER BY k) AS prev
+      FROM (SELECT *, count(*) OVER (PARTITION BY start_id) AS n FROM ({_TRACE})) t JOIN river a USING (run_id, r, c)
+      WHERE k % greatest(1, n // 20) = 0) WHERE area > 1.6 * prev""", ("poi", "river"))
 def _(s, d):
-    from pyspark.sql import Window
-    t = _trace(s, d).where("k % 2 = 0").join(_drain(s, d).select(*grid.CELL, F.col("area_km2").alias("area")), grid.CELL)
-    w = Window.partitionBy("start_id").orderBy("k")
-    return rounded(t.withColumn("prev", F.lag("area").over(w)).where(F.col("area") > 1.6 * F.col("prev")).select(
-        "start_id", "k", "area", "prev"))
+    river = _river(s, d, acc=True)
+    return rounded(hyd.confluences(_trace(s, d, river), river))
 
 
 def _points(s, d):
@@ -249,7 +295,7 @@ def _(s, d):
 
 @query("gr9_injection_footprint", "GR9", f"""
     SELECT start_id, r, c, k FROM (SELECT *, row_number() OVER (PARTITION BY start_id ORDER BY k) AS rank
-      FROM ({_TRACE}) WHERE NOT (r < 3)) WHERE rank <= 4""", ("poi", "flow"))
+      FROM ({_TRACE}) WHERE NOT (r < 3)) WHERE rank <= 4""", ("poi", "routed"))
 def _(s, d):
     pool = _dem(s, d).where("r < 3")
     return hyd.injection_footprint(_trace(s, d), pool, 4, DX).select("start_id", "r", "c", "k")
@@ -331,10 +377,31 @@ def _terraced(s, d):
     return _dem(s, d).withColumn("z", F.when(F.col("z") < 1008, 1008.0).otherwise(F.col("z")))
 
 
-@query("gr11_pool_detection", "GR11 TOP7")
+_TERRACE = "(SELECT run_id, r, c, CASE WHEN z < 1008 THEN 1008.0 ELSE z END AS z FROM dem)"
+DERIVED["terrace_flat"] = (("dem",), f"""
+    SELECT x.run_id, x.r, x.c, x.z FROM {_TERRACE} x JOIN {_TERRACE} y
+      ON y.run_id = x.run_id AND abs(y.r - x.r) + abs(y.c - x.c) = 1 AND y.r BETWEEN x.r - 1 AND x.r + 1 AND y.c BETWEEN x.c - 1 AND x.c + 1
+      AND abs(x.z - y.z) <= 0.01 GROUP BY ALL HAVING count(*) = 4""")
+DERIVED["pool_flat"] = (("terrace_flat",), f"""
+    SELECT p.run_id, p.r, p.c, p.lab, f.z FROM ({_COMP.format(diag="").replace("FROM low", "FROM terrace_flat").replace("JOIN low n", "JOIN terrace_flat n")}) p
+    JOIN terrace_flat f USING (run_id, r, c)""")
+DERIVED["pool_seed"] = (("pool_flat",), """
+    SELECT run_id, lab, level FROM (SELECT run_id, lab, count(*) AS n, median(z) AS level FROM pool_flat GROUP BY ALL
+                                     HAVING count(*) FILTER (WHERE abs(r - 10) <= 30 AND abs(c - 25) <= 30) > 0)
+    QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC, lab) = 1 AND n >= 25""")
+DERIVED["pool_low"] = (("dem", "pool_seed"), f"SELECT t.run_id, t.r, t.c FROM {_TERRACE} t JOIN pool_seed USING (run_id) WHERE t.z <= level + 0.000001")
+
+
+@query("gr11_pool_detection", "GR11 TOP7", f"""
+    SELECT run_id, max(level) AS level_m, round(count(*) * 0.0081, 6) AS area_km2, bool_or(r = 0) AS touches_j0, bool_or(r = mr) AS touches_jmax,
+           bool_or(c = 0) AS touches_i0, bool_or(c = mc) AS touches_imax, 100000.0 AS published_m2, count(*) * 0.0081 > 0.1 * 1.05 AS suspect
+    FROM (SELECT b.*, lab, first_value(lab) OVER (PARTITION BY b.run_id ORDER BY (r * 100000 + c = seed) DESC) AS home FROM (
+            SELECT k.run_id, k.r, k.c, k.lab, q.lab AS seed, q.level FROM ({_COMP.format(diag="").replace("FROM low", "FROM pool_low").replace("JOIN low n", "JOIN pool_low n")}) k
+            JOIN pool_seed q USING (run_id)) b)
+    JOIN (SELECT run_id, max(r) AS mr, max(c) AS mc FROM dem GROUP BY run_id) USING (run_id) WHERE lab = home GROUP BY run_id""", ("dem", "pool_low"))
 def _(s, d):
     dem = cut(_terraced(s, d), "dem")
-    return terrain.pool_report(terrain.detect_pools(dem, _sizes(s, d), _dams(s, d), DX, tile=TILE), _sizes(s, d), _dams(s, d), DX)
+    return rounded(terrain.pool_report(terrain.detect_pools(dem, _sizes(s, d), _dams(s, d), DX, tile=FINE), _sizes(s, d), _dams(s, d), DX))
 
 
 @query("gr11_flat_cells", "GR11 JN14", """
@@ -567,6 +634,71 @@ def _(s, d):
                     F.round("resampled_total", 4).alias("resampled_total"), F.round("residual", 6).alias("residual"), "conserved", "subpoints")
 
 
+# --- the same across a change of projection: pixels of 0.004 degrees under cells of UTM zone 44 north ------------
+
+_RASTER = resample.GeographicRaster(78.9305, 29.8, 0.004)
+_GRID = resample.UtmGrid(300_000.0, 3_298_000.0, DX, 44)
+_FLAT = "(1.0 / 298.257223563)"
+_N = 1.0 / 298.257223563 / (2.0 - 1.0 / 298.257223563)
+_SCALE = 0.9996 * 6378137.0 / (1 + _N) * (1 + _N ** 2 / 4 + _N ** 4 / 64 + _N ** 6 / 256)
+_BETA = (_N / 2 - 2 * _N ** 2 / 3 + 37 * _N ** 3 / 96 - _N ** 4 / 360, _N ** 2 / 48 + _N ** 3 / 15 - 437 * _N ** 4 / 1440,
+         17 * _N ** 3 / 480 - 37 * _N ** 4 / 840, 4397 * _N ** 4 / 161280)
+_DELTA = (2 * _N - 2 * _N ** 2 / 3 - 2 * _N ** 3 + 116 * _N ** 4 / 45, 7 * _N ** 2 / 3 - 8 * _N ** 3 / 5 - 227 * _N ** 4 / 45,
+          56 * _N ** 3 / 15 - 136 * _N ** 4 / 35, 4279 * _N ** 4 / 630)
+_ALPHA = (_N / 2 - 2 * _N ** 2 / 3 + 5 * _N ** 3 / 16 + 41 * _N ** 4 / 180, 13 * _N ** 2 / 48 - 3 * _N ** 3 / 5 + 557 * _N ** 4 / 1440,
+          61 * _N ** 3 / 240 - 103 * _N ** 4 / 140, 49561 * _N ** 4 / 161280)
+
+
+def _series(terms, sign: str, first: str, second: str) -> str:
+    return "".join(f" {sign} {v!r}::DOUBLE * {first.format(2 * j)} * {second.format(2 * j)}" for j, v in enumerate(terms, 1))
+
+
+_OFFSETS = "(SELECT (a.i + 0.5) / 4.0 AS u, (b.i + 0.5) / 4.0 AS v FROM (SELECT unnest(range(4)) AS i) a, (SELECT unnest(range(4)) AS i) b) o"
+# sub-points of cells as longitude and latitude
+_SUBS = f"""
+    SELECT run_id, r, c, chi{"".join(f" + {v!r}::DOUBLE * sin({2 * j} * chi)" for j, v in enumerate(_DELTA, 1))} AS phi, lam FROM (
+      SELECT run_id, r, c, asin(sin(xi) / cosh(eta)) AS chi, degrees(atan2(sinh(eta), cos(xi))) + 81.0 AS lam FROM (
+        SELECT run_id, r, c, x{_series(_BETA, "-", "sin({} * x)", "cosh({} * e)")} AS xi, e{_series(_BETA, "-", "cos({} * x)", "sinh({} * e)")} AS eta FROM (
+          SELECT run_id, r, c, (3298000.0 - (r + u) * 90.0) / {_SCALE!r}::DOUBLE AS x, (300000.0 + (c + v) * 90.0 - 500000.0) / {_SCALE!r}::DOUBLE AS e
+          FROM dem, {_OFFSETS})))"""
+_ACROSS = f"""
+    SELECT p.run_id, p.r, p.c, CASE WHEN count(s.cnt) > 0 THEN avg(greatest(coalesce(s.cnt, 0), 0) / m2) FILTER (WHERE s.sr IS NOT NULL) * 8100.0 ELSE 0 END AS pop
+    FROM (SELECT run_id, r, c, CAST(floor((29.8 - degrees(phi)) / 0.004) AS INT) AS sr, CAST(floor((lam - 78.9305) / 0.004) AS INT) AS sc FROM ({_SUBS})) p
+    LEFT JOIN (SELECT *, 6371008.8 * 6371008.8 * radians(0.004) * abs(sin(radians(29.8 - (sr + 0.5) * 0.004 + 0.002)) - sin(radians(29.8 - (sr + 0.5) * 0.004 - 0.002))) AS m2
+               FROM counts) s USING (run_id, sr, sc) GROUP BY p.run_id, p.r, p.c"""
+
+
+def _across(s, d):
+    return resample.people_across(view(s, d, "counts"), _RASTER, _dem(s, d), _GRID)
+
+
+@query("agg10_people_across_projections", "AGG10 JN16 GEO1 GEO2", f"SELECT run_id, r, c, round(pop, 8) AS pop FROM ({_ACROSS})", ("dem", "counts"))
+def _(s, d):
+    return rounded(_across(s, d), 8)
+
+
+# sub-points of pixels that lie in the grid
+_COVERED = f"""
+    SELECT run_id, sum(CASE WHEN tr >= 0 AND tr < ny AND tc >= 0 AND tc < nx THEN q ELSE 0 END) / 16.0 AS source_total, sum(q) / 16.0 AS raw_total FROM (
+      SELECT run_id, q, (3298000.0 - {_SCALE!r}::DOUBLE * (xi{_series(_ALPHA, "+", "sin({} * xi)", "cosh({} * eta)")})) / 90.0 AS tr,
+             (500000.0 + {_SCALE!r}::DOUBLE * (eta{_series(_ALPHA, "+", "cos({} * xi)", "sinh({} * eta)")}) - 300000.0) / 90.0 AS tc FROM (
+        SELECT run_id, q, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1.0 + t * t)) AS eta FROM (
+          SELECT run_id, q, radians(lon - 81.0) AS lam, sinh(atanh(sin(radians(lat))) - ec * atanh(ec * sin(radians(lat)))) AS t FROM (
+            SELECT run_id, greatest(coalesce(cnt, 0), 0) AS q, 29.8 - (sr + u) * 0.004 AS lat, 78.9305 + (sc + v) * 0.004 AS lon, sqrt({_FLAT} * (2.0 - {_FLAT})) AS ec
+            FROM counts, {_OFFSETS}))))
+    JOIN (SELECT run_id, max(r) + 1 AS ny, max(c) + 1 AS nx FROM dem GROUP BY run_id) USING (run_id) GROUP BY run_id"""
+
+
+@query("agg10_conservation_across_projections", "AGG10 JN16", f"""
+    SELECT run_id, round(source_total, 4) AS source_total, round(raw_total, 4) AS raw_total, round(t, 4) AS resampled_total,
+           round((t - source_total) / source_total, 6) AS residual, abs((t - source_total) / source_total) <= 0.05 AS conserved
+    FROM ({_COVERED}) JOIN (SELECT run_id, sum(pop) AS t FROM ({_ACROSS}) GROUP BY run_id) USING (run_id)""", ("dem", "counts"))
+def _(s, d):
+    rep = resample.conservation(view(s, d, "counts"), _across(s, d), _GRID.from_pixels(_RASTER), _sizes(s, d), tolerance=0.05)
+    return rep.select("run_id", *[F.round(c, 4).alias(c) for c in ("source_total", "raw_total", "resampled_total")],
+                      F.round("residual", 6).alias("residual"), "conserved")
+
+
 @query("src7_windowed_counts", "SRC7", """
     SELECT run_id, sr, sc, greatest(coalesce(cnt, 0), 0) AS cnt FROM counts WHERE sr BETWEEN 10 AND 50 AND sc BETWEEN -17 AND 26""", ("counts",))
 def _(s, d):
@@ -636,7 +768,22 @@ def _(s, d):
     return q.select(*grid.CELL, F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("q.r").alias("r2"), F.col("q.c").alias("c2"))
 
 
-@query("geo7_geographic_cover", "GEO7")
+def _inverse(x: str, y: str) -> str:
+    """Columns ``lat, lon`` from the columns ``x, y`` of a zone 44 grid, as a FROM item over ``{from}``."""
+    return f"""(
+      SELECT *, degrees(chi{"".join(f" + {v!r}::DOUBLE * sin({2 * j} * chi)" for j, v in enumerate(_DELTA, 1))}) AS lat FROM (
+        SELECT *, asin(sin(xi) / cosh(eta)) AS chi, degrees(atan2(sinh(eta), cos(xi))) + 81.0 AS lon FROM (
+          SELECT *, n{_series(_BETA, "-", "sin({} * n)", "cosh({} * e)")} AS xi, e{_series(_BETA, "-", "cos({} * n)", "sinh({} * e)")} AS eta
+          FROM (SELECT *, {y} / {_SCALE!r}::DOUBLE AS n, ({x} - 500000.0) / {_SCALE!r}::DOUBLE AS e FROM """
+
+
+@query("geo7_geographic_cover", "GEO7", f"""
+    SELECT extent_id, round(min(lon) - 0.01, 6) AS west, round(min(lat) - 0.01, 6) AS south, round(max(lon) + 0.01, 6) AS east, round(max(lat) + 0.01, 6) AS north
+    FROM {_inverse("x", "y")} (
+      SELECT extent_id, CASE WHEN side < 2 THEN 300000.0 + w * f WHEN side = 2 THEN 300000.0 ELSE 300000.0 + w END AS x,
+             CASE WHEN side >= 2 THEN 3300000.0 + h * f WHEN side = 0 THEN 3300000.0 ELSE 3300000.0 + h END AS y
+      FROM (SELECT run_id AS extent_id, (max(c) + 1) * 90.0 AS w, (max(r) + 1) * 90.0 AS h FROM dem GROUP BY run_id),
+           (SELECT unnest(range(4)) AS side), (SELECT unnest(range(65)) / 64.0 AS f)))))) GROUP BY extent_id""", ("dem",))
 def _(s, d):
     e = _sizes(s, d).select(F.col("run_id").alias("extent_id"), F.lit(300000.0).alias("xmin"), F.lit(3300000.0).alias("ymin"),
                             (300000.0 + F.col("nx") * DX).alias("xmax"), (3300000.0 + F.col("ny") * DX).alias("ymax"))

@@ -35,7 +35,15 @@ def _refuse_empty(full: DataFrame, good: Column) -> DataFrame:
 
 
 def window(pixels: DataFrame, rows: tuple[int, int], cols: tuple[int, int], pad: int = 20) -> DataFrame:
-    """Padded read window of a count raster: pushed to the scan, gaps and negatives are 0."""
-    keep = pixels.where(F.col("sr").between(rows[0] - pad, rows[1] + pad)
-                        & F.col("sc").between(cols[0] - pad, cols[1] + pad))
-    return keep.withColumn("cnt", F.greatest(F.coalesce("cnt", F.lit(0.0)), F.lit(0.0)))
+    """Padded read window of a count raster: pushed to the scan, gaps and negatives are 0.
+
+    A run whose raster lies all outside the window is an error, raised when its rows are read.
+    """
+    inside = (F.col("sr").between(rows[0] - pad, rows[1] + pad) & F.col("sc").between(cols[0] - pad, cols[1] + pad))
+    cnt = F.greatest(F.coalesce("cnt", F.lit(0.0)), F.lit(0.0))
+    kept = pixels.where(inside).withColumn("cnt", cnt)
+    missed = pixels.groupBy("run_id").agg(F.max(inside).alias("hit")).where(~F.col("hit"))
+    why = F.raise_error(F.concat(F.lit("the window does not overlap the raster of run "), F.col("run_id").cast("string")))
+    refused = missed.select(*[(why if c == "cnt" else F.lit(None)).cast(t).alias(c) if c != "run_id" else F.col(c)
+                              for c, t in pixels.dtypes])
+    return kept.unionByName(refused)
