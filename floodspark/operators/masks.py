@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodspark import fixed, grid
 
 
-def dilate(mask_cells: DataFrame, radius: int) -> DataFrame:
-    """Cells within ``radius`` cross-shaped steps of a mask cell."""
-    return grid.spread_box(mask_cells.select(*grid.CELL), radius, True).distinct()
+def near_l1(cells: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
+    """The rows of ``cells`` within ``radius`` cross-shaped steps of a seed cell, with the steps ``l1``.
+
+    Two passes whatever the radius: down the columns that hold a seed, each row the grid has gets its steps to the
+    nearest seed; along the rows the running minimum of those steps plus the columns between is the distance.  Gaps in
+    either table do not matter.
+    """
+    marks = seeds.select(*grid.CELL).distinct()
+    rows = cells.select("run_id", "r").distinct().join(marks.select("run_id", "c").distinct(), "run_id")
+    lanes = rows.select(*grid.CELL, F.lit(None).cast("int").alias("s")).unionByName(marks.withColumn("s", F.col("r")))
+    w = Window.partitionBy("run_id", "c").orderBy("r")
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    above = F.last("s", True).over(w.rangeBetween(start, 0))
+    below = F.first("s", True).over(w.rangeBetween(0, end))
+    lanes = lanes.withColumn("d", F.least(F.col("r") - above, below - F.col("r"))).where("s IS NULL").where(F.col("d") <= radius)
+    here = cells.select(*grid.CELL, F.lit(None).cast("int").alias("d"))
+    here = here.join(lanes.select("run_id", "r").distinct(), ["run_id", "r"], "left_semi")
+    both = here.withColumn("cell", F.lit(True)).unionByName(lanes.select(*grid.CELL, "d").withColumn("cell", F.lit(False)))
+    w = Window.partitionBy("run_id", "r").orderBy("c")
+    west = F.min(F.col("d") - F.col("c")).over(w.rangeBetween(start, 0)) + F.col("c")
+    east = F.min(F.col("d") + F.col("c")).over(w.rangeBetween(0, end)) - F.col("c")
+    return both.withColumn("l1", F.least(west, east)).where(F.col("cell") & (F.col("l1") <= radius)).select(*grid.CELL, "l1")
+
+
+def dilate(mask_cells: DataFrame, radius: int, cells: DataFrame) -> DataFrame:
+    """Those of ``cells`` within ``radius`` cross-shaped steps of a mask cell."""
+    return near_l1(cells, mask_cells, radius).select(*grid.CELL)
 
 
 def erode(mask_cells: DataFrame, radius: int) -> DataFrame:
-    """Mask cells whose whole diamond lies in the mask; the outside counts as empty."""
-    full = 2 * radius * (radius + 1) + 1
-    return (grid.spread_box(mask_cells.select(*grid.CELL), radius, True)
-                .groupBy(*grid.CELL).agg(F.count("*").alias("n")).where(F.col("n") == full)
-                .select(*grid.CELL))
+    """Mask cells whose whole diamond lies in the mask; the outside counts as empty.
+
+    The nearest empty cell of any mask cell lies beside the mask, so only those are seeds.
+    """
+    mask = mask_cells.select(*grid.CELL)
+    sides = grid.neighbours4(mask.withColumn("in_", F.lit(True)), "in_")
+    steps = (("w_", 0, -1), ("e_", 0, 1), ("n_", -1, 0), ("s_", 1, 0))
+    gaps = F.array(*[F.when(F.col(k).isNull(), F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")))
+                     for k, dr, dc in steps])
+    empty = sides.select("run_id", F.explode(F.array_compact(gaps)).alias("g")).select("run_id", "g.r", "g.c")
+    return mask.join(near_l1(mask, empty, radius), grid.CELL, "left_anti")
 
 
 def reportable(cells: DataFrame, sizes: DataFrame, seeds: DataFrame, dx: float,
@@ -33,7 +63,7 @@ def reportable(cells: DataFrame, sizes: DataFrame, seeds: DataFrame, dx: float,
         edge = edge | zones[name]
     out = cells.join(sizes, "run_id").withColumn("_edge", edge).drop("ny", "nx")
     if near_field_m:
-        near = dilate(seeds, max(1, round(near_field_m / dx))).withColumn("_near", F.lit(True))
+        near = dilate(seeds, max(1, round(near_field_m / dx)), cells).withColumn("_near", F.lit(True))
         out = out.join(near, grid.CELL, "left")
     else:
         out = out.withColumn("_near", F.lit(None).cast("boolean"))

@@ -29,14 +29,13 @@ def boundary_edges(classed: DataFrame) -> DataFrame:
         "edge_id", (F.col("r0").cast("long") * WIDE + F.col("c0")) * 4 + F.col("side"))
 
 
-def dissolved_rings(classed: DataFrame, transform: list[float]) -> DataFrame:
-    """Closed rings per run and class: ``ring, signed_cells, wkt`` (holes are negative).
+def traced_rings(classed: DataFrame) -> DataFrame:
+    """Boundary edges with the ring they are on: adds ``ring, place, corner``.
 
-    Every edge knows the one after it; rings are the components of that relation, and
-    an edge's place in its ring is a path sum.  Both are solved on the graph, so no
-    task ever holds a class's outline; only the corners of one ring meet, in its row.
+    Every edge knows the one after it; rings are the components of that relation, named by their least edge, and an
+    edge's place in its ring, counted from that edge, is a path sum.  Both are solved on the graph, so no task ever
+    holds an outline.  ``corner`` says that the edge before has another direction.
     """
-    a, b, x0, d, e, y0 = (float(v) for v in transform)
     edges = cut(boundary_edges(classed), "edges")
     nxt = edges.select("run_id", "cls", F.col("r0").alias("r1"), F.col("c0").alias("c1"), F.col("edge_id").alias("next_id"),
                        F.col("side").alias("next_side"), (F.col("r1") - F.col("r0")).alias("nr"), (F.col("c1") - F.col("c0")).alias("nc"))
@@ -50,17 +49,38 @@ def dissolved_rings(classed: DataFrame, transform: list[float]) -> DataFrame:
     placed = cut(link.join(ring, ["run_id", "edge_id"]), "ringed")
     place = forest_sums(placed.select(
         "run_id", F.col("edge_id").alias("a"), F.when(F.col("next_id") != F.col("ring"), F.col("next_id")).alias("p"),
-        F.lit(1.0).alias("v"))).select("run_id", F.col("a").alias("edge_id"), F.col("v").alias("place"))
+        F.lit(1.0).alias("v"))).select("run_id", F.col("a").alias("edge_id"), F.col("v").cast("long").alias("place"))
     turns = placed.where("side <> next_side").select("run_id", F.col("next_id").alias("edge_id"), F.lit(True).alias("corner"))
+    return (edges.join(placed.select("run_id", "edge_id", "ring"), ["run_id", "edge_id"])
+                 .join(place, ["run_id", "edge_id"]).join(turns, ["run_id", "edge_id"], "left")
+                 .withColumn("corner", F.coalesce("corner", F.lit(False))))
+
+
+def ring_areas(rings: DataFrame) -> DataFrame:
+    """``run_id, cls, ring, signed_cells`` of traced rings: partial sums of edges, holes are negative."""
+    return rings.groupBy("run_id", "cls", "ring").agg(
+        (F.sum(F.col("r0") * F.col("c1") - F.col("r1") * F.col("c0")) / 2.0).alias("signed_cells"))
+
+
+def ring_vertices(rings: DataFrame, transform: list[float]) -> DataFrame:
+    """The corners of traced rings, a row each: ``run_id, cls, ring, place, x, y``."""
+    a, b, x0, d, e, y0 = (float(v) for v in transform)
     x, y = a * F.col("c0") + b * F.col("r0") + x0, d * F.col("c0") + e * F.col("r0") + y0
-    full = (edges.join(placed.select("run_id", "edge_id", "ring"), ["run_id", "edge_id"])
-                 .join(place, ["run_id", "edge_id"]).join(turns, ["run_id", "edge_id"], "left"))
-    out = full.groupBy("run_id", "cls", "ring").agg(
-        (F.sum(F.col("r0") * F.col("c1") - F.col("r1") * F.col("c0")) / 2.0).alias("signed_cells"),
-        F.array_sort(F.collect_list(F.when(F.col("corner"), F.struct("place", F.format_string("%s %s", x, y).alias("xy"))))).alias("p"))
-    pts = F.transform("p", lambda v: v["xy"])
-    return out.select("run_id", "cls", "ring", "signed_cells", F.concat(
-        F.lit("("), F.array_join(F.concat(pts, F.slice(pts, 1, 1)), ", "), F.lit(")")).alias("wkt"))
+    return rings.where("corner").select("run_id", "cls", "ring", "place", x.alias("x"), y.alias("y"))
+
+
+def ring_text(vertices: DataFrame, per: int = 4096) -> DataFrame:
+    """Closed rings as text in blocks of at most ``per`` places: ``run_id, cls, ring, block, points``.
+
+    The blocks of a ring, in order and joined by commas, are what stands in the brackets of its well-known text; a
+    ring of any length is many rows.
+    """
+    k = ["run_id", "cls", "ring"]
+    home = vertices.groupBy(*k).agg(F.min_by(F.struct("x", "y"), "place").alias("v"), (F.max("place") + 1).alias("place"))
+    closed = vertices.unionByName(home.select(*k, "place", "v.x", "v.y"))
+    point = F.struct("place", F.format_string("%s %s", "x", "y").alias("xy"))
+    lines = closed.groupBy(*k, F.floor(F.col("place") / per).alias("block")).agg(F.array_sort(F.collect_list(point)).alias("p"))
+    return lines.select(*k, "block", F.array_join(F.transform("p", lambda v: v["xy"]), ", ").alias("points"))
 
 
 def _crossings(a: Column, b: Column) -> Column:

@@ -145,7 +145,7 @@ def _seeds(s, d):
 
 
 def _masked(s, d):
-    e = enriched(s, d)
+    e = cut(enriched(s, d), "cells")  # read for the sizes, the near field and the figures
     sizes = e.select("run_id").distinct().withColumn("ny", F.lit(NY)).withColumn("nx", F.lit(NX))
     out = masks.reportable(e, sizes, _seeds(s, d), DX, near_field_m=270.0)
     dem = view(s, d, "dem").groupBy("r", "c").agg(F.bool_and("valid").alias("valid"))
@@ -585,20 +585,52 @@ def _(s, d):
 
 def _rings(s, d):
     e = enriched(s, d).where("band >= 0").select(*grid.CELL, F.col("band").alias("cls"))
-    return vectors.dissolved_rings(cut(e, "bands"), TRANSFORM)
+    return vectors.traced_rings(cut(e, "bands"))
 
 
 @query("geo4_isochrone_area", "GEO4", """
     SELECT run_id, band AS cls, CAST(count(*) AS DOUBLE) AS cells, round(count(*) * 0.0081, 6) AS km2
     FROM cells_h WHERE band >= 0 GROUP BY ALL""", ("cells_h",))
 def _(s, d):
-    return rounded(_rings(s, d).groupBy("run_id", "cls").agg(F.sum("signed_cells").alias("cells"),
+    areas = vectors.ring_areas(_rings(s, d))
+    return rounded(areas.groupBy("run_id", "cls").agg(F.sum("signed_cells").alias("cells"),
                    (F.sum("signed_cells") * DX * DX / 1e6).alias("km2")))
 
 
-@query("geo4_isochrone_rings", "GEO4 SNK4")
-def _(s, d):
-    return _rings(s, d).withColumn("label", fa.band_label(F.col("cls")))
+# each edge walks on as long as it meets none with a smaller number; the one that comes home names the ring
+_LINKS = """
+    edges AS (
+      SELECT x.run_id, x.band AS cls, side, x.r + p AS r0, x.c + q AS c0, x.r + u AS r1, x.c + v AS c1,
+             (CAST(x.r + p AS BIGINT) * 2147483648 + x.c + q) * 4 + side AS e
+      FROM cells_h x CROSS JOIN (VALUES (0, -1, 0, 0, 1, 0, 0), (1, 0, -1, 0, 0, 1, 0), (2, 1, 0, 1, 0, 1, 1), (3, 0, 1, 1, 1, 0, 1)) AS o(side, dr, dc, p, q, u, v)
+      LEFT JOIN cells_h y ON y.run_id = x.run_id AND y.r = x.r + o.dr AND y.c = x.c + o.dc AND y.band >= 0
+      WHERE x.band >= 0 AND (y.band IS NULL OR y.band <> x.band)),
+    link AS (
+      SELECT run_id, cls, e, any_value(side) AS side, any_value(r0) AS r0, any_value(c0) AS c0, any_value(r1) AS r1, any_value(c1) AS c1,
+             arg_max(ne, turn) AS ne, arg_max(ns, turn) AS ns
+      FROM (SELECT a.*, b.e AS ne, b.side AS ns, (a.r1 - a.r0) * (b.c1 - b.c0) - (a.c1 - a.c0) * (b.r1 - b.r0) AS turn
+            FROM edges a JOIN edges b ON b.run_id = a.run_id AND b.cls = a.cls AND b.r0 = a.r1 AND b.c0 = a.c1) GROUP BY run_id, cls, e),
+    walk AS (
+      SELECT run_id, e AS ring, e, ne, 1 AS place FROM link
+      UNION ALL
+      SELECT w.run_id, w.ring, l.e, l.ne, w.place + 1 FROM walk w JOIN link l ON l.run_id = w.run_id AND l.e = w.ne WHERE w.ne > w.ring),
+    home AS (SELECT run_id, ring FROM walk WHERE ne = ring),
+    ringed AS (SELECT l.*, w.ring, CAST(w.place AS BIGINT) AS place, EXISTS (SELECT 1 FROM link k WHERE k.run_id = l.run_id AND k.ne = l.e AND k.side <> l.side) AS corner
+               FROM walk w JOIN home USING (run_id, ring) JOIN link l ON l.run_id = w.run_id AND l.e = w.e)"""
+
+
+@query("geo4_isochrone_rings", "GEO4 SNK4", f"""
+    SELECT * FROM (WITH RECURSIVE {_LINKS}
+      SELECT run_id, cls, ring, place, c0 * 90.0 AS x, 5760.0 - r0 * 90.0 AS y FROM ringed WHERE corner)""", ("cells_h",))
+def _(s, d):
+    return vectors.ring_vertices(_rings(s, d), TRANSFORM)
+
+
+@query("geo4_ring_areas", "GEO4", f"""
+    SELECT * FROM (WITH RECURSIVE {_LINKS}
+      SELECT run_id, cls, ring, sum(r0 * c1 - r1 * c0) / 2.0 AS signed_cells FROM ringed GROUP BY ALL)""", ("cells_h",))
+def _(s, d):
+    return vectors.ring_areas(_rings(s, d))
 
 
 @query("jn8_buildings_in_flood", "JN8 GEO3", """

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodspark import fixed, grid
 
+MANIFEST = "manifest.json"
+
 # band, column, nodata, masked over water that was there before
 BANDS = (
     ("arrival_time_min", "arrival_min", fixed.FLOAT_NODATA, True),
@@ -58,14 +62,46 @@ def metadata_document(summary: DataFrame, schema_version: int = 1) -> DataFrame:
         F.col("honesty")), {"ignoreNullFields": "false"}).alias("value"))
 
 
+#: Bytes of a file that a task holds at a time.
+BLOCK = 8 << 20
+
+
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """The storage that holds a path or URI, and its name there."""
+    if "://" in path and not path.startswith("file:"):
+        scheme, rest = path.split("://", 1)
+        host, _, tail = rest.partition("/")
+        store, top = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+        return store, f"{top.rstrip('/')}/{tail}"
+    return fs.LocalFileSystem(), path.removeprefix("file:").replace("///", "/", 1)
+
+
+def file_digest(path: str, block: int = BLOCK) -> str:
+    """SHA-256 of a file read in blocks, from any storage that Arrow reaches."""
+    store, name = _located(path)
+    digest = hashlib.sha256()
+    with store.open_input_stream(name, buffer_size=0) as stream:
+        while part := stream.read(block):
+            digest.update(part)
+    return digest.hexdigest()
+
+
 def manifest(spark, root: str) -> DataFrame:
-    """Path, bytes and sha256 of every file below ``root`` but the manifest itself."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return hashed(f.select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("path"), "length", "content"))
+    """Path, bytes and sha256 of every file below ``root``, empty ones too, but the manifest at its top.
+
+    The driver lists names and sizes; tasks hash whole files, a block at a time, whatever their size.
+    """
+    root = root.rstrip("/")
+    store, top = _located(root)
+    found = [(f.path.removeprefix(f"{top}/"), f.size) for f in store.get_file_info(fs.FileSelector(top, recursive=True)) if f.is_file]
+    digest = F.pandas_udf(lambda paths: paths.map(lambda p: file_digest(f"{root}/{p}")), "string")
+    listed = spark.createDataFrame([f for f in found if f[0] != MANIFEST], "path string, bytes long")
+    return listed.repartition("path").select("path", "bytes", digest("path").alias("sha256"))
 
 
 def hashed(files: DataFrame) -> DataFrame:
-    return files.where(F.substring_index("path", "/", -1) != "manifest.json").select(
+    """The same for files that are rows: ``path, length, content``."""
+    return files.where(F.col("path") != MANIFEST).select(
         "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ import brute
 from floodspark import grid
 from floodspark.functions import geodesy, hydraulics
 from floodspark.operators import quantiles, resample, series, terrain, vectors
+from floodspark.sources import rasters
 from test_hydrology import array, pitted, table
 
 
@@ -64,12 +67,37 @@ def test_exact_quantiles_match_numpy(spark):
         assert abs(got[0, q] - np.quantile(a, q)) < 1e-12 and got[1, q] == 3.0
 
 
+def test_one_far_value_does_not_hide_the_rest(spark):
+    rng = np.random.default_rng(9)
+    a = np.concatenate([rng.normal(size=4000), [1e12, -1e300, 1e308]])
+    df = spark.createDataFrame(pd.DataFrame({"k": 0, "v": a})).unionByName(
+        spark.createDataFrame(pd.DataFrame({"k": 1, "v": rng.integers(0, 3, 500).astype(float)})))
+    qs = [0.0, 0.01, 0.5, 0.77, 0.999, 1.0]
+    got = {(x.k, x.q): x.value for x in quantiles.exact_quantiles(df, ["k"], "v", qs, small=20, buckets=8).collect()}
+    one = df.where("k = 1").toPandas()["v"]
+    for q in qs:
+        assert got[0, q] == pytest.approx(np.quantile(a, q), rel=1e-12) and got[1, q] == np.quantile(one, q)
+    assert quantiles.exact_quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
+
+
 def test_rings_keep_holes_and_area(spark):
     m = [(r, c) for r in range(5) for c in range(5) if (r, c) != (2, 2)] + [(5, 5)]
     df = spark.createDataFrame([(0, r, c, 1) for r, c in m], "run_id int, r int, c int, cls int")
-    rings = vectors.dissolved_rings(df, [1.0, 0.0, 0.0, 0.0, -1.0, 6.0]).toPandas()
-    assert sorted(rings["signed_cells"]) == [-1.0, 1.0, 25.0] and rings["signed_cells"].sum() == len(m)
-    assert rings.loc[rings["signed_cells"] == 25.0, "wkt"].iloc[0].count(",") == 4
+    rings = vectors.traced_rings(df).cache()
+    areas = {x.ring: x.signed_cells for x in vectors.ring_areas(rings).collect()}
+    assert sorted(areas.values()) == [-1.0, 1.0, 25.0] and sum(areas.values()) == len(m)
+    vertices = vectors.ring_vertices(rings, [1.0, 0.0, 0.0, 0.0, -1.0, 6.0])
+    corners = Counter(x.ring for x in vertices.collect())
+    assert all(n == 4 for n in corners.values())
+    for per in (1, 4096):  # a ring's blocks join to one closed text
+        blocks = vectors.ring_text(vertices, per).orderBy("ring", "block").collect()
+        for ring in areas:
+            points = ", ".join(x.points for x in blocks if x.ring == ring).split(", ")
+            assert len(points) == 5 and points[0] == points[-1]
+            xy = np.array([list(map(float, p.split())) for p in points])
+            area = (xy[:-1, 0] * xy[1:, 1] - xy[1:, 0] * xy[:-1, 1]).sum() / 2
+            assert area == areas[ring]
+    assert len(blocks) == 3
 
 
 def test_segment_split_is_exact(spark):
@@ -114,6 +142,32 @@ def test_aligned_resampling_conserves_people_exactly(spark):
     assert abs(rep.residual) < 1e-12 and rep.conserved
 
 
+def test_people_cross_a_change_of_projection(spark):
+    raster = resample.GeographicRaster(78.9, 29.85, 0.004)
+    utm = resample.UtmGrid(300_000.0, 3_298_000.0, 90.0, 44)
+    rng = np.random.default_rng(1)
+    counts = [(run, i, j, float(rng.integers(0, 900))) for run in (0, 1) for i in range(60) for j in range(40)]
+    counts += [(1, 60, 0, None), (1, 60, 1, -50.0)]
+    src = spark.createDataFrame(counts, "run_id int, sr int, sc int, cnt double")
+    tgt = spark.createDataFrame([(run, i, j) for run in (0, 1) for i in range(60) for j in range(50)], "run_id int, r int, c int")
+    pop = resample.people_across(src, raster, tgt, utm).cache()
+    rep = resample.conservation(src, pop, utm.from_pixels(raster), grid.grid_sizes(tgt), tolerance=0.05).collect()
+    assert len(rep) == 2 and all(abs(r.residual) < 0.02 and r.conserved for r in rep)
+    assert all(r.source_total < r.raw_total / 5 for r in rep)  # the padded window holds people from outside
+    finer = resample.people_across(src, raster, tgt, utm, 8).agg(F.sum("pop")).first()[0]
+    assert abs(finer / pop.agg(F.sum("pop")).first()[0] - 1) < 0.005
+    even = resample.people_across(src.withColumn("cnt", raster.area(F.col("sr")) * 0.001), raster, tgt, utm)
+    assert even.agg(F.min("pop"), F.max("pop")).first() == pytest.approx((8.1, 8.1))  # a constant density stays one
+
+
+def test_a_window_beside_the_raster_is_an_error(spark):
+    src = spark.createDataFrame([(0, 5, 5, 1.0), (0, 90, 5, -2.0), (1, 500, 500, 1.0)], "run_id int, sr int, sc int, cnt double")
+    near = rasters.window(src.where("run_id = 0"), (0, 80), (0, 10))
+    assert sorted(map(tuple, near.collect())) == [(0, 5, 5, 1.0), (0, 90, 5, 0.0)]
+    with pytest.raises(Exception, match="does not overlap the raster of run 1"):
+        rasters.window(src, (0, 80), (0, 10)).collect()
+
+
 def test_ritter_is_the_dry_limit_of_stoker(spark):
     x = spark.createDataFrame([(v,) for v in (-40.0, -5.0, 0.0, 8.0)], "x double")
     st = hydraulics.stoker_state(F.lit(5.0), F.lit(1e-9))
