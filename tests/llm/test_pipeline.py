@@ -9,6 +9,7 @@ from floodspark.llm import decontam, quality, secrets, simhash
 from floodspark.llm.queries import QUERIES, SQL
 from floodspark.session import cut
 from llm_rows import awkward, table
+from test_overlap import alike, plain_set
 from test_pairs import near_copies, plain_fingerprint, roots
 from test_quality import plain
 
@@ -46,7 +47,10 @@ def test_stages(spark):
             assert all(plain(r["text"])[0] >= 20 for r in want)
         elif name == "near_dedup":
             fps = [plain_fingerprint(r["text"]) for r in kept]
-            root = roots(len(kept), [(i, j) for i in range(len(kept)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+            sets = [plain_set(r["text"]) for r in kept]
+            near = [(i, j) for i in range(len(kept)) for j in range(i)
+                    if (fps[i] ^ fps[j]).bit_count() <= 3 or alike(sets[i], sets[j])]
+            root = roots(len(kept), near)
             least = {}
             for r, g in zip(kept, root):
                 least[g] = min(least.get(g, r["doc_id"]), r["doc_id"])
