@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,19 +231,31 @@ def collapsed(words: list[bytes], runs: Runs) -> bytes:
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
 
+#: Bytes of text whose words a task holds at a time; a longer text is held alone.
+HELD = 1 << 22
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        out = [None] * len(texts)
-        for place, words, runs in text_runs(texts):
-            out[place] = (len(words), runs, collapsed(words, runs).decode())
-        counts = [len(r[0]) for _, r, _ in out]
-        flat = [pa.array(np.concatenate([r[k] for _, r, _ in out]) if out else np.zeros(0, np.int64)) for k in range(3)]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)),
-                                         pa.StructArray.from_arrays(flat, fields=list(RUN)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([n for n, _, _ in out], pa.int64()), lists, pa.array([t for _, _, t in out], pa.string())],
-            names=["doc_id", "n_words", "runs", "collapsed"])
+        sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, before + HELD, side="right")))
+            yield _rows(batch.slice(at, to - at))
+            at = to
+
+
+def _rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    out = [None] * batch.num_rows
+    for place, words, runs in text_runs(batch.column(1).cast(pa.large_binary()).to_pylist()):
+        out[place] = (len(words), runs, collapsed(words, runs).decode())
+    flat = [pa.array(np.concatenate([r[k] for _, r, _ in out])) for k in range(3)]
+    edges = np.concatenate([[0], np.cumsum([len(r[0]) for _, r, _ in out])])
+    lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays(flat, fields=list(RUN)))
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), pa.array([n for n, _, _ in out], pa.int64()), lists, pa.array([t for _, _, t in out], pa.string())],
+        names=["doc_id", "n_words", "runs", "collapsed"])
 
 
 def find_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
