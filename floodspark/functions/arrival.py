@@ -38,8 +38,7 @@ def band_label(index: Column, bands=fixed.ARRIVAL_BANDS_MIN) -> Column:
 def evacuation_action(index: Column) -> Column:
     actions = F.array(*[F.lit(t) for t in fixed.EVACUATION_ACTIONS])
     known = index.between(0, len(fixed.EVACUATION_ACTIONS) - 1)
-    return F.left(F.when(known, F.try_element_at(actions, index + 1))
-                   .otherwise(fixed.EVACUATION_LATER), F.lit(fixed.TEXT_LIMIT))
+    return F.when(known, F.try_element_at(actions, index + 1)).otherwise(fixed.EVACUATION_LATER)
 
 
 def add_arrival(cells: DataFrame, bands=fixed.ARRIVAL_BANDS_MIN) -> DataFrame:

@@ -30,8 +30,7 @@ def kml_colour(web: Column, alpha: Column) -> Column:
 
 
 def settlement_name(name: Column, index: Column) -> Column:
-    return F.coalesce(F.left(name, F.lit(fixed.NAME_LIMIT)),
-                      F.concat(F.lit("unnamed_"), index.cast("string")))
+    return F.coalesce(name, F.concat(F.lit("unnamed_"), index.cast("string")))
 
 
 def run_id(area: Column, dx: Column, at: Column) -> Column:

@@ -69,6 +69,23 @@ def per_component(labelled: DataFrame, **aggs: Column) -> DataFrame:
     return labelled.groupBy("run_id", "component").agg(*[v.alias(k) for k, v in aggs.items()])
 
 
+def home_verdict(ledger: DataFrame, labelled: DataFrame, points: DataFrame, most: float = 0.02) -> DataFrame:
+    """Per run whether one component holds the water: the component of the masked cell nearest its point.
+
+    ``ledger`` is ``run_id, component, volume``, ``points`` a cell ``(run_id, r, c)`` per run; ties of distance go to
+    the smaller row, then column.  ``stray`` is the share of the volume in all other components; above ``most`` the
+    mask leaks.
+    """
+    p = points.select("run_id", F.col("r").alias("_r"), F.col("c").alias("_c"))
+    d2 = (F.col("r") - F.col("_r")) ** 2 + (F.col("c") - F.col("_c")) ** 2
+    near = labelled.join(p, "run_id").groupBy("run_id").agg(F.min(F.struct(d2.alias("d2"), "r", "c", "component")).alias("m"))
+    own = near.select("run_id", F.col("m.component").alias("home"))
+    total = ledger.join(own, "run_id").groupBy("run_id", "home").agg(
+        F.sum("volume").alias("total"), F.sum(F.when(F.col("component") == F.col("home"), F.col("volume")).otherwise(0.0)).alias("home_volume"))
+    stray = F.when(F.col("total") > 0, 1.0 - F.col("home_volume") / F.col("total")).otherwise(0.0)
+    return total.withColumn("stray", stray).withColumn("leaks", F.col("stray") > most)
+
+
 def attach(labelled: DataFrame, facts: DataFrame) -> DataFrame:
     """Join per-component facts to cells through their pieces, which stay small keys."""
     by_piece = (labelled.select("run_id", "piece", "component").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from floodspark import fixed
 from floodspark.functions import arrival, damage, hazard
+from floodspark.operators.quantiles import exact_quantiles
 
 
 def _complete(sums: DataFrame, value: str, zero, *dims: tuple[str, list[str]]) -> DataFrame:
@@ -174,6 +175,23 @@ def run_figures(cells: DataFrame, dx: float) -> DataFrame:
         F.count_if(F.col("arrival_s").isNull()).alias("never_cells"))
 
 
+def near_field(cells: DataFrame, radii: tuple[int, ...], dx: float, value: str = "max_depth") -> DataFrame:
+    """Per run and radius (in cells from the source, ``d2`` squared): the peak beyond it, and what it excludes."""
+    r = F.explode(F.array(*[F.lit(v) for v in radii]))
+    far = F.col("d2") > F.col("radius") * F.col("radius")
+    return cells.withColumn("radius", r).groupBy("run_id", "radius").agg(
+        F.coalesce(F.max(F.when(far, F.col(value))), F.lit(0.0)).alias("peak_beyond"),
+        F.count_if(~far).alias("excluded"), (F.count_if(~far) * dx * dx / 1e6).alias("excluded_km2"))
+
+
+def far_field(cells: DataFrame, radius: int, value: str = "max_depth") -> DataFrame:
+    """Cells, median, 95th percentile and peak of each run beyond ``radius`` cells from the source."""
+    far = cells.where(F.col("d2") > radius * radius)
+    q = exact_quantiles(far, ["run_id"], value, [0.5, 0.95]).groupBy("run_id").agg(
+        F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"), F.max(F.when(F.col("q") == 0.95, F.col("value"))).alias("p95"))
+    return far.groupBy("run_id").agg(F.count("*").alias("cells"), F.max(value).alias("peak")).join(q, "run_id")
+
+
 def enrich(cells: DataFrame, population: DataFrame | None = None, landcover="urban") -> DataFrame:
     out = hazard.flood_masks(arrival.add_arrival(hazard.classify(cells, landcover)))
     if population is not None:

@@ -104,6 +104,13 @@ def reservoir(cells: DataFrame, line, level: float, dry_centre, dry_radius: floa
     return cells.withColumn("lake", lake)
 
 
+def points_wet_at_start(points: DataFrame, cells: DataFrame, mask: str = "lake") -> DataFrame:
+    """Per run the points, those that stand in water from the start, and those outside the grid."""
+    at = points.join(cells.select(*grid.CELL, F.col(mask).alias("_wet")), grid.CELL, "left")
+    return at.groupBy("run_id").agg(F.count("*").alias("points"), F.count_if(F.coalesce("_wet", F.lit(False))).alias("wet"),
+                                    F.count_if(F.col("_wet").isNull()).alias("outside"))
+
+
 def extent_agreement(cells: DataFrame, a: str, b: str) -> DataFrame:
     both, any_ = F.col(a) & F.col(b), F.col(a) | F.col(b)
     return cells.groupBy("run_id").agg(

@@ -41,6 +41,28 @@ def mesh_quality(face: DataFrame, node: DataFrame) -> DataFrame:
         F.count("*").alias("n_faces"), F.max("n_nodes").alias("n_nodes"))
 
 
+# fixed values: the names, or parts of names, by which map files call a quantity, in order of preference
+MAP_NAMES = {
+    "depth": ("mesh2d_waterdepth", "waterdepth", "water_depth"),
+    "wl": ("mesh2d_s1", "s1", "waterlevel"),
+    "bed": ("mesh2d_bl", "bedlevel", "bl"),
+}
+
+
+def read_map(frames: DataFrame) -> DataFrame:
+    """Map output as ``face_id, t_s`` and those of ``depth, wl, bed`` that it has, whatever it calls them.
+
+    The first listed part of a name that any column has decides; a quantity without one is absent from the result.
+    """
+    found = {}
+    for quantity, parts in MAP_NAMES.items():
+        hits = [c for part in parts for c in frames.columns if part in c.lower()]
+        if hits:
+            found[quantity] = F.col(hits[0]).cast("double").alias(quantity)
+    return frames.select("face_id", "t_s", *found.values())
+
+
 def face_maxima(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("face_id").agg(F.max("depth").alias("max_depth"), F.max("wl").alias("max_wl"),
-                                         F.count("*").alias("times"))
+    """Per face the largest depth and level, the bed and the times, as far as there are such columns."""
+    have = {"depth": F.max("depth").alias("max_depth"), "wl": F.max("wl").alias("max_wl"), "bed": F.min("bed").alias("bed")}
+    return frames.groupBy("face_id").agg(*[v for k, v in have.items() if k in frames.columns], F.count("*").alias("times"))

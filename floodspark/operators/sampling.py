@@ -61,6 +61,12 @@ def time_slices(settlements: DataFrame, minutes: int, step: int) -> DataFrame:
         (F.col("arr_min") != -1) & (F.col("minute") >= F.col("arr_min")))
 
 
+def by_label(points: DataFrame, value: str, labels: tuple[str, ...], suffix: str = "") -> DataFrame:
+    """A row per run with the ``value`` of each label in a column of its own, NULL where there is none."""
+    wide = points.groupBy("run_id").pivot("label", list(labels)).agg(F.max(value))
+    return wide.select("run_id", *[F.col(c).alias(f"{c.lower()}{suffix}") for c in labels])
+
+
 def wetted_by(cells: DataFrame, minutes: int, step: int) -> DataFrame:
     """Cells of each run reached at each minute mark: ``run_id, minute, wetted`` (running sums over the marks)."""
     arrival = F.col("arrival_s") / 60.0

@@ -75,13 +75,22 @@ def even_probes(points: DataFrame, n: int) -> DataFrame:
 
 
 def summarise(points: DataFrame, bucket_s: float = 86_400.0) -> DataFrame:
-    """Peak, time of (first) peak and released volume of each hydrograph."""
+    """Peak, time of (first) peak and released volume of each hydrograph.
+
+    With ``velocity`` and ``ks`` (the submergence factor) at the points, also the peak velocity and the least factor;
+    ``drowned`` says that the weir was not free all the time.
+    """
+    more = []
+    if "velocity" in points.columns:
+        more.append(F.max("velocity").alias("peak_velocity"))
+    if "ks" in points.columns:
+        more += [F.min("ks").alias("min_submergence"), (F.min("ks") < 1.0).alias("drowned")]
     head = points.groupBy(*SERIES).agg(
-        F.max("q").alias("peak_q"), F.min(F.struct((-F.col("q")).alias("nq"), "t_s")).alias("_p"),
+        *more, F.max("q").alias("peak_q"), F.min(F.struct((-F.col("q")).alias("nq"), "t_s")).alias("_p"),
         F.min("t_s").alias("t_first"), F.max("t_s").alias("t_last"))
     return (head.join(trapezoid(points, bucket_s), SERIES)
                 .select(*SERIES, "peak_q", F.col("_p.t_s").alias("t_peak"), "t_first", "t_last",
-                        F.col("volume").alias("released")))
+                        F.col("volume").alias("released"), *[c for c in ("peak_velocity", "min_submergence", "drowned") if c in head.columns]))
 
 
 def mass_balance(summary: DataFrame, storage: DataFrame) -> DataFrame:

@@ -144,23 +144,22 @@ def fill_report(filled: DataFrame, dx: float) -> DataFrame:
         (F.sum("depth") * dx * dx).alias("storage_removed_m3"))
 
 
-def gradient(value: str, dx: float, window, axis: str) -> Column:
-    """Central difference, one-sided at an end, NULL if a needed neighbour is missing."""
+def gradient(value: str, dx: float, window, axis: str, size: Column) -> Column:
+    """Central difference, one-sided at an edge of the grid, NULL if a needed neighbour is missing."""
     v = F.col(value)
-    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last = F.min(axis).over(whole), F.max(axis).over(whole)
     prev, nxt = grid.beside(value, window, -1, axis), grid.beside(value, window, 1, axis)
-    return (F.when(F.col(axis) == first, (nxt - v) / dx).when(F.col(axis) == last, (v - prev) / dx)
+    return (F.when(F.col(axis) == 0, (nxt - v) / dx).when(F.col(axis) == size - 1, (v - prev) / dx)
              .otherwise((nxt - prev) / (2.0 * dx)))
 
 
-def front_speed(cells: DataFrame, dx: float) -> DataFrame:
+def front_speed(cells: DataFrame, sizes: DataFrame, dx: float) -> DataFrame:
     """Adds ``front_speed``: reciprocal of the arrival gradient, NULL where it vanishes."""
-    g = (cells.withColumn("_gx", gradient("arrival_s", dx, grid.row_window(), "c"))
-              .withColumn("_gy", gradient("arrival_s", dx, grid.col_window(), "r")))
+    g = cells.join(sizes.select("run_id", "ny", "nx"), "run_id")
+    g = (g.withColumn("_gx", gradient("arrival_s", dx, grid.row_window(), "c", F.col("nx")))
+          .withColumn("_gy", gradient("arrival_s", dx, grid.col_window(), "r", F.col("ny"))))
     mag = F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy"))
     known = F.col("arrival_s").isNotNull() & (mag > 0)
-    return g.withColumn("front_speed", F.when(known, 1.0 / mag)).drop("_gx", "_gy")
+    return g.withColumn("front_speed", F.when(known, 1.0 / mag)).drop("_gx", "_gy", "ny", "nx")
 
 
 def slope_degrees(cells: DataFrame, dx: float) -> DataFrame:
@@ -196,15 +195,41 @@ def focal_median(cells: DataFrame, value: str, radius_cells: float, tile: int =
     return cells.join(got.withColumn("focal", F.nanvl("focal", F.lit(None).cast("double"))), grid.CELL)
 
 
-def confined(wet_cells: DataFrame, all_cells: DataFrame) -> DataFrame:
+def confined(wet_cells: DataFrame, sizes: DataFrame) -> DataFrame:
     """Adds ``confined``: a wet cell with a dry cell among its eight neighbours.
 
-    The same as a Euclidean distance below 1.5 cells to the nearest dry cell; the
-    outside of the grid is not dry.
+    The same as a Euclidean distance below 1.5 cells to the nearest dry cell.  A cell of the grid that has no row is
+    dry; the outside of the grid is not.
     """
-    dry = all_cells.where(~F.col("wet")).select(*grid.CELL)
-    near = grid.spread(dry, grid.RING8).select(*grid.CELL).distinct().withColumn("confined", F.lit(True))
-    return wet_cells.join(near, grid.CELL, "left").withColumn("confined", F.coalesce("confined", F.lit(False)))
+    nb = grid.neighbours8(wet_cells.withColumn("_one", F.lit(1)), "_one").join(sizes.select("run_id", "ny", "nx"), "run_id")
+    dry = F.lit(False)
+    for k, (dr, dc) in enumerate(grid.RING8):
+        r, c = F.col("r") + dr, F.col("c") + dc
+        here = (r >= 0) & (r < F.col("ny")) & (c >= 0) & (c < F.col("nx"))
+        dry = dry | (here & F.get("nb", F.lit(k)).isNull())
+    return nb.withColumn("confined", dry).drop("nb", "_one", "ny", "nx")
+
+
+def half_widths(wet_cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Adds ``half_width`` to wet cells: the Euclidean distance to the nearest dry cell of the grid, in cells.
+
+    Cells without a row are dry, the outside is not; NULL where a run has no dry cell.
+    """
+    wet = wet_cells.select(*grid.CELL, F.lit(False).alias("dry"))
+    full = grid.lattice(sizes).join(wet, grid.CELL, "left").withColumn("dry", F.coalesce("dry", F.lit(True)))
+    away = nearest_seed(full, "dry").where("NOT dry").select(*grid.CELL, F.sqrt("d2").alias("half_width"))
+    return wet_cells.join(away, grid.CELL, "left")
+
+
+def width_bins(wet_cells: DataFrame, sizes: DataFrame, dx: float, value: str = "max_depth",
+               least: tuple[float, ...] = (0.0, 1.0, 1.5, 2.0, 2.5, 3.0)) -> DataFrame:
+    """``run_id, half_width, peak, median, cells, km2`` of the wet cells at least so wide; empty bins have no row."""
+    wide = half_widths(wet_cells.select(*grid.CELL, value), sizes).withColumnRenamed("half_width", "_w")
+    bins = wide.withColumn("half_width", F.explode(F.array(*[F.lit(w) for w in least]))).where(F.col("_w") >= F.col("half_width"))
+    keys = ["run_id", "half_width"]
+    middle = quantiles.exact_quantiles(bins, keys, value, [0.5]).select(*keys, F.col("value").alias("median"))
+    return bins.groupBy(*keys).agg(F.max(value).alias("peak"), F.count("*").alias("cells"),
+                                   (F.count("*") * dx * dx / 1e6).alias("km2")).join(middle, keys)
 
 
 def flat_cells(cells: DataFrame, tol: float = 0.01) -> DataFrame:

@@ -83,6 +83,32 @@ def ring_text(vertices: DataFrame, per: int = 4096) -> DataFrame:
     return lines.select(*k, "block", F.array_join(F.transform("p", lambda v: v["xy"]), ", ").alias("points"))
 
 
+def ring_features(rings: DataFrame, transform: list[float], cell_km2: float, per: int = 4096) -> DataFrame:
+    """Features of traced rings: ``run_id, cls, ring, part, km2, hole, kind, points``.
+
+    A ring of up to ``per`` edges is one closed ``Polygon``; a longer one is parts, ``LineString`` rows that each begin
+    where the one before ended.  ``km2`` is the ring's own area, ``hole`` says that it is to be taken off its class.
+    """
+    k = ["run_id", "cls", "ring"]
+    vertices = ring_vertices(rings, transform)
+    size = rings.groupBy(*k).agg(F.max("place").alias("edges"))
+    home = vertices.groupBy(*k).agg(F.min_by(F.struct("x", "y"), "place").alias("v"), (F.max("place") + 1).alias("place"))
+    closed = vertices.unionByName(home.select(*k, "place", "v.x", "v.y")).join(size, k)
+    part = F.when(F.col("edges") > per, F.floor((F.col("place") - 1) / per)).otherwise(0)
+    ends = closed.withColumn("part", part)
+    # the last corner of a part begins the next one
+    last = ends.groupBy(*k, "part").agg(F.max_by(F.struct("place", "x", "y"), "place").alias("v"), F.max("edges").alias("edges"))
+    carried = last.where(F.col("edges") > per).select(*k, "v.place", "v.x", "v.y", "edges", (F.col("part") + 1).alias("part"))
+    carried = carried.join(last.select(*k, "part"), [*k, "part"], "left_semi")
+    point = F.struct("place", F.array("x", "y").alias("xy"))
+    parts = ends.select(*k, "place", "x", "y", "edges", "part").unionByName(carried.select(*k, "place", "x", "y", "edges", "part")).groupBy(
+        *k, "part").agg(F.array_sort(F.collect_list(point)).alias("p"), F.max("edges").alias("edges"))
+    area = ring_areas(rings)
+    return parts.join(area, k).select(
+        *k, "part", (F.abs("signed_cells") * cell_km2).alias("km2"), (F.col("signed_cells") < 0).alias("hole"),
+        F.when(F.col("edges") > per, "LineString").otherwise("Polygon").alias("kind"), F.transform("p", lambda v: v["xy"]).alias("points"))
+
+
 def _crossings(a: Column, b: Column) -> Column:
     """Parameters in (0, 1) at which a segment passes integer grid lines along one axis."""
     lo, hi = F.floor(F.least(a, b)).cast("int") + 1, F.ceil(F.greatest(a, b)).cast("int") - 1

@@ -41,6 +41,34 @@ def stage_caveats(figures: DataFrame, dx: float, threshold: float = fixed.WET_TH
         F.col("text").isNotNull())
 
 
+def run_caveats(runs: DataFrame, dx: float) -> DataFrame:
+    """Caveats that a run's boundary, mass balance, breach and pool call for: ``run_id, stage, pos, text``.
+
+    ``runs`` has ``volume_error, open_edges, edge_cells`` and, NULL where a run has none, ``min_submergence,
+    released_fraction, pool_km2, published_km2, pool_at_edge``.
+    """
+    error, left = F.col("volume_error"), F.col("open_edges")
+    away = F.format_string("%+.2e", error)
+    texts = [
+        (1, 4, F.when(left, F.format_string("Cells within %d of an open edge (%.1f km) follow the outflow condition and are not quotable.",
+                                            F.col("edge_cells"), F.col("edge_cells") * dx / 1000.0))),
+        (4, 1, F.when((error < -1e-6) & left, F.concat(
+            F.format_string("%.1f%% of the water left through the open edge (relative change ", -error * 100.0), away,
+            F.lit("): outflow, not a conservation error.")))
+         .when(F.abs(error) > 1e-6, F.concat(F.lit("Relative mass error "), away,
+                                             F.lit("; above 1e-6 it needs looking into before the result is used.")))),
+        (5, 0, F.when(F.col("min_submergence") < 1.0, F.format_string(
+            "The weir was drowned (least factor %.3f): outflow was not free throughout.", F.col("min_submergence")))),
+        (5, 1, F.when(F.col("released_fraction") > 1.02, F.format_string(
+            "The breach released %.2f times the storage: the storage model does not hold.", F.col("released_fraction")))),
+        (6, 0, F.when(F.col("pool_km2") > 1.05 * F.col("published_km2"), F.format_string(
+            "The pool covers %.2f km2, the published reservoir %.2f km2.", F.col("pool_km2"), F.col("published_km2")))),
+        (6, 1, F.when(F.col("pool_at_edge"), "The pool reaches the edge of the grid and may be cut off.")),
+    ]
+    rows = [F.struct(F.lit(s).alias("stage"), F.lit(k).alias("pos"), t.alias("text")) for s, k, t in texts]
+    return runs.select("run_id", F.explode(F.array(*rows)).alias("x")).select("run_id", "x.*").where(F.col("text").isNotNull())
+
+
 def ordered_distinct(caveats: DataFrame) -> DataFrame:
     """Each text once per run, in order of first appearance."""
     first = caveats.groupBy("run_id", "text").agg(F.min(F.struct("stage", "pos")).alias("at"))
@@ -87,6 +115,59 @@ def scenario_summary(figures: DataFrame, totals: DataFrame, hazard_area: DataFra
                  "limitations").alias("honesty"))
 
 
+def full_record(summary: DataFrame, grids: DataFrame, runs: DataFrame, terrain: DataFrame, breach: DataFrame,
+                exposure: DataFrame, damage_: DataFrame) -> DataFrame:
+    """The whole record of a run: the summary with ``grid, run, provenance`` and, in its results, exposure and damage.
+
+    Each part has a row per run, or none: its struct is then NULL.  ``grids`` has ``ny, nx, dx_m, crs, transform``,
+    ``runs`` ``duration_s, steps, wall_time_s, volume_error, solver``; the other parts are taken as they are.
+    """
+    def nested(df, name):
+        return df.select("run_id", F.struct(*[c for c in df.columns if c != "run_id"]).alias(name))
+
+    shape = grids.select("run_id", F.array("ny", "nx").alias("shape"), "dx_m", "crs", "transform")
+    j = summary
+    for df, name in ((shape, "grid"), (runs, "run"), (terrain, "_terrain"), (breach, "_breach"), (exposure, "_exposure"),
+                     (damage_, "_damage")):
+        j = j.join(nested(df, name), "run_id", "left")
+    return j.select("run_id", "headline", "grid", "run",
+                    F.struct("results.*", F.col("_exposure").alias("exposure"), F.col("_damage").alias("damage")).alias("results"),
+                    F.struct(F.col("_terrain").alias("terrain"), F.col("_breach").alias("breach")).alias("provenance"), "honesty")
+
+
+def run_rows(record: DataFrame) -> DataFrame:
+    """The run table of the report: ``run_id, pos, quantity, value``, in the order of ``pos``."""
+    def figure(c, unit="", digits=2):
+        return F.concat(F.format_number(F.col(c), digits), F.lit(unit))
+
+    def minutes(c):
+        return F.coalesce(F.concat(F.format_number(F.bround(c, 0), 0), F.lit(" min")), F.lit("not reached"))
+
+    rows = [
+        ("Newly inundated area", figure("results.flooded_area_km2", " km²")),
+        ("Total wetted area (incl. reservoir)", figure("results.total_wetted_area_km2", " km²")),
+        ("Peak depth", figure("results.peak_depth_m", " m")),
+        ("Peak speed", figure("results.peak_speed_ms", " m/s")),
+        ("First arrival outside pre-existing water", minutes("results.first_arrival_min")),
+        ("Last arrival", minutes("results.last_arrival_min")),
+        ("Grid", F.format_string("%d × %d cells at %s m", F.col("grid.shape")[1], F.col("grid.shape")[0], text.compact(F.col("grid.dx_m")))),
+        ("Simulated duration", F.format_string("%.2f h (%s steps)", F.col("run.duration_s") / 3600.0, F.format_number("run.steps", 0))),
+        ("Wall-clock time", F.format_string("%.1f s", F.col("run.wall_time_s"))),
+        ("Mass conservation error", F.format_string("%+.2e (relative)", F.col("run.volume_error"))),
+        ("Flooded cells over interpolated DEM voids", F.format_number("results.interpolated_cells", 0)),
+    ]
+    listed = F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(q).alias("quantity"), v.alias("value")) for k, (q, v) in enumerate(rows)])
+    return record.select("run_id", F.explode(listed).alias("x")).select("run_id", "x.*")
+
+
+def infrastructure_rows(counts: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Features and lengths in the flood, ``run_id, feature, n`` and ``run_id, feature, km``, as report rows."""
+    def named(c):
+        return F.translate(c, "_", " ").alias("feature")
+    return counts.select("run_id", named("feature"), F.format_number("n", 0).alias("value")).unionByName(
+        lengths.select("run_id", named("feature"), F.format_number("km", 1).alias("value")))
+
+
 def run_scalars(summary: DataFrame) -> DataFrame:
     """What a run list shows of each summary."""
     p = F.col("results.reported_population")

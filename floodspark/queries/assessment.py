@@ -9,10 +9,11 @@ from floodspark.functions import arrival as fa
 from floodspark.functions import damage as fd
 from floodspark.functions import hazard as fh
 from floodspark.functions import text as ft
-from floodspark.operators import accumulate, exposure, masks, sampling, terrain
-from floodspark.operators import vectors
+from floodspark.operators import accumulate, exposure, masks, resample, sampling, series, terrain, vectors
 from floodspark.plans import summary as ps
 from floodspark.queries.base import DERIVED, cells, enriched, query, rounded
+from floodspark.queries.series import _breached
+from floodspark.queries.terrain import FINE, FOOTPRINT, POOL_SQL, _dams, _people, _POP, _sizes, _terraced, _to_target
 from floodspark.sinks import bands
 from floodspark.session import cut, scratch_path
 from floodspark.sources.tables import DX, NX, NY, TRANSFORM, view
@@ -404,6 +405,10 @@ def _(s, d):
     return ps.damage_rows(c, exposure.total_damage(c))
 
 
+#: Share of the people that resampling may lose or add before the gate closes.
+RESIDUAL = 0.001
+
+
 def _gate(s, d):
     """The release gate on what was measured: volumes, flooded edges, damage, and the sources of the run's area."""
     e = enriched(s, d)
@@ -416,8 +421,10 @@ def _gate(s, d):
     loss = exposure.total_damage(_categories(s, d)).select("run_id", (F.col("central") > 0).alias("has_damage"))
     runs = runs.join(error.select("run_id", F.col("error").alias("volume_error")), "run_id").join(loss, "run_id", "left")
     runs = runs.withColumn("area", F.concat(F.lit("area"), (F.col("run_id") % 7).cast("string"))).join(unverified, "area", "left")
+    people = resample.conservation(view(s, d, "counts"), _people(s, d), _to_target, _sizes(s, d), tolerance=RESIDUAL)
+    runs = runs.join(people.select("run_id", "conserved"), "run_id", "left")
     return ps.release_gate(runs.withColumn("unverified_n", F.coalesce("n", F.lit(0)))
-                               .withColumn("has_damage", F.coalesce("has_damage", F.lit(False))).withColumn("conserved", F.lit(True)))
+                               .withColumn("has_damage", F.coalesce("has_damage", F.lit(False))))
 
 
 _GATE = f"""
@@ -425,13 +432,16 @@ _GATE = f"""
              CASE WHEN n > 0 THEN n || ' unverified citation(s)' END,
              CASE WHEN loss > 0 THEN 'damage is order-of-magnitude only' END,
              CASE WHEN error > 0.000001 THEN 'mass conservation: spurious gain'
-                  WHEN error < -0.000001 AND NOT open_edges THEN 'mass conservation: loss on a walled domain' END], lambda x: x IS NOT NULL) AS reasons
+                  WHEN error < -0.000001 AND NOT open_edges THEN 'mass conservation: loss on a walled domain' END,
+             CASE WHEN residual > {RESIDUAL} THEN 'population resampling did not conserve totals' END], lambda x: x IS NOT NULL) AS reasons,
+           error, open_edges, residual
     FROM (SELECT run_id, bool_or(flood AND (r IN (0, 63) OR c IN (0, 63))) AS open_edges FROM cells_h GROUP BY run_id)
     JOIN (SELECT run_id, (arg_max(v, t_s) - arg_min(v, t_s) - 500.0) / (arg_min(v, t_s) + 500.0) AS error FROM (
             SELECT run_id, t_s, sum(h) * 8100.0 AS v FROM frames GROUP BY ALL) GROUP BY run_id) USING (run_id)
     LEFT JOIN (SELECT run_id, sum(central) AS loss FROM ({_DAMAGE}) GROUP BY run_id) USING (run_id)
-    LEFT JOIN (SELECT split_part(key, '.', 1) AS area, count(*) AS n FROM sources WHERE NOT verified GROUP BY 1) ON area = 'area' || (run_id % 7)"""
-_GATE_NEEDS = ("cells_h", "frames", "buildings", "roads", "sources")
+    LEFT JOIN (SELECT split_part(key, '.', 1) AS area, count(*) AS n FROM sources WHERE NOT verified GROUP BY 1) ON area = 'area' || (run_id % 7)
+    LEFT JOIN (SELECT run_id, abs(t - source_total) / source_total AS residual FROM ({FOOTPRINT}) JOIN (SELECT run_id, sum(pop) AS t FROM ({_POP}) GROUP BY run_id) USING (run_id)) USING (run_id)"""
+_GATE_NEEDS = ("cells_h", "frames", "buildings", "roads", "sources", "dem", "counts")
 
 
 @query("agg35_release_gate", "AGG35", f"SELECT run_id, array_to_string(reasons, '; ') AS reasons FROM ({_GATE})", _GATE_NEEDS)
@@ -485,7 +495,7 @@ _SCENARIO = f"""
             SELECT run_id, sum(CASE WHEN new_flood AND newly_flooded THEN pop ELSE 0.0 END) AS p FROM cells_h GROUP BY run_id)) t USING (run_id)
     JOIN ({_GATE}) g USING (run_id) JOIN ({_CAVEATS}) c USING (run_id)
     JOIN ({_by_label('defra_class', 'hz')}) h USING (run_id) JOIN ({_by_label('band', 'bd')}) b USING (run_id)"""
-_SCENARIO_NEEDS = (*_GATE_NEEDS, "dem", "seeds", "runs", "hz", "bd")
+_SCENARIO_NEEDS = (*_GATE_NEEDS, "seeds", "runs", "hz", "bd")
 
 
 @query("agg36_scenario_summary", "AGG36 STR4", f"""
@@ -505,6 +515,123 @@ def _(s, d):
         listed("area_by_hazard_km2").alias("by_hazard"), listed("area_by_band_km2").alias("by_band")))
 
 
+_BREACH = """
+    SELECT run_id, max(q) AS peak_q, sum(released) AS released, min(k) AS least FROM (
+      SELECT run_id, q, coalesce((q + lag(q) OVER w) / 2.0 * (t_s - lag(t_s) OVER w), 0) AS released,
+             CASE WHEN x <= 0.67 THEN 1 WHEN x >= 1 THEN 0 ELSE pow(1 - pow(x, 1.5), 0.385) END AS k
+      FROM (SELECT *, floor(t_s / 3600.0) % 10 / 8.0 AS x FROM hydrographs) WINDOW w AS (PARTITION BY run_id, label ORDER BY t_s)) GROUP BY run_id"""
+
+
+def _breach(s, d):
+    """Per run the largest peak of its hydrographs, all that they release, and the least submergence factor."""
+    x = series.summarise(_breached(s, d))
+    return x.groupBy("run_id").agg(F.max("peak_q").alias("peak_q"), F.sum("released").alias("released"), F.min("min_submergence").alias("min_submergence"))
+
+
+def _pools(s, d):
+    dem = cut(_terraced(s, d), "dem")
+    return terrain.pool_report(terrain.detect_pools(dem, _sizes(s, d), _dams(s, d), DX, tile=FINE), _sizes(s, d), _dams(s, d), DX)
+
+
+@query("agg42_run_caveats", "AGG34 AGG41 AGG42", f"""
+    SELECT run_id, CAST(to_json(list_filter([
+      CASE WHEN open_edges THEN 'Cells within 10 of an open edge (0.9 km) follow the outflow condition and are not quotable.' END,
+      CASE WHEN error < -0.000001 AND open_edges THEN format('{{:.1f}}', -error * 100.0) || '% of the water left through the open edge (relative change '
+             || printf('%+.2e', error) || '): outflow, not a conservation error.'
+           WHEN abs(error) > 0.000001 THEN 'Relative mass error ' || printf('%+.2e', error) || '; above 1e-6 it needs looking into before the result is used.' END,
+      CASE WHEN least < 1 THEN 'The weir was drowned (least factor ' || printf('%.3f', least) || '): outflow was not free throughout.' END,
+      CASE WHEN released / (20000000.0 * (run_id + 1)) > 1.02 THEN 'The breach released ' || printf('%.2f', released / (20000000.0 * (run_id + 1)))
+             || ' times the storage: the storage model does not hold.' END,
+      CASE WHEN km2 > 0.1 * 1.05 THEN 'The pool covers ' || printf('%.2f', km2) || ' km2, the published reservoir 0.10 km2.' END,
+      CASE WHEN edge THEN 'The pool reaches the edge of the grid and may be cut off.' END], lambda x: x IS NOT NULL)) AS VARCHAR) AS limitations
+    FROM ({_GATE}) LEFT JOIN ({_BREACH}) USING (run_id)
+    LEFT JOIN (SELECT run_id, area_km2 AS km2, touches_j0 OR touches_jmax OR touches_i0 OR touches_imax AS edge FROM ({POOL_SQL})) USING (run_id)""",
+       (*_GATE_NEEDS, "hydrographs", "pool_low"))
+def _(s, d):
+    pools = _pools(s, d).select("run_id", F.col("area_km2").alias("pool_km2"), (F.col("published_m2") / 1e6).alias("published_km2"),
+                                (F.col("touches_j0") | F.col("touches_jmax") | F.col("touches_i0") | F.col("touches_imax")).alias("pool_at_edge"))
+    runs = _gate(s, d).select("run_id", "volume_error", "open_edges", F.lit(fixed.OPEN_EDGE_CELLS).alias("edge_cells"))
+    runs = runs.join(_breach(s, d), "run_id", "left").join(pools, "run_id", "left").withColumn(
+        "released_fraction", F.col("released") / (2.0e7 * (F.col("run_id") + 1)))
+    own = runs.select("run_id").join(ps.ordered_distinct(ps.run_caveats(runs, DX)), "run_id", "left")
+    return own.select("run_id", F.to_json(F.coalesce("limitations", F.array().cast("array<string>"))).alias("limitations"))
+
+
+def _record(s, d):
+    f = view(s, d, "frames")
+    e = cut(enriched(s, d), "enriched")
+    runs = f.groupBy("run_id").agg(F.max("t_s").alias("duration_s"), F.count_distinct("t_s").alias("steps"), (F.count("*") / 1000.0).alias("wall_time_s"))
+    runs = runs.join(_gate(s, d).select("run_id", "volume_error"), "run_id", "left").withColumn(
+        "solver", F.create_map(F.lit("h_min_m"), F.lit(fixed.H_MIN_M), F.lit("wet_m"), F.lit(fixed.WET_THRESHOLD_M)))
+    grids = runs.select("run_id", F.lit(NY).alias("ny"), F.lit(NX).alias("nx"), F.lit(DX).alias("dx_m"), F.lit("EPSG:32644").alias("crs"),
+                        F.array(*[F.lit(v) for v in TRANSFORM]).alias("transform"))
+    total = exposure.total_damage(_categories(s, d))
+    loss = total.join(exposure.structural_failure(e, sampling.at_cells(view(s, d, "buildings"), e, "aidr_class")).select("run_id", "buildings"), "run_id").select(
+        "run_id", "low", "central", "high", "unit", fd.format_crore(F.col("low"), F.col("high")).alias("formatted"), F.col("buildings").alias("structural_failure_buildings"))
+    people = _only_exposed(e)
+    by = exposure.population_by_class(people, "defra_class", fixed.HAZARD_NAMES).groupBy("run_id").agg(
+        F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("idx", "label", "people"))), lambda x: F.struct(x["label"], x["people"]))).alias("by_hazard"))
+    features = vectors.features_in_flood(view(s, d, "buildings").select("run_id", F.col("building_id").alias("feature_id"), "r", "c"), e.where("new_flood"))
+    infra = by.join(features, "run_id", "left").join(_flooded_km(s, d, e), "run_id", "left").select(
+        "run_id", "by_hazard", F.coalesce("features", F.lit(0)).alias("buildings"), F.coalesce("km", F.lit(0.0)).alias("road_km"))
+    return ps.full_record(_summary(s, d), grids, runs, terrain.terrain_summary(view(s, d, "dem"), DX), _breach(s, d), infra, loss)
+
+
+_RUNS = "SELECT run_id, max(t_s) AS duration_s, count(DISTINCT t_s) AS steps, count(*) / 1000.0 AS wall_time_s FROM frames GROUP BY run_id"
+
+
+@query("agg36_full_record", "AGG36 GEO1", f"""
+    SELECT run_id, '[64,64]' AS shape, 90.0 AS dx_m, 'EPSG:32644' AS crs, 5760.0 AS y0, duration_s, steps, wall_time_s, printf('%+.4e', error) AS volume_error,
+           0.001 AS h_min_m, voids, z_max, round(peak_q, 6) AS peak_q, round(released, 1) AS released, round(p0, 4) AS low_hazard_people,
+           coalesce(features, 0) AS buildings, round(coalesce(km, 0.0), 6) AS road_km, round(low, 1) AS low, round(central, 1) AS central, round(high, 1) AS high,
+           failed AS structural_failure_buildings
+    FROM ({_RUNS}) JOIN (SELECT run_id, error FROM ({_GATE})) USING (run_id)
+    LEFT JOIN (SELECT run_id, count(*) FILTER (WHERE NOT valid) AS voids, max(z) FILTER (WHERE valid) AS z_max FROM dem GROUP BY run_id) USING (run_id)
+    LEFT JOIN ({_BREACH}) USING (run_id)
+    JOIN (SELECT run_id, coalesce(sum(pop) FILTER (WHERE defra_class = 0 AND new_flood AND newly_flooded), 0) AS p0 FROM cells_h GROUP BY run_id) USING (run_id)
+    LEFT JOIN (SELECT run_id, count(DISTINCT CASE WHEN new_flood THEN building_id END) AS features FROM buildings LEFT JOIN cells_h USING (run_id, r, c) GROUP BY run_id) USING (run_id)
+    LEFT JOIN ({_KM}) USING (run_id)
+    LEFT JOIN (SELECT run_id, sum(low) AS low, sum(central) AS central, sum(high) AS high FROM ({_DAMAGE}) GROUP BY run_id) USING (run_id)
+    LEFT JOIN (SELECT c.run_id, coalesce(b.failed, 0) AS failed FROM (SELECT DISTINCT run_id FROM cells_h) c LEFT JOIN (
+                 SELECT run_id, count(*) FILTER (WHERE aidr_class >= 4) AS failed FROM buildings LEFT JOIN cells_h USING (run_id, r, c) GROUP BY run_id) b USING (run_id)) USING (run_id)""",
+       (*_SCENARIO_NEEDS, "hydrographs"))
+def _(s, d):
+    x = _record(s, d)
+    return x.select(
+        "run_id", F.to_json("grid.shape").alias("shape"), "grid.dx_m", "grid.crs", F.get("grid.transform", F.lit(5)).alias("y0"), "run.duration_s", "run.steps",
+        "run.wall_time_s", F.format_string("%+.4e", F.col("run.volume_error")).alias("volume_error"), F.col("run.solver")["h_min_m"].alias("h_min_m"),
+        "provenance.terrain.voids", "provenance.terrain.z_max", F.round("provenance.breach.peak_q", 6).alias("peak_q"),
+        F.round("provenance.breach.released", 1).alias("released"), F.round(F.col("results.exposure.by_hazard")["Low"], 4).alias("low_hazard_people"),
+        "results.exposure.buildings", F.round("results.exposure.road_km", 6).alias("road_km"), *[F.round(f"results.damage.{c}", 1).alias(c) for c in ("low", "central", "high")],
+        "results.damage.structural_failure_buildings")
+
+
+@query("snk6_run_rows", "SNK6", f"""
+    SELECT run_id, pos, quantity, value FROM (
+      SELECT run_id, unnest(range(11)) AS pos, unnest(['Newly inundated area', 'Total wetted area (incl. reservoir)', 'Peak depth', 'Peak speed',
+        'First arrival outside pre-existing water', 'Last arrival', 'Grid', 'Simulated duration', 'Wall-clock time', 'Mass conservation error',
+        'Flooded cells over interpolated DEM voids']) AS quantity,
+        unnest([format('{{:,.2f}}', new_km2) || ' km²', format('{{:,.2f}}', wetted_km2) || ' km²', format('{{:,.2f}}', peak_depth_m) || ' m',
+          format('{{:,.2f}}', peak_speed_ms) || ' m/s', coalesce(format('{{:,}}', CAST(round_even(first_arrival_min, 0) AS BIGINT)) || ' min', 'not reached'),
+          coalesce(format('{{:,}}', CAST(round_even(last_arrival_min, 0) AS BIGINT)) || ' min', 'not reached'), '64 × 64 cells at 90 m',
+          printf('%.2f', duration_s / 3600.0) || ' h (' || format('{{:,}}', steps) || ' steps)', printf('%.1f', wall_time_s) || ' s',
+          printf('%+.2e', error) || ' (relative)', format('{{:,}}', interpolated_cells)]) AS value
+      FROM ({FIGURES_SQL}) JOIN ({_RUNS}) USING (run_id) JOIN (SELECT run_id, error FROM ({_GATE})) USING (run_id))""", _SCENARIO_NEEDS)
+def _(s, d):
+    return ps.run_rows(_record(s, d))
+
+
+@query("snk6_infrastructure_rows", "SNK6", f"""
+    SELECT run_id, 'buildings flooded' AS feature, format('{{:,}}', count(DISTINCT CASE WHEN new_flood THEN building_id END)) AS value
+    FROM buildings LEFT JOIN cells_h USING (run_id, r, c) GROUP BY run_id
+    UNION ALL SELECT run_id, 'road km flooded', format('{{:,.1f}}', km) FROM ({_KM})""", ("buildings", "cells_h", "roads"))
+def _(s, d):
+    e = cut(enriched(s, d), "enriched")
+    b = view(s, d, "buildings").select("run_id", F.col("building_id").alias("feature_id"), "r", "c")
+    counts = vectors.features_in_flood(b, e.where("new_flood")).select("run_id", F.lit("buildings_flooded").alias("feature"), F.col("features").alias("n"))
+    return ps.infrastructure_rows(counts, _flooded_km(s, d, e).select("run_id", F.lit("road_km_flooded").alias("feature"), "km"))
+
+
 @query("agg37_run_scalars", "AGG37", f"""
     SELECT run_id, headline, presentable, peak_depth_m, new_km2 AS flooded_area_km2, first_arrival_min,
            round(CASE WHEN people <> 0 THEN people ELSE total END, 6) AS exposed_people FROM ({_SCENARIO})""", _SCENARIO_NEEDS)
@@ -564,11 +691,15 @@ def _(s, d):
 
 @query("snk4_settlement_features", "SNK4", """
     SELECT CAST(json_object('type', 'Feature', 'properties', json_object('name', name, 'flooded', flooded, 'arr_min', arr_min,
-                  'depth_m', depth_m, 'band', r.band), 'geometry', json_object('type', 'Point', 'coordinates', json_array(x, y))) AS VARCHAR) AS value
-    FROM risk r JOIN (SELECT run_id, poi_id, x, y FROM poi) USING (run_id, poi_id)""", ("risk", "poi"))
+                  'depth_m', depth_m, 'speed_ms', speed_ms, 'haz_class', coalesce(hz.label, 'none'), 'band', r.band, 'population', pop), 'geometry', json_object('type', 'Point', 'coordinates', json_array(x, y))) AS VARCHAR) AS value
+    FROM risk r JOIN (SELECT run_id, poi_id, x, y FROM poi) USING (run_id, poi_id) LEFT JOIN hz ON hz.idx = r.haz_class""", ("risk", "poi", "hz"))
 def _(s, d):
     r = _risk(s, d).join(view(s, d, "poi").select("run_id", "poi_id", "x", "y"), ["run_id", "poi_id"])
-    return bands.feature_rows(r, bands.point_geometry(F.col("x"), F.col("y")), "name", "flooded", "arr_min", "depth_m", "band")
+    names = F.array(*[F.lit(n) for n in fixed.HAZARD_NAMES])
+    r = r.withColumn("haz_class", F.coalesce(F.when(F.col("haz_class") >= 0, F.get(names, F.col("haz_class"))), F.lit("none"))).withColumn(
+        "population", F.col("pop"))
+    return bands.feature_rows(r, bands.point_geometry(F.col("x"), F.col("y")), "name", "flooded", "arr_min", "depth_m", "speed_ms", "haz_class",
+                              "band", "population")
 
 
 # --- vectors ------------------------------------------------------------------------------
@@ -633,6 +764,18 @@ def _(s, d):
     return vectors.ring_areas(_rings(s, d))
 
 
+@query("snk4_isochrone_features", "SNK4 GEO4", f"""
+    SELECT * FROM (WITH RECURSIVE {_LINKS},
+      area AS (SELECT run_id, ring, sum(r0 * c1 - r1 * c0) / 2.0 AS a FROM ringed GROUP BY ALL),
+      pts AS (SELECT run_id, cls, ring, list([c0 * 90.0, 5760.0 - r0 * 90.0] ORDER BY place) AS p FROM ringed WHERE corner GROUP BY run_id, cls, ring)
+      SELECT CAST(json_object('type', 'Feature', 'properties', json_object('band', cls, 'label', bd.label, 'km2', round(abs(a) * 0.0081, 4), 'hole', a < 0, 'ring', ring, 'part', 0),
+               'geometry', json_object('type', 'Polygon', 'coordinates', json_array(to_json(list_append(p, p[1]))))) AS VARCHAR) AS value
+      FROM pts JOIN area USING (run_id, ring) JOIN bd ON bd.idx = pts.cls)""", ("cells_h", "bd"))
+def _(s, d):
+    f = vectors.ring_features(cut(_rings(s, d), "rings"), TRANSFORM, DX * DX / 1e6, per=1 << 20)
+    return bands.isochrone_features(f.withColumn("km2", F.round("km2", 4)).withColumn("part", F.col("part").cast("int")), fa.band_label(F.col("cls")))
+
+
 @query("jn8_buildings_in_flood", "JN8 GEO3", """
     SELECT run_id, count(DISTINCT CASE WHEN new_flood THEN building_id END) AS features FROM buildings LEFT JOIN cells_h USING (run_id, r, c)
     GROUP BY run_id""", ("buildings", "cells_h"))
@@ -681,18 +824,26 @@ def _(s, d):
 
 @query("agg27_near_field_profile", "AGG27", """
     SELECT run_id, radius, coalesce(max(max_depth) FILTER (WHERE d2 > radius * radius), 0) AS peak_beyond,
-           count(*) FILTER (WHERE d2 <= radius * radius) AS excluded
+           count(*) FILTER (WHERE d2 <= radius * radius) AS excluded, round(count(*) FILTER (WHERE d2 <= radius * radius) * 0.0081, 6) AS excluded_km2
     FROM (SELECT x.run_id, x.r, x.c, any_value(x.max_depth) AS max_depth,
                  min((x.r - z.r) * (x.r - z.r) + (x.c - z.c) * (x.c - z.c)) AS d2
           FROM cells_h x JOIN seeds z USING (run_id)
           WHERE x.flood GROUP BY ALL) CROSS JOIN (VALUES (0), (6), (10), (20), (30), (40)) AS t(radius) GROUP BY ALL""", ("cells_h", "seeds"))
 def _(s, d):
+    return rounded(exposure.near_field(_far(s, d), (0, 6, 10, 20, 30, 40), DX))
+
+
+def _far(s, d):
     c = _with_seeds(s, d, enriched(s, d).select(*grid.CELL, "max_depth", "flood"))
-    near = terrain.nearest_seed(c, "seed", False).where("own AND flood AND d2 IS NOT NULL")
-    r = F.explode(F.array(*[F.lit(v) for v in (0, 6, 10, 20, 30, 40)]))
-    far = F.col("d2") > F.col("radius") * F.col("radius")
-    return near.withColumn("radius", r).groupBy("run_id", "radius").agg(
-        F.coalesce(F.max(F.when(far, F.col("max_depth"))), F.lit(0.0)).alias("peak_beyond"), F.count_if(~far).alias("excluded"))
+    return terrain.nearest_seed(c, "seed", False).where("own AND flood AND d2 IS NOT NULL")
+
+
+@query("agg27_far_field", "AGG27", """
+    SELECT run_id, count(*) AS cells, round(quantile_cont(max_depth, 0.5), 6) AS median, round(quantile_cont(max_depth, 0.95), 6) AS p95, max(max_depth) AS peak
+    FROM (SELECT x.run_id, x.r, x.c, any_value(x.max_depth) AS max_depth, min((x.r - z.r) * (x.r - z.r) + (x.c - z.c) * (x.c - z.c)) AS d2
+          FROM cells_h x JOIN seeds z USING (run_id) WHERE x.flood GROUP BY ALL) WHERE d2 > 100 GROUP BY run_id""", ("cells_h", "seeds"))
+def _(s, d):
+    return rounded(exposure.far_field(_far(s, d), 10))
 
 
 @query("agg27_depth_quantiles", "AGG27", """
@@ -706,30 +857,45 @@ def _(s, d):
 @query("agg28_confined_reaches", "AGG28", """
     SELECT run_id, count(*) FILTER (WHERE conf) AS confined, count(*) FILTER (WHERE NOT conf) AS resolved,
            coalesce(max(max_depth) FILTER (WHERE conf), 0) AS peak_confined, coalesce(max(max_depth) FILTER (WHERE NOT conf), 0) AS peak_resolved
-    FROM (SELECT x.*, EXISTS (SELECT 1 FROM cells_h y WHERE y.run_id = x.run_id AND y.max_depth <= 0.1
-                              AND abs(y.r - x.r) <= 1 AND abs(y.c - x.c) <= 1) AS conf
+    FROM (SELECT x.*, (SELECT count(*) FROM cells_h y WHERE y.run_id = x.run_id AND y.max_depth > 0.1 AND abs(y.r - x.r) <= 1 AND abs(y.c - x.c) <= 1)
+                      < (least(x.r + 1, 63) - greatest(x.r - 1, 0) + 1) * (least(x.c + 1, 63) - greatest(x.c - 1, 0) + 1) AS conf
           FROM cells_h x WHERE x.max_depth > 0.1) GROUP BY run_id""", ("cells_h",))
 def _(s, d):
-    e = cells(s, d).withColumn("wet", F.col("max_depth") > 0.1)
-    c = terrain.confined(e.where("wet"), e)
+    c = terrain.confined(cells(s, d).where("max_depth > 0.1"), _square(cells(s, d)))
     def peak(m):
         return F.coalesce(F.max(F.when(m, F.col("max_depth"))), F.lit(0.0))
     return c.groupBy("run_id").agg(F.count_if("confined").alias("confined"), F.count_if(~F.col("confined")).alias("resolved"),
                                    peak(F.col("confined")).alias("peak_confined"), peak(~F.col("confined")).alias("peak_resolved"))
 
 
+def _square(e):
+    return e.select("run_id").distinct().withColumn("ny", F.lit(NY)).withColumn("nx", F.lit(NX))
+
+
+@query("agg28_half_width_bins", "AGG28 GEO5", """
+    SELECT run_id, half_width, max(max_depth) AS peak, round(quantile_cont(max_depth, 0.5), 6) AS median, count(*) AS cells, round(count(*) * 0.0081, 6) AS km2
+    FROM (SELECT w.run_id, w.r, w.c, any_value(w.max_depth) AS max_depth, sqrt(min((w.r - x.r) * (w.r - x.r) + (w.c - x.c) * (w.c - x.c))) AS away
+          FROM cells w JOIN (SELECT q.run_id, a.r, b.c FROM (SELECT DISTINCT run_id FROM cells) q, (SELECT unnest(range(64)) AS r) a, (SELECT unnest(range(64)) AS c) b
+                             ANTI JOIN (SELECT run_id, r, c FROM cells WHERE max_depth > 0.1) k ON k.run_id = q.run_id AND k.r = a.r AND k.c = b.c) x ON x.run_id = w.run_id
+          WHERE w.max_depth > 0.1 GROUP BY w.run_id, w.r, w.c)
+    JOIN (VALUES (0.0), (1.0), (1.5), (2.0), (2.5), (3.0)) AS t(half_width) ON away >= half_width GROUP BY run_id, half_width""", ("cells",))
+def _(s, d):
+    e = cut(cells(s, d).select(*grid.CELL, "max_depth"), "cells")
+    return rounded(terrain.width_bins(e.where("max_depth > 0.1"), _square(e), DX))
+
+
 @query("win1_front_speed", "WIN1 JN14", """
     SELECT run_id, r, c, round(CASE WHEN t IS NOT NULL AND g > 0 THEN 1.0 / g END, 6) AS front_speed FROM (
       SELECT *, sqrt(gx * gx + gy * gy) AS g FROM (
         SELECT run_id, r, c, t,
-          CASE WHEN c = min(c) OVER rw THEN (e - t) / 90.0 WHEN c = max(c) OVER rw THEN (t - w) / 90.0 ELSE (e - w) / 180.0 END AS gx,
-          CASE WHEN r = min(r) OVER cw THEN (s - t) / 90.0 WHEN r = max(r) OVER cw THEN (t - n) / 90.0 ELSE (s - n) / 180.0 END AS gy
+          CASE WHEN c = 0 THEN (e - t) / 90.0 WHEN c = 63 THEN (t - w) / 90.0 ELSE (e - w) / 180.0 END AS gx,
+          CASE WHEN r = 0 THEN (s - t) / 90.0 WHEN r = 63 THEN (t - n) / 90.0 ELSE (s - n) / 180.0 END AS gy
         FROM (SELECT a.run_id, a.r, a.c, a.arrival_s AS t, e.arrival_s AS e, w.arrival_s AS w, s.arrival_s AS s, n.arrival_s AS n
               FROM cells a LEFT JOIN cells e ON e.run_id = a.run_id AND e.r = a.r AND e.c = a.c + 1
               LEFT JOIN cells w ON w.run_id = a.run_id AND w.r = a.r AND w.c = a.c - 1
               LEFT JOIN cells s ON s.run_id = a.run_id AND s.r = a.r + 1 AND s.c = a.c
-              LEFT JOIN cells n ON n.run_id = a.run_id AND n.r = a.r - 1 AND n.c = a.c)
-        WINDOW rw AS (PARTITION BY run_id, r), cw AS (PARTITION BY run_id, c)))""", ("cells",))
+              LEFT JOIN cells n ON n.run_id = a.run_id AND n.r = a.r - 1 AND n.c = a.c)))""", ("cells",))
 def _(s, d):
-    return rounded(terrain.front_speed(cells(s, d).select(*grid.CELL, "arrival_s"), DX).select(
+    e = cells(s, d).select(*grid.CELL, "arrival_s")
+    return rounded(terrain.front_speed(e, _square(e), DX).select(
         *grid.CELL, "front_speed"))

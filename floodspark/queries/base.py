@@ -65,7 +65,7 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN pr BETWEEN 0 AND 63 AND pc BETWEEN 0 AND 63 THEN pc END AS c
         FROM (SELECT *, CAST(floor((5760 - y) / 90) AS INT) AS pr, CAST(floor(x / 90) AS INT) AS pc FROM poi)"""),
     "risk": (("poi_c", "cells_h"), """
-        SELECT p.run_id, p.poi_id, coalesce(left(p.name, 60), 'unnamed_' || p.poi_id) AS name,
+        SELECT p.run_id, p.poi_id, coalesce(p.name, 'unnamed_' || p.poi_id) AS name,
                CASE WHEN new_flood AND arrival_min IS NOT NULL THEN round_even(arrival_min, 1) ELSE -1.0 END AS arr_min,
                coalesce(new_flood, false) AS flooded,
                CASE WHEN new_flood THEN round_even(max_depth, 2) ELSE 0.0 END AS depth_m,

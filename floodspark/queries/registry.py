@@ -379,11 +379,30 @@ def _(s, d):
     return found.select(F.substring_index("path", "/", 1).alias("path"), "bytes", "sha256").join(F.broadcast(total))
 
 
-@query("snk7_isolated_exports", "SNK7", "SELECT * FROM (VALUES ('bad', false), ('good', true)) AS t(stage, ok)")
+@query("snk7_isolated_exports", "SNK7", """
+    SELECT 'quality ' || quality AS stage, count(*) FILTER (WHERE toxic > 1) = 0 AS ok, count(*) AS rows FROM labels GROUP BY quality
+    UNION ALL SELECT 'every', true, count(*) FROM labels UNION ALL SELECT 'refused', false, NULL""")
 def _(s, d):
-    good = lambda: table(s, d, "labels").write.parquet(scratch_path(s, "good"))
-    bad = lambda: table(s, d, "labels").select(F.raise_error(F.lit("no"))).write.parquet(scratch_path(s, "bad"))
-    return bands.export_all({"bad": bad, "good": good}, s, scratch_path(s, "export-log")).select("stage", "ok")
+    rows = table(s, d, "labels")
+    refused = F.when(F.col("doc_id").isNotNull(), F.raise_error(F.lit("refused")).cast("long"))
+
+    def write(df, name):
+        def run():
+            path = scratch_path(s, name)
+            df.write.parquet(path)
+            return s.read.schema(df.schema).parquet(path).count()
+        return run
+
+    sinks = {"refused": write(rows.select(refused.alias("x")), "refused"), "every": write(rows, "every")}
+    sinks |= {f"quality {q}": write(rows.where(F.col("quality") == q), "quality") for q in (0, 1)}
+    return bands.export_all(sinks, s, scratch_path(s, "export-log")).select("stage", "ok", "rows")
+
+
+@query("snk4_attribute_rows", "SNK4 STR2 STR3 STR6", """
+    SELECT doc_id, left(text, 254) AS info, left(source || ' ' || text, 60) AS name FROM documents""")
+def _(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.col("text").alias("info"), F.concat("source", F.lit(" "), "text").alias("name"))
+    return bands.attribute_rows(docs)
 
 
 @query("src13_features_by_tag", "SRC13", """

@@ -39,6 +39,23 @@ def _(s, d):
     return x.select("run_id", "label", F.round("peak_q", 6).alias("peak_q"), "t_peak", "t_first", "t_last", F.round("released", 3).alias("released"))
 
 
+def _breached(s, d):
+    """Hydrographs with the head over the sill and the tailwater, so that velocity and submergence follow."""
+    h = _hyd(s, d).withColumn("head", 2.0 + F.col("q") / 500.0)
+    tail = F.col("head") * (F.floor(F.col("t_s") / 3600.0) % 10) / 8.0
+    return h.withColumn("velocity", hy.breach_velocity(F.col("q"), F.col("head"), F.lit(20.0), F.lit(0.5))).withColumn(
+        "ks", hy.submergence_factor(F.col("head"), tail))
+
+
+@query("agg17_velocity_and_submergence", "AGG17 FN10 FN13", """
+    SELECT run_id, label, round(max(CASE WHEN q <= 0 THEN 0 ELSE q / (20 * w + 0.5 * w * w) END), 6) AS peak_velocity, round(min(k), 6) AS min_submergence, min(k) < 1 AS drowned
+    FROM (SELECT *, 2.0 * h / 3.0 AS w, CASE WHEN x <= 0.67 THEN 1 WHEN x >= 1 THEN 0 ELSE pow(1 - pow(x, 1.5), 0.385) END AS k
+          FROM (SELECT *, 2.0 + q / 500.0 AS h, floor(t_s / 3600.0) % 10 / 8.0 AS x FROM hydrographs)) GROUP BY run_id, label""", ("hydrographs",))
+def _(s, d):
+    x = series.summarise(_breached(s, d))
+    return rounded(x.select("run_id", "label", "peak_velocity", "min_submergence", "drowned"))
+
+
 @query("agg17_mass_balance", "AGG17", f"""
     SELECT run_id, label, round(abs(released - e) / e, 6) AS mass_balance_rel FROM (
       SELECT *, 1000000.0 * (run_id + 1) + 12.5 * t_last AS e FROM ({_SUMM}))""", ("hydrographs",))
@@ -311,6 +328,16 @@ def _(s, d):
         "name", "kind", "arrival_s", "max_depth", "max_speed"))
 
 
+@query("agg30_arrivals_pivoted", "AGG30", """
+    SELECT run_id, max(CASE WHEN label = 'A' THEN arrival_s END) AS a_s, max(CASE WHEN label = 'B' THEN arrival_s END) AS b_s,
+           max(CASE WHEN label = 'C' THEN arrival_s END) AS c_s FROM (
+      SELECT o.run_id, o.label, k.arrival_s FROM observations o LEFT JOIN cells k ON k.run_id = o.run_id
+        AND k.c = CAST(round_even(o.x / 20.0, 0) AS INT) AND k.r = CAST(round_even(o.y / 20.0, 0) AS INT)) GROUP BY run_id""", ("observations", "cells"))
+def _(s, d):
+    o = view(s, d, "observations").withColumn("c", F.bround(F.col("x") / 20, 0).cast("int")).withColumn("r", F.bround(F.col("y") / 20, 0).cast("int"))
+    return sampling.by_label(sampling.at_cells(o, cells(s, d), "arrival_s"), "arrival_s", ("A", "B", "C"), "_s")
+
+
 @query("agg31_profile_front", "AGG31", """
     SELECT run_id, coalesce(max(c * 90.0) FILTER (WHERE max_depth > 4.9), -1.0) AS front FROM cells GROUP BY run_id""", ("cells",))
 def _(s, d):
@@ -345,6 +372,19 @@ def _(s, d):
     return mesh.face_maxima(view(s, d, "face_frames"))
 
 
+@query("src9_map_import", "SRC9", """
+    SELECT face_id, max(depth) AS max_depth, max(wl) AS max_wl, min(700 + face_id % 50 * 1.5) AS bed, count(*) AS times FROM face_frames GROUP BY face_id""", ("face_frames",))
+def _(s, d):
+    f = view(s, d, "face_frames").select("face_id", "t_s", F.col("depth").alias("mesh2d_waterdepth"), F.col("wl").alias("Mesh2D_S1"),
+                                         (700 + F.col("face_id") % 50 * 1.5).alias("mesh2d_flowelem_bl"))
+    return mesh.face_maxima(mesh.read_map(f))
+
+
+@query("src9_map_without_levels", "SRC9", "SELECT face_id, max(depth) AS max_depth, count(*) AS times FROM face_frames GROUP BY face_id", ("face_frames",))
+def _(s, d):
+    return mesh.face_maxima(mesh.read_map(view(s, d, "face_frames").select("face_id", "t_s", F.col("depth").alias("water_depth"))))
+
+
 @query("snk8_quad_faces", "SNK8", """
     SELECT run_id, CAST(r AS BIGINT) * 50 + c AS face_id, (r + 1) * 51 + c AS sw, r * 51 + c AS nw, (c + 0.5) * 90 AS x, 27000 - (r + 0.5) * 90 AS y FROM dem""", ("dem",))
 def _(s, d):

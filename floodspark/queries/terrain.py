@@ -364,6 +364,22 @@ def _(s, d):
                                           F.round("share", 6).alias("share"), "rank")
 
 
+@query("agg43_home_component", "AGG43", f"""
+    SELECT * FROM (WITH lab AS (SELECT run_id, r, c, lab, greatest(1100.0 - z, 0) * 8100.0 AS v
+                 FROM ({_COMP.format(diag="").replace("FROM low", f"FROM {_LOW}").replace("JOIN low n", f"JOIN {_LOW} n")}) JOIN dem USING (run_id, r, c)),
+    home AS (SELECT run_id, arg_min(lab, struct_pack(a := (r - 10) * (r - 10) + (c - 25) * (c - 25), b := r, c := c)) AS home FROM lab GROUP BY run_id)
+    SELECT run_id, any_value(home) AS home, round(sum(v), 3) AS total, round(coalesce(sum(v) FILTER (WHERE lab = home), 0), 3) AS home_volume,
+           round(1 - coalesce(sum(v) FILTER (WHERE lab = home), 0) / sum(v), 6) AS stray, 1 - coalesce(sum(v) FILTER (WHERE lab = home), 0) / sum(v) > 0.02 AS leaks
+    FROM lab JOIN home USING (run_id) GROUP BY run_id)""", ("dem",))
+def _(s, d):
+    lab = cut(comp.components(_low(s, d), "low", False, FINE).join(_dem(s, d).select(*grid.CELL, "z"), grid.CELL), "lab")
+    per = comp.per_component(lab, volume=F.sum(F.greatest(F.lit(1100.0) - F.col("z"), F.lit(0.0))) * DX * DX)
+    out = comp.home_verdict(per, lab, _dams(s, d))
+    home = F.floor(F.col("home") / comp.WIDE) * 100000 + F.col("home") % comp.WIDE
+    return out.select("run_id", home.alias("home"), F.round("total", 3).alias("total"), F.round("home_volume", 3).alias("home_volume"),
+                      F.round("stray", 6).alias("stray"), "leaks")
+
+
 def _sizes(s, d):
     return grid.grid_sizes(_dem(s, d))
 
@@ -392,13 +408,16 @@ DERIVED["pool_seed"] = (("pool_flat",), """
 DERIVED["pool_low"] = (("dem", "pool_seed"), f"SELECT t.run_id, t.r, t.c FROM {_TERRACE} t JOIN pool_seed USING (run_id) WHERE t.z <= level + 0.000001")
 
 
-@query("gr11_pool_detection", "GR11 TOP7", f"""
+POOL_SQL = f"""
     SELECT run_id, max(level) AS level_m, round(count(*) * 0.0081, 6) AS area_km2, bool_or(r = 0) AS touches_j0, bool_or(r = mr) AS touches_jmax,
            bool_or(c = 0) AS touches_i0, bool_or(c = mc) AS touches_imax, 100000.0 AS published_m2, count(*) * 0.0081 > 0.1 * 1.05 AS suspect
     FROM (SELECT b.*, lab, first_value(lab) OVER (PARTITION BY b.run_id ORDER BY (r * 100000 + c = seed) DESC) AS home FROM (
             SELECT k.run_id, k.r, k.c, k.lab, q.lab AS seed, q.level FROM ({_COMP.format(diag="").replace("FROM low", "FROM pool_low").replace("JOIN low n", "JOIN pool_low n")}) k
             JOIN pool_seed q USING (run_id)) b)
-    JOIN (SELECT run_id, max(r) AS mr, max(c) AS mc FROM dem GROUP BY run_id) USING (run_id) WHERE lab = home GROUP BY run_id""", ("dem", "pool_low"))
+    JOIN (SELECT run_id, max(r) AS mr, max(c) AS mc FROM dem GROUP BY run_id) USING (run_id) WHERE lab = home GROUP BY run_id"""
+
+
+@query("gr11_pool_detection", "GR11 TOP7", POOL_SQL, ("dem", "pool_low"))
 def _(s, d):
     dem = cut(_terraced(s, d), "dem")
     return rounded(terrain.pool_report(terrain.detect_pools(dem, _sizes(s, d), _dams(s, d), DX, tile=FINE), _sizes(s, d), _dams(s, d), DX))
@@ -527,6 +546,17 @@ def _(s, d):
                                              F.min("c").alias("c_min"), F.max("c").alias("c_max")), 3)
 
 
+@query("agg26_points_wet_at_start", "AGG26 JN2", """
+    SELECT p.run_id, count(*) AS points, count(*) FILTER (WHERE f.valid AND f.z < 1040) AS wet, count(*) FILTER (WHERE f.z IS NULL) AS outside
+    FROM (SELECT CAST(floor(poi_id / 100.0) AS INT) AS run_id, poi_id * 7 % 310 AS r, poi_id * 11 % 50 AS c FROM poi) p LEFT JOIN dem f USING (run_id, r, c)
+    GROUP BY p.run_id""", ("poi", "dem"))
+def _(s, d):
+    p = view(s, d, "poi").select(F.floor(F.col("poi_id") / 100.0).cast("int").alias("run_id"), (F.col("poi_id") * 7 % 310).alias("r"),
+                                 (F.col("poi_id") * 11 % 50).alias("c"))
+    lake = _dem(s, d).withColumn("lake", F.col("valid") & (F.col("z") < 1040))
+    return masks.points_wet_at_start(p, lake)
+
+
 # --- land cover -------------------------------------------------------------------------------
 
 _LC = "(VALUES " + ", ".join(f"({c}, {n}::DOUBLE, {lo}::DOUBLE, {hi}::DOUBLE)" for c, _, n, lo, hi in fixed.LANDCOVER_CLASSES) + ") AS t(cls, n, n_low, n_high)"
@@ -620,14 +650,18 @@ def _(s, d):
     return rounded(_people(s, d), 10)
 
 
+# sub-points of pixels that lie in the grid
+FOOTPRINT = """
+    SELECT run_id, sum(CASE WHEN tr >= 0 AND tr < ny AND tc >= 0 AND tc < nx THEN q ELSE 0 END) / 16.0 AS source_total, sum(q) / 16.0 AS raw_total
+    FROM (SELECT s.run_id, greatest(coalesce(cnt, 0), 0) AS q, (sr + (a.i + 0.5) / 4.0) * 4.0 - 0.3 AS tr, (sc + (b.i + 0.5) / 4.0) * 4.0 - 0.7 AS tc
+          FROM counts s, (SELECT unnest(range(4)) AS i) a, (SELECT unnest(range(4)) AS i) b)
+    JOIN (SELECT run_id, max(r) + 1 AS ny, max(c) + 1 AS nx FROM dem GROUP BY run_id) USING (run_id) GROUP BY run_id"""
+
+
 @query("agg10_conservation_report", "AGG10", f"""
     SELECT run_id, round(source_total, 4) AS source_total, round(raw_total, 4) AS raw_total, round(t, 4) AS resampled_total,
            round((t - source_total) / source_total, 6) AS residual, abs((t - source_total) / source_total) <= 0.02 AS conserved, 4 AS subpoints
-    FROM (SELECT run_id, sum(CASE WHEN tr >= 0 AND tr < ny AND tc >= 0 AND tc < nx THEN q ELSE 0 END) / 16.0 AS source_total, sum(q) / 16.0 AS raw_total
-          FROM (SELECT s.run_id, greatest(coalesce(cnt, 0), 0) AS q, (sr + (a.i + 0.5) / 4.0) * 4.0 - 0.3 AS tr, (sc + (b.i + 0.5) / 4.0) * 4.0 - 0.7 AS tc
-                FROM counts s, (SELECT unnest(range(4)) AS i) a, (SELECT unnest(range(4)) AS i) b)
-          JOIN (SELECT run_id, max(r) + 1 AS ny, max(c) + 1 AS nx FROM dem GROUP BY run_id) USING (run_id) GROUP BY run_id)
-    JOIN (SELECT run_id, sum(pop) AS t FROM ({_POP}) GROUP BY run_id) USING (run_id)""", ("dem", "counts"))
+    FROM ({FOOTPRINT}) JOIN (SELECT run_id, sum(pop) AS t FROM ({_POP}) GROUP BY run_id) USING (run_id)""", ("dem", "counts"))
 def _(s, d):
     c = resample.conservation(view(s, d, "counts"), _people(s, d), _to_target, _sizes(s, d))
     return c.select("run_id", F.round("source_total", 4).alias("source_total"), F.round("raw_total", 4).alias("raw_total"),

@@ -51,10 +51,31 @@ def feature_rows(df: DataFrame, geometry, *properties: str) -> DataFrame:
         geometry.alias("geometry")), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def isochrone_features(features: DataFrame, label) -> DataFrame:
+    """One line per ring or part of a ring, with its band, label, area and place in the ring."""
+    inner = F.struct(F.lit("LineString").alias("type"), F.col("points").alias("coordinates"))
+    outer = F.struct(F.lit("Polygon").alias("type"), F.array("points").alias("coordinates"))
+    rows = features.withColumn("band", F.col("cls")).withColumn("label", label)
+    names = ("band", "label", "km2", "hole", "ring", "part")
+    whole, cut_up = (feature_rows(rows.where(F.col("kind") == k), g, *names) for k, g in (("Polygon", outer), ("LineString", inner)))
+    return whole.unionByName(cut_up)
+
+
 def point_geometry(x, y):
     return F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates"))
 
 
+def attribute_rows(df: DataFrame, names: tuple[str, ...] = ("name",)) -> DataFrame:
+    """Rows for the one file format with limits: field names up to 10 characters, texts up to 254, names up to 60.
+
+    A longer field name is refused; texts are cut here and nowhere else.
+    """
+    if long := [c for c in df.columns if len(c) > fixed.FIELD_NAME_LIMIT]:
+        raise ValueError(f"field names over {fixed.FIELD_NAME_LIMIT} characters: {', '.join(long)}")
+    limit = {c: fixed.NAME_LIMIT if c in names else fixed.TEXT_LIMIT for c in df.columns}
+    return df.select(*[F.left(c, F.lit(limit[c])).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+
 def metadata_document(summary: DataFrame, schema_version: int = 1) -> DataFrame:
     """Strict JSON per run with the honesty block at the top level."""
     return summary.select("run_id", F.to_json(F.struct(
@@ -106,14 +127,13 @@ def hashed(files: DataFrame) -> DataFrame:
 
 
 def export_all(sinks: dict, spark, log_path: str) -> DataFrame:
-    """Run independent sinks; one that fails is recorded and the others still run."""
+    """Run independent sinks, which return the rows they wrote; one that fails is recorded and the others still run."""
     rows = []
     for name, write in sinks.items():
         try:
-            write()
-            rows.append((name, True, None))
+            rows.append((name, True, write(), None))
         except Exception as err:  # noqa: BLE001 - the record of the failure is the result
-            rows.append((name, False, f"{type(err).__name__}: {err}"))
-    log = spark.createDataFrame(rows, "stage string, ok boolean, error string")
+            rows.append((name, False, None, f"{type(err).__name__}: {err}"))
+    log = spark.createDataFrame(rows, "stage string, ok boolean, rows long, error string")
     log.coalesce(1).write.mode("append").parquet(f"{log_path}/{uuid.uuid4().hex}")
     return log

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import brute
 from floodspark import grid
 from floodspark.functions import geodesy, hydraulics
-from floodspark.operators import quantiles, resample, series, terrain, vectors
+from floodspark.operators import masks, quantiles, resample, series, terrain, vectors
 from floodspark.sources import rasters
 from test_hydrology import array, pitted, table
 
@@ -179,7 +179,7 @@ def test_ritter_is_the_dry_limit_of_stoker(spark):
 def test_front_speed_of_a_plane_wave(spark):
     rr, cc = np.indices((6, 9))
     df = table(spark, np.zeros((6, 9)), arrival_s=cc * 30.0)
-    got = terrain.front_speed(df, 90.0).toPandas()
+    got = terrain.front_speed(df, grid.grid_sizes(df), 90.0).toPandas()
     assert np.allclose(got["front_speed"], 3.0)
 
 
@@ -192,3 +192,65 @@ def test_lowest_parabola_with_ties():
         got = terrain._lowest(off * off, at, 100 + off, n)
         want = [min(range(len(at)), key=lambda k: (off[k] ** 2 + (c - at[k]) ** 2, 100 + off[k], k)) for c in range(n)]
         assert got.tolist() == want
+
+
+def test_absent_cells_are_dry_and_widths_are_distances(spark):
+    rng = np.random.default_rng(11)
+    wet = rng.random((14, 17)) < 0.8
+    wet[4:11, 5:13] = True
+    rows = [(0, int(r), int(c), float(r + c)) for r, c in np.argwhere(wet)]
+    df = spark.createDataFrame(rows, "run_id int, r int, c int, max_depth double")
+    sizes = spark.createDataFrame([(0, 14, 17)], "run_id int, ny int, nx int")
+    dry = np.argwhere(~wet)
+    near = {(r, c): min(((r - a) ** 2 + (c - b) ** 2) ** 0.5 for a, b in dry) for r, c in np.argwhere(wet)}
+    got = {(x.r, x.c): x.half_width for x in terrain.half_widths(df, sizes).collect()}
+    assert got == pytest.approx(near)
+    conf = {(x.r, x.c): x.confined for x in terrain.confined(df, sizes).collect()}
+    assert conf == {k: d < 1.5 for k, d in near.items()}
+    bins = {x.half_width: (x.cells, x.peak, x.median) for x in terrain.width_bins(df, sizes, 10.0).collect()}
+    for w, (n, peak, median) in bins.items():
+        depths = [r + c for (r, c), d in near.items() if d >= w]
+        assert (n, peak, median) == (len(depths), max(depths), np.median(depths))
+    whole = spark.createDataFrame([(1, r, c, 1.0) for r in range(3) for c in range(3)], df.schema)
+    none = terrain.half_widths(whole, spark.createDataFrame([(1, 3, 3)], "run_id int, ny int, nx int")).collect()
+    assert len(none) == 9 and all(x.half_width is None for x in none)
+
+
+def test_front_speed_at_the_end_of_the_data_is_unknown(spark):
+    df = spark.createDataFrame([(0, 0, c, 30.0 * c) for c in range(4)] + [(0, r, 0, 0.0) for r in range(1, 4)],
+                               "run_id int, r int, c int, arrival_s double")
+    sizes = spark.createDataFrame([(0, 4, 9)], "run_id int, ny int, nx int")
+    got = {(x.r, x.c): x.front_speed for x in terrain.front_speed(df, sizes, 90.0).collect()}
+    assert got[0, 0] == 3.0 and got[0, 3] is None and got[3, 0] is None
+
+
+def test_steps_to_seeds_need_no_full_grid(spark):
+    rng = np.random.default_rng(12)
+    here = {(int(r), int(c)) for r, c in rng.integers(0, 30, (200, 2))}
+    seeds = {(int(r), int(c)) for r, c in rng.integers(-3, 33, (6, 2))}
+    make = lambda s: spark.createDataFrame([(0, r, c) for r, c in s], "run_id int, r int, c int")
+    for radius in (1, 4, 40):
+        got = {(x.r, x.c): x.l1 for x in masks.near_l1(make(here), make(seeds), radius).collect()}
+        near = {(r, c): min(abs(r - a) + abs(c - b) for a, b in seeds) for r, c in here}
+        assert got == {k: v for k, v in near.items() if v <= radius}
+    solid = {(r, c) for r in range(12) for c in range(15) if (r, c) not in ((5, 5), (8, 12))}
+    for radius in (1, 3):
+        kept = {(x.r, x.c) for x in masks.erode(make(solid), radius).collect()}
+        ball = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if abs(a) + abs(b) <= radius]
+        assert kept == {(r, c) for r, c in solid if all((r + a, c + b) in solid for a, b in ball)}
+
+
+def test_long_rings_are_cut_into_joined_parts(spark):
+    m = [(r, c) for r in range(9) for c in range(9) if (r + c) % 2 == 0 or r == 4]
+    df = spark.createDataFrame([(0, r, c, 1) for r, c in m], "run_id int, r int, c int, cls int")
+    rings = vectors.traced_rings(df).cache()
+    t = [1.0, 0.0, 0.0, 0.0, -1.0, 9.0]
+    whole = {x.ring: x for x in vectors.ring_features(rings, t, 1.0).collect()}
+    parts = vectors.ring_features(rings, t, 1.0, per=5).orderBy("ring", "part").collect()
+    assert all(x.kind == "Polygon" and x.points[0] == x.points[-1] for x in whole.values())
+    assert sum(-x.km2 if x.hole else x.km2 for x in whole.values()) == len(m)
+    for ring, x in whole.items():
+        mine = [p for p in parts if p.ring == ring]
+        line = mine[0].points + [q for p in mine[1:] for q in p.points[1:]]
+        assert line == x.points and all(a.points[-1] == b.points[0] for a, b in zip(mine, mine[1:]))
+    assert any(x.kind == "LineString" for x in parts)
