@@ -1,8 +1,8 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Windows of a document as long as an item, lined up with a five-word shingle the two share (a window that
-shares none can't be similar), get a SimHash.  A multi-index over blocks of the fingerprint finds every
-item of that length within the radius; the weighted overlap of the shingles then decides.
+Every window of a document as long as an item that could be similar to it, by the count of shingles they share, gets a
+SimHash.  A multi-index over blocks of the fingerprint finds every item of that length within the radius; the weighted
+overlap of the shingles then decides.
 """
 
 from __future__ import annotations
@@ -61,52 +61,88 @@ def items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") ->
     return rows.select("item_id", "n", "h", F.expr(weighted("h")).alias("y"), F.expr(simhash("h")).alias("fp"))
 
 
-def windows(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, body (hash of the text), start, size, h``: item-sized windows lined up with a shared shingle.
+def windows(docs: DataFrame, bench: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, body (hash of the text), start, size, h``: item-sized windows that hold enough of an item's shingles.
 
-    A window that would stick out is moved inside; a shorter document is one window.
+    A window and an item that overlap by ``similar`` share at least that part of ``(1 + similar)`` of their shingles
+    together; every start at which a window has so many of an item's is listed.  A shorter document is one window.
+    Items of fewer than ``SHINGLE`` words are looked for word by word: a window is one shingle then.  Only places of
+    shared shingles are gathered; texts are read again where there are any.
     """
-    at = cut(bench.select(F.col("n").alias("size"), F.posexplode("h").alias("off", "hash"))
-             .groupBy("hash", "size", "off").agg(F.lit(True).alias("seen")).drop("seen"), "shingles")
-    known = bounded(at, at.count())
     body = whole(text)
-    rows = shingled(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("body"), words(body).alias("t")))
-    # The arrays of a row stay where they are while its shingles are looked up one by one.  The outer form keeps
-    # the optimiser from testing the array's size below, which would compute the words anew for each shingle.
-    hits = rows.select("doc_id", "body", "n", "h", F.posexplode_outer("h").alias("p", "hash")).join(known, "hash")
-    start = F.greatest(F.least(F.col("p") - F.col("off"), F.col("n") - F.col("size")), F.lit(0))
-    return (hits.select("doc_id", "body", start.alias("start"), "size",
-                        F.slice("h", start + 1, F.greatest(F.col("size") - SHINGLE + 1, F.lit(1))).alias("h")).distinct())
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("body"), words(body).alias("t"))
+    small = [r["n"] for r in bench.where(F.col("n") < SHINGLE).select("n").distinct().collect()]  # at most four sizes
+    parts, found = [], []
+    for k in [*small, SHINGLE]:
+        mine = bench.where(F.col("n") == k if k < SHINGLE else F.col("n") >= SHINGLE)
+        at = cut(mine.select("item_id", F.col("n").alias("size"), F.explode("h").alias("hash")).distinct(), "shingles")
+        known = bounded(at, at.count())
+        # The outer form keeps the optimiser from testing the array's size, which would compute the words anew.
+        each = shingled(texts, k).select("doc_id", "body", "n", F.posexplode_outer("h").alias("p", "hash"))
+        parts.append(each.join(known, "hash").drop("hash").withColumn("k", F.lit(k)))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
+    per = hits.groupBy("doc_id", "body", "item_id", "n", "size", "k").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    per = per.withColumn("all_", F.col("size") - F.col("k") + 1).withColumn(
+        "here", F.least("all_", F.col("n") - F.col("k") + 1))
+    least = F.ceil(F.lit(similar) * (F.col("all_") + F.col("here")) / (1 + similar) - 1e-9).cast("int")
+    per = per.withColumn("m", F.greatest(least, F.lit(1))).where((F.size("ps") >= F.col("m")) & (F.col("here") > 0))
+    starts = F.expr("""flatten(transform(
+        filter(sequence(0, size(ps) - m), i -> get(ps, i + m - 1) - get(ps, i) < here),
+        i -> sequence(greatest(get(ps, i + m - 1) - here + 1, 0), least(get(ps, i), greatest(n - size, 0)))))""")
+    places = cut(per.select("doc_id", "body", "size", "k", F.explode(starts).alias("start")).distinct(), "places")
+    n = places.count()
+    lists = places.groupBy(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), "k").agg(
+        F.collect_list(F.struct("start", "size")).alias("at"))  # of one document
+    for k in [*small, SHINGLE]:
+        wanted = bounded(lists.where(F.col("k") == k), n)
+        here = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body") == F.col("_b"))).drop("_d", "_b", "k")
+        cut_out = shingled(here, k).select("doc_id", "body", "h", F.explode("at").alias("at"))
+        found.append(cut_out.select("doc_id", "body", "at.start", "at.size", F.slice(
+            "h", F.col("at.start") + 1, F.greatest(F.col("at.size") - k + 1, F.lit(1))).alias("h")))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id",
                  text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, body, item_id, start, n_words, similarity``: each item a document holds, at its best window.
 
-    Similarity is the overlap of the five-word shingles weighted by their counts; ties go to the first
-    window.  Null and blank texts hold nothing and are held by nothing; repeated rows give one result;
-    documents without an item have no row; either table may be empty.
+    Similarity is the overlap of the five-word shingles weighted by their counts (of all words, for items of fewer); all
+    windows as long as the item count, ties go to the first.  Null and blank texts hold nothing and are held by nothing;
+    repeated rows give one result; documents without an item have no row; either table may be empty.
     """
     bench = cut(items(benchmark, item_id, item_text), "items")
-    found = windows(docs, bench, doc_id, text)
+    known = bench.count()
+    found = windows(docs, bench, similar, doc_id, text)
     found = cut(found.select("doc_id", "body", "start", "size", F.expr(simhash("h")).alias("fp"),
                              F.expr(weighted("h")).alias("y")), "windows")
     flips = [sum(1 << b for b in bits) for r in range(REACH + 1) for bits in combinations(range(WIDTH), r)]
     near = F.explode(F.array(*[F.lit(x) for x in flips]))
-    probes = bench.select("item_id", F.col("n").alias("size"), F.col("fp").alias("item_fp"), F.col("y").alias("item_y"),
+    probes = bench.select("item_id", F.col("n").alias("size"), F.col("fp").alias("item_fp"),
                           F.posexplode(F.array(*[block("fp", b) for b in range(BLOCKS)])).alias("block", "value"))
-    probes = probes.select("item_id", "size", "item_fp", "item_y", "block", "value", near.alias("flip")).withColumn(
+    probes = probes.select("item_id", "size", "item_fp", "block", "value", near.alias("flip")).withColumn(
         "value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
-    probes = bounded(probes, bench.count() * BLOCKS * len(flips), BROADCAST_ROWS // 8)
+    probes = bounded(probes, known * BLOCKS * len(flips))
+    # fingerprints meet without the shingles, which are fetched for the pairs that remain
     blocks = F.posexplode(F.array(*[block("fp", b) for b in range(BLOCKS)])).alias("block", "value")
-    met = found.select("doc_id", "body", "start", "size", "y", "fp", blocks).join(probes, ["size", "block", "value"])
+    key = ["doc_id", "body", "start", "size"]
+    met = found.select(*key, "fp", blocks).join(probes, ["size", "block", "value"])
     # the pair is kept at the first block that joins it, so nothing has to be made distinct
     first = F.lit(False)
     earlier = [F.bit_count(block("fp", b).bitwiseXOR(block("item_fp", b))) <= REACH for b in range(BLOCKS)]
     for b in reversed(range(BLOCKS)):
         first = F.when(earlier[b], F.col("block") == b).otherwise(first)
     met = met.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & first)
-    scored = met.withColumn("shared", F.size(F.array_intersect("y", "item_y"))).withColumn(
+    met = met.select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), F.col("start").alias("_s"), F.col("size").alias("_n"), "item_id")
+    same = (F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body") == F.col("_b")) & (F.col("start") == F.col("_s"))
+            & (F.col("size") == F.col("_n")))
+    theirs = bounded(bench.select(F.col("item_id").alias("_i"), F.col("y").alias("item_y")), known, BROADCAST_ROWS // 100)
+    pairs = met.join(found.select(*key, "y"), same).join(theirs, F.col("item_id").eqNullSafe(F.col("_i")))
+    scored = pairs.withColumn("shared", F.size(F.array_intersect("y", "item_y"))).withColumn(
         "similarity", F.col("shared") / (F.size("y") + F.size("item_y") - F.col("shared")))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("at"))).alias("best")
     out = (scored.where(F.col("similarity") >= similar)

@@ -79,39 +79,31 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
        coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per USING (rid)"""
 
+# every window that shares a shingle with an item of its length
 SQL["op6_benchmark_decontamination"] = r"""
-WITH dw AS (
+WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x20\x09-\x0D]+') AS w FROM documents),
-d AS (
-  SELECT rid, doc_id, len(w) AS n,
-         CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: list_slice(w, i, i + 4)) END AS h
-  FROM dw),
 bw AS (
   SELECT item_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x20\x09-\x0D]+') AS w FROM benchmark),
-b AS (
-  SELECT item_id, len(w) AS size, list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: list_slice(w, i, i + 4)) AS h
-  FROM bw WHERE len(w) > 0),
-ds AS (SELECT rid, n, unnest(h) AS s, unnest(range(len(h))) AS p FROM d),
-bs AS (SELECT DISTINCT size, unnest(h) AS s, unnest(range(len(h))) AS o FROM b),
-win AS (SELECT DISTINCT rid, greatest(least(p - o, n - size), 0) AS start, size FROM ds JOIN bs USING (s)),
-wh AS (SELECT win.rid, d.doc_id, start, size, list_slice(h, start + 1, start + greatest(size - 4, 1)) AS h FROM win JOIN d USING (rid)),
-ws AS (SELECT rid, start, size, s, count(*) AS c FROM (SELECT rid, start, size, unnest(h) AS s FROM wh) GROUP BY ALL),
-it AS (SELECT item_id, size, s, count(*) AS c FROM (SELECT item_id, size, unnest(h) AS s FROM b) GROUP BY ALL),
-sh AS (
-  SELECT rid, start, ws.size, item_id, sum(least(ws.c, it.c)) AS shared
-  FROM ws JOIN it ON ws.s = it.s AND ws.size = it.size GROUP BY ALL),
-sim AS (
-  SELECT wh.doc_id, sh.rid, item_id, sh.start, sh.size, shared / (len(wh.h) + len(b.h) - shared) AS similarity
-  FROM sh JOIN wh USING (rid, start, size) JOIN b USING (item_id))
+b AS (SELECT item_id, w, len(w) AS size, least(len(w), 5) AS k, len(w) - least(len(w), 5) + 1 AS m FROM bw WHERE len(w) > 0),
+bs AS (SELECT item_id, size, k, m, list_slice(w, i, i + k - 1) AS s FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM b)),
+ds AS (SELECT rid, n, k, p, list_slice(w, p + 1, p + k) AS s FROM (
+         SELECT rid, len(w) AS n, w, k, unnest(range(len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM b) WHERE len(w) >= k)),
+hits AS (SELECT rid, item_id, n, size, k, m, p, s FROM ds JOIN (SELECT DISTINCT item_id, size, k, m, s FROM bs) USING (k, s)),
+wins AS (SELECT DISTINCT rid, item_id, n, size, k, m, unnest(range(greatest(p - m + 1, 0), least(p, greatest(n - size, 0)) + 1)) AS start FROM hits),
+ws AS (SELECT w.rid, w.item_id, w.start, w.n, w.size, w.k, w.m, h.s, count(*) AS c FROM wins w JOIN hits h
+       ON h.rid = w.rid AND h.item_id = w.item_id AND h.p >= w.start AND h.p < w.start + w.m GROUP BY ALL),
+it AS (SELECT item_id, s, count(*) AS c FROM bs GROUP BY ALL),
+sh AS (SELECT rid, ws.item_id, start, n, size, k, m, sum(least(ws.c, it.c)) AS shared FROM ws JOIN it USING (item_id, s) GROUP BY ALL),
+sim AS (SELECT *, shared / (m + least(m, n - k + 1) - shared) AS similarity FROM sh)
 SELECT doc_id, item_id, start::BIGINT AS start, size::BIGINT AS n_words, round(similarity, 9) AS similarity
-FROM sim WHERE similarity >= 0.8
+FROM sim JOIN d USING (rid) WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY rid, item_id ORDER BY similarity DESC, start) = 1"""
 
-
 SQL["op12_fill_in_middle"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id::VARCHAR) AS x FROM documents),
 h AS (

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from floodspark.llm import components, decontam, fmindex, simhash, substrings
+from floodspark.llm import common, components, decontam, fmindex, simhash, substrings
 from pyspark.sql import functions as F
 from llm_rows import awkward, prose, table, words
 
@@ -92,11 +92,17 @@ def plain_shingles(w):
     return Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
-def test_contamination(spark):
+def grams(w, size):
+    return Counter(tuple(w[p:p + size]) for p in range(len(w) - size + 1))
+
+
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_contamination(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(common.bounded, "__defaults__", (broadcast,))
     rng = random.Random(8)
     items = [(k, prose(rng, rng.randrange(20, 45), 5000)) for k in range(12)] + [(12, "too short"), (13, None), (14, ""), (None, prose(rng, 30, 5000))]
-    items += [(15, "la la la la la la la la la la")]
-    rows = awkward()
+    items += [(15, "la la la la la la la la la la"), (16, "w1 w2 w3"), (17, "solitary")]
+    rows = awkward() + [(900, prose(rng, 50) + " w1 W2 w3 " + prose(rng, 50)), (901, "w1 w2 w3"), (902, "w1 w2"), (903, prose(rng, 9) + " Solitary x")]
     for k, (_, t) in enumerate(items):
         w = (t or "").split()
         for edits in range(4):
@@ -105,30 +111,29 @@ def test_contamination(spark):
                 if len(copy) > 3:
                     at = rng.randrange(len(copy))
                     copy[at:at + 1] = rng.choice(([], ["new"], ["other", "words"]))
+            # both ends changed and words inserted in the middle: the best window lies between the places that line up
+            if len(w) > 16:
+                half = len(w) // 2
+                moved = ["first", *w[1:half], *["in"] * edits, *w[half:-1], "last"]
+                rows.append((3000 + 10 * k + edits, f"{prose(rng, 12)} {' '.join(moved)} {prose(rng, 12)}"))
             rows.append((1000 + 10 * k + edits, f"{prose(rng, 30)} {' '.join(copy).upper()} {prose(rng, 20)}"))
             rows.append((2000 + 10 * k + edits, " ".join(copy)))
     low = lambda t: [x.translate(str.maketrans(decontam.CAPITALS, decontam.SMALL)) for x in words(t)]
     want = {}
     for i, t in rows:
         w = low(t)
-        where = {}
-        for p in range(max(1, len(w) - 4) if w else 0):
-            where.setdefault(tuple(w[p:p + 5]), []).append(p)
-        starts = {}
-        for _, b in items:
-            v = low(b)
-            for o, s in enumerate([tuple(v[p:p + 5]) for p in range(max(1, len(v) - 4) if v else 0)]):
-                starts.setdefault(len(v), set()).update(max(min(p - o, len(w) - len(v)), 0) for p in where.get(s, ()))
         for k, b in items:
             v = low(b)
             best = None
-            for at in sorted(starts.get(len(v), ())):
-                x, y = plain_shingles(w[at:at + len(v)]), plain_shingles(v)
+            for at in range(max(1, len(w) - len(v) + 1) if v else 0):  # every window
+                size = min(5, len(v))
+                x, y = grams(w[at:at + len(v)], size), grams(v, size)
                 similar = sum((x & y).values()) / sum((x | y).values())
                 if similar >= 0.8 and (best is None or similar > best[1]):
                     best = (at, similar)
             if best:
                 want[i, t, k] = (best[0], len(v), round(best[1], 9))
+    assert any(len(low(b)) in (1, 3) and k in {x[2] for x in want} for k, b in items)
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontam.contaminated(table(spark, rows), bench).collect()
     got = Counter((r["doc_id"], r["item_id"], r["start"], r["n_words"], round(r["similarity"], 9)) for r in found)
