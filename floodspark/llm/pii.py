@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodspark.llm.common import whole
-from floodspark.llm.spans import located, matches, tagged, written
+from floodspark.llm.spans import below, blocks, cut_out, located, matches, tagged, written
 from floodspark.session import cut
 
 # A run that can't begin a match at its start can't begin one inside, so a search may start at run starts (or
@@ -63,14 +63,25 @@ def _valid(kind: str, of: str = "s.match") -> str:
             "card": f"IF({n} BETWEEN 16 AND 19, {luhn(of)}, false)", "phone": f"{n} BETWEEN 8 AND 15"}[kind]
 
 
+def _before() -> str:
+    """SQL: the characters before the span ``s``."""
+    return cut_out("parts", f"greatest(s.start - {AROUND}, 0)", f"least(s.start, {AROUND})")
+
+
+def _key(span: str) -> str:
+    return f"(CAST({span}.start AS BIGINT) * 2147483648 + {span}.end)"
+
+
 def _candidates() -> Column:
     """Every candidate of a row with its votes (1, -1, 0 for none) and features."""
     given = "array(" + ", ".join(f"'{g}'" for g in GIVEN) + ")"
     parts = []
     for k, kind in enumerate(KINDS):
         digits = f"length({_digits('s.match')})"
-        left = f"lower(substring(t, greatest(s.start - {AROUND}, 0) + 1, least(s.start, {AROUND})))"
-        near = f"exists(base, b -> b.end >= s.start - {2 * AROUND} AND b.start <= s.end + {2 * AROUND} AND NOT (b.start = s.start AND b.end = s.end))"
+        left = f"lower({_before()})"
+        # those that begin before the far end of the surroundings less those that end before the near end, less the span itself
+        near = (f"{below('starts', f's.end + {2 * AROUND}', True)} - {below('ends', f's.start - {2 * AROUND}')}"
+                f" - ({below('keys', _key('s'), True)} - {below('keys', _key('s'))}) > 0")
         shape = {
             "email": r"s.match rlike r'^[A-Za-z0-9._%+-]{2,}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$'",
             "ip": "true", "card": f"{digits} = 16", "phone": r"s.match rlike r'^\+[0-9]{1,3}[\x20.-]?\(?[0-9]'",
@@ -102,13 +113,16 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     for kind in BASE:
         rows = rows.withColumn(kind, F.expr(f"filter({kind}, s -> {_valid(kind)})"))
     rows = rows.withColumn("base", F.concat(*[tagged(k, n) for n, k in enumerate(BASE)]))
-    for kind in KINDS[len(BASE):]:
+    rows = rows.select("*", F.expr("array_sort(transform(base, b -> b.start))").alias("starts"),
+                       F.expr("array_sort(transform(base, b -> b.end))").alias("ends"),
+                       F.expr(f"array_sort(transform(base, b -> {_key('b')}))").alias("keys"), blocks("t").alias("parts"))
+    for kind in KINDS[len(BASE):]:  # spans that no base span overlaps
         rows = rows.withColumn(kind, F.expr(
-            f"filter({kind}, s -> NOT exists(base, b -> b.start < s.end AND s.start < b.end))"))
+            f"filter({kind}, s -> {below('starts', 's.end')} - {below('ends', 's.start', True)} = 0)"))
     # two capitalised words are a name only with a known given name or a cue before them
-    given = F.array(*[F.lit(g) for g in GIVEN])
-    rows = rows.withColumn("name", F.filter("name", lambda s: F.array_contains(given, F.split(s["match"], " ")[0]) | F.lower(
-        F.substring("t", F.greatest(s["start"] - AROUND, F.lit(0)) + 1, F.least(s["start"], F.lit(AROUND)))).rlike(CUES)))
+    given = "array(" + ", ".join(f"'{g}'" for g in GIVEN) + ")"
+    rows = rows.withColumn("name", F.expr(
+        f"filter(name, s -> array_contains({given}, split(s.match, ' ')[0]) OR lower({_before()}) rlike r'{CUES}')"))
     return rows.select("doc_id", "base", _candidates().alias("candidates"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodspark.llm.common import whole
-from floodspark.llm.spans import located, matches, tagged, written
+from floodspark.llm.spans import BLOCK, below, cut_out, located, matches, running, tagged, written
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)"""
 #: A shorter match of these two can't be part of a longer one, so the least length may stand in the pattern.
@@ -74,11 +74,15 @@ def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text",
     rows = rows.withColumn("assign", F.filter("assign", lambda s: value(s) >= VALUE_CHARS))
     base = F.concat(*[tagged(k, n) for n, k in enumerate(KINDS[:3])])
     rows = rows.withColumn("base", base)
-    inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    # a base span that holds another one begins no later and, of those that do, one ends no earlier
+    rows = rows.withColumn("starts", F.expr("transform(array_sort(base), b -> b.start)")).withColumn(
+        "reach", F.expr(running("transform(array_sort(base), b -> b.end)", "greatest(x, y)")))
+    # named twice, so that the optimiser computes it once and not for every run
+    inside = f"size(reach) > 0 AND coalesce(get(reach, {below('starts', 's.start', True)} - 1) >= s.end, false)"
     allowed = lambda s: F.array_contains(F.array(*[s["match"].rlike(p) for p in ALLOWED]), True)
     for c in CLASSES:
         rows = rows.withColumn(c.name, F.transform(
-            F.filter(c.name, lambda s: ~allowed(s) & ~inside(s)),
+            F.filter(F.expr(f"filter({c.name}, s -> NOT ({inside}))"), lambda s: ~allowed(s)),
             lambda s: F.struct(s["start"].alias("start"), F.regexp_extract_all(s["match"], F.lit("(?s)."), F.lit(0)).alias("chars"))))
         ranges = F.expr(f"transform({c.name}, r -> named_struct('at', r.start, 'range', "
                         f"{entropy_range('r.chars', c.window, c.bits)}))")
@@ -92,13 +96,20 @@ def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text",
 
 
 def mask(text: str, spans: str, by: str = "[SECRET]") -> Column:
-    """``text`` with the union of its sorted spans replaced; overlapping spans become one."""
+    """``text`` with the union of its sorted spans replaced; overlapping spans become one.
+
+    A span that begins at or after all earlier ends opens a stretch; the stretch ends where the next one opens, at the
+    furthest end so far.  What lies between the stretches is cut out of blocks and joined once.
+    """
+    reach = running(f"transform({spans}, s -> s.end)", "greatest(x, y)")
     return F.expr(f"""
-      IF(size({spans}) = 0, {text}, aggregate({spans}, named_struct('at', 0, 'out', ''), (acc, s) ->
-        IF(s.start >= acc.at,
-           named_struct('at', s.end, 'out', concat(acc.out, substring({text}, acc.at + 1, s.start - acc.at), '{by}')),
-           named_struct('at', greatest(acc.at, s.end), 'out', acc.out)),
-        acc -> concat(acc.out, substring({text}, acc.at + 1))))""")
+      IF(size({spans}) = 0, {text}, transform(array(named_struct('reach', {reach}, 'parts', regexp_extract_all({text}, '(?s).{{1,{BLOCK}}}', 0))), g ->
+        transform(array(filter(sequence(0, size({spans}) - 1), i -> i = 0 OR get({spans}, i).start >= get(g.reach, i - 1))), opens ->
+          concat(
+            array_join(transform(opens, (i, k) -> concat(
+              IF(k = 0, {cut_out('g.parts', '0', f'get({spans}, 0).start')},
+                 {cut_out('g.parts', 'get(g.reach, i - 1)', f'(get({spans}, i).start - get(g.reach, i - 1))')}), '{by}')), ''),
+            {cut_out('g.parts', f'get(g.reach, size({spans}) - 1)', f'(length({text}) - get(g.reach, size({spans}) - 1))')}))[0])[0])""")
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", by: str = "[SECRET]") -> DataFrame:

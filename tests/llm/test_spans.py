@@ -115,3 +115,42 @@ def test_classifier_adds_numbers_that_look_like_the_certain_ones(spark):
 def test_empty_tables(spark):
     none = table(spark, [])
     assert secrets.scan(none).count() == 0 and pii.find(none).count() == 0 and secrets.redact(none).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """Positions, containment and masking stay right, and quick, with tens of thousands of matches in a text."""
+    rng = random.Random(9)
+    parts = []
+    for i in range(20_000):
+        parts.append(rng.choice((f"{rng.getrandbits(128):032x}", f"token={rng.getrandbits(64):016x}", "é word", f"a{i}@b.org", "10.0.0.7", "\U0001F600")))
+    text = " ".join(parts)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for found, digest, patterns, by_start in (
+            (secrets.scan(df), secrets.base_digest(), SECRETS, True), (pii.find(df), pii.base_digest(), PERSONAL, False)):
+        got = found.select(digest.alias("d")).first()["d"]
+        assert got == hashlib.sha256(",".join(expected(text, patterns, by_start)).encode()).hexdigest()
+    spans_ = [(s["start"], s["end"]) for s in secrets.scan(df).first()["spans"]]
+    want, at = [], 0
+    for a, b in spans_:
+        if a >= at:
+            want += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    assert secrets.redact(df).first()["text"] == "".join(want) + text[at:]
+    assert len(spans_) > 5000
+
+
+def test_running_results_and_places(spark):
+    rng = random.Random(10)
+    rows = [(k, [rng.randrange(50) for _ in range(n)]) for k, n in enumerate((0, 1, 2, 3, 7, 8, 9, 64, 65))]
+    df = spark.createDataFrame(rows, "k int, v array<int>").select(
+        "k", "v", F.expr(spans.running("v")).alias("sums"), F.expr(spans.running("v", "greatest(x, y)")).alias("top"),
+        F.expr(f"transform(sequence(-1, 51), q -> {spans.below('array_sort(v)', 'q')})").alias("under"),
+        F.expr(f"transform(sequence(-1, 51), q -> {spans.below('array_sort(v)', 'q', True)})").alias("upto"))
+    for r in df.collect():
+        v = r["v"]
+        assert r["sums"] == [sum(v[:i + 1]) for i in range(len(v))] and r["top"] == [max(v[:i + 1]) for i in range(len(v))]
+        assert r["under"] == [sum(x < q for x in v) for q in range(-1, 52)] and r["upto"] == [sum(x <= q for x in v) for q in range(-1, 52)]
+    text = "".join(rng.choice("ab\U0001F600é\n") for _ in range(3 * spans.BLOCK + 17))
+    cut = spark.createDataFrame([(text,)], "t string").withColumn("parts", spans.blocks("t"))
+    for a, n in ((0, 5), (0, 0), (spans.BLOCK - 2, 4), (spans.BLOCK, 1), (5, 2 * spans.BLOCK), (3 * spans.BLOCK + 10, 7), (len(text), 0)):
+        assert cut.select(F.expr(spans.cut_out("parts", str(a), str(n)))).first()[0] == text[a:a + n]
