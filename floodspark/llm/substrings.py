@@ -116,45 +116,62 @@ def segments(words: np.ndarray, edges: np.ndarray, window: int = WINDOW) -> tupl
     return text[fresh], least[start], content, nth[fresh], many, start
 
 
-def _cut_up(window: int, with_words: bool):
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """A batch in parts of ``CHUNK`` bytes of text, with the hashes of their words and where each text's begin."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + CHUNK, side="right")))
+        part = batch.slice(at, to - at)
+        offsets = np.concatenate([[0], sizes[at:to] - before])
+        at = to
+        texts = pa.concat_arrays([part.column(column)]).cast(pa.large_binary())
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        data = data[np.frombuffer(texts.buffers()[1], np.int64)[texts.offset]:][:offsets[-1]]
+        yield part, *word_hashes(data, offsets)
+
+
+def _cut_up(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
-            sizes = np.cumsum(pc.binary_length(whole_batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
-            at = 0
-            while at < whole_batch.num_rows:
-                before = sizes[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(sizes, before + CHUNK, side="right")))
-                batch = whole_batch.slice(at, to - at)
-                offsets = np.concatenate([[0], sizes[at:to] - before])
-                at = to
-                texts = pa.concat_arrays([batch.column(2)]).cast(pa.large_binary())
-                data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-                data = data[np.frombuffer(texts.buffers()[1], np.int64)[texts.offset]:][:offsets[-1]]
-                words, edges = word_hashes(data, offsets)
-                text, least, content, first, count, start = segments(words, edges, window)
+            for batch, words, edges in _pieces(whole_batch, 2):
+                text, least, content, first, count, _ = segments(words, edges, window)
                 row = pa.array(text)
-                arrays = [batch.column(0).take(row), batch.column(1).take(row), pa.array(least.view(np.int64)),
-                          pa.array(content.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))]
-                names = ["doc_id", "body", "least", "content", "first", "windows"]
-                if with_words:
-                    lengths = count + window - 1
-                    inner = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                    flat = words.astype(np.uint32).view(np.int32)[np.repeat(start, lengths) + inner]
-                    arrays.append(pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat)))
-                    names.append("words")
-                out = pa.RecordBatch.from_arrays(arrays, names=names)
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(least.view(np.int64)),
+                     pa.array(content.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))],
+                    names=["doc_id", "body", "least", "content", "first", "windows"])
                 for part in range(0, out.num_rows, 10_000):
                     yield out.slice(part, 10_000)
     return run
 
 
-def document_segments(rows: DataFrame, window: int = WINDOW, with_words: bool = False) -> DataFrame:
-    """Segments of ``doc_id, body, t`` rows, with the hashes of their words (32 bits each) if asked for."""
+def document_segments(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Segments of ``doc_id, body, t`` rows."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = (f"doc_id {kind}, body long, least long, content long, first int, windows int"
-              + ", words array<int>" * with_words)
-    return rows.mapInArrow(_cut_up(window, with_words), schema)
+    return rows.mapInArrow(_cut_up(window), f"doc_id {kind}, body long, least long, content long, first int, windows int")
+
+
+def _standing(window: int):
+    """The words (32 bits of their hashes) of the segments that a text stands for, as its list says."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for batch, words, edges in _pieces(whole_batch, 0):
+                lists = pa.concat_arrays([batch.column(1)])
+                named = lists.flatten()
+                field = lambda name: named.field(named.type.get_field_index(name))  # noqa: E731, B023
+                text = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+                lengths = np.asarray(field("windows")).astype(np.int64) + window - 1
+                start = edges[:-1][text] + np.asarray(field("first"))
+                inner = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                flat = words.astype(np.uint32).view(np.int32)[np.repeat(start, lengths) + inner]
+                held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
+                names = ["least", "content", "times", "hot", "windows"]
+                out = pa.RecordBatch.from_arrays([*[field(n) for n in names], held], names=[*names, "words"])
+                for part in range(0, out.num_rows, 10_000):
+                    yield out.slice(part, 10_000)
+    return run
 
 
 def _indexed(window: int):
@@ -197,15 +214,16 @@ def repeated(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     wanted = bounded(live.select("least"), live.count())
     # one occurrence stands for all segments that are equal
     alike = cut(kept.join(wanted, "least", "left_semi").groupBy("least", "content").agg(
-        F.count("*").alias("times"), F.min(F.struct("body", "doc_id", "first")).alias("at")), "alike")
+        F.count("*").alias("times"), F.min(F.struct("body", "doc_id", "first")).alias("at"), F.max("windows").alias("windows")), "alike")
     hot = cut(alike.groupBy("least").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("least"), "hot")
     n_hot = hot.count()
     crowded = bounded(hot.withColumn("hot", F.lit(True)), n_hot)
-    picked = alike.join(crowded, "least", "left").select(
-        "least", "content", "times", "hot", F.col("at.body").alias("_b"), F.col("at.doc_id").alias("_d"), F.col("at.first").alias("_f"))
-    full = document_segments(rows, window, with_words=True).select("doc_id", "body", "first", "windows", "words")
-    here = (F.col("body") == F.col("_b")) & (F.col("first") == F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    shown = full.join(bounded(picked, alike.count()), here).select("least", "content", "times", "hot", "windows", "words")
+    # each text is told which segments it stands for; it moves once, whatever the size, and only their words go on
+    told = alike.join(crowded, "least", "left").groupBy(F.col("at.body").alias("_b"), F.col("at.doc_id").alias("_d")).agg(
+        F.collect_list(F.struct(F.col("at.first").alias("first"), "windows", "least", "content", "times", "hot")).alias("want"))
+    here = (F.col("body") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    shown = rows.join(told, here).select("t", "want").mapInArrow(
+        _standing(window), "least long, content long, times long, hot boolean, windows int, words array<int>")
     if not kept.where("first = 0").groupBy("doc_id", "body").count().where("count > 1").isEmpty():
         shown = shown.dropDuplicates(["least", "content"])  # the row that stands for a segment is itself repeated
     shown = cut(shown, "shown")
