@@ -2,8 +2,8 @@
 
 Word counts cover all training documents.  Training covers them too: in every round each task learns from its
 own documents, starting at the mean of the last round's models, and the round ends with their mean,
-weighted by tokens.  Words are looked up in a dictionary of fixed size; what is rarer meets its
-counts by a join.
+weighted by tokens.  Words are looked up in a dictionary of fixed size, once, and written as numbers, which
+training and scoring read; what is rarer meets its counts by a join.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ CHUNK = 1_000_000
 FLUSH = 300_000
 WIDTH = 256
 SMOOTH = 0.1
+#: Numbers of the words that the model tells apart, as written.
+NUMBER = np.dtype("<u2")
 
 
 @dataclass
@@ -115,14 +117,12 @@ def _learn(shared, hidden: int):
     """One task's share of a round: its weights after its documents, times its tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, starts, weights = shared.value
-        table = {w: i for i, w in enumerate(vocab.words[:vocab.known])}
         weights = {k: v.copy() for k, v in weights.items()}
         squares = {k: np.full_like(v, 1e-3) for k, v in weights.items()}
-        model, first, n, held, texts = gru.Model(weights, starts), table.get(END, -1), 0, 0, []
-        first = first if first >= 0 else vocab.known
+        model, first, n, held, texts = gru.Model(weights, starts), first_word(vocab), 0, 0, []
         for batch in batches:
-            for text in batch.column(0):
-                ids = _model_ids(numbers(table, tokens(text.as_py())), vocab.known)
+            for raw in batch.column(0):
+                ids = np.frombuffer(raw.as_buffer(), NUMBER).astype(np.int32)
                 texts.append(ids)
                 held += len(ids)
                 if held >= CHUNK:
@@ -153,7 +153,7 @@ def train(rows: DataFrame, vocab: Vocabulary, hidden: int = gru.HIDDEN, rounds:
     low = 0
     for high in rounds:
         shared = spark.sparkContext.broadcast((vocab, starts, weights))
-        texts = rows.where(~F.col("held_out") & (part >= low) & (part < high)).select("t")
+        texts = rows.where(~F.col("held_out") & (part >= low) & (part < high)).select("ids")
         learnt = texts.mapInArrow(_learn(shared, hidden), "name string, at int, x double, n long")
         sums = learnt.groupBy("name", "at").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         for name, own in sums.groupby("name"):
@@ -164,25 +164,26 @@ def train(rows: DataFrame, vocab: Vocabulary, hidden: int = gru.HIDDEN, rounds:
     return starts, weights
 
 
-def _score(shared, base: float, rest: float):
+def first_word(vocab: Vocabulary) -> int:
+    """What stands before a text: the number of the end."""
+    return vocab.words.index(END) if END in vocab.words[:vocab.known] else vocab.known
+
+
+def _numbered(shared, base: float, rest: float):
+    """Per text its words as numbers, and what of its two scores is known without the model."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, starts, weights = shared.value
+        vocab = shared.value
         table = {w: i for i, w in enumerate(vocab.words)}
         logs = np.append(np.log10(vocab.counts + SMOOTH), 0.0)
-        model = gru.Model(weights, starts)
-        first = table.get(END, -1)
-        first = first if 0 <= first < vocab.known else vocab.known
-        ids, out = [], []
+        out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            scores = model.score(ids, first) / math.log(10)
             columns = list(zip(*out))
-            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()),
-                      pa.array(np.array(columns[3]) + scores), pa.array(columns[4], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                      pa.array(columns[5], pa.bool_()), pa.array(columns[6], kind)]
-            ids.clear()
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.binary(), pa.bool_(), kind)
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            arrays[4] = arrays[4].cast(pa.list_(pa.string()))
             out.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["n_tokens", "n_known", "base", "score", "others", "held_out", "doc_id"])
+            return pa.RecordBatch.from_arrays(arrays, names=["n_tokens", "n_known", "base", "share", "others", "ids", "held_out", "doc_id"])
 
         held = 0
         for batch in batches:
@@ -194,12 +195,44 @@ def _score(shared, base: float, rest: float):
                 rare = (number < 0) | (number >= vocab.known)
                 known = logs[number]  # the last entry stands for words outside the dictionary
                 out.append((len(words), len(words) - len(others), float(known.sum()) - base * len(words),
-                            float(known[rare].sum()) - rest * int(rare.sum()), others, out_of, doc_id))
-                ids.append(_model_ids(number, vocab.known))
+                            float(known[rare].sum()) - rest * int(rare.sum()), others,
+                            _model_ids(number, vocab.known).astype(NUMBER).tobytes(), out_of, doc_id))
                 held += len(words)
                 if held >= CHUNK:
                     yield flush()
                     held = 0
+        if out:
+            yield flush()
+    return run
+
+
+def _score(shared):
+    """Per text the model's log10 probability of its words, beside the columns before ``ids``, the last one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, starts, weights = shared.value
+        model, first = gru.Model(weights, starts), first_word(vocab)
+        ids: list[np.ndarray] = []
+        parts: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            scores = pa.array(model.score(ids, first) / math.log(10))
+            ids.clear()
+            parts.clear()
+            return pa.RecordBatch.from_arrays([*table.columns, scores], names=[*table.schema.names, "model"])
+
+        held = at = 0
+        for batch in batches:
+            begin = 0
+            for at, raw in enumerate(batch.column(batch.num_columns - 1), 1):
+                ids.append(np.frombuffer(raw.as_buffer(), NUMBER).astype(np.int32))
+                held += len(ids[-1])
+                if held >= CHUNK:
+                    parts.append(batch.slice(begin, at - begin).drop_columns(["ids"]))
+                    yield flush()
+                    held, begin = 0, at
+            if begin < batch.num_rows:
+                parts.append(batch.slice(begin).drop_columns(["ids"]))
         if ids:
             yield flush()
     return run
@@ -218,22 +251,27 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hidden: i
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), whole(text).alias("t"))
     counts = cut(word_counts(rows), "counts")
     vocab = vocabulary(counts)
-    starts, weights = train(rows, vocab, hidden, rounds)
     base = math.log10(vocab.tokens + SMOOTH * (vocab.distinct + 1))
-    shared = spark.sparkContext.broadcast((vocab, starts, weights))
     kind = docs.schema[doc_id].dataType.simpleString()
-    scored = rows.select("doc_id", "held_out", "t").mapInArrow(
-        _score(shared, base, math.log10(vocab.rest)), "n_tokens long, n_known long, base double, score double, "
-        f"others array<string>, held_out boolean, doc_id {kind}")
-    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # numbered once, as written
+    numbered = rows.select("doc_id", "held_out", "t").mapInArrow(
+        _numbered(spark.sparkContext.broadcast(vocab), base, math.log10(vocab.rest)),
+        "n_tokens long, n_known long, base double, share double, others array<string>, ids binary, held_out boolean, "
+        f"doc_id {kind}")
+    numbered = cut(numbered.withColumn("row", F.monotonically_increasing_id()), "numbered")  # once, as written
+    starts, weights = train(numbered, vocab, hidden, rounds)
+    shared = spark.sparkContext.broadcast((vocab, starts, weights))
+    columns = ["row", "n_tokens", "n_known", "base", "share", "held_out", "doc_id"]
+    scored = numbered.select(*columns, "ids").mapInArrow(
+        _score(shared), "row long, n_tokens long, n_known long, base double, share double, held_out boolean, "
+        f"doc_id {kind}, model double")
     # words outside the dictionary: their counts, or none
-    others = scored.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
+    others = numbered.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     met = others.join(counts, "word", "left").select(
         "row", "k", F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("seen"),
         (F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("log"))
     more = met.groupBy("row").agg(F.sum("seen").alias("seen"), F.sum("log").alias("log"))
-    out = scored.drop("others").join(more, "row", "left")
+    out = scored.join(more, "row", "left")
     gain = F.coalesce("log", F.lit(0.0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
                       F.lit(vocab.tokens).cast("long").alias("train_tokens"), (F.col("base") + gain).alias("base_score"),
-                      (F.col("score") + gain).alias("score"))
+                      (F.col("model") + F.col("share") + gain).alias("score"))
