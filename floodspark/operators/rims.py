@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floodspark import grid
 from floodspark.session import cut
 
 #: Tiles united per level and axis.

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from floodspark import fixed, grid
+from floodspark import grid
 from floodspark.functions import hydraulics as hy
 from floodspark.functions import text as ft
-from floodspark.operators import accumulate, mesh, observe, particles, sampling, series, terrain
+from floodspark.operators import accumulate, mesh, observe, particles, sampling, series
 from floodspark.queries.base import DERIVED, cells, query, rounded
 from floodspark.queries.terrain import _COMP
 from floodspark.sources.tables import DX, stream_view, view
