@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)"
-    r"(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+    r"(?:(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|(?P<broken>[^>]*)(?:>|\Z))|</[^>]*(?:>|\Z)", re.S)
 MARKS = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 RAW = frozenset("script style template noscript svg iframe textarea title object math canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -51,44 +51,93 @@ NEXT, SIBLING, FAR = 0.8, 0.6, 0.1
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]  # open elements, outermost first
+    depth: int  # open elements that aren't inline
+    shared: int  # of them, those that the block before was in too
+    parent: int  # the element around the innermost of them
     boilerplate: int  # open elements that speak against it
     content: int  # open elements that speak for it
     heading: bool
     linked: int  # characters inside links
 
 
-def _marks(attrs: str) -> tuple[set[str], bool]:
+@dataclass(frozen=True)
+class Open:
+    """An open element, with what it and those around it say about a block in it."""
+    tag: str
+    element: int = 0  # the innermost that isn't inline
+    parent: int = 0
+    depth: int = 0
+    against: int = 0
+    firm: int = 0  # as far as it also speaks against an article inside
+    content: int = 0
+    article: bool = False
+    heading: bool = False
+
+
+def _marks(attrs: str) -> tuple[set[str], set[str], bool]:
+    """Words of classes, ids and roles; those that begin one (``sidebar-left``, not ``with-sidebar``); hidden."""
     words: set[str] = set()
+    first: set[str] = set()
     hidden = False
     for m in MARKS.finditer(attrs):
         name, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "")
         if name in ("class", "id", "role"):
-            words.update(re.split(r"[^a-z]+", value.lower()))
+            for one in value.lower().split():
+                parts = re.split(r"[^a-z]+", one)
+                words.update(parts)
+                first.add(parts[0])
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (
                 name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             hidden = True
-    return words, hidden
+    return words, first, hidden
+
+
+def _inside(outer: Open, tag: str, attrs: str, number: int) -> Open:
+    """The element that opens within ``outer``.
+
+    A mark inside a longer class name on a wrapper (``with-sidebar``) says nothing about an article or main element in it.
+    """
+    words, first, hidden = _marks(attrs) if attrs else (set(), set(), False)
+    structure = tag in BOILERPLATE_TAGS and not (tag == "header" and outer.article)
+    own = bool(words & BOILERPLATE_MARKS) or hidden or structure
+    firm = bool(first & BOILERPLATE_MARKS) or hidden or structure
+    if tag in ("html", "body", *CONTENT_TAGS):
+        own = firm = hidden or bool(words & {"comment", "comments", "reply", "related", "ad", "sponsored", "promo"})
+    speaks_for = not own and (tag in CONTENT_TAGS or bool(words & CONTENT_MARKS) and tag in ("div", "section", "td"))
+    line = tag in INLINE
+    return Open(tag, outer.element if line else number, outer.parent if line else outer.element, outer.depth + (not line),
+                (outer.firm if tag in CONTENT_TAGS else outer.against) + own, outer.firm + firm,
+                0 if own else outer.content + speaks_for,  # containers outside it say nothing
+                outer.article or tag in CONTENT_TAGS, outer.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order; raw elements, comments and what is in the head are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = []  # tag, number, against, for
+    stack = [Open("")]
+    opened: dict[str, int] = {}
     parts: list[str] = []
-    linked, links, number, at, head = 0, 0, 0, 0, False
+    linked, links, number, at, head, low = 0, 0, 0, 0, False, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low
         text = " ".join("".join(parts).split())
         if text and not head:
-            inner = max((k for k, s in enumerate(stack) if s[2]), default=-1)  # containers outside it say nothing
-            out.append(Block(text, tuple(s[1] for s in stack if s[0] not in INLINE), sum(s[2] for s in stack),
-                             sum(s[3] for s in stack[inner + 1:]),
-                             any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack), linked))
+            top = stack[-1]
+            out.append(Block(text, top.depth, min(low, top.depth), top.parent, top.against, top.content, top.heading, linked))
+            low = top.depth
         parts.clear()
         linked = 0
 
+    def leave(k: int) -> None:
+        """End the open elements from the ``k``-th on."""
+        nonlocal links, low
+        for s in stack[k:]:
+            opened[s.tag] -= 1
+            links -= s.tag == "a"
+        del stack[k:]
+        low = min(low, stack[-1].depth)
+
     def add(text: str) -> None:
         nonlocal linked
         text = entities.unescape(text)
@@ -104,7 +153,7 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             add(page[at:m.start()])
         at = m.end()
-        tag = (m["tag"] or "").lower()
+        tag, attrs = (m["tag"] or "").lower(), m["attrs"] or m["broken"] or ""
         if not tag:
             continue
         if m["end"]:
@@ -114,16 +163,15 @@ def blocks(page: str) -> list[Block]:
                 head = False
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(s[0] == "a" for s in stack[k:])
-                    del stack[k:]
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
+                if stack[k].tag == tag:
+                    leave(k)
                     break
-                if stack[k][0] in FENCES and tag in INLINE:
+                if stack[k].tag in FENCES and tag in INLINE:
                     break
             continue
         if tag in RAW:
-            if not m["attrs"].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
+            if not attrs.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
                 close = page.find(">", end.end() - 1) if end else -1
                 at = close + 1 if close >= 0 else len(page)
@@ -139,23 +187,17 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
             closes = CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    links -= sum(s[0] == "a" for s in stack[k:])
-                    del stack[k:]
+            for k in range(len(stack) - 1, 0, -1) if any(opened.get(t) for t in closes) else ():
+                if stack[k].tag in closes:
+                    leave(k)
                     break
-                if stack[k][0] in FENCES:
+                if stack[k].tag in FENCES:
                     break
-        if tag in VOID or m["attrs"].rstrip().endswith("/"):
+        if tag in VOID or attrs.rstrip().endswith("/"):
             continue
         number += 1
-        words, hidden = _marks(m["attrs"]) if m["attrs"] else (set(), False)
-        in_content = any(s[0] in CONTENT_TAGS for s in stack)
-        against = int(bool(words & BOILERPLATE_MARKS) or hidden or (tag in BOILERPLATE_TAGS and not (tag == "header" and in_content)))
-        against *= tag not in ("html", "body", *CONTENT_TAGS) or hidden or bool(
-            words & {"comment", "comments", "reply", "related", "ad", "sponsored", "promo"})
-        speaks_for = int(tag in CONTENT_TAGS or bool(words & CONTENT_MARKS) and tag in ("div", "section", "td"))
-        stack.append((tag, number, int(against), speaks_for if not against else 0))
+        stack.append(_inside(stack[-1], tag, attrs, number))
+        opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
     flush()
     return out
@@ -179,18 +221,17 @@ def costs(b: Block) -> tuple[float, float]:
 
 def edges(rows: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness: neighbours, the more the deeper they share their ancestors; and the last block under the same parent."""
-    out, last = [], {}
+    out: list[tuple[int, int, float]] = []
+    last: dict[int, int] = {}
     for i, b in enumerate(rows):
         if i:
             a = rows[i - 1]
-            shared = sum(1 for x, y in zip(a.path, b.path) if x == y)
-            depth = max(len(a.path), len(b.path), 1)
+            near = b.shared / max(a.depth, b.depth, 1)
             same = a.boilerplate == b.boilerplate and a.content == b.content
-            out.append((i - 1, i, NEXT * shared / depth if same else FAR * shared / depth))
-        parent = b.path[:-1]
-        if parent in last and last[parent] != i - 1:
-            out.append((last[parent], i, SIBLING))
-        last[parent] = i
+            out.append((i - 1, i, (NEXT if same else FAR) * near))
+        if last.get(b.parent, i - 1) != i - 1:
+            out.append((last[b.parent], i, SIBLING))
+        last[b.parent] = i
     return out
 
 

@@ -51,6 +51,35 @@ def test_deep_pages_take_the_cut_without_recursion():
     assert extraction.main_text(page).count("Some text") == 300
 
 
+PROSE = "A sentence that is long enough to count as prose for whoever reads it, twice over."
+
+
+def test_a_wrapper_named_after_its_layout_keeps_its_article():
+    for name in ("page with-sidebar", "has-header", "content-sidebar-wrap"):
+        assert extraction.main_text(f'<body><div class="{name}"><article><p>{PROSE}</p></article></div></body>') == PROSE
+    for name in ("sidebar", "related-posts", "comments"):
+        assert extraction.main_text(f'<body><div class="{name}"><article><p>{PROSE}</p></article></div></body>') == ""
+    assert extraction.main_text(f'<body><aside><article><p>{PROSE}</p></article></aside></body>') == ""
+
+
+def test_an_unclosed_quote_ends_its_tag_at_the_bracket():
+    assert extraction.main_text(f'<article><p title="foo>{PROSE}</p></article>') == PROSE
+    assert extraction.main_text(f"<article><p class='a' title='foo>{PROSE}</p></article>") == PROSE
+    assert extraction.main_text(f'<article><p>{PROSE}</p></article><p title="') == PROSE
+
+
+def test_paths_of_blocks():
+    rows = extraction.blocks("<div><p>one<p>two</p><ul><li>three<li><b>four</b></ul></div>five</nope></b>")
+    assert [(b.text, b.depth, b.shared) for b in rows] == [("one", 2, 0), ("two", 2, 1), ("three", 3, 1), ("four", 3, 2), ("five", 0, 0)]
+    assert rows[0].parent == rows[1].parent != rows[2].parent == rows[3].parent
+
+
+def test_deep_pages_are_linear():
+    page = "<body>" + "".join(f"<div><p>{PROSE} {i}</p></b></i>" for i in range(20_000))
+    rows = extraction.blocks(page)
+    assert len(rows) == 20_000 and rows[-1].depth == 20_002 and rows[-1].shared == 20_000
+
+
 def small_model(seed=1, words=12, hidden=5):
     starts = np.array([0, 2, 6, words])
     w = {k: v.astype(np.float64) for k, v in gru.initial(words, 3, hidden, seed).items()}
