@@ -27,7 +27,8 @@ def mesh_quality(face: DataFrame, node: DataFrame) -> DataFrame:
     """Index range, winding and bed checks per run; faces meet nodes by an equi-join."""
     n = node.groupBy("run_id").agg(F.count("*").alias("n_nodes"))
     f = face.select("run_id", "face_id", "z", F.posexplode("node_ids").alias("k", "node_id"))
-    xy = f.join(node, ["run_id", "node_id"], "left").groupBy("run_id", "face_id").agg(
+    # the nodes are many times the sizes they come from, by which the planner would broadcast them
+    xy = f.join(node.hint("merge"), ["run_id", "node_id"], "left").groupBy("run_id", "face_id").agg(
         F.max("z").alias("z"), F.count("x").alias("found"), F.min("node_id").alias("lo"), F.max("node_id").alias("hi"),
         F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"))
     twice = F.lit(0.0)
