@@ -27,3 +27,17 @@ def test_mesh_nodes_are_never_broadcast(spark):
     faces = plan(q).split("node_id")[0]
     assert "SortMergeJoin [run_id" in plan(q) and "node_id" in plan(q) and "BroadcastHashJoin" not in faces
     assert tuple(q.drop("run_id").first()) == (True, True, True, 30, 42)
+
+
+def test_stoker_state_is_found_for_a_batch_at_once(spark):
+    df = spark.createDataFrame([(5.0, 0.5), (2.0, 1.9), (1.0, 2.0), (1.0, 0.0), (None, 1.0)], "hl double, hr double")
+    x = df.select("hl", "hr", hydraulics.stoker_state(F.col("hl"), F.col("hr")).alias("m")).select("hl", "hr", "m.*")
+    assert "lambda" not in plan(x) and plan(x).count("ArrowEvalPython") == 1
+    rows = x.collect()
+    assert all(r.hm is None and r.u2 is None and r.shock is None for r in rows[2:])
+    g = hydraulics.G
+    for r in rows[:2]:
+        assert r.hr < r.hm < r.hl
+        assert math.isclose(r.u2, 2 * (math.sqrt(g * r.hl) - math.sqrt(g * r.hm)), rel_tol=1e-9)
+        assert math.isclose(r.u2, (r.hm - r.hr) * math.sqrt(0.5 * g * (1 / r.hm + 1 / r.hr)), rel_tol=1e-9)
+        assert math.isclose(r.shock, r.hm * r.u2 / (r.hm - r.hr), rel_tol=1e-12)
