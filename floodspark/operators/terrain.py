@@ -216,9 +216,9 @@ def half_widths(wet_cells: DataFrame, sizes: DataFrame) -> DataFrame:
     Cells without a row are dry, the outside is not; NULL where a run has no dry cell.
     """
     wet = wet_cells.select(*grid.CELL, F.lit(False).alias("dry"))
-    full = grid.lattice(sizes).join(wet, grid.CELL, "left").withColumn("dry", F.coalesce("dry", F.lit(True)))
+    full = grid.lattice(sizes).join(wet.hint("merge"), grid.CELL, "left").withColumn("dry", F.coalesce("dry", F.lit(True)))
     away = nearest_seed(full, "dry").where("NOT dry").select(*grid.CELL, F.sqrt("d2").alias("half_width"))
-    return wet_cells.join(away, grid.CELL, "left")
+    return wet_cells.join(away.hint("merge"), grid.CELL, "left")
 
 
 def width_bins(wet_cells: DataFrame, sizes: DataFrame, dx: float, value: str = "max_depth",

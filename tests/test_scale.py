@@ -41,3 +41,10 @@ def test_stoker_state_is_found_for_a_batch_at_once(spark):
         assert math.isclose(r.u2, 2 * (math.sqrt(g * r.hl) - math.sqrt(g * r.hm)), rel_tol=1e-9)
         assert math.isclose(r.u2, (r.hm - r.hr) * math.sqrt(0.5 * g * (1 / r.hm + 1 / r.hr)), rel_tol=1e-9)
         assert math.isclose(r.shock, r.hm * r.u2 / (r.hm - r.hr), rel_tol=1e-12)
+
+
+def test_half_widths_broadcast_no_cells(spark):
+    wet = full(spark).where("r > 0 AND r < 5 AND c > 0 AND c < 4").select(*grid.CELL, "z")
+    got = terrain.half_widths(wet, sizes(spark))
+    assert "BroadcastHashJoin" not in plan(got)
+    assert {(x.r, x.c): x.half_width for x in got.collect()}[(2, 2)] == 2.0
