@@ -494,7 +494,7 @@ def confluences(trace: DataFrame, area: DataFrame, samples: int = 20, ratio: flo
 def _window_cells(points: DataFrame, cells: DataFrame, radius: int) -> DataFrame:
     """Pairs of a point and the cells of its square window (offsets, then an equi-join)."""
     base = points.withColumn("pr", F.col("r")).withColumn("pc", F.col("c"))
-    return grid.spread_box(base, radius).join(cells, grid.CELL)
+    return grid.spread_box(base, radius).hint("merge").join(cells, grid.CELL)  # many times the points: never broadcast
 
 
 def snap_to_stream(points: DataFrame, flow: DataFrame, dx: float, radius: int = 8,

@@ -48,3 +48,10 @@ def test_half_widths_broadcast_no_cells(spark):
     got = terrain.half_widths(wet, sizes(spark))
     assert "BroadcastHashJoin" not in plan(got)
     assert {(x.r, x.c): x.half_width for x in got.collect()}[(2, 2)] == 2.0
+
+
+def test_window_cells_are_never_broadcast(spark):
+    cells = full(spark).select(*grid.CELL, F.col("c").cast("double").alias("area_km2"))
+    points = spark.createDataFrame([(0, 7, 2, 2)], "run_id int, point_id int, r int, c int")
+    near = hydrology._window_cells(points, cells, 1)
+    assert "BroadcastHashJoin" not in plan(near) and near.count() == 9
