@@ -14,3 +14,15 @@ def test_figures_print_as_the_double_is(spark):
         text.scientific(F.lit(-0.00125), 1, plus=True).alias("f"), text.scientific(F.lit(9.999), 2).alias("g"),
         text.show_duration(F.lit(255780.0)).alias("h")).first()
     assert tuple(row) == ("0.2", "%.1f" % 12345.05, "-0.0", "2", "+2.10e+03", "%+.1e" % -0.00125, "1.00e+01", "71.0 h")
+
+
+def test_caveats_print_as_the_double_is(spark):
+    f = spark.createDataFrame([(1, 0, 2, 6.25)], "run_id int, never_cells int, interpolated_cells int, interpolated_pct double")
+    assert "2 flooded cells (6.2%) lie on terrain interpolated across voids." in {x.text for x in ps.stage_caveats(f, 90.0).collect()}
+    runs = spark.createDataFrame([(1, 2105.0, True, 10, None, None, None, None, None), (2, -0.00125, True, 10, 0.0625, 1.125, 1.625, 0.1, False)],
+                                 "run_id int, volume_error double, open_edges boolean, edge_cells int, min_submergence double, "
+                                 "released_fraction double, pool_km2 double, published_km2 double, pool_at_edge boolean")
+    got = [x.text for x in ps.run_caveats(runs, 90.0).collect()]
+    assert "Relative mass error +2.10e+03; above 1e-6 it needs looking into before the result is used." in got
+    assert any("0.1% of the water" in t for t in got) and any("least factor 0.062)" in t for t in got)
+    assert any("released 1.12 times" in t for t in got) and any("covers 1.62 km2" in t for t in got)
