@@ -26,3 +26,9 @@ def test_caveats_print_as_the_double_is(spark):
     assert "Relative mass error +2.10e+03; above 1e-6 it needs looking into before the result is used." in got
     assert any("0.1% of the water" in t for t in got) and any("least factor 0.062)" in t for t in got)
     assert any("released 1.12 times" in t for t in got) and any("covers 1.62 km2" in t for t in got)
+
+
+def test_areas_are_cells_times_the_area_of_one(spark):
+    cells = spark.range(950).select(F.lit(1).alias("run_id"), F.lit(0).alias("band"))
+    a = exposure.area_by_class(cells, "band", ["near"], 90.0)
+    assert a.first().km2 == 950 * 0.0081 and a.select(F.format_number("km2", 2).alias("t")).first().t == "7.69"
