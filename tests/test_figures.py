@@ -32,3 +32,11 @@ def test_areas_are_cells_times_the_area_of_one(spark):
     cells = spark.range(950).select(F.lit(1).alias("run_id"), F.lit(0).alias("band"))
     a = exposure.area_by_class(cells, "band", ["near"], 90.0)
     assert a.first().km2 == 950 * 0.0081 and a.select(F.format_number("km2", 2).alias("t")).first().t == "7.69"
+
+
+def test_damage_is_an_exact_sum_of_fractions(spark):
+    b = spark.range(3).select(F.lit(1).alias("run_id"), F.lit("residential").alias("curve"), F.lit(0.75).alias("max_depth"))
+    assert exposure.building_damage(b).first().central == 1530000.0
+    cells = spark.range(10).select(F.lit(1).alias("run_id"), F.lit(True).alias("new_flood"), (F.col("id") / 8.0).alias("max_depth"))
+    want = {1.0 * k: exposure.land_damage(cells.repartition(k), 90.0).first().central for k in (1, 2, 3, 7)}
+    assert len(set(want.values())) == 1
