@@ -40,3 +40,9 @@ def test_damage_is_an_exact_sum_of_fractions(spark):
     cells = spark.range(10).select(F.lit(1).alias("run_id"), F.lit(True).alias("new_flood"), (F.col("id") / 8.0).alias("max_depth"))
     want = {1.0 * k: exposure.land_damage(cells.repartition(k), 90.0).first().central for k in (1, 2, 3, 7)}
     assert len(set(want.values())) == 1
+
+
+def test_lengths_add_up_exactly(spark):
+    visited = spark.range(10).select(F.lit(1).alias("run_id"), F.lit(2).alias("r"), F.lit(3).alias("c"), F.lit(0.1).alias("length_m"))
+    flood = spark.createDataFrame([(1, 2, 3)], "run_id int, r int, c int")
+    assert vectors.flooded_length(visited, flood).first().km == 0.001
