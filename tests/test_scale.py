@@ -1,12 +1,13 @@
 """Joins whose generated side the planner takes for small, and work per row."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
 from floodspark import grid
 from floodspark.functions import hydraulics
-from floodspark.operators import hydrology, mesh, terrain
+from floodspark.operators import hydrology, mesh, terrain, vectors
 
 
 def plan(df):
@@ -29,6 +30,20 @@ def test_mesh_nodes_are_never_broadcast(spark):
     assert tuple(q.drop("run_id").first()) == (True, True, True, 30, 42)
 
 
+def test_half_widths_broadcast_no_cells(spark):
+    wet = full(spark).where("r > 0 AND r < 5 AND c > 0 AND c < 4").select(*grid.CELL, "z")
+    got = terrain.half_widths(wet, sizes(spark))
+    assert "BroadcastHashJoin" not in plan(got)
+    assert {(x.r, x.c): x.half_width for x in got.collect()}[(2, 2)] == 2.0
+
+
+def test_window_cells_are_never_broadcast(spark):
+    cells = full(spark).select(*grid.CELL, F.col("c").cast("double").alias("area_km2"))
+    points = spark.createDataFrame([(0, 7, 2, 2)], "run_id int, point_id int, r int, c int")
+    near = hydrology._window_cells(points, cells, 1)
+    assert "BroadcastHashJoin" not in plan(near) and near.count() == 9
+
+
 def test_stoker_state_is_found_for_a_batch_at_once(spark):
     df = spark.createDataFrame([(5.0, 0.5), (2.0, 1.9), (1.0, 2.0), (1.0, 0.0), (None, 1.0)], "hl double, hr double")
     x = df.select("hl", "hr", hydraulics.stoker_state(F.col("hl"), F.col("hr")).alias("m")).select("hl", "hr", "m.*")
@@ -43,15 +58,24 @@ def test_stoker_state_is_found_for_a_batch_at_once(spark):
         assert math.isclose(r.shock, r.hm * r.u2 / (r.hm - r.hr), rel_tol=1e-12)
 
 
-def test_half_widths_broadcast_no_cells(spark):
-    wet = full(spark).where("r > 0 AND r < 5 AND c > 0 AND c < 4").select(*grid.CELL, "z")
-    got = terrain.half_widths(wet, sizes(spark))
-    assert "BroadcastHashJoin" not in plan(got)
-    assert {(x.r, x.c): x.half_width for x in got.collect()}[(2, 2)] == 2.0
-
-
-def test_window_cells_are_never_broadcast(spark):
-    cells = full(spark).select(*grid.CELL, F.col("c").cast("double").alias("area_km2"))
-    points = spark.createDataFrame([(0, 7, 2, 2)], "run_id int, point_id int, r int, c int")
-    near = hydrology._window_cells(points, cells, 1)
-    assert "BroadcastHashJoin" not in plan(near) and near.count() == 9
+def test_rings_across_tiles_are_those_of_one_tile(spark):
+    rng = random.Random(4)
+    cells = [(run, r, c, rng.choice((0, 0, 1))) for run in (1, 2) for r in range(13) for c in range(11) if rng.random() < 0.8]
+    df = spark.createDataFrame(cells, "run_id int, r int, c int, cls int")
+    whole = {tuple(x) for x in vectors.traced_rings(df).collect()}
+    assert whole == {tuple(x) for x in vectors.traced_rings(df, tile=3).collect()}
+    after = {}
+    for x in vectors.traced_rings(df, tile=4).collect():
+        after.setdefault((x.run_id, x.ring), {})[x.place] = x
+    for (_, ring), edges in after.items():
+        assert sorted(edges) == list(range(1, len(edges) + 1)) and edges[1].edge_id == ring == min(e.edge_id for e in edges.values())
+        for k, e in edges.items():
+            f = edges[k % len(edges) + 1]
+            assert (e.cls, e.r1, e.c1) == (f.cls, f.r0, f.c0) and f.corner == (e.side != f.side)
+
+
+def test_rings_within_a_tile_need_no_graph(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "connected", None)
+    monkeypatch.setattr(vectors, "forest_sums", None)
+    df = spark.createDataFrame([(1, 0, 0, 2), (1, 0, 1, 2)], "run_id int, r int, c int, cls int")
+    assert sorted(x.place for x in vectors.traced_rings(df).collect()) == [1, 2, 3, 4, 5, 6]
