@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from floodspark import grid
 from floodspark.functions import hydraulics
-from floodspark.operators import hydrology, mesh, terrain, vectors
+from floodspark.operators import hydrology, mesh, resample, terrain, vectors
 
 
 def plan(df):
@@ -79,3 +79,12 @@ def test_rings_within_a_tile_need_no_graph(spark, monkeypatch):
     monkeypatch.setattr(vectors, "forest_sums", None)
     df = spark.createDataFrame([(1, 0, 0, 2), (1, 0, 1, 2)], "run_id int, r int, c int, cls int")
     assert sorted(x.place for x in vectors.traced_rings(df).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_sub_points_are_counted_per_pixel_before_the_join(spark):
+    source = spark.createDataFrame([(0, 0, 0, 32.0), (0, 0, 1, 64.0)], "run_id int, sr int, sc int, cnt double")
+    targets = spark.createDataFrame([(0, 0, 1)], "run_id int, r int, c int")
+    got = resample.resample_population(source, targets, lambda r, c: F.struct((r / 2).alias("r"), ((c + 0.5) / 2).alias("c")), 1.0, F.lit(4.0))
+    text = plan(got)
+    assert "sr#" in text.split("keys=", 2)[2] and text.count("HashAggregate") >= 4
+    assert got.first().pop == (8 * 8.0 + 8 * 16.0) / 16
