@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,33 +84,57 @@ def event_scenes(scenes: DataFrame, events: DataFrame, occurrence: DataFrame, sl
                   .withColumn("usable", usable).drop("_wet", "_flat"))
 
 
-def status_machine(events: DataFrame, heartbeat_s: int, delay: str = "0 seconds") -> DataFrame:
+#: The best report of each run that a bucket holds; ``at`` in microseconds.
+_HELD = pa.schema([("run_id", pa.string()), ("status", pa.string()), ("seq", pa.int64()), ("at", pa.int64())])
+
+
+def _pack(held: pd.DataFrame) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _HELD) as writer:
+        writer.write_table(pa.Table.from_pandas(held, _HELD, preserve_index=False))
+    return out.getvalue().to_pybytes()
+
+
+def _unpack(packed: bytes) -> pd.DataFrame:
+    with pa.ipc.open_stream(packed) as reader:
+        return reader.read_pandas()
+
+
+def status_machine(events: DataFrame, heartbeat_s: int, delay: str = "0 seconds", buckets: int = 1024) -> DataFrame:
     """Best-known status per run; silence longer than the heartbeat turns a live run to failed.
 
     Time is the reports' own time: once the watermark has passed a run's last report by the heartbeat, a live run
-    fails, and the state of any run, one status, number and time, is gone.
+    fails, and the state of any run, one status, number and time, is gone.  Runs are held in ``buckets`` by the hash of
+    their name, so a task settles a bucket's runs together and not one call at a time; a bucket without runs leaves no
+    state.  Reports without a time are none.
     """
     def step(key, batches, state):
-        best = state.get if state.exists else (None, -1, -1)
-        if state.hasTimedOut:
-            state.remove()
-            if best[0] in ("queued", "running"):
-                yield pd.DataFrame({"run_id": [key[0]], "status": ["failed"], "seq": [best[1]]})
-            return
+        best = _unpack(state.get[0]) if state.exists else _HELD.empty_table().to_pandas()
+        told = []
         for pdf in batches:
-            ms = pdf["updated_at"].to_numpy().astype("datetime64[ms]").astype("int64")
-            for s, q, at in zip(pdf["status"], pdf["seq"], ms):
-                if (int(at), int(q)) > (best[2], best[1]):
-                    best = (s, int(q), int(at))
-        state.update(best)
-        state.setTimeoutTimestamp(max(best[2] + heartbeat_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"run_id": [key[0]], "status": [best[0]], "seq": [best[1]]})
-
-    timed = events.select("run_id", "status", "seq", F.col("updated_at").cast("timestamp").alias("updated_at")).withWatermark(
-        "updated_at", delay)
-    return timed.groupBy("run_id").applyInPandasWithState(
-        step, "run_id string, status string, seq long", "status string, seq long, at long", "update",
-        GroupStateTimeout.EventTimeTimeout)
+            pdf = pdf[pdf["updated_at"].notna()]
+            at = pdf["updated_at"].to_numpy().astype("datetime64[us]").astype("int64")
+            fresh = pdf[["run_id", "status"]].assign(seq=pdf["seq"].astype("int64"), at=at)
+            told.append(fresh["run_id"].drop_duplicates())
+            both = pd.concat([best, fresh]) if len(best) else fresh
+            best = both.sort_values(["at", "seq"], ascending=False, kind="stable").drop_duplicates("run_id")  # ties: the first told
+        now = state.getCurrentWatermarkMs()
+        ends = best["at"] // 1000 + heartbeat_s * 1000
+        silent = ends < now
+        heard = best[best["run_id"].isin(pd.concat(told))] if told else best[:0]
+        failed = best[silent & best["status"].isin(["queued", "running"])]
+        out = pd.concat([heard[~heard["run_id"].isin(failed["run_id"])], failed.assign(status="failed")])
+        if silent.all():
+            state.remove()
+        else:
+            state.update((_pack(best[~silent]),))
+            state.setTimeoutTimestamp(max(int(ends[~silent].min()), now + 1))
+        yield out[["run_id", "status", "seq"]]
+
+    timed = events.select("run_id", "status", "seq", F.col("updated_at").cast("timestamp").alias("updated_at"),
+                          F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("bucket")).withWatermark("updated_at", delay)
+    return timed.groupBy("bucket").applyInPandasWithState(
+        step, "run_id string, status string, seq long", "held binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def process(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:

@@ -182,6 +182,25 @@ def test_silent_run_fails_and_finished_run_stays(spark):
     assert state_rows(spark, folder) == 1  # only c may still change
 
 
+def test_runs_share_buckets_of_state(spark):
+    """A call for every run took a call's time for every run: state is held, and settled, by bucket."""
+    rnd = random.Random(8)
+    path, folder = scratch_path(spark, "status"), scratch_path(spark, "resumed")
+    schema = "run_id string, status string, seq long, updated_at timestamp"
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    rows = [(f"run {rnd.randrange(300)}", rnd.choice(("queued", "running", "done")), k, day(k // 100)) for k in range(2000)]
+    machine = lambda: st.latest_emitted(st.process(st.status_machine(source(spark, schema, path), 5 * 86_400, buckets=4), folder), ["run_id"])
+    last = {}
+    for part in (rows[:900], rows[900:]):
+        put(spark, part, schema, path)
+        got = {x.run_id: (x.status, x.seq) for x in machine().collect()}
+        last |= {run: (status, k, at) for run, status, k, at in part}
+        newest = part[-1][3]
+        fails = lambda status, at: status != "done" and at + dt.timedelta(days=5) < newest
+        assert got == {run: ("failed" if fails(status, at) else status, k) for run, (status, k, at) in last.items()}
+        assert 0 < state_rows(spark, folder) <= 4
+
+
 def test_wetted_cells_by_minute(spark):
     cells = spark.createDataFrame([(0, 0, 0, 0.0), (0, 0, 1, 899.0), (0, 0, 2, 900.0), (0, 0, 3, 901.0), (0, 0, 4, None), (0, 0, 5, 9999.0),
                                    (1, 0, 0, None)], "run_id int, r int, c int, arrival_s double")
