@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from floodspark import grid
 from floodspark.functions import hydraulics
 from floodspark.operators import hydrology, mesh, resample, terrain, vectors
+from floodspark.session import scratch_path
+from floodspark.sinks import bands
 
 
 def plan(df):
@@ -88,3 +90,15 @@ def test_sub_points_are_counted_per_pixel_before_the_join(spark):
     text = plan(got)
     assert "sr#" in text.split("keys=", 2)[2] and text.count("HashAggregate") >= 4
     assert got.first().pop == (8 * 8.0 + 8 * 16.0) / 16
+
+
+def test_band_files_do_not_follow_the_runs(spark):
+    path = scratch_path(spark, "bands")
+    cells = spark.range(40 * 6).selectExpr(
+        "cast(id % 40 as int) as run_id", "cast(id div 40 as int) as r", "0 as c", "id * 0.5d as max_depth", "id % 3 = 0 as initially_wet",
+        "1d as arrival_min", "2 as band", "3d as max_speed", "4d as max_dv", "5d as rating", "1 as defra_class", "2 as aidr_class", "true as domain", "1 as valid")
+    bands.write_bands(cells, path)
+    back = spark.read.parquet(path)
+    assert len(back.inputFiles()) <= 4 * len(bands.BANDS)  # four tasks; there was a file for every band of every run
+    rows = lambda df: sorted(map(tuple, df.select("run_id", "r", "c", "band", "value").collect()))
+    assert rows(back) == rows(bands.scenario_bands(cells))
