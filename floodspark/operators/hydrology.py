@@ -10,7 +10,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,45 +28,68 @@ def _run_type(df: DataFrame) -> str:
     return df.schema["run_id"].dataType.simpleString()
 
 
-def _block(pdf: pd.DataFrame, names: list[str], pad: int = 1):
+# Tiles are many and small: their kernels work on plain arrays, as a data frame costs more than its cells.
+Cells = dict[str, np.ndarray]
+
+
+def _arrays(rows: pa.Table, *names: str) -> Cells:
+    """Columns as arrays; NULL among numbers is NaN."""
+    return {n: rows.column(n).to_numpy() for n in names or rows.column_names}
+
+
+def _where(cells: Cells, mask: np.ndarray) -> Cells:
+    return {n: a[mask] for n, a in cells.items()}
+
+
+def _rows(key: tuple, schema: str, *columns) -> pa.Table:
+    """A tile's result: the run of ``key``, then ``columns`` with the names and types of ``schema``."""
+    names = [f.split() for f in schema.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    n = next(len(c) for c in columns if isinstance(c, np.ndarray))
+    arrays = [pa.array(np.broadcast_to(c, n), kinds[kind], from_pandas=True, safe=False) for c, (_, kind) in zip(columns, names)]
+    return pa.table([pa.repeat(key[0], n), *arrays], names=["run_id", *[name for name, _ in names]])
+
+
+def _block(cells: Cells, names: list[str], pad: int = 1):
     """Dense arrays of one tile with a frame of missing cells around it."""
-    r0, c0 = int(pdf["r"].min()) - pad, int(pdf["c"].min()) - pad
-    rr, cc = pdf["r"].to_numpy() - r0, pdf["c"].to_numpy() - c0
+    r0, c0 = int(cells["r"].min()) - pad, int(cells["c"].min()) - pad
+    rr, cc = cells["r"] - r0, cells["c"] - c0
     shape = (rr.max() + 1 + pad, cc.max() + 1 + pad)
     out = {}
     for name in names:
         a = np.full(shape, np.nan)
-        a[rr, cc] = pdf[name].to_numpy(dtype=float)
+        a[rr, cc] = cells[name]
         out[name] = a
     core = np.zeros(shape, dtype=bool)
-    core[rr, cc] = pdf["core"].to_numpy()
+    core[rr, cc] = cells["core"]
     return r0, c0, core, out
 
 
 def _flood(key: np.ndarray, z: np.ndarray, core: np.ndarray):
-    """Raise ``core`` cells to the lowest level a seed (finite ``key``) reaches them at."""
-    level, label = np.full(z.shape, np.inf), np.full(z.shape, -1, dtype=np.int64)
-    heap = []
-    nx = z.shape[1]
-    for i, j in zip(*np.nonzero(np.isfinite(key))):
-        level[i, j], label[i, j] = key[i, j], i * nx + j
-        heap.append((key[i, j], i * nx + j))
+    """Raise ``core`` cells, none of them on the frame, to the lowest level a seed (finite ``key``) reaches them at."""
+    seeded = np.isfinite(key)
+    level = np.where(seeded, key, np.inf).ravel().tolist()
+    label = np.where(seeded, np.arange(key.size).reshape(key.shape), -1).ravel().tolist()
+    heights, left = z.ravel().tolist(), core.ravel().tolist()
+    around = [di * z.shape[1] + dj for di, dj in RING]
+    heap = [(level[at], at) for at in np.flatnonzero(seeded).tolist()]
     heapq.heapify(heap)
-    closed = np.zeros(z.shape, dtype=bool)
+    closed = [False] * key.size
     while heap:
         w, at = heapq.heappop(heap)
-        i, j = divmod(at, nx)
-        if closed[i, j]:
+        if closed[at]:
             continue
-        closed[i, j] = True
-        for di, dj in RING:
-            a, b = i + di, j + dj
-            if core[a, b] and not closed[a, b]:
-                up = max(w, z[a, b])
-                if up < level[a, b]:
-                    level[a, b], label[a, b] = up, label[i, j]
-                    heapq.heappush(heap, (up, a * nx + b))
-    return level, label
+        closed[at], left[at] = True, False
+        for step in around:
+            near = at + step
+            if left[near]:
+                up = heights[near]
+                if up < w:
+                    up = w
+                if up < level[near]:
+                    level[near], label[near] = up, label[at]
+                    heapq.heappush(heap, (up, near))
+    return np.array(level).reshape(z.shape), np.array(label, dtype=np.int64).reshape(z.shape)
 
 
 def _seeds(z: np.ndarray, core: np.ndarray):
@@ -90,11 +112,13 @@ def fill_depressions(cells: DataFrame, tile: int = grid.DEFAULT_TILE) -> DataFra
     cells = cells.withColumn("z", solid)
     haloed = grid.with_halo(cells.select(*grid.CELL, "z"), tile, 1)
 
-    def passes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0, core, got = _block(pdf, ["z"])
+    edge = "tr int, tc int, a long, b long, w double"
+
+    def passes(key: tuple, rows: pa.Table) -> pa.Table:
+        r0, c0, core, got = _block(_arrays(rows, "r", "c", "z", "core"), ["z"])
         z = got["z"]
         if not core.any():
-            return pd.DataFrame({"run_id": [], "tr": [], "tc": [], "a": [], "b": [], "w": []})
+            return _rows(key, edge, *[np.zeros(0)] * 5)
         rim, open_ = _seeds(z, core)
         level, label = _flood(np.where(rim, z, np.nan), z, core)
         nx = z.shape[1]
@@ -114,24 +138,24 @@ def fill_depressions(cells: DataFrame, tile: int = grid.DEFAULT_TILE) -> DataFra
         inner.append((ident(here[open_]), np.full(int(open_.sum()), OCEAN), z[open_]))
         a, b, w = (np.concatenate([p[k] for p in inner]) for k in range(3))
         tree = joined_passes(a, b, w, np.concatenate([a, b]))
-        tree = pd.DataFrame([(y, x, h) if x == OCEAN else (x, y, h) for x, y, h in tree], columns=["a", "b", "w"])
-        a, b, w = (np.concatenate([p[k] for p in beyond] + [tree[n].to_numpy()]) for k, n in enumerate("abw"))
-        return pd.DataFrame({"run_id": key[0], "tr": key[1], "tc": key[2], "a": a.astype(np.int64), "b": b.astype(np.int64), "w": w})
+        tree = [(y, x, h) if x == OCEAN else (x, y, h) for x, y, h in tree]
+        a, b, w = (np.concatenate([p[k] for p in beyond] + [np.array([e[k] for e in tree], dtype)])
+                   for k, dtype in enumerate((np.int64, np.int64, float)))
+        return _rows(key, edge, key[1].as_py(), key[2].as_py(), a, b, w)
 
-    edges = haloed.groupBy(TILE_KEY).applyInPandas(
-        passes, f"run_id {run}, tr int, tc int, a long, b long, w double")
+    edges = haloed.groupBy(TILE_KEY).applyInArrow(passes, f"run_id {run}, {edge}")
     levels = spill_levels(edges, tile, run)
 
     def raise_tile(cells_: pa.Table, known: pa.Table) -> pa.Table:
-        pdf = cells_.select(["r", "c", "z"]).to_pandas().assign(core=True)
-        if not len(pdf):
-            return cells_.select([0, 1, 2, 3]).append_column("filled", pa.array([], pa.float64()))
-        r0, c0, core, got = _block(pdf, ["z"])
+        if not len(cells_):
+            return cells_.drop_columns(["tr", "tc"]).append_column("filled", pa.array([], pa.float64()))
+        own = _arrays(cells_, "r", "c", "z")
+        r0, c0, core, got = _block(own | {"core": np.ones(len(cells_), dtype=bool)}, ["z"])
         at = known.column("node").to_numpy()
         key = np.full(core.shape, np.nan)
         key[at // WIDE - r0, at % WIDE - c0] = known.column("level").to_numpy()
         level, _ = _flood(np.maximum(key, got["z"]), got["z"], core)
-        rr, cc = pdf["r"].to_numpy() - r0, pdf["c"].to_numpy() - c0
+        rr, cc = own["r"] - r0, own["c"] - c0
         return cells_.drop_columns(["tr", "tc"]).append_column("filled", pa.array(level[rr, cc]))
 
     kept = cells.select(*grid.CELL, "z", *[c for c in cells.columns if c not in (*grid.CELL, "z")])
@@ -198,32 +222,39 @@ def routing_surface(filled: DataFrame, eps: float = fixed.FILL_EPS,
     if known.isEmpty():
         return marked.withColumn("zr", F.col("filled")).drop("flat")
 
-    def settle(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    def settle(told: Cells) -> tuple[Cells, np.ndarray]:
         """The tile's own cells, and their distances from all that is known."""
-        best = pdf.sort_values("d", na_position="last").drop_duplicates(["r", "c"])
-        own = best["core"].to_numpy()
+        order = np.lexsort((told["d"], told["c"], told["r"]))  # NaN comes last
+        best = _where(told, order)
+        fresh = np.append(True, (np.diff(best["r"]) != 0) | (np.diff(best["c"]) != 0))[:len(order)]
+        best = _where(best, fresh)
+        own = best["core"]
         if not own.any():
-            return best[own], np.zeros(0)
+            return _where(best, own), np.zeros(0)
         r0, c0, core, got = _block(best, ["w", "d"])
-        own = best[own]
-        return own, _steps(got["w"], got["d"], core)[own["r"].to_numpy() - r0, own["c"].to_numpy() - c0]
-
-    schema = f"run_id {run}, r int, c int, w double, d double"
-
-    def all_cells(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own, d = settle(pdf)
-        return own[["run_id", "r", "c", "w"]].assign(d=d)
-
-    def moved_rim(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        before = pdf[pdf["before"]]
-        own, d = settle(pdf[~pdf["before"]])
-        rim = own["r"].mod(tile).isin((0, tile - 1)) | own["c"].mod(tile).isin((0, tile - 1))
-        out = own.loc[rim, ["run_id", "r", "c", "w"]].assign(d=d[rim.to_numpy()])
-        old = before.groupby(["r", "c"])["d"].min()
-        was = old.reindex(pd.MultiIndex.from_frame(out[["r", "c"]])).to_numpy() if len(old) else np.full(len(out), np.nan)
-        return out[(out["d"].to_numpy() < was) | (np.isnan(was) & out["d"].notna().to_numpy())]
-
-    first = cut(known.groupBy(TILE_KEY).applyInPandas(all_cells, schema), "flats")
+        own = _where(best, own)
+        return own, _steps(got["w"], got["d"], core)[own["r"] - r0, own["c"] - c0]
+
+    cell = "r int, c int, w double, d double"
+    schema = f"run_id {run}, {cell}"
+
+    def all_cells(key: tuple, rows: pa.Table) -> pa.Table:
+        own, d = settle(_arrays(rows, "r", "c", "w", "d", "core"))
+        return _rows(key, cell, own["r"], own["c"], own["w"], d)
+
+    def moved_rim(key: tuple, rows: pa.Table) -> pa.Table:
+        told = _arrays(rows, "r", "c", "w", "d", "core", "before")
+        before = _where(told, told["before"])
+        own, d = settle(_where(told, ~told["before"]))
+        rim = np.isin(own["r"] % tile, (0, tile - 1)) | np.isin(own["c"] % tile, (0, tile - 1))
+        out, d = _where(own, rim), d[rim]
+        # the nearest each rim cell was before: own cells come in order, one row each
+        ids, was = out["r"].astype(np.int64) * WIDE + out["c"], np.full(len(d), np.inf)
+        at = np.searchsorted(ids, before["r"].astype(np.int64) * WIDE + before["c"])
+        np.fmin.at(was, at, before["d"])
+        return _rows(key, cell, *[a[d < was] for a in (out["r"], out["c"], out["w"], d)])
+
+    first = cut(known.groupBy(TILE_KEY).applyInArrow(all_cells, schema), "flats")
     on_rim = (F.col("r") % tile).isin(0, tile - 1) | (F.col("c") % tile).isin(0, tile - 1)
     moved = first.where(on_rim & F.col("d").isNotNull())
     rims, told, tiles = moved, None, None
@@ -236,12 +267,12 @@ def routing_surface(filled: DataFrame, eps: float = fixed.FILL_EPS,
         tiles = tiles_now if tiles is None else tiles.union(tiles_now)
         heard = known.unionByName(told).withColumn("before", F.lit(False)).unionByName(
             grid.with_tile(rims, tile).withColumn("core", F.lit(True)).withColumn("before", F.lit(True)))
-        moved = cut(heard.join(tiles_now, TILE_KEY, "left_semi").groupBy(TILE_KEY).applyInPandas(moved_rim, schema), "flats")
+        moved = cut(heard.join(tiles_now, TILE_KEY, "left_semi").groupBy(TILE_KEY).applyInArrow(moved_rim, schema), "flats")
         rims = rims.unionByName(moved)
     done = first
     if tiles is not None:
         tiles = tiles.distinct()
-        again = known.unionByName(told).join(tiles, TILE_KEY, "left_semi").groupBy(TILE_KEY).applyInPandas(all_cells, schema)
+        again = known.unionByName(told).join(tiles, TILE_KEY, "left_semi").groupBy(TILE_KEY).applyInArrow(all_cells, schema)
         done = again.unionByName(grid.with_tile(first, tile).join(tiles, TILE_KEY, "left_anti").select(*first.columns))
     return (marked.join(done.select(*grid.CELL, "d"), grid.CELL, "left")
                   .withColumn("zr", F.col("filled") + eps * F.coalesce("d", F.lit(0.0)))
@@ -270,31 +301,34 @@ def flow_direction(cells: DataFrame, value: str = "zr", dx: float = 1.0) -> Data
                .drop("nb", "_s", "_b"))
 
 
-def _tile_paths(pdf: pd.DataFrame):
-    """Successor of each core cell inside its tile (``n`` = leaves or ends), and its target."""
-    own = pdf[pdf["core"]].reset_index(drop=True)
-    n = len(own)
-    ids = own["r"].to_numpy(np.int64) * WIDE + own["c"].to_numpy(np.int64)
-    ends = own["down_r"].isna().to_numpy()
-    to = np.where(ends, -1, own["down_r"].fillna(0).to_numpy().astype(np.int64) * WIDE
-                  + own["down_c"].fillna(0).to_numpy().astype(np.int64))
+def _ids(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.nan_to_num(r).astype(np.int64) * WIDE + np.nan_to_num(c).astype(np.int64)
+
+
+def _tile_paths(own: Cells):
+    """Ids of a tile's cells, their targets, the successor inside the tile (``n`` = leaves or ends), and who ends."""
+    n = len(own["r"])
+    ids, ends = _ids(own["r"], own["c"]), np.isnan(own["down_r"])
+    to = np.where(ends, -1, _ids(own["down_r"], own["down_c"]))
     order = np.argsort(ids)
     at = np.searchsorted(ids, to, sorter=order)
     at = order[np.minimum(at, n - 1)]
     inside = ~ends & (ids[at] == to)
-    return own, ids, to, np.where(inside, at, n), ends
+    return ids, to, np.where(inside, at, n), ends
 
 
-def _entries(pdf: pd.DataFrame, ids: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
+def _entries(halo: Cells, ids: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of core cells that neighbouring tiles drain into, and one draining cell of each such tile."""
-    halo = pdf[~pdf["core"] & pdf["down_r"].notna()]
-    to = halo["down_r"].to_numpy().astype(np.int64) * WIDE + halo["down_c"].to_numpy().astype(np.int64)
+    halo = _where(halo, ~np.isnan(halo["down_r"]))
+    to = _ids(halo["down_r"], halo["down_c"])
     order = np.argsort(ids)
     at = order[np.minimum(np.searchsorted(ids, to, sorter=order), len(ids) - 1)]
-    src = pd.DataFrame({"at": at, "src": halo["r"].to_numpy(np.int64) * WIDE + halo["c"].to_numpy(np.int64),
-                        "tr": halo["r"].to_numpy() // tile, "tc": halo["c"].to_numpy() // tile})[ids[at] == to]
-    src = src.drop_duplicates(["at", "tr", "tc"])
-    return src["at"].to_numpy(), src["src"].to_numpy()
+    hit = ids[at] == to
+    at, src = at[hit], _ids(halo["r"], halo["c"])[hit]
+    tr, tc = src // WIDE // tile, src % WIDE // tile
+    order = np.lexsort((tc, tr, at))
+    fresh = np.append(True, np.any([np.diff(a[order]) != 0 for a in (at, tr, tc)], axis=0))[:len(order)]
+    return at[order][fresh], src[order][fresh]
 
 
 def _flow_halo(flow: DataFrame, tile: int, *extra: str) -> DataFrame:
@@ -304,37 +338,38 @@ def _flow_halo(flow: DataFrame, tile: int, *extra: str) -> DataFrame:
 _LINK = "tr int, tc int, kind int, a long, p long, v double, src long"
 
 
-def _links(key: tuple, kind, a, p, v, src) -> pd.DataFrame:
-    out = pd.DataFrame({"run_id": key[0], "tr": key[1], "tc": key[2], "kind": kind, "a": a, "p": p, "v": v, "src": src})
-    return out.astype({"tr": "int32", "tc": "int32", "kind": "int32", "a": "int64", "p": "int64", "v": "float64", "src": "int64"})
+def _links(key: tuple, kind, a, p, v, src) -> pa.Table:
+    return _rows(key, _LINK, key[1].as_py(), key[2].as_py(), np.asarray(kind), np.asarray(a), np.asarray(p), np.asarray(v), np.asarray(src))
 
 
 def flow_accumulation(flow: DataFrame, tile: int = grid.DEFAULT_TILE) -> DataFrame:
     """Adds ``acc``: cells draining through each cell, itself included."""
     run = _run_type(flow)
 
-    def links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if not pdf["core"].any():
+    def links(key: tuple, rows: pa.Table) -> pa.Table:
+        got = _arrays(rows, "r", "c", "down_r", "down_c", "core")
+        if not got["core"].any():
             return _links(key, [], [], [], [], [])
-        own, ids, to, nxt, ends = _tile_paths(pdf)
-        acc, last = down_sums(nxt, np.ones(len(own))), last_of(nxt)
-        leaves = np.flatnonzero((nxt == len(own)) & ~ends)
-        inn, src = _entries(pdf, ids, tile)
-        out = pd.DataFrame({"a": to[leaves], "v": acc[leaves]}).groupby("a", as_index=False)["v"].sum()
-        none = np.full(len(out), -1)
-        return _links(key, [EXIT] * len(out) + [ENTRY] * len(inn), np.concatenate([out["a"], ids[inn]]),
-                      np.concatenate([none, to[last[inn]]]), np.concatenate([out["v"], np.zeros(len(inn))]),
+        ids, to, nxt, ends = _tile_paths(_where(got, got["core"]))
+        acc, last = down_sums(nxt, np.ones(len(ids))), last_of(nxt)
+        leaves = np.flatnonzero((nxt == len(ids)) & ~ends)
+        inn, src = _entries(_where(got, ~got["core"]), ids, tile)
+        goal, place = np.unique(to[leaves], return_inverse=True)
+        none = np.full(len(goal), -1)
+        return _links(key, [EXIT] * len(goal) + [ENTRY] * len(inn), np.concatenate([goal, ids[inn]]),
+                      np.concatenate([none, to[last[inn]]]),
+                      np.concatenate([np.bincount(place, weights=acc[leaves], minlength=len(goal)), np.zeros(len(inn))]),
                       np.concatenate([none, src]))
 
-    raw = _flow_halo(flow, tile).groupBy(TILE_KEY).applyInPandas(links, f"run_id {run}, {_LINK}")
+    raw = _flow_halo(flow, tile).groupBy(TILE_KEY).applyInArrow(links, f"run_id {run}, {_LINK}")
     came = inflows(raw, tile, run)
 
     def sums(cells_: pa.Table, came_: pa.Table) -> pa.Table:
         body = cells_.drop_columns(["tr", "tc"])
         if not len(body):
             return body.append_column("acc", pa.array([], pa.float64()))
-        own, ids, _, nxt, _ = _tile_paths(cells_.select(["r", "c", "down_r", "down_c"]).to_pandas().assign(core=True))
-        start = np.ones(len(own))
+        ids, _, nxt, _ = _tile_paths(_arrays(cells_, "r", "c", "down_r", "down_c"))
+        start = np.ones(len(ids))
         order = np.argsort(ids)
         start[order[np.searchsorted(ids, came_.column("a").to_numpy(), sorter=order)]] += came_.column("v").to_numpy()
         return body.append_column("acc", pa.array(down_sums(nxt, start)))
@@ -353,37 +388,41 @@ def height_above_drainage(flow: DataFrame, tile: int = grid.DEFAULT_TILE) -> Dat
     """Adds ``hand``: real bed minus the bed of the first stream or outlet cell downstream."""
     run = _run_type(flow)
 
-    def paths(pdf: pd.DataFrame):
+    names = ("r", "c", "down_r", "down_c", "z", "stream")
+
+    def paths(own: Cells):
         """Per core cell whether its path ends in the tile, the bed where it does, and the cell it leaves to."""
-        own, ids, to, nxt, ends = _tile_paths(pdf)
-        halt = own["stream"].to_numpy(dtype=bool) | ends
-        last = last_of(np.where(halt, len(own), nxt))
+        ids, to, nxt, ends = _tile_paths(own)
+        halt = own["stream"].astype(bool) | ends
+        last = last_of(np.where(halt, len(ids), nxt))
         found = halt[last]
-        return own, ids, found, np.where(found, own["z"].to_numpy(dtype=float)[last], np.nan), np.where(found, -1, to[last])
+        return ids, found, np.where(found, own["z"].astype(float)[last], np.nan), np.where(found, -1, to[last])
 
-    def links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if not pdf["core"].any():
+    def links(key: tuple, rows: pa.Table) -> pa.Table:
+        got = _arrays(rows, *names, "core")
+        if not got["core"].any():
             return _links(key, [], [], [], [], [])
-        _, ids, found, ref, goal = paths(pdf)
-        inn, src = _entries(pdf, ids, tile)
+        ids, found, ref, goal = paths(_where(got, got["core"]))
+        inn, src = _entries(_where(got, ~got["core"]), ids, tile)
         goals = np.unique(goal[~found])
         none = np.full(len(goals), -1)
         return _links(key, [EXIT] * len(goals) + [ENTRY] * len(inn), np.concatenate([goals, ids[inn]]),
                       np.concatenate([none, goal[inn]]), np.concatenate([none, ref[inn]]), np.concatenate([none, src]))
 
-    raw = _flow_halo(flow, tile, "z", "stream").groupBy(TILE_KEY).applyInPandas(links, f"run_id {run}, {_LINK}")
+    raw = _flow_halo(flow, tile, "z", "stream").groupBy(TILE_KEY).applyInArrow(links, f"run_id {run}, {_LINK}")
     far = far_values(raw, tile, run)
 
     def heights(cells_: pa.Table, far_: pa.Table) -> pa.Table:
         body = cells_.drop_columns(["tr", "tc"])
         if not len(body):
             return body.append_column("hand", pa.array([], pa.float64()))
-        own, _, found, ref, goal = paths(cells_.select(["r", "c", "down_r", "down_c", "z", "stream"]).to_pandas().assign(core=True))
-        known = far_.to_pandas().drop_duplicates("a").sort_values("a")
+        own = _arrays(cells_, *names)
+        _, found, ref, goal = paths(own)
+        known, first = np.unique(far_.column("a").to_numpy(), return_index=True)
         if len(known):
-            at = np.minimum(np.searchsorted(known["a"].to_numpy(), goal), len(known) - 1)
-            ref = np.where(found, ref, known["v"].to_numpy()[at])
-        return body.append_column("hand", pa.array(own["z"].to_numpy(dtype=float) - ref))
+            at = np.minimum(np.searchsorted(known, goal), len(known) - 1)
+            ref = np.where(found, ref, far_.column("v").to_numpy()[first][at])
+        return body.append_column("hand", pa.array(own["z"].astype(float) - ref))
 
     return grid.with_tile(flow, tile).groupBy(TILE_KEY).cogroup(far.groupBy(TILE_KEY)).applyInArrow(
         heights, _with_column(flow, "hand double"))
@@ -402,23 +441,25 @@ def trace_downstream(flow: DataFrame, starts: DataFrame, tile: int = grid.DEFAUL
     heads = starts.select("run_id", "start_id", "r", "c", cell_id().alias("a"))
     begins = grid.with_tile(heads.select(*grid.CELL).distinct(), tile)
 
-    def hops(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"run_id": [], "a": [], "b": [], "steps": []})
-        cells_ = pdf[~pdf["begin"]]
-        if not cells_["core"].any():
-            return none
-        _, ids, to, nxt, ends = _tile_paths(cells_)
-        at = pdf.loc[pdf["begin"], "r"].to_numpy(np.int64) * WIDE + pdf.loc[pdf["begin"], "c"].to_numpy(np.int64)
-        inn = np.unique(np.concatenate([_entries(cells_, ids, tile)[0], np.flatnonzero(np.isin(ids, at))])).astype(np.int64)
+    hop = "a long, b long, steps long"
+
+    def hops(key: tuple, rows: pa.Table) -> pa.Table:
+        got = _arrays(rows, "r", "c", "down_r", "down_c", "core", "begin")
+        own = _where(got, got["core"] & ~got["begin"])
+        if not len(own["r"]):
+            return _rows(key, hop, *[np.zeros(0)] * 3)
+        ids, to, nxt, ends = _tile_paths(own)
+        marks = _where(got, got["begin"])
+        at = _ids(marks["r"], marks["c"])
+        inn = np.unique(np.concatenate([_entries(_where(got, ~got["core"] & ~got["begin"]), ids, tile)[0], np.flatnonzero(np.isin(ids, at))]))
         last = last_of(nxt)[inn]
-        depth = down_depth(nxt)
         go = ~ends[last]
-        return pd.DataFrame({"run_id": key[0], "a": ids[inn][go], "b": to[last][go], "steps": depth[inn][go]})
+        return _rows(key, hop, ids[inn][go], to[last][go], down_depth(nxt)[inn][go])
 
     halo = _flow_halo(flow, tile).withColumn("begin", F.lit(False))
     marks = begins.withColumn("begin", F.lit(True)).withColumn("core", F.lit(False))
-    jump = cut(halo.unionByName(marks, allowMissingColumns=True).groupBy(TILE_KEY).applyInPandas(
-        hops, f"run_id {run}, a long, b long, steps long"), "trace")
+    jump = cut(halo.unionByName(marks, allowMissingColumns=True).groupBy(TILE_KEY).applyInArrow(
+        hops, f"run_id {run}, {hop}"), "trace")
     jumps = []
     while not jump.isEmpty():
         jumps.append(jump)
@@ -432,26 +473,30 @@ def trace_downstream(flow: DataFrame, starts: DataFrame, tile: int = grid.DEFAUL
     at = grid.with_tile(at.select("*", F.floor(F.col("a") / WIDE).cast("int").alias("r"),
                                   (F.col("a") % WIDE).cast("int").alias("c")).drop("a"), tile)
 
-    def walk(key: tuple, heads_: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(heads_) and len(pdf):
-            own, ids, _, nxt, _ = _tile_paths(pdf.assign(core=True))
-            order = np.argsort(ids)
-            here = heads_["r"].to_numpy(np.int64) * WIDE + heads_["c"].to_numpy(np.int64)
-            cur = order[np.minimum(np.searchsorted(ids, here, sorter=order), len(ids) - 1)]
-            on = ids[cur] == here
-            who, k, cur = heads_["start_id"].to_numpy()[on], heads_["k"].to_numpy()[on], cur[on]
-            rr, cc = own["r"].to_numpy(), own["c"].to_numpy()
-            while len(cur):
-                rows.append(pd.DataFrame({"run_id": key[0], "start_id": who, "r": rr[cur], "c": cc[cur], "k": k}))
-                cur = nxt[cur]
-                go = cur < len(ids)
-                who, k, cur = who[go], k[go] + 1, cur[go]
-        return pd.concat(rows) if rows else pd.DataFrame({"run_id": [], "start_id": [], "r": [], "c": [], "k": []})
+    def walk(heads_: pa.Table, cells_: pa.Table) -> pa.Table:
+        names = ["run_id", "start_id", "r", "c", "k"]
+        if not len(heads_) or not len(cells_):
+            return heads_.select(names[:2]).slice(0, 0).append_column("r", pa.array([], pa.int32())).append_column(
+                "c", pa.array([], pa.int32())).append_column("k", pa.array([], pa.int32()))
+        own, at = _arrays(cells_, "r", "c", "down_r", "down_c"), _arrays(heads_, "r", "c", "k")
+        ids, _, nxt, _ = _tile_paths(own)
+        order, here = np.argsort(ids), _ids(at["r"], at["c"])
+        cur = order[np.minimum(np.searchsorted(ids, here, sorter=order), len(ids) - 1)]
+        on = np.flatnonzero(ids[cur] == here)
+        who, cur, k = on, cur[on], at["k"][on]
+        steps = []
+        while len(cur):
+            steps.append((who, cur, k))
+            cur = nxt[cur]
+            go = cur < len(ids)
+            who, cur, k = who[go], cur[go], k[go] + 1
+        who, cur, k = (np.concatenate(x) for x in zip(*steps)) if steps else (np.zeros(0, np.int64),) * 3
+        return pa.table([*heads_.select(names[:2]).take(pa.array(who)).columns, *[pa.array(x, pa.int32(), safe=False) for x in (own["r"][cur], own["c"][cur], k)]],
+                        names=names)
 
     cells_ = grid.with_tile(flow.select(*grid.CELL, "down_r", "down_c"), tile).join(
         at.select(*TILE_KEY).distinct(), TILE_KEY, "left_semi")
-    return at.groupBy(TILE_KEY).cogroup(cells_.groupBy(TILE_KEY)).applyInPandas(
+    return at.groupBy(TILE_KEY).cogroup(cells_.groupBy(TILE_KEY)).applyInArrow(
         walk, f"run_id {run}, start_id {sid}, r int, c int, k int")
 
 

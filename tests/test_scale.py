@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from floodspark import grid
@@ -102,3 +103,16 @@ def test_band_files_do_not_follow_the_runs(spark):
     assert len(back.inputFiles()) <= 4 * len(bands.BANDS)  # four tasks; there was a file for every band of every run
     rows = lambda df: sorted(map(tuple, df.select("run_id", "r", "c", "band", "value").collect()))
     assert rows(back) == rows(bands.scenario_bands(cells))
+
+
+def test_tile_kernels_take_arrays(spark):
+    """A data frame for every small tile cost more than the tile's cells."""
+    cells = full(spark).withColumn("down_r", F.when(F.col("r") < 5, F.col("r") + 1)).withColumn("down_c", F.when(F.col("r") < 5, F.col("c")))
+    starts = spark.createDataFrame([(0, 7, 0, 2)], "run_id int, start_id int, r int, c int")
+    trace = hydrology.trace_downstream(cells, starts, 2)
+    assert "InPandas" not in plan(trace)
+    assert sorted(map(tuple, trace.collect())) == [(0, 7, r, 2, r) for r in range(6)]
+    halo = {"r": np.array([1, 1, 1, 3, 9]), "c": np.array([2, 3, 4, 1, 9]), "down_r": np.array([2, 2, 2, 3, np.nan]), "down_c": np.array([2, 2, 3, 2, np.nan])}
+    at, src = hydrology._entries(halo, hydrology._ids(np.array([2, 2, 3, 3]), np.array([2, 3, 2, 3])), 2)
+    wide = hydrology.WIDE
+    assert list(zip(at.tolist(), src.tolist())) == [(0, wide + 2), (1, wide + 4), (2, 3 * wide + 1)]
