@@ -36,32 +36,33 @@ def interpolate(points: DataFrame, probes: DataFrame, bucket_s: float = 86_400.0
                 value: str = "q") -> DataFrame:
     """Linear value of each series at each probe time, clamped at both ends.
 
-    Probes and points share buckets; a bucket also knows the last point before it
-    and the first after it, so no window spans a whole series.
+    Probes and points share buckets; a bucket also gets the last point before it and the first after it, as rows at its
+    ends, so no window spans a whole series.  Both neighbours of a probe come from one sort.
     """
     b = lambda df: df.withColumn("_b", F.floor(F.col("t_s") / bucket_s).cast("long"))
-    pt = F.struct("t_s", F.col(value).alias("v"))
-    pts = b(points).select(*SERIES, "_b", "t_s", pt.alias("_pt"), F.lit(0).alias("_probe"))
-    prb = b(probes).select(*SERIES, "_b", "t_s", F.lit(None).cast(pts.schema["_pt"].dataType).alias("_pt"),
-                           F.lit(1).alias("_probe"))
-    both = pts.unionByName(prb)
-    back = Window.partitionBy(*SERIES, "_b").orderBy("t_s", "_probe")
-    fore = Window.partitionBy(*SERIES, "_b").orderBy(F.col("t_s").desc(), "_probe")
+    key, pt = [*SERIES, "_b"], F.struct("t_s", F.col(value).alias("v"))
+    pts = b(points).select(*key, F.lit(0).alias("_side"), "t_s", F.lit(0).alias("_probe"), pt.alias("_pt"))
+    none = F.lit(None).cast(pts.schema["_pt"].dataType).alias("_pt")
+    prb = b(probes).select(*key, F.lit(0).alias("_side"), "t_s", F.lit(1).alias("_probe"), none)
+    # plain minima, not of structs, so that a bucket is summed up by hash and its rows need no sort
+    t, v = F.col("_pt.t_s"), F.col("_pt.v")
+    ends = pts.unionByName(prb).groupBy(*key).agg(F.min(t).alias("a"), F.min_by(v, t).alias("va"), F.max(t).alias("z"), F.max_by(v, t).alias("vz"))
+    some = lambda at, val: F.when(F.col(at).isNotNull(), F.struct(F.col(at).alias("t_s"), F.col(val).alias("v")))
     run = Window.unboundedPreceding
-    m = (both.withColumn("_lo", F.last("_pt", True).over(back.rowsBetween(run, 0)))
-             .withColumn("_hi", F.last("_pt", True).over(fore.rowsBetween(run, 0))))
-    ends = both.groupBy(*SERIES, "_b").agg(F.min("_pt").alias("_f"), F.max("_pt").alias("_l"))
-    up = Window.partitionBy(*SERIES).orderBy("_b")
-    dn = Window.partitionBy(*SERIES).orderBy(F.col("_b").desc())
-    ends = ends.select(*SERIES, "_b",
-                       F.last("_l", True).over(up.rowsBetween(run, -1)).alias("_before"),
-                       F.last("_f", True).over(dn.rowsBetween(run, -1)).alias("_after"))
-    j = m.where("_probe = 1").join(ends, [*SERIES, "_b"])
-    lo, hi = F.coalesce("_lo", "_before"), F.coalesce("_hi", "_after")
-    j = j.select(*SERIES, "t_s", lo.alias("lo"), hi.alias("hi"))
+    up = Window.partitionBy(*SERIES).orderBy("_b").rowsBetween(run, -1)
+    dn = Window.partitionBy(*SERIES).orderBy(F.col("_b").desc()).rowsBetween(run, -1)
+    ends = ends.select(*key, F.last(some("z", "vz"), True).over(up).alias("before"), F.last(some("a", "va"), True).over(dn).alias("after"))
+    ends = ends.select(*key, F.explode(F.array(*[F.struct(F.lit(side).alias("_side"), F.col(name).alias("_pt"))
+                                                 for side, name in ((-1, "before"), (1, "after"))])).alias("e"))
+    ends = ends.select(*key, "e._side", F.lit(None).cast(pts.schema["t_s"].dataType).alias("t_s"), F.lit(0).alias("_probe"), "e._pt")
+    order = ["_side", "t_s", "_probe"]
+    nxt = F.expr(f"lead(_pt) IGNORE NULLS OVER (PARTITION BY {', '.join(key)} ORDER BY {', '.join(order)})")
+    m = pts.unionByName(prb).unionByName(ends.where("_pt IS NOT NULL")).select(
+        *key, "t_s", "_probe", F.last("_pt", True).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(run, 0)).alias("lo"), nxt.alias("hi"))
+    j = m.where("_probe = 1")
     frac = (F.col("t_s") - F.col("lo.t_s")) / (F.col("hi.t_s") - F.col("lo.t_s"))
     out = (F.when(F.col("lo").isNull(), F.col("hi.v")).when(F.col("hi").isNull(), F.col("lo.v"))
-            .when(F.col("hi.t_s") == F.col("lo.t_s"), F.col("lo.v"))
+            .when(F.col("t_s") == F.col("lo.t_s"), F.col("lo.v"))
             .otherwise(F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * frac))
     return j.select(*SERIES, "t_s", out.alias(value))
 

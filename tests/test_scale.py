@@ -4,11 +4,12 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from floodspark import grid
 from floodspark.functions import hydraulics
-from floodspark.operators import hydrology, mesh, resample, terrain, vectors
+from floodspark.operators import hydrology, mesh, resample, series, terrain, vectors
 from floodspark.session import scratch_path
 from floodspark.sinks import bands
 
@@ -116,3 +117,12 @@ def test_tile_kernels_take_arrays(spark):
     at, src = hydrology._entries(halo, hydrology._ids(np.array([2, 2, 3, 3]), np.array([2, 3, 2, 3])), 2)
     wide = hydrology.WIDE
     assert list(zip(at.tolist(), src.tolist())) == [(0, wide + 2), (1, wide + 4), (2, 3 * wide + 1)]
+
+
+def test_interpolation_sorts_probes_once(spark):
+    """Least structs per bucket had all probes sorted before the shuffle, two windows and a join sorted them again."""
+    points = spark.createDataFrame([(0, "a", 10.0, 1.0), (0, "a", 50.0, 5.0), (0, "a", 350.0, 8.0)], "run_id int, label string, t_s double, q double")
+    probes = spark.createDataFrame([(0, "a", float(t)) for t in (0, 10, 30, 50, 60, 150, 200, 350, 400)], "run_id int, label string, t_s double")
+    got = series.interpolate(points, probes, 100.0)
+    assert not any(x in plan(got) for x in ("SortAggregate", "Join"))
+    assert [x.q for x in got.orderBy("t_s").collect()] == pytest.approx([1, 1, 3, 5, 5.1, 6, 6.5, 8, 8])
