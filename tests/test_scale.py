@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from floodspark import grid
 from floodspark.functions import hydraulics
 from floodspark.operators import hydrology, mesh, resample, series, terrain, vectors
+from floodspark.queries import assessment
 from floodspark.session import scratch_path
 from floodspark.sinks import bands
 
@@ -126,3 +127,11 @@ def test_interpolation_sorts_probes_once(spark):
     got = series.interpolate(points, probes, 100.0)
     assert not any(x in plan(got) for x in ("SortAggregate", "Join"))
     assert [x.q for x in got.orderBy("t_s").collect()] == pytest.approx([1, 1, 3, 5, 5.1, 6, 6.5, 8, 8])
+
+
+def test_a_full_record_works_out_its_cells_once(spark, monkeypatch):
+    calls, enriched = [], assessment.enriched
+    monkeypatch.setattr(assessment, "enriched", lambda s, d: calls.append(d) or enriched(s, d))
+    record = assessment._record(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1  # the parts worked them out seven times
+    assert set(record.columns) == {"run_id", "headline", "grid", "run", "results", "provenance", "honesty"}
