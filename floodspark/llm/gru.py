@@ -15,6 +15,9 @@ CLASSES = 32
 STEPS = 32
 RATE = 0.1
 BOUND = 60.0
+#: States whose words are looked up together, and columns of logits that stay in a core's cache.
+TOGETHER = 32768
+BLOCK = 1024
 
 
 def classes(counts: np.ndarray, n: int = CLASSES) -> np.ndarray:
@@ -34,23 +37,31 @@ def initial(words: int, n_classes: int, hidden: int = HIDDEN, seed: int = 7) ->
             "ww": draw(words, hidden), "bw": np.zeros(words, np.float32)}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """A one behind each state, which takes the bias."""
+    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """Probabilities by row, in place; logits count up to a bound that no exponential overflows at."""
-    np.clip(logits, -BOUND, BOUND, out=logits)
+def _logits(w: np.ndarray, states: np.ndarray, far: bool) -> np.ndarray:
+    """A column for each state; if they can be ``far``, logits count up to a bound that no exponential overflows at."""
+    out = w @ states.T
+    if far:
+        np.clip(out, -BOUND, BOUND, out=out)
+    return out
+
+
+def _error(logits: np.ndarray, place: np.ndarray, scale: float) -> np.ndarray:
+    """Probabilities less one at the place of each column's target, times ``scale``; in place."""
     np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
+    logits *= scale / logits.sum(0)
+    logits[place, np.arange(len(place))] -= scale
     return logits
 
 
-def _log_softmax(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """The log probability of one column in each row."""
-    np.clip(logits, -BOUND, BOUND, out=logits)
-    own = logits[np.arange(len(logits)), column]
-    return own - np.log(np.exp(logits, out=logits).sum(1))
+def _log_softmax(logits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The log probability of one place in each column."""
+    own = logits[place, np.arange(len(place))]
+    return own - np.log(np.exp(logits, out=logits).sum(0))
 
 
 def lanes(lengths: np.ndarray, width: int) -> list[np.ndarray]:
@@ -65,63 +76,96 @@ def lanes(lengths: np.ndarray, width: int) -> list[np.ndarray]:
     return [np.array(x, np.int64) for x in out]
 
 
+def _parts(w: np.ndarray) -> np.ndarray:
+    """Reset gate, update gate and new state apart."""
+    return np.ascontiguousarray(w.reshape(len(w), 3, -1).transpose(1, 0, 2))
+
+
+def _joined(parts: np.ndarray) -> np.ndarray:
+    return parts.transpose(1, 0, 2).reshape(parts.shape[1], -1)
+
+
 class Model:
     def __init__(self, weights: dict[str, np.ndarray], starts: np.ndarray) -> None:
         self.w, self.starts = weights, starts
         self.words = len(weights["ww"])
-        self.of = np.searchsorted(starts, np.arange(self.words + 1), side="right") - 1  # class of each word
+        self.of = (np.searchsorted(starts, np.arange(self.words + 1), side="right") - 1).astype(np.int16)  # class of each word
         self.of[self.words] = len(starts) - 1  # the rarer words
         self.projected: np.ndarray | None = None
 
+    def _inputs(self) -> np.ndarray:
+        """What each word adds to the two gates, halved as their tanh takes it, and to the new state."""
+        table = self.w["embed"] @ self.w["wx"] + self.w["b"]
+        table = np.ascontiguousarray(table.reshape(len(table), 3, -1).transpose(1, 0, 2))
+        table[:2] *= table.dtype.type(0.5)
+        return table
+
     def _run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False
              ) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
-        """States for ``x`` (steps x lanes of inputs); ``fresh`` marks texts' first inputs."""
-        size = h.shape[1]
-        wh = self.w["wh"]
-        table = self.w["embed"] @ self.w["wx"] + self.w["b"] if self.projected is None else self.projected
-        xs = table[x]
+        """States for ``x`` (steps x lanes of inputs); ``fresh`` marks texts' first inputs.  Kept for learning:
+        the states before each step, twice the gates, the new states, half of what the reset gate meets."""
+        steps, size = len(x), h.shape[1]
+        half = h.dtype.type(0.5)
+        wh = _parts(self.w["wh"]) * half
+        table = self._inputs() if self.projected is None else self.projected
+        to_gates, to_new = table[:2].take(x, 1), table[2].take(x, 0)
         shape = (*x.shape, size)
-        states, kept = np.empty(shape, h.dtype), ()
-        if keep:
-            kept = before, gates, news, products = (np.empty(shape, h.dtype), np.empty((*x.shape, 2 * size), h.dtype),
-                                                    np.empty(shape, h.dtype), np.empty(shape, h.dtype))
+        states, rows = np.empty(shape, h.dtype), steps if keep else 1  # without ``keep`` one step's room serves all
+        before = np.empty(shape, h.dtype) if keep else None
+        gates = np.empty((2, rows, *shape[1:]), h.dtype)
+        news, products = np.empty((rows, *shape[1:]), h.dtype), np.empty((rows, *shape[1:]), h.dtype)
         begins = fresh.any(1).tolist()
-        half = h.dtype.type(0.5)
-        for t in range(len(x)):
+        for t in range(steps):
             if begins[t]:
                 h = np.where(fresh[t][:, None], half * 0, h)
-            hw = h @ wh
-            g = xs[t, :, :2 * size] + hw[:, :2 * size]
-            g *= half
+            k = t if keep else 0
+            g, n, product = gates[:, k], news[k], products[k]
+            np.matmul(h, wh[:2], out=g)
+            g += to_gates[:, t]
             np.tanh(g, out=g)
             g += 1
-            g *= half
-            n = g[:, :size] * hw[:, 2 * size:]
-            n += xs[t, :, 2 * size:]
+            np.matmul(h, wh[2], out=product)
+            np.multiply(g[0], product, out=n)
+            n += to_new[t]
             np.tanh(n, out=n)
             if keep:
-                before[t], gates[t], news[t], products[t] = h, g, n, hw[:, 2 * size:]
-            h = h - n
-            h *= g[:, size:]
+                before[t] = h
+            h = np.subtract(h, n, out=states[t])
+            h *= g[1]
+            h *= half
             h += n
-            states[t] = h
-        return states, kept, h
+        return states, (before, gates, news, products), h
 
-    def _groups(self, target: np.ndarray):
-        """Rows by class of their target, the rarer words left out."""
-        of = self.of[target]
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Order of rows by class of their target, and where each class begins (and the last ends)."""
+        of = self.of.take(target)
         order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(len(self.starts)))
-        for c in range(len(self.starts) - 1):
-            if edges[c + 1] > edges[c]:
-                yield c, order[edges[c]:edges[c + 1]]
+        return order, np.searchsorted(of[order], np.arange(len(self.starts) + 1, dtype=of.dtype)).tolist()
+
+    def _outputs(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights and bias of each class and of each word, and whether logits of such states can pass the bound."""
+        w = self.w
+        by_class, by_word = np.vstack([w["wc"], w["bc"]]).T, np.hstack([w["ww"], w["bw"][:, None]])
+        reach = np.abs(states).max(initial=0)
+        most = max(np.abs(x).sum(1).max(initial=0) for x in (by_class, by_word))
+        return by_class, by_word, not reach * most <= BOUND
 
     def log_probs(self, hs: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target (of the class alone for rarer words)."""
-        out = _log_softmax(hs @ self.w["wc"] + self.w["bc"], self.of[target]).astype(np.float64)
-        for c, rows in self._groups(target):
-            a, b = self.starts[c], self.starts[c + 1]
-            out[rows] += _log_softmax(hs[rows] @ self.w["ww"][a:b].T + self.w["bw"][a:b], target[rows] - a)
+        order, edges = self._by_class(target)
+        hs, target = _with_one(hs.take(order, 0)), target.take(order)
+        of = self.of.take(target)
+        by_class, by_word, far = self._outputs(hs)
+        logs = np.empty(len(order))
+        for low in range(0, len(order), BLOCK):
+            rows = slice(low, low + BLOCK)
+            logs[rows] = _log_softmax(_logits(by_class, hs[rows], far), of[rows])
+        for c in range(len(self.starts) - 1):
+            rows, a, b = slice(edges[c], edges[c + 1]), self.starts[c], self.starts[c + 1]
+            if edges[c + 1] > edges[c]:
+                logs[rows] += _log_softmax(_logits(by_word[a:b], hs[rows], far), target[rows] - a)
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
     def score(self, texts: list[np.ndarray], first: int, width: int = 1024) -> np.ndarray:
@@ -130,7 +174,7 @@ class Model:
         total = np.zeros(len(texts))
         if not lengths.sum():
             return total
-        self.projected = self.w["embed"] @ self.w["wx"] + self.w["b"]
+        self.projected = self._inputs()
         width = int(max(1, min(width, len(texts), lengths.sum() // max(lengths.max(), 1) + 1)))
         plan = lanes(lengths, width)
         depth = max(int(lengths[p].sum()) for p in plan)
@@ -149,8 +193,9 @@ class Model:
                     fresh[k, at] = True
                 at += n
         h = np.zeros((width, self.w["wh"].shape[0]), np.float32)
-        for t in range(0, depth, STEPS):
-            window = slice(t, t + STEPS)
+        steps = max(STEPS, TOGETHER // width)  # nothing is learnt here, so longer windows give the same
+        for t in range(0, depth, steps):
+            window = slice(t, t + steps)
             hs, _, h = self._run(x[:, window].T, fresh[:, window].T, h)
             target = y[:, window].T.ravel()
             real = np.flatnonzero(target >= 0)
@@ -185,57 +230,55 @@ class Model:
 
     def _learn(self, x, y, fresh, h, rate, squares) -> np.ndarray:
         w, size = self.w, h.shape[1]
-        hs, kept, last = self._run(x, fresh, h, keep=True)
+        hs, (before, gates, n, product), last = self._run(x, fresh, h, keep=True)
         flat, target = hs.reshape(-1, size), y.ravel()
         real = np.flatnonzero(target >= 0)
-        own, target = (flat, target) if len(real) == len(target) else (flat[real], target[real])
-        scale = h.dtype.type(1 / max(1, len(real)))
-        grad = {}
-        error = _softmax(own @ w["wc"] + w["bc"])
-        error[np.arange(len(real)), self.of[target]] -= 1
-        error *= scale
-        grad["wc"], grad["bc"] = own.T @ error, error.sum(0)
-        back = error @ w["wc"].T
-        grad["ww"], grad["bw"] = np.zeros_like(w["ww"]), np.zeros_like(w["bw"])
-        for c, rows in self._groups(target):
-            a, b = self.starts[c], self.starts[c + 1]
-            states = own[rows]
-            error = _softmax(states @ w["ww"][a:b].T + w["bw"][a:b])
-            error[np.arange(len(rows)), target[rows] - a] -= 1
-            error *= scale
-            grad["ww"][a:b], grad["bw"][a:b] = error.T @ states, error.sum(0)
-            back[rows] += error @ w["ww"][a:b]
-        if len(real) < flat.shape[0]:
-            out = np.zeros_like(flat)
-            out[real] = back
-            back = out
+        order, edges = self._by_class(target[real])
+        real = real[order]
+        own, target = _with_one(flat.take(real, 0)), target.take(real)
+        by_class, by_word, far = self._outputs(own)
+        scale, grad = h.dtype.type(1 / max(1, len(real))), {}
+        error = _error(_logits(by_class, own, far), self.of.take(target), scale)
+        of_class, of_word = error @ own, np.zeros_like(by_word)
+        of_own = error.T @ by_class[:, :size]
+        for c in range(len(self.starts) - 1):
+            rows, a, b = slice(edges[c], edges[c + 1]), self.starts[c], self.starts[c + 1]
+            if edges[c + 1] > edges[c]:
+                error = _error(_logits(by_word[a:b], own[rows], far), target[rows] - a, scale)
+                of_word[a:b] = error @ own[rows]
+                of_own[rows] += error.T @ by_word[a:b, :size]
+        grad["wc"], grad["bc"] = of_class[:, :size].T, of_class[:, size]
+        grad["ww"], grad["bw"] = of_word[:, :size], of_word[:, size]
+        back = np.zeros_like(flat)
+        back[real] = of_own
         back = back.reshape(hs.shape)
         # what doesn't depend on the error that comes from later steps is taken for the whole window
-        before, gates, n, hn = kept
-        r, z = gates[:, :, :size], gates[:, :, size:]
+        gates *= h.dtype.type(0.5)
+        r, z = gates
         to_n = (1 - z) * (1 - n * n)
-        to_z = (before - n) * (z * (1 - z))
-        to_r = hn * (r * (1 - r))
-        dg = np.empty((*x.shape, 3 * size), h.dtype)
-        dn = np.empty_like(hs)
-        down, wh_t, begins = np.zeros_like(h), w["wh"].T.copy(), fresh.any(1).tolist()
+        share = np.empty((3, *hs.shape), h.dtype)  # of the error at a state, that at the gates and at what the reset gate meets
+        share[0] = to_n * (2 * product) * (r * (1 - r))
+        share[1] = (before - n) * (z * (1 - z))
+        share[2] = to_n * r
+        down, wh_t, begins = np.zeros_like(h), _parts(w["wh"]).transpose(0, 2, 1).copy(), fresh.any(1).tolist()
+        onward = np.empty((3, *h.shape), h.dtype)
         for t in range(len(x) - 1, -1, -1):
-            down += back[t]
-            np.multiply(down, to_n[t], out=dn[t])
-            np.multiply(dn[t], to_r[t], out=dg[t, :, :size])
-            np.multiply(down, to_z[t], out=dg[t, :, size:2 * size])
-            np.multiply(dn[t], r[t], out=dg[t, :, 2 * size:])
-            down *= z[t]
-            down += dg[t] @ wh_t
+            back[t] += down
+            share[:, t] *= back[t]
+            np.matmul(share[:, t], wh_t, out=onward)
+            down = back[t] * z[t]
+            down += onward[0]
+            down += onward[1]
+            down += onward[2]
             if begins[t]:
                 down[fresh[t]] = 0
-        grad["wh"] = before.reshape(-1, size).T @ dg.reshape(-1, 3 * size)
-        dg[:, :, 2 * size:] = dn
-        dx = dg.reshape(-1, 3 * size)
-        ids = x.ravel()
-        grad["wx"], grad["b"] = w["embed"][ids].T @ dx, dx.sum(0)
-        rows = dx @ w["wx"].T
-        grad["embed"] = np.stack([np.bincount(ids, weights=c, minlength=len(w["embed"])) for c in rows.T], 1).astype(h.dtype)
+        dg = share.reshape(3, -1, size)
+        grad["wh"] = _joined(before.reshape(-1, size).T @ dg)
+        np.multiply(back, to_n, out=share[2])
+        ids, wx_t = x.ravel(), _parts(w["wx"]).transpose(0, 2, 1)
+        grad["wx"], grad["b"] = _joined(w["embed"].take(ids, 0).T @ dg), (np.ones(len(ids), h.dtype) @ dg).ravel()
+        rows = (dg[0] @ wx_t[0] + dg[1] @ wx_t[1] + dg[2] @ wx_t[2]).T.astype(np.float64)
+        grad["embed"] = np.stack([np.bincount(ids, weights=c, minlength=len(w["embed"])) for c in rows], 1).astype(h.dtype)
         for k, g in grad.items():
             squares[k] += g * g
             w[k] -= rate * g / np.sqrt(squares[k])

@@ -9,13 +9,12 @@ counts by a join.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +27,10 @@ MODEL_WORDS = 1024
 DICTIONARY = 300_000
 #: Sixteenths of the training documents that each round ends at.
 ROUNDS = (1, 6, 16)
-END = b""
-#: Tokens scored or learnt from side by side, and words counted before they are handed on.
+END = ""
+#: Tokens scored or learnt from side by side, and bytes of text taken apart at once.
 CHUNK = 1_000_000
-FLUSH = 300_000
+PIECE = 4 << 20
 WIDTH = 256
 SMOOTH = 0.1
 
@@ -39,7 +38,7 @@ SMOOTH = 0.1
 @dataclass
 class Vocabulary:
     """The most frequent words with their counts, most frequent first, and the totals of all words."""
-    words: list[bytes]
+    words: pa.Array
     counts: np.ndarray
     tokens: int
     distinct: int
@@ -52,29 +51,29 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def tokens(text: str) -> list[bytes]:
-    """Lower-cased (A-Z) words and the end."""
-    out = text.encode().lower().split()
-    out.append(END)
-    return out
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, so many at a time as have ``PIECE`` bytes of text (``t``), one at least."""
+    ends = np.cumsum(pc.binary_length(batch.column("t")).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + PIECE, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased (A-Z) words of all texts, each text's followed by the end, and where each text begins (and the last ends)."""
+    ended = pc.ascii_ltrim_whitespace(pc.binary_join_element_wise(texts.cast(pa.string()), "", " "))  # what follows the last space is the end
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(ended))
+    return lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)])
 
-    def flush() -> pa.RecordBatch:
-        words = pa.array(list(seen.keys()), pa.binary()).cast(pa.string())
-        out = pa.RecordBatch.from_arrays([words, pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-        seen.clear()
-        return out
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column(0):
-            seen.update(tokens(text.as_py()))
-            if len(seen) > FLUSH:
-                yield flush()
-    if seen:
-        yield flush()
+        for piece in _pieces(batch):
+            words, n = pc.value_counts(tokens(piece.column("t"))[0]).flatten()
+            yield pa.RecordBatch.from_arrays([words, n], names=["word", "n"])
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -99,35 +98,40 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     n_all, v_all = total[0] or 0, total[1]
     known = min(MODEL_WORDS, len(n))
     rest = (n_all - int(n[:known].sum())) + SMOOTH * (v_all - known) + SMOOTH
-    return Vocabulary([w.encode() for w in top["word"]], n, n_all, v_all, rest, known)
+    return Vocabulary(pa.array(top["word"].tolist(), pa.string()), n, n_all, v_all, rest, known)
 
 
-def numbers(table: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    """Numbers of words; -1 for the others."""
-    return np.fromiter(map(table.get, words, repeat(-1)), np.int32, len(words))
+def numbers(words: pa.Array, table: pa.Array) -> np.ndarray:
+    """Places of words in a table; -1 for the others."""
+    return pc.fill_null(pc.index_in(words, value_set=table), -1).to_numpy(zero_copy_only=False)
 
 
 def _model_ids(ids: np.ndarray, known: int) -> np.ndarray:
     return np.where((ids >= 0) & (ids < known), ids, known).astype(np.int32)
 
 
+def _first(vocab: Vocabulary) -> int:
+    """What the model takes for the word before each text: the end."""
+    return int(_model_ids(numbers(pa.array([END]), vocab.words), vocab.known)[0])
+
+
 def _learn(shared, hidden: int):
     """One task's share of a round: its weights after its documents, times its tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, starts, weights = shared.value
-        table = {w: i for i, w in enumerate(vocab.words[:vocab.known])}
+        table = vocab.words[:vocab.known]
         weights = {k: v.copy() for k, v in weights.items()}
         squares = {k: np.full_like(v, 1e-3) for k, v in weights.items()}
-        model, first, n, held, texts = gru.Model(weights, starts), table.get(END, -1), 0, 0, []
-        first = first if first >= 0 else vocab.known
+        model, first, n, held, texts = gru.Model(weights, starts), _first(vocab), 0, 0, []
         for batch in batches:
-            for text in batch.column(0):
-                ids = _model_ids(numbers(table, tokens(text.as_py())), vocab.known)
-                texts.append(ids)
-                held += len(ids)
-                if held >= CHUNK:
-                    model.fit(texts, first, width=WIDTH, squares=squares)
-                    n, held, texts = n + held, 0, []
+            for piece in _pieces(batch):
+                words, begin = tokens(piece.column("t"))
+                for ids in np.split(_model_ids(numbers(words, table), vocab.known), begin[1:-1]):
+                    texts.append(ids)
+                    held += len(ids)
+                    if held >= CHUNK:
+                        model.fit(texts, first, width=WIDTH, squares=squares)
+                        n, held, texts = n + held, 0, []
         if texts:  # fewer lanes for fewer tokens: as many updates
             model.fit(texts, first, width=max(8, min(WIDTH, WIDTH * held // CHUNK)), squares=squares)
             n += held
@@ -167,41 +171,41 @@ def train(rows: DataFrame, vocab: Vocabulary, hidden: int = gru.HIDDEN, rounds:
 def _score(shared, base: float, rest: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, starts, weights = shared.value
-        table = {w: i for i, w in enumerate(vocab.words)}
         logs = np.append(np.log10(vocab.counts + SMOOTH), 0.0)
-        model = gru.Model(weights, starts)
-        first = table.get(END, -1)
-        first = first if 0 <= first < vocab.known else vocab.known
-        ids, out = [], []
-
-        def flush() -> pa.RecordBatch:
-            scores = model.score(ids, first) / math.log(10)
-            columns = list(zip(*out))
-            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()),
-                      pa.array(np.array(columns[3]) + scores), pa.array(columns[4], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                      pa.array(columns[5], pa.bool_()), pa.array(columns[6], kind)]
+        model, first = gru.Model(weights, starts), _first(vocab)
+        ids, parts, held = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            scores, low = model.score(ids, first) / math.log(10), 0
+            for part in parts:
+                own = pa.array(scores[low:low + part.num_rows])
+                low += part.num_rows
+                yield part.set_column(3, "score", pc.add(part.column("score"), own))
             ids.clear()
-            out.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["n_tokens", "n_known", "base", "score", "others", "held_out", "doc_id"])
+            parts.clear()
 
-        held = 0
         for batch in batches:
-            kind = batch.schema.field(0).type
-            for doc_id, out_of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = tokens(text.as_py())
-                number = numbers(table, words)
-                others = [words[i] for i in np.flatnonzero(number < 0).tolist()]
-                rare = (number < 0) | (number >= vocab.known)
+            for piece in _pieces(batch):
+                words, begin = tokens(piece.column("t"))
+                number = numbers(words, vocab.words)
                 known = logs[number]  # the last entry stands for words outside the dictionary
-                out.append((len(words), len(words) - len(others), float(known.sum()) - base * len(words),
-                            float(known[rare].sum()) - rest * int(rare.sum()), others, out_of, doc_id))
-                ids.append(_model_ids(number, vocab.known))
+                other = number < 0
+                rare = other | (number >= vocab.known)
+                n = np.diff(begin)
+                summed = lambda x: np.add.reduceat(x.astype(np.float64), begin[:-1])
+                n_other = summed(other).astype(np.int64)
+                others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_other)), pa.int32()), words.filter(pa.array(other)))
+                parts.append(pa.RecordBatch.from_arrays(
+                    [pa.array(n), pa.array(n - n_other), pa.array(summed(known) - base * n),
+                     pa.array(summed(known * rare) - rest * summed(rare)), others, piece.column("held_out"), piece.column("doc_id")],
+                    names=["n_tokens", "n_known", "base", "score", "others", "held_out", "doc_id"]))
+                ids.extend(np.split(_model_ids(number, vocab.known), begin[1:-1]))
                 held += len(words)
                 if held >= CHUNK:
-                    yield flush()
+                    yield from flush()
                     held = 0
-        if ids:
-            yield flush()
+        if parts:
+            yield from flush()
     return run
 
 

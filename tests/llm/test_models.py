@@ -5,10 +5,12 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from floodspark.llm import extraction, gru, lm
-from llm_rows import awkward, prose, table
+from llm_rows import awkward, prose, table, words
 
 PAGE = """<html><head><title>x</title><style>p{}</style></head><body><header class="site-header"><h1>Site</h1>
 <p>Tagline of the site goes here for all to read.</p></header><nav>Home <a href=1>About</a></nav>
@@ -164,3 +166,46 @@ def test_held_out_gain_on_given_documents(spark):
     held = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     gain = sum(r["score"] for r in held) - sum(r["base_score"] for r in held)
     assert gain > 3000  # 512 words, 24 classes, 12 units and windows of 16 gave 2,912
+
+
+def test_words_of_whole_batches():
+    rng = random.Random(4)
+    signs = [chr(i) for i in range(130)] + list(" \t\n\v\f\r") * 8 + ["\x85", "\xa0", "\u2003", "É", "İ", "\U0001F600"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(25))) for _ in range(3000)] + ["", " ", " a", "a ", "\x1ca\x1d", "A É"]
+    found, begin = lm.tokens(pa.array(texts))
+    plain = [t.encode().lower().split() + [b""] for t in texts]
+    assert found.cast(pa.binary()).to_pylist() == [w for t in plain for w in t]
+    assert np.diff(begin).tolist() == [len(t) for t in plain]
+
+
+def test_scores_do_not_depend_on_pieces(monkeypatch):
+    rows = [(i, t or "") for i, t in awkward() if i is not None]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([False] * len(rows)), pa.array([t for _, t in rows])],
+                                       names=["doc_id", "held_out", "t"])
+    counts = Counter(w for _, t in rows for w in words(t.lower()) + [""]).most_common(200)
+    n = np.array([k for _, k in counts])
+    starts = gru.classes(n[:120])
+    vocab = lm.Vocabulary(pa.array([w for w, _ in counts]), n, int(n.sum()), 200, 50.0, 120)
+    shared = SimpleNamespace(value=(vocab, starts, gru.initial(120, len(starts) - 1)))
+    run = lambda *parts: pa.Table.from_batches(lm._score(shared, 3.0, 2.0)(iter(parts))).to_pydict()
+    whole = run(batch)
+    assert whole["doc_id"] == [i for i, _ in rows]
+    assert whole["others"] == [[w for w in words(t.lower()) if w not in dict(counts)] for _, t in rows]
+    monkeypatch.setattr(lm, "PIECE", 300)
+    monkeypatch.setattr(lm, "CHUNK", 700)
+    small = run(batch.slice(0, 5), batch.slice(5))
+    for name in ("base", "score"):
+        assert np.allclose(small.pop(name), whole.pop(name), atol=1e-3, rtol=1e-6)
+    assert small == whole
+
+
+def test_few_lanes_take_longer_windows(monkeypatch):
+    """A long text leaves few lanes; 32 steps of them at a time cost more in calls than in sums."""
+    model, rng, calls = small_model(), np.random.default_rng(8), []
+    texts = [rng.integers(0, 13, n).astype(np.int32) for n in (8000, *rng.integers(0, 200, 60))]
+    run = model._run
+    monkeypatch.setattr(model, "_run", lambda *a: calls.append(len(a[0])) or run(*a))
+    scores = model.score(texts, 0)
+    assert sum(calls) == 8000 and len(calls) < 8000 / gru.STEPS / 10
+    monkeypatch.setattr(gru, "TOGETHER", 0)
+    assert np.allclose(model.score(texts, 0), scores, atol=1e-3)
